@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import OP3_SQL, op3_benchmark_leaks
 from .mixing import OP1_SQL, op1_mix_sources
 from .sharding import op4_shard_slots
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shard_slots": op4_shard_slots,
 }
 
-SQL = {"op1_mix_sources": OP1_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL}
