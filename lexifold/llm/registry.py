@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_benchmark_leaks
+from .fingerprints import op2_winnow_prints
 from .mixing import OP1_SQL, op1_mix_sources
 from .sharding import op4_shard_slots
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_winnow_prints": op2_winnow_prints,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shard_slots": op4_shard_slots,
 }
