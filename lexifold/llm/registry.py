@@ -6,12 +6,14 @@ from .decontamination import OP3_SQL, op3_benchmark_leaks
 from .fingerprints import op2_winnow_prints
 from .mixing import OP1_SQL, op1_mix_sources
 from .sharding import op4_shard_slots
+from .warc import op7_warc_bundles
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_winnow_prints": op2_winnow_prints,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shard_slots": op4_shard_slots,
+    "op7_warc_bundles": op7_warc_bundles,
 }
 
 SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL}
