@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP3_SQL, op3_benchmark_leaks
 from .fingerprints import op2_winnow_prints
 from .mixing import OP1_SQL, op1_mix_sources
+from .ngram_join import op9_jaccard_groups
 from .sharding import op4_shard_slots
 from .warc import op7_warc_bundles
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shard_slots": op4_shard_slots,
     "op7_warc_bundles": op7_warc_bundles,
+    "op9_jaccard_groups": op9_jaccard_groups,
 }
 
 SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL}
