@@ -7,6 +7,7 @@ from .fingerprints import op2_winnow_prints
 from .mixing import OP1_SQL, op1_mix_sources
 from .ngram_join import op9_jaccard_groups
 from .sharding import op4_shard_slots
+from .toxicity import op8_toxicity
 from .warc import op7_warc_bundles
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shard_slots": op4_shard_slots,
     "op7_warc_bundles": op7_warc_bundles,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_groups": op9_jaccard_groups,
 }
 
