@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 from .components import components
+from .packing import pack, squeeze, unpack, unsqueeze
 from .textkit import mix64, shingle_sets
 
 #: Two documents link when NUMERATOR * union <= DENOMINATOR * intersection.
@@ -31,9 +32,11 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Bits of a shingle's hash that the first bound uses (equal bits only weaken it), and that sets keep.
 BOUND_BITS, SET_BITS = 40, 48
 #: Shingles dealt to one range.
-RANGE = 3 << 20
+RANGE = 1 << 20
 #: A shingle in more than COMMON classes may be ordered last; the STOP most frequent are (2 MB of broadcast at most).
 COMMON, STOP = 16, 1 << 18
+#: Partitions that ranges are dealt to at most.
+MOST_PARTS = 1 << 15
 #: Documents in a block of a group, and stars in one key's group before the rest stand alone.
 BLOCK, LEADERS = 32, 8
 #: Documents of one key that share a task, as far as their number is known.
@@ -48,28 +51,6 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
-def pack(tokens: np.ndarray, bits: int) -> bytes:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8].tobytes()
-
-
-def unpack(data: bytes, bits: int) -> np.ndarray:
-    out = np.zeros((len(data) * 8 // bits, 8), np.uint8)
-    out[:, : bits // 8] = np.frombuffer(data, np.uint8).reshape(-1, bits // 8)
-    return out.view("<u8").ravel()
-
-
-def squeeze(tokens: np.ndarray, width: int) -> bytes:
-    """Sorted numbers by byte planes, whose higher ones hardly change."""
-    return zstandard.compress(np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
-
-
-def unsqueeze(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
 def signature(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit numbers of a set."""
     with np.errstate(over="ignore"):
@@ -202,25 +183,27 @@ def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _matrix(frames: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
-    """The matrix by range of shingles: for each shingle and group, the group and the sizes of its members that have it."""
+    """The matrix by range of shingles: for each shingle and group, the group, the size of the smallest and largest member that has
+    it, and the most shingles that any of these has from it on in the order."""
 
     def flush(frame):
         tokens = [unpack(x, SET_BITS) for x in frame["prefix"]]
         lengths = [len(t) for t in tokens]
         groups, group = np.unique(np.stack([frame["component"], frame["star"], frame["block"]], 1), axis=0, return_inverse=True)
         tokens, owner, n = np.concatenate(tokens), np.repeat(group.ravel(), lengths), np.repeat(frame["n"].to_numpy(), lengths)
+        rest = n - np.concatenate([np.arange(k) for k in lengths])
         order = np.lexsort((owner, tokens))
-        tokens, owner, n = tokens[order], owner[order], n[order]
+        tokens, owner, n, rest = tokens[order], owner[order], n[order], rest[order]
         start = np.flatnonzero((np.diff(tokens, prepend=~tokens[:1]) != 0) | (np.diff(owner, prepend=-1) != 0))
-        low, high = np.minimum.reduceat(n, start), np.maximum.reduceat(n, start)
+        sizes = np.stack([np.minimum.reduceat(n, start), np.maximum.reduceat(n, start), np.maximum.reduceat(rest, start)], 1).astype(np.int32)
         tokens, owner = tokens[start], owner[start]
         cuts = np.searchsorted(tokens, np.array([(r << SET_BITS) // ranges for r in range(ranges + 1)], np.uint64))
         rows = []
         for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             if b > a:
                 used, place = np.unique(owner[a:b], return_inverse=True)
-                rows.append((r, squeeze(tokens[a:b], SET_BITS // 8), squeeze(place, 3), zstandard.compress(low[a:b].astype(np.int32).tobytes(), 1), zstandard.compress(high[a:b].astype(np.int32).tobytes(), 1), groups[used].astype(np.int64).tobytes()))
-        return pd.DataFrame(rows, columns=["range", "tokens", "places", "low", "high", "groups"])
+                rows.append((r, squeeze(tokens[a:b], SET_BITS // 8), squeeze(place, 3), zstandard.compress(sizes[a:b].tobytes(), 1), groups[used].astype(np.int64).tobytes()))
+        return pd.DataFrame(rows, columns=["range", "tokens", "places", "sizes", "groups"])
 
     held, size = [], 0
     for f in frames:
@@ -237,25 +220,30 @@ def _meet(f: pd.DataFrame) -> pd.DataFrame:
     """Pairs of groups of different components that have a shingle of one range in common, and members of fitting sizes."""
     tokens = np.concatenate([unsqueeze(t, SET_BITS // 8) for t in f["tokens"]])
     groups = np.concatenate([np.frombuffer(g, np.int64).reshape(-1, 3)[unsqueeze(p, 3).astype(np.int64)] for p, g in zip(f["places"], f["groups"])])
-    low, high = (np.concatenate([np.frombuffer(zstandard.decompress(x), np.int32) for x in f[c]]).astype(np.int64) for c in ("low", "high"))
+    sizes = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int32).reshape(-1, 3) for x in f["sizes"]]).astype(np.int64)
     order = np.argsort(tokens, kind="stable")
-    tokens, groups, low, high = tokens[order], groups[order], low[order], high[order]
+    tokens, groups, (low, high, rest) = tokens[order], groups[order], sizes[order].T
     start = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
     length = np.diff(start, append=len(tokens))
     several = np.minimum.reduceat(groups[:, 0], start) != np.maximum.reduceat(groups[:, 0], start)
     start, length = start[several], length[several]
-    found = []
+    found, held = [np.empty((0, 4), np.int64)], 0
     for n in np.unique(length).tolist():
-        runs, gap = start[length == n], n - 1
-        for d in range(1, gap + 1):  # entries d apart, of all runs of this length at once
+        runs = start[length == n]
+        for d in range(1, n):  # entries d apart, of all runs of this length at once
             a = (runs[:, None] + np.arange(n - d)).ravel()
             b = a + d
-            fits = (groups[a, 0] != groups[b, 0]) & (DENOMINATOR * high[a] >= NUMERATOR * low[b]) & (DENOMINATOR * high[b] >= NUMERATOR * low[a])
+            # a pair's first common shingle in the order leaves room for all that they need to have in common
+            room = (DENOMINATOR + NUMERATOR) * np.minimum(rest[a], rest[b]) >= NUMERATOR * (low[a] + low[b])
+            fits = room & (groups[a, 0] != groups[b, 0]) & (DENOMINATOR * high[a] >= NUMERATOR * low[b]) & (DENOMINATOR * high[b] >= NUMERATOR * low[a])
             a, b = groups[a[fits], 1:], groups[b[fits], 1:]
             swap = ((a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])))[:, None]
-            pairs = np.concatenate([np.where(swap, b, a), np.where(swap, a, b)], 1)
-            found.append(np.unique(pairs, axis=0) if len(pairs) else pairs)
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 4), np.int64)
+            found.append(np.concatenate([np.where(swap, b, a), np.where(swap, a, b)], 1))
+            held += len(a)
+            if held > RANGE:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+    pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame(pairs, columns=["star_a", "block_a", "star_b", "block_b"])
 
 
@@ -294,7 +282,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     ranges = max(8, -(-total // RANGE))
     texts = docs.select("text")
     dealt = texts.mapInPandas(partial(_deal, ranges=ranges), "range int, tokens binary, places binary, classes binary")
-    bounds = stash(dealt.groupBy("range").applyInPandas(partial(_shared, ranges=ranges), "bucket int, tokens array<long>, n array<int>, classes binary, counts binary"), "shared-shingles")
+    bounds = stash(dealt.repartition(min(ranges, MOST_PARTS), "range").groupBy("range").applyInPandas(partial(_shared, ranges=ranges), "bucket int, tokens array<long>, n array<int>, classes binary, counts binary"), "shared-shingles")
     shared = bounds.where("bucket >= 0").select("bucket", "classes", "counts").groupBy("bucket").applyInPandas(_summed, "sig long, shared long")
     rest = classes.join(shared, F.col("sig_a") == F.col("sig")).where(DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("n"))
     rest = stash(rest.select(F.col("rep").alias("id")), "near-candidates")
@@ -310,9 +298,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     first = stash(components(merged), "star-components")
 
     labeled = stars.join(first, F.col("star") == F.col("id"), "left").select(F.coalesce("component", "star").alias("component"), "star", F.col("block").cast("long").alias("block"), "n", "prefix")
-    ranges = max(8, -(-(stars.agg(F.sum("n")).first()[0] or 0) // (4 * RANGE)))
-    matrix = labeled.mapInPandas(partial(_matrix, ranges=ranges), "range int, tokens binary, places binary, low binary, high binary, groups binary")
-    met = matrix.groupBy("range").applyInPandas(_meet, "star_a long, block_a long, star_b long, block_b long")
+    ranges = max(8, -(-(stars.agg(F.sum("n")).first()[0] or 0) // (2 * RANGE)))
+    matrix = labeled.mapInPandas(partial(_matrix, ranges=ranges), "range int, tokens binary, places binary, sizes binary, groups binary")
+    met = matrix.repartition(min(ranges, MOST_PARTS), "range").groupBy("range").applyInPandas(_meet, "star_a long, block_a long, star_b long, block_b long")
     met = stash(met.distinct(), "group-pairs")
 
     leaders = stars.where("doc_id = star").select("doc_id", "n", "tokens")

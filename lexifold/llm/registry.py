@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_benchmark_leaks
 from .fingerprints import op2_winnow_prints
+from .lm_scoring import op10_gru_likelihood
 from .mixing import OP1_SQL, op1_mix_sources
 from .ngram_join import op9_jaccard_groups
 from .sharding import op4_shard_slots
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_warc_bundles": op7_warc_bundles,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_groups": op9_jaccard_groups,
+    "op10_gru_likelihood": op10_gru_likelihood,
 }
 
 SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL}

@@ -8,6 +8,8 @@ import numpy as np
 
 #: Words in a shingle.
 K = 5
+#: Shapes of words that shaped hashes tell apart.
+SHAPES = 6
 #: Bytes hashed at once; pieces end between words.
 PIECE = 1 << 19
 #: Texts handled together take about so many bytes.
@@ -57,8 +59,12 @@ def _pieces(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         at = end
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, where each text's words begin and the last's end). A to Z count as a to z."""
+def word_hashes(texts: list[bytes], shaped: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, where each text's words begin and the last's end). A to Z count as a to z.
+
+    shaped: the lowest three bits tell the word's shape instead, one of SHAPES: whether it ends in a full stop, a comma or
+    neither, and whether it has characters past ASCII.
+    """
     data = b"\n".join(texts)
     found, begins = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for at, raw in _pieces(data):
@@ -70,13 +76,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         total = np.empty(len(raw) + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
-        found.append(mix64((total[end] - total[start]) * inverse[start]))
+        words = mix64((total[end] - total[start]) * inverse[start])
+        if shaped:
+            past = np.concatenate([[0], np.cumsum(raw >= 0x80)])
+            stop = raw[end - 1]
+            shape = (stop == 0x2E) + 2 * (stop == 0x2C) + 3 * (past[end] > past[start])
+            words = (words & ~np.uint64(7)) | shape.astype(np.uint64)
+        found.append(words)
         begins.append(start + at)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return np.concatenate(found), np.searchsorted(np.concatenate(begins), offsets)
 
 
-def _groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
+def text_groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     group, size = [], 0
     for t in texts:
         group.append((t or "").encode("utf-8", "surrogatepass"))
@@ -91,7 +103,7 @@ def _groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
 def shingles(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """For each text (null: empty) the hashes of its shingles in order: of every five words in a row, or of all words where
     there are one to four, or none."""
-    for group in _groups(texts):
+    for group in text_groups(texts):
         words, cut = word_hashes(group)
         rolled = np.zeros(max(0, len(words) - K + 1), np.uint64)
         for j in range(K):
