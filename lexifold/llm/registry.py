@@ -7,6 +7,7 @@ from .fingerprints import op2_winnow_prints
 from .lm_scoring import op10_gru_likelihood
 from .mixing import OP1_SQL, op1_mix_sources
 from .ngram_join import op9_jaccard_groups
+from .pii import op6_personal_data
 from .sharding import op4_shard_slots
 from .toxicity import op8_toxicity
 from .warc import op7_warc_bundles
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_winnow_prints": op2_winnow_prints,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shard_slots": op4_shard_slots,
+    "op6_personal_data": op6_personal_data,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_groups": op9_jaccard_groups,
