@@ -1,0 +1 @@
+"""Registered queries over the tables, and the SQL that gives the same rows."""
