@@ -152,7 +152,8 @@ def _streamed(spark: SparkSession, made: DataFrame) -> DataFrame:
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream reads folders only.withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream reads folders only
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _frame_stream(spark: SparkSession, d: str) -> DataFrame:
