@@ -15,6 +15,8 @@ from .common import stash, table
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds over the graph; seeds that a pattern needs; sureness at which a pattern marks; its prior in instances of no kind.
 ROUNDS, SUPPORT, SURE, DOUBT = 3, 3, 0.8, 1.0
+#: Digits that a marked instance may have more or fewer than the seeds of its pattern (a prefix left out, say).
+SLACK = 2
 
 # The forms, written so that they match without backtracking over long runs: a match starts at the head of a run or where the
 # match before ended, and what can't give back is possessive.
@@ -120,7 +122,7 @@ def _bootstrap(found: DataFrame) -> DataFrame:
         trusted = stash(seeds.unionByName(others), "pii-trust")
     backed = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.min("digits").alias("least"), F.max("digits").alias("most"))
     sure = patterns.where(F.col("sure") >= SURE).join(backed.where(F.col("seeds") >= SUPPORT), ["pattern", "kind"]).groupBy("pattern").agg(F.max_by(F.struct("kind", "least", "most"), F.struct("sure", -F.col("kind"))).alias("of"))
-    new = each.where("kind is null").drop("kind").join(sure, "pattern").where("digits between of.least and of.most")
+    new = each.where("kind is null").drop("kind").join(sure, "pattern").where(F.col("digits").between(F.col("of.least") - SLACK, F.col("of.most") + SLACK))
     return new.groupBy("row_id").agg(F.collect_list(F.struct(F.col("of.kind").alias("kind"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("instance").alias("value"))).alias("extra"))
 
 
