@@ -39,6 +39,8 @@ COMMON, STOP = 16, 1 << 18
 MOST_PARTS = 1 << 15
 #: Documents in a block of a group, and stars in one key's group before the rest stand alone.
 BLOCK, LEADERS = 32, 8
+#: Hashes whose smallest values are the keys of groups.
+KEYS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 #: Documents of one key that share a task, as far as their number is known.
 SALT = 512
 
@@ -142,8 +144,8 @@ def _summed(f: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(frames: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
-    """Sets of texts, in the order (common, hash), with the key of their group: the first shingle of that order, salted where
-    it is known to be in many classes."""
+    """Sets of texts with the prefix in the order (common, hash), and with three keys, each the smallest of the set under a hash
+    of its own, salted where that shingle is known to be in many classes."""
     stop, stop_n = common.value
     for f in frames:
         rows = []
@@ -151,14 +153,15 @@ def _sets(frames: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
             short = s >> np.uint64(64 - BOUND_BITS)
             at = np.minimum(np.searchsorted(stop, short), max(len(stop) - 1, 0))
             last = stop[at] == short if len(stop) else np.zeros(len(s), bool)
+            sig, keys = signature(s)[0], []
+            for i, seed in enumerate(KEYS):
+                first = int(np.argmin(mix64(s ^ np.uint64(seed)))) if i else 0
+                salts = int(stop_n[at[first]]) // (SALT * 8 if i else SALT) + 1 if last[first] else 1
+                keys += [int(s[first : first + 1].view(np.int64)[0]), sig % salts]
             ordered = np.concatenate([s[~last], s[last]])
-            first = int(np.argmin(last)) if not last.all() else 0
-            salts = int(stop_n[at[first]]) // SALT + 1 if last.all() else 1
-            sig = signature(s)[0]
-            tokens = s >> np.uint64(64 - SET_BITS)
             head = ordered[: prefix_length(len(s))] >> np.uint64(64 - SET_BITS)
-            rows.append((doc_id, len(s), int(ordered[:1].view(np.int64)[0]), sig % salts, pack(tokens, SET_BITS), pack(head, SET_BITS)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "salt", "tokens", "prefix"])
+            rows.append((doc_id, len(s), *keys, pack(s >> np.uint64(64 - SET_BITS), SET_BITS), pack(head, SET_BITS)))
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "salt", "key_2", "salt_2", "key_3", "salt_3", "tokens", "prefix"])
 
 
 def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,22 +282,37 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """Links (a, b), enough for the components, between the representatives of classes (rep, n, sig_a)."""
     spark = docs.sparkSession
-    ranges = max(8, -(-total // RANGE))
+    ranges = max(8, -(-total // (4 * RANGE)))
     texts = docs.select("text")
     dealt = texts.mapInPandas(partial(_deal, ranges=ranges), "range int, tokens binary, places binary, classes binary")
     bounds = stash(dealt.repartition(min(ranges, MOST_PARTS), "range").groupBy("range").applyInPandas(partial(_shared, ranges=ranges), "bucket int, tokens array<long>, n array<int>, classes binary, counts binary"), "shared-shingles")
     shared = bounds.where("bucket >= 0").select("bucket", "classes", "counts").groupBy("bucket").applyInPandas(_summed, "sig long, shared long")
     rest = classes.join(shared, F.col("sig_a") == F.col("sig")).where(DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("n"))
     rest = stash(rest.select(F.col("rep").alias("id")), "near-candidates")
-    common = bounds.where("bucket = -1").select(F.explode(F.arrays_zip("tokens", "n")).alias("x")).select("x.tokens", "x.n").orderBy(F.desc("n"), "tokens").limit(STOP).toPandas().sort_values("tokens")
+    # the driver gets the sizes of levels of frequency, then the shingles of the top levels that hold at most STOP
+    common = bounds.where("bucket = -1").select(F.explode(F.arrays_zip("tokens", "n")).alias("x")).select("x.tokens", "x.n", F.floor(16 * F.log2("x.n")).alias("level"))
+    held, least = 0, 1 << 20
+    for level, size in common.groupBy("level").count().orderBy(F.desc("level")).collect():
+        held += size
+        if held > STOP:
+            break
+        least = level
+    common = common.where(F.col("level") >= least).select("tokens", "n").toPandas().sort_values("tokens")
     stop = spark.sparkContext.broadcast((common["tokens"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)))
 
     fetched = docs.join(rest, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, key long, salt long, tokens binary, prefix binary")
+    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, key long, salt long, key_2 long, salt_2 long, key_3 long, salt_3 long, tokens binary, prefix binary")
     stars = stash(_grouped(sets), "stars-of-documents")
     star_links = stars.select(F.col("doc_id").alias("a"), F.col("star").alias("b")).where("a <> b")
-    again = _grouped(stars.where("doc_id = star").join(stars.where("salt > 0").select("key").distinct(), "key", "left_semi").select("doc_id", "n", "key", F.lit(0).cast("long").alias("salt"), "tokens"))
-    merged = stash(again.where("doc_id <> star").select(F.col("doc_id").alias("a"), F.col("star").alias("b")), "stars-of-leaders")
+    # leaders of one cluster under several first keys meet under the second, and what is left under the third
+    leading, merged = stars.where("doc_id = star"), []
+    for i in (2, 3):
+        kept = ["key_3", "salt_3"] if i == 2 else []
+        leading = _grouped(leading.select("doc_id", "n", F.col(f"key_{i}").alias("key"), F.col(f"salt_{i}").alias("salt"), *kept, "tokens"))
+        leading = stash(leading.withColumn("tokens", F.when(F.col("doc_id") == F.col("star"), F.col("tokens"))) if kept else leading.select("doc_id", "star"), f"leaders-{i}")
+        merged.append(leading.where("doc_id <> star").select(F.col("doc_id").alias("a"), F.col("star").alias("b")))
+        leading = leading.where("doc_id = star")
+    merged = merged[0].unionByName(merged[1])
     first = stash(components(merged), "star-components")
 
     labeled = stars.join(first, F.col("star") == F.col("id"), "left").select(F.coalesce("component", "star").alias("component"), "star", F.col("block").cast("long").alias("block"), "n", "prefix")

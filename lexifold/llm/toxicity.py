@@ -22,7 +22,7 @@ from .textkit import mix64
 
 #: Slots of the hashed counts of character runs (fixed size, so broadcast is bounded), and the run's length.
 SLOTS, ORDER = 1 << 18, 4
-#: Labelled rows that the classifier is fitted on at most, in the order of a hash; features of words kept at most.
+#: Labelled rows that the classifier is fitted on about, chosen by a hash where there are more; features of words kept at most.
 SAMPLE, FEATURES = 20_000, 1 << 16
 #: What may stand for a letter.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
@@ -98,7 +98,7 @@ class CharacterModel:
         if (found := self.memo.get(run)) is None:
             codes = np.array([0 if c == " " else ord(c) for c in run], np.uint64)
             found = float(self.log[_slots(codes, ORDER)[0]] - self.context[_slots(codes[:-1], ORDER - 1)[0]])
-            if len(self.memo) > 1 << 20:
+            if len(self.memo) > 1 << 17:
                 self.memo.clear()
             self.memo[run] = found
         return found
@@ -166,7 +166,7 @@ class Restorer:
         memo = self.memo
         for t in set(_TOKEN.findall(text)):
             if (words := memo.get(t)) is None:
-                if len(memo) > 400_000:
+                if len(memo) > 120_000:
                     memo.clear()
                 words = memo[t] = self.token(t)
             found.update(words)
@@ -241,7 +241,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[CharacterModel,
     spark = docs.sparkSession
     model = character_model(docs)
     marks = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("of")))
-    marks = stash(marks.groupBy("of").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("of").cast("string"))).limit(SAMPLE), "toxic-labels")
+    marks = stash(marks.groupBy("of").agg(F.max("toxic").alias("toxic")), "toxic-labels")
+    share = min(1.0, 0.95 * SAMPLE / max(1, marks.count()))
+    if share < 1:
+        marks = marks.where(F.pmod(F.xxhash64("of"), F.lit(1 << 20)) < int(share * (1 << 20)))
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("of")).select("text", "toxic")
     sample = stash(rows.mapInPandas(_sampled(shared), "toxic int, features array<long>"), "toxic-sample")
@@ -271,7 +274,7 @@ def score_column(spark: SparkSession, fitted: tuple[CharacterModel, dict[int, fl
                 found: set[int] = set()
                 for w in restorer.words(text or ""):
                     if (hits := memo.get(w)) is None:
-                        if len(memo) > 400_000:
+                        if len(memo) > 120_000:
                             memo.clear()
                         hits = memo[w] = tuple(x for x in features(w) if x in known)
                     if hits:
