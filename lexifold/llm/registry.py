@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_benchmark_leaks
 from .fingerprints import op2_winnow_prints
+from .licenses import op5_license_scan
 from .lm_scoring import op10_gru_likelihood
 from .mixing import OP1_SQL, op1_mix_sources
 from .ngram_join import op9_jaccard_groups
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_winnow_prints": op2_winnow_prints,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_shard_slots": op4_shard_slots,
+    "op5_license_scan": op5_license_scan,
     "op6_personal_data": op6_personal_data,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_toxicity": op8_toxicity,
