@@ -48,8 +48,8 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 #: Words that begin a search, in any case.
 CUES = r"(?i)licen[cs]e|rights\W{1,4}reserved|permission|redistribut|public\W{1,4}domain|creative\W{1,4}commons"
-#: Words of a block before and after a cue.
-BEFORE, AFTER = 44, 44
+#: Words of a block on either side of a cue, besides as many as the template has.
+AROUND = 4
 #: Least part of its size that a block must save to be held against a template, and least part of a template's words that it must have.
 SAVES, KEPT = 0.05, 0.9
 FOUND = "doc_id long, license string, start long, end long, matched long, missing long, added long, saved double"
@@ -73,12 +73,19 @@ class Templates:
             data = zstandard.ZstdCompressionDict(" ".join(words).encode() + b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.each.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=data)))
 
-    def ranked(self, words: list[str]) -> list[tuple[float, str, list[str]]]:
-        """(part saved, name, words) of the templates that make a block smaller, best first."""
-        block = " ".join(words).encode()
-        size = len(self.bare.compress(block))
-        found = [(1 - len(c.compress(block)) / size, name, w) for name, w, c in self.each]
-        return sorted((x for x in found if x[0] >= SAVES), key=lambda x: -x[0])
+    def ranked(self, words: list[str], at: int) -> list[tuple[float, str, list[str], int, int]]:
+        """(part saved, name, template, first, end) of the templates that make the block around a cue smaller, best first; each has
+        a block of its own length."""
+        found, sizes = [], {}
+        for name, template, packer in self.each:
+            low, high = max(0, at - len(template) - AROUND), min(len(words), at + len(template) + AROUND)
+            block = " ".join(words[low:high]).encode()
+            if (low, high) not in sizes:
+                sizes[low, high] = len(self.bare.compress(block))
+            saved = 1 - len(packer.compress(block)) / sizes[low, high]
+            if saved >= SAVES:
+                found.append((saved, name, template, low, high))
+        return sorted(found, key=lambda x: -x[0])
 
 
 @lru_cache(maxsize=2)
@@ -114,17 +121,15 @@ def scan(text: str, templates: Templates) -> list[tuple]:
     fewest differences, then the most words, then the greatest saving stays."""
     tokens = [(m.start(), m.end(), plain(m[0])) for m in _TOKEN.finditer(text)]
     tokens = [t for t in tokens if t[2]]
-    starts = [t[0] for t in tokens]
+    starts, words = [t[0] for t in tokens], [t[2] for t in tokens]
     found, last = {}, -1
     for cue in _CUE.finditer(text):
         at = _place(starts, cue.start())
         if at == last:
             continue
         last = at
-        low, high = max(0, at - BEFORE), min(len(tokens), at + AFTER)
-        words = [t[2] for t in tokens[low:high]]
-        for saved, name, template in templates.ranked(words):
-            if d := differences(template, words):
+        for saved, name, template, low, high in templates.ranked(words, at):
+            if d := differences(template, words[low:high]):
                 key = (low + d[0], low + d[1], name)
                 row = (d[3] + d[4], -d[2], -saved, *key, *d[2:])
                 found[key] = min(row, found.get(key, row))
