@@ -50,8 +50,11 @@ TEMPLATES: list[tuple[str, str]] = [
 CUES = r"(?i)licen[cs]e|rights\W{1,4}reserved|permission|redistribut|public\W{1,4}domain|creative\W{1,4}commons"
 #: Words of a block on either side of a cue, besides as many as the template has.
 AROUND = 4
-#: Least part of its size that a block must save to be held against a template, and least part of a template's words that it must have.
-SAVES, KEPT = 0.05, 0.9
+#: Templates that a block is held against at most, those that save most of their own compressed size, and least part of a template's
+#: words that a block must have.
+WINNERS, KEPT = 10, 0.9
+#: Lower levels miss matches in blocks this short.
+LEVEL = 19
 FOUND = "doc_id long, license string, start long, end long, matched long, missing long, added long, saved double"
 
 _CUE, _TOKEN = re.compile(CUES), re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,26 +69,26 @@ class Templates:
     """Compressors with each template as dictionary, and its words."""
 
     def __init__(self, templates: list[tuple[str, str]]):
-        self.bare = zstandard.ZstdCompressor(level=3)
+        self.bare = zstandard.ZstdCompressor(level=LEVEL)
         self.each = []
         for name, text in templates:
             words = [w for w in map(plain, _TOKEN.findall(text)) if w]
-            data = zstandard.ZstdCompressionDict(" ".join(words).encode() + b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.each.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=data)))
+            data = zstandard.ZstdCompressionDict(2 * (" ".join(words).encode() + b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.each.append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=data), len(self.bare.compress(" ".join(words).encode()))))
 
     def ranked(self, words: list[str], at: int) -> list[tuple[float, str, list[str], int, int]]:
-        """(part saved, name, template, first, end) of the templates that make the block around a cue smaller, best first; each has
-        a block of its own length."""
+        """(part of the block saved, name, template, first, end) of the winners for the block around a cue, best first; each
+        template has a block of its own length."""
         found, sizes = [], {}
-        for name, template, packer in self.each:
+        for name, template, packer, own in self.each:
             low, high = max(0, at - len(template) - AROUND), min(len(words), at + len(template) + AROUND)
             block = " ".join(words[low:high]).encode()
             if (low, high) not in sizes:
                 sizes[low, high] = len(self.bare.compress(block))
-            saved = 1 - len(packer.compress(block)) / sizes[low, high]
-            if saved >= SAVES:
-                found.append((saved, name, template, low, high))
-        return sorted(found, key=lambda x: -x[0])
+            saved = sizes[low, high] - len(packer.compress(block))
+            if saved > 0:
+                found.append((saved / own, saved / sizes[low, high], name, template, low, high))
+        return [x[1:] for x in sorted(found, key=lambda x: -x[0])[:WINNERS]]
 
 
 @lru_cache(maxsize=2)
