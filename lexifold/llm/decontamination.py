@@ -119,14 +119,14 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_SETS = r"""
+SETS_SQL = r"""
   SELECT DISTINCT {id}, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE len(w) || ':' || array_to_string(w, ' ') END AS s
   FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
         FROM (SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table})
         WHERE len(w) > 0)
 """
 OP3_SQL = f"""
-WITH d AS ({_SETS.format(id="doc_id", table="documents")}), b AS ({_SETS.format(id="item_id", table="benchmark")}),
+WITH d AS ({SETS_SQL.format(id="doc_id", table="documents")}), b AS ({SETS_SQL.format(id="item_id", table="benchmark")}),
 n AS (SELECT doc_id, count(*) AS doc_shingles FROM d GROUP BY doc_id),
 q AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
 SELECT doc_id, item_id, item_shingles, doc_shingles, count(*) AS shared, count(*)::DOUBLE / item_shingles AS containment

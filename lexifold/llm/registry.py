@@ -7,11 +7,11 @@ from .fingerprints import op2_winnow_prints
 from .licenses import op5_license_scan
 from .lm_scoring import op10_gru_likelihood
 from .mixing import OP1_SQL, op1_mix_sources
-from .ngram_join import op9_jaccard_groups
+from .ngram_join import OP9_SQL, op9_jaccard_groups
 from .pii import op6_personal_data
 from .sharding import op4_shard_slots
 from .toxicity import op8_toxicity
-from .warc import op7_warc_bundles
+from .warc import OP7_SQL, op7_warc_bundles
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_gru_likelihood": op10_gru_likelihood,
 }
 
-SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op9_jaccard_groups": OP9_SQL}
