@@ -285,6 +285,14 @@ SQL = {
     "ev2_good_items": f"WITH {_VERIFY.format(items=f'SELECT * REPLACE ({_AGAIN} AS id) FROM ({ITEMS_SQL})')} SELECT topic, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM v WHERE len(errors) = 0 GROUP BY topic",
     "ev3_score_retrieval": f"WITH {_RK} SELECT * REPLACE (round(mrr, 9) AS mrr) FROM r",
     "ev4_aggregate_scores": f"WITH {_RK} SELECT (id % 3)::INT AS arm, round(avg(recall_1), 4) AS recall_1, round(avg(recall_3), 4) AS recall_3, round(avg(recall_5), 4) AS recall_5, round(avg(quote_1), 4) AS quote_1, round(avg(quote_3), 4) AS quote_3, round(avg(quote_5), 4) AS quote_5, round(avg(mrr), 4) AS mrr FROM r GROUP BY 1",
+    "ev5_retrieval_grid": f"""WITH it AS ({ITEMS_SQL}), rk AS (SELECT id, rank, of, text FROM (SELECT id, r::INT AS rank, CASE WHEN r = id % 7 + 1 THEN it.doc_id ELSE (it.doc_id + r * 37) % 200 END AS of FROM it, range(1, 6) x(r)) JOIN documents ON doc_id = of),
+two AS (SELECT id, rank, of, text FROM rk UNION ALL SELECT id, 6 - rank, of, text FROM rk),
+cf(config, top_k, pool, rrf_k, ms) AS (SELECT format('k{{}}-p{{}}-r{{}}', k, p, r), k, p, r, (k * p)::DOUBLE FROM (VALUES (3, 3, 10), (5, 3, 10), (3, 5, 60), (5, 5, 60), (1, 5, 10), (3, 4, 60)) v(k, p, r)),
+fu AS (SELECT config, top_k, id, of, round(sum(1.0::DOUBLE / (rrf_k + rank)), 12) AS s, min(rank) AS first, any_value(text) AS text FROM two, cf WHERE rank <= pool GROUP BY ALL),
+cu AS (SELECT *, row_number() OVER (PARTITION BY config, id ORDER BY s DESC, first, of::VARCHAR) AS rank FROM fu QUALIFY rank <= top_k),
+sc AS (SELECT cf.config, cf.ms, it.id, min(rank) FILTER (of::VARCHAR = gold_source) AS fr, any_value({_FR}) AS f, string_agg({_N.format('cu.text')}, ' ' ORDER BY rank) FILTER (rank <= 3) AS j3 FROM it CROSS JOIN cf LEFT JOIN cu ON cu.id = it.id AND cu.config = cf.config GROUP BY cf.config, cf.ms, it.id)
+SELECT config, round(avg(coalesce((fr <= 1)::INT, 0)), 4) AS recall_1, round(avg(coalesce((fr <= 3)::INT, 0)), 4) AS recall_3, round(avg(coalesce((fr <= 5)::INT, 0)), 4) AS recall_5,
+  round(avg((len(f) > 0 AND len(list_filter(f, lambda x: NOT contains(coalesce(j3, ''), x))) = 0)::INT), 4) AS quote_3, round(avg(coalesce(1.0::DOUBLE / fr, 0)), 4) AS mrr, avg(ms) AS ms FROM sc GROUP BY config""",
     "ev6_compare_arms": f"WITH a AS ({_ARMS}) SELECT a.arm, count(*) FILTER (b.hit = 0 AND a.hit = 1) AS recovered, count(*) FILTER (b.hit = 1 AND a.hit = 0) AS lost FROM a JOIN a b ON a.id = b.id AND b.arm = 'arm0' WHERE a.arm <> 'arm0' GROUP BY a.arm",
     "ev7_topk_overlap": f"""WITH {_DENSE}, x AS (SELECT query_id, rank, chunk_id AS a, CASE WHEN query_id % 40 = 0 AND rank > 7 THEN chunk_id + 100000 ELSE chunk_id END AS b FROM dt),
 o AS (SELECT query_id, k, count(*) FILTER (a = b) AS same FROM x, (VALUES (5), (10)) y(k) WHERE rank <= k GROUP BY ALL)

@@ -157,6 +157,10 @@ SQL = {
     "rt4_dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dt",
     "rt5_quantize": """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings), b AS (SELECT pos, min(x) AS low, max(x) AS high FROM e GROUP BY pos)
 SELECT vec_id AS chunk_id, string_agg(CASE WHEN high > low THEN floor((x - low) / (high - low) * 255 + 0.5) ELSE 0 END::INT::VARCHAR, ',' ORDER BY pos) AS codes FROM e JOIN b USING (pos) GROUP BY vec_id""",
+    "rt5_quantized_topk": """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings), b AS (SELECT pos, min(x) AS low, max(x) AS high FROM e GROUP BY pos),
+c AS (SELECT vec_id, pos, low + CASE WHEN high > low THEN floor((x - low) / (high - low) * 255 + 0.5) ELSE 0 END / 255 * (high - low) AS y FROM e JOIN b USING (pos)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(sum(q.x * c.y), 6) AS score FROM e q JOIN c USING (pos) WHERE q.vec_id % 20 = 0 GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 10""",
     "rt6_rrf": f"""WITH {_DENSE}, l AS (SELECT query_id, 0 AS list_id, chunk_id, rank FROM dt UNION ALL SELECT query_id, 1, (chunk_id * 7 + query_id) % 500, min(rank) FROM dt GROUP BY ALL),
 f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_id * 1000 + rank) AS first FROM l GROUP BY ALL)
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id)::INT AS rank FROM f""",
