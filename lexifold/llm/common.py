@@ -25,12 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of texts that a Python worker holds at once while an intermediate table is written.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is cut, lost executors recompute nothing, and the
     planner knows the true size of what follows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
