@@ -9,6 +9,8 @@
    common shingle are compared, and of these only pairs that aren't known to be connected.
 4. A query document opens a group only if it shares at least 75% of its shingles with the group's token union; then it is
    compared with the members exactly. Links and stars give the components.
+5. For the number of links all pairs inside a component that fit in size are compared exactly: its members go in blocks by size,
+   each pair of blocks is a group of its own, and common shingles are counted for all pairs of two blocks at once.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
@@ -42,6 +44,8 @@ MOST_PARTS = 1 << 15
 BLOCK, LEADERS = 32, 8
 #: Hashes whose smallest values are the keys of groups.
 KEYS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+#: Members of a component in a block when links are counted, beside RANGE shingles; columns of a product of incidence matrices.
+MEMBERS, COLUMNS = 512, 2048
 #: Documents of one key that share a task, as far as their number is known.
 SALT = 512
 
@@ -151,6 +155,8 @@ def _sets(frames: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for doc_id, s in zip(f["doc_id"].tolist(), shingle_sets(f["text"])):
+            if not len(s):  # a row without words of an id that has others
+                continue
             short = s >> np.uint64(64 - BOUND_BITS)
             at = np.minimum(np.searchsorted(stop, short), max(len(stop) - 1, 0))
             last = stop[at] == short if len(stop) else np.zeros(len(s), bool)
@@ -161,8 +167,8 @@ def _sets(frames: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
                 keys += [int(s[first : first + 1].view(np.int64)[0]), sig % salts]
             ordered = np.concatenate([s[~last], s[last]])
             head = ordered[: prefix_length(len(s))] >> np.uint64(64 - SET_BITS)
-            rows.append((doc_id, len(s), *keys, pack(s >> np.uint64(64 - SET_BITS), SET_BITS), pack(head, SET_BITS)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "salt", "key_2", "salt_2", "key_3", "salt_3", "tokens", "prefix"])
+            rows.append((doc_id, len(s), sig, *keys, pack(s >> np.uint64(64 - SET_BITS), SET_BITS), pack(head, SET_BITS)))
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "key", "salt", "key_2", "salt_2", "key_3", "salt_3", "tokens", "prefix"])
 
 
 def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,6 +279,81 @@ def _open(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "b"], dtype=np.int64)
 
 
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """(len(one), len(two)): how many values each set of one shares with each of two."""
+    out = np.zeros(len(one) * len(two), np.int64)
+    tokens = np.concatenate([*one, *two])
+    owner = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    start = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+    length = np.diff(start, append=len(tokens))
+    left = np.add.reduceat((owner < len(one)).astype(np.int64), start)
+    right = length - left
+    # values in many sets by products of matrices, others pair by pair
+    dense = (left > 0) & (right > 0) & (16 * left * right > len(out))
+    column = np.where(dense, np.cumsum(dense) - 1, -1)
+    at = np.repeat(column, length)
+    for low in range(0, int(dense.sum()), COLUMNS):
+        use = (at >= low) & (at < low + COLUMNS)
+        a, b = np.zeros((len(one), COLUMNS), np.float32), np.zeros((len(two), COLUMNS), np.float32)
+        k, c = owner[use], at[use] - low
+        a[k[k < len(one)], c[k < len(one)]] = 1
+        b[k[k >= len(one)] - len(one), c[k >= len(one)]] = 1
+        out += np.rint(a @ b.T).astype(np.int64).ravel()
+    # owners are sorted within a value, so those of one come first
+    few = np.flatnonzero((left > 0) & (right > 0) & ~dense)
+    size = left[few] * right[few]
+    cuts = np.searchsorted(np.cumsum(size), np.arange(RANGE, int(size.sum()) + RANGE, RANGE))
+    for part in np.split(few, np.minimum(cuts + 1, len(few))):
+        n = left[part] * right[part]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        first, x, y = (np.repeat(v, n) for v in (start[part], left[part], right[part]))
+        i, j = owner[first + place // y], owner[first + x + place % y] - len(one)
+        out += np.bincount(i * len(two) + j, minlength=len(out))
+    return out.reshape(len(one), len(two))
+
+
+def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (component, i, j): for each class of blocks i and j of a component the documents of the classes of the other
+    block that it links with (b is null), and each link that has a mixed class, both ways."""
+
+    def flush(held):
+        rows = pd.concat(held, ignore_index=True).drop_duplicates("sig")
+        sig, n, weight, mixed = (rows[c].to_numpy() for c in ("sig", "n", "weight", "mixed"))
+        tokens = [unpack(t, SET_BITS) for t in rows["tokens"]]
+        same = rows["i"].iloc[0] == rows["j"].iloc[0]
+        one = np.flatnonzero(rows["block"] == rows["i"])
+        two = one if same else np.flatnonzero(rows["block"] == rows["j"])
+        found = links(common_counts([tokens[k] for k in one], [tokens[k] for k in two]), n[one][:, None], n[two][None, :])
+        if same:
+            np.fill_diagonal(found, False)
+        sums = [(sig[one], found @ weight[two])]
+        if not same:
+            sums.append((sig[two], found.T @ weight[one]))
+        out = [pd.DataFrame({"a": a, "b": pd.array([None] * len(a), "Int64"), "documents": d}) for a, d in sums]
+        x, y = np.nonzero(found & (mixed[one][:, None] | mixed[two][None, :]))
+        x, y = sig[one][x], sig[two][y]
+        for a, b in ((x, y),) if same else ((x, y), (y, x)):
+            out.append(pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "documents": np.zeros(len(a), np.int64)}))
+        out = pd.concat(out, ignore_index=True)
+        return out[(out["documents"] > 0) | out["b"].notna()]
+
+    now, held = None, []
+    for f in frames:
+        cuts = np.flatnonzero((f[["component", "i", "j"]] != f[["component", "i", "j"]].shift()).any(axis=1).to_numpy())
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(f)]):
+            part = f.iloc[low:high]
+            key = tuple(part[["component", "i", "j"]].iloc[0])
+            if held and key != now:
+                yield flush(held)
+                held = []
+            now = key
+            held.append(part)
+    if held:
+        yield flush(held)
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """Stars of (doc_id, n, key, salt, tokens, ...) rows."""
     dealt = rows.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "doc_id")
@@ -280,8 +361,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_stars, schema)
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    """Links (a, b), enough for the components, between the representatives of classes (rep, n, sig_a)."""
+def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), enough for the components, between the representatives of classes (rep, n, sig_a), and the sets (doc_id, n,
+    sig, tokens) of all classes that can link with another."""
     spark = docs.sparkSession
     ranges = max(8, -(-total // (4 * RANGE)))
     texts = docs.select("text")
@@ -302,7 +384,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     stop = spark.sparkContext.broadcast((common["tokens"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)))
 
     fetched = docs.join(rest, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, key long, salt long, key_2 long, salt_2 long, key_3 long, salt_3 long, tokens binary, prefix binary")
+    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, sig long, key long, salt long, key_2 long, salt_2 long, key_3 long, salt_3 long, tokens binary, prefix binary")
     stars = stash(_grouped(sets), "stars-of-documents")
     star_links = stars.select(F.col("doc_id").alias("a"), F.col("star").alias("b")).where("a <> b")
     # leaders of one cluster under several first keys meet under the second, and what is left under the third
@@ -339,32 +421,92 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     for side in "ab":
         opened = opened.join(members.select(F.col("star").alias(f"star_{side}"), F.col("block").alias(f"block_{side}"), F.col("members").alias(f"members_{side}")), [f"star_{side}", f"block_{side}"])
     found = opened.select("members_a", "members_b").mapInPandas(_open, "a long, b long")
-    return stash(star_links.unionByName(between).unionByName(found), "links")
-
+    return stash(star_links.unionByName(between).unionByName(found), "links"), stars.select("doc_id", "n", "sig", "tokens")
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
 
-    Sets are of distinct five-word shingles, A to Z as a to z; one to four words are one shingle. Null and empty texts and texts
-    of separators have no shingle, and link with nothing: each is its own component. Rows with a null doc_id link with nothing
-    either and have a null component. Rows that share a doc_id are one document: links of any of them hold for all. Equal sets
-    are one class, compared once. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(prints, own, found, sets): each row's prints; the classes of each doc_id, which has one unless its rows differ; components of
+    representatives; sets of classes that can link."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     prints = stash(rows.mapInPandas(_prints, "doc_id long, n long, sig_a long, sig_b long"), "prints")
     linked = prints.where("n > 0 and doc_id is not null")
     classes = stash(linked.groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    own = linked.join(classes, ["n", "sig_a", "sig_b"]).select("doc_id", "rep")
-    edges = link_classes(rows.where("doc_id is not null"), classes, total)
+    own = linked.join(classes, ["n", "sig_a", "sig_b"]).select("doc_id", "rep", "sig_a")
+    edges, sets = link_classes(rows.where("doc_id is not null"), classes, total)
     # a doc_id with rows of several classes ties these together
     several = own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b <> z").select("doc_id", "b")
     ties = own.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     found = stash(components(edges.unionByName(ties)), "components")
+    return prints, own, found, sets
+
+
+def _with_components(prints: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
     of = own.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(found, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     return prints.join(of, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs.
+
+    Sets are of distinct five-word shingles, A to Z as a to z; one to four words are one shingle. Null and empty texts and texts
+    of separators have no shingle, and link with nothing: each is its own component. Rows with a null doc_id link with nothing
+    either and have a null component. Rows that share a doc_id are one document: links of any of them hold for all. Equal sets
+    are one class, compared once. An empty table gives no rows.
+    """
+    prints, own, found, _ = _classes(docs)
+    return _with_components(prints, own, found)
+
+
+def _link_sums(own: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, n_links) of every doc_id with a link."""
+    own = stash(own.select("doc_id", "sig_a").distinct(), "own-classes")
+    many = stash(own.groupBy("doc_id").count().where("count > 1").select("doc_id"), "documents-of-several-classes")
+    single, multi = own.join(many, "doc_id", "left_anti"), own.join(many, "doc_id", "left_semi")
+    weights = own.join(many.withColumn("many", F.lit(1)), "doc_id", "left").groupBy("sig_a").agg(F.count(F.when(F.col("many").isNull(), 1)).alias("weight"), (F.count("many") > 0).alias("mixed"))
+    weights = stash(weights, "class-weights")
+
+    # sets come by doc_id, so one of several rows may bring a class that has another representative: one row of each is enough
+    meta = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).join(found, F.col("doc_id") == F.col("id")).join(weights, F.col("sig") == F.col("sig_a"))
+    place = Window.partitionBy("component").orderBy("n", "sig")
+    cost = F.col("n") + RANGE // MEMBERS
+    meta = meta.withColumn("block", F.floor((F.sum(cost).over(place) - cost) / RANGE)).select("sig", "doc_id", "n", "component", "block", "weight", "mixed")
+    meta = stash(meta, "members")
+    blocks = meta.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
+    later = blocks.select(F.col("component").alias("of"), F.col("block").alias("j"), F.col("low").alias("least"), F.col("size").alias("other"))
+    pairs = blocks.join(later, (F.col("component") == F.col("of")) & (F.col("block") <= F.col("j")) & (DENOMINATOR * F.col("high") >= NUMERATOR * F.col("least")))
+    pairs = pairs.where("block <> j or size > 1").select("component", F.col("block").alias("i"), "j")
+    sides = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    pairs = pairs.select("component", F.explode(sides).alias("block"), "i", "j").groupBy("component", "block").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
+    rows = sets.select("doc_id", "sig", "tokens").join(meta.join(pairs, ["component", "block"]), ["doc_id", "sig"])
+    rows = rows.select("sig", "n", "weight", "mixed", "component", "block", F.explode("pairs").alias("p"), "tokens").select("sig", "n", "weight", "mixed", "component", "block", "p.i", "p.j", "tokens")
+    dealt = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    met = stash(dealt.mapInPandas(_count_links, "a long, b long, documents long"), "link-sums")
+
+    sums = met.where("b is null").groupBy("a").agg(F.sum("documents").alias("others"))
+    of_class = weights.join(sums, F.col("sig_a") == F.col("a"), "left").select("sig_a", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n"))
+    if many.isEmpty():
+        return single.join(of_class, "sig_a").where("n > 0").select("doc_id", F.col("n").alias("n_links"))
+    # documents of several classes count once, however many of their classes link
+    near = met.where("b is not null").select("a", "b").unionByName(weights.where("mixed").select(F.col("sig_a").alias("a"), F.col("sig_a").alias("b")))
+    near = stash(near.distinct(), "mixed-links")
+    reached = near.join(multi.select(F.col("doc_id").alias("other"), F.col("sig_a").alias("b")), "b").select(F.col("a").alias("sig_a"), "other").distinct()
+    of_single = single.join(of_class, "sig_a").join(reached.groupBy("sig_a").agg(F.count("*").alias("more")), "sig_a", "left").select("doc_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_links"))
+    around = multi.join(near.withColumnRenamed("a", "sig_a"), "sig_a").select("doc_id", F.col("b").alias("sig_a")).distinct().join(weights, "sig_a").groupBy("doc_id").agg(F.sum("weight").alias("n"))
+    more = multi.join(reached, "sig_a").where("doc_id <> other").select("doc_id", "other").distinct().groupBy("doc_id").agg(F.count("*").alias("more"))
+    of_multi = around.join(more, "doc_id", "left").select("doc_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return of_single.unionByName(of_multi).where("n_links > 0")
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for each row of docs: jaccard_classes with the number of other doc_ids that a doc_id
+    links with, copies among them. No link is left out; rows that link with nothing have 0."""
+    prints, own, found, sets = _classes(docs)
+    sums = _link_sums(own, found, sets).withColumnRenamed("doc_id", "of_doc")
+    rows = _with_components(prints, own, found)
+    return rows.join(sums, F.col("doc_id") == F.col("of_doc"), "left").select(*rows.columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows with a null doc_id stay."""
     gone = stash(jaccard_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
@@ -376,6 +518,10 @@ def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = f"""
 WITH RECURSIVE d AS ({SETS_SQL.format(id="doc_id", table="documents")}), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),

@@ -7,7 +7,7 @@ from .fingerprints import op2_winnow_prints
 from .licenses import op5_license_scan
 from .lm_scoring import op10_gru_likelihood
 from .mixing import OP1_SQL, op1_mix_sources
-from .ngram_join import OP9_SQL, op9_jaccard_groups
+from .ngram_join import OP9_SQL, op9_jaccard_groups, op9_jaccard_links
 from .pii import op6_personal_data
 from .sharding import op4_shard_slots
 from .toxicity import op8_toxicity
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_warc_bundles": op7_warc_bundles,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_groups": op9_jaccard_groups,
+    "op9_jaccard_links": op9_jaccard_links,
     "op10_gru_likelihood": op10_gru_likelihood,
 }
 

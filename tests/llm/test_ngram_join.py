@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,41 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (200, 200)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 200: 200}
+
+
+def plain_links(texts, ids):
+    sets, near = [plain_sets(t) for t in texts], {i: set() for i in ids}
+    for a in range(len(texts)):
+        for b in range(a):
+            if ids[a] != ids[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                near[ids[a]].add(ids[b])
+                near[ids[b]].add(ids[a])
+    return {i: len(x) for i, x in near.items()}
+
+
+def test_links_against_all_pairs(spark, words, odd_texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RANGE", 500)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 4)
+    base = words(120, 77)
+    stars = [" ".join(base[: 119 - k] + [f"end{k}"] + base[120 - k :]) for k in range(30)]  # all near, none equal
+    texts = near_texts(words, 3) + odd_texts + stars
+    ids = list(range(100, 100 + len(texts)))
+    random.Random(3).shuffle(ids)
+    got = {r.doc_id: r for r in ngram_join.jaccard_links(documents(spark, texts, ids=ids)).collect()}
+    expect = plain_links(texts, ids)
+    assert {i: r.n_links for i, r in got.items()} == expect
+    assert {i: r.component_id for i, r in got.items()} == plain_components(texts, ids)
+    assert min(expect[i] for i in ids[-30:]) > 10
+    # rows that share an id are one document, which counts once
+    ids = [i % 40 if k % 3 == 0 else i for k, i in enumerate(ids)]
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_links(documents(spark, texts, ids=ids)).collect()}
+    assert got == plain_links(texts, ids)
+
+
+def test_common_counts(monkeypatch):
+    r = np.random.default_rng(0)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    monkeypatch.setattr(ngram_join, "RANGE", 50)
+    one, two = ([np.unique(np.r_[r.integers(0, top, 40), r.integers(1 << 40, 1 << 41, 5)]).astype(np.uint64) for top in (30, 60, 900) * 5] for _ in range(2))
+    assert (ngram_join.common_counts(one, two) == [[len(np.intersect1d(a, b)) for b in two] for a in one]).all()
+    assert (ngram_join.common_counts(one, one).diagonal() == [len(a) for a in one]).all()
