@@ -36,7 +36,7 @@ PRIOR = 4.0
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^(?:[^\w@$!|+€£]|[@$!|+€£](?=[^\w])|_)+|(?:[^\w@$|+€£]|_|[@$|+€£]{3,})+$")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\x20.\-_*]{1,2}[^\W_]){3,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[\x20.\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
 _CLEAN = re.compile(r"(?:([^\W\d_])(?!\1\1))+\Z")
 _ALPHA = np.zeros(1 << 16, bool)
 _ALPHA[[i for i in range(1 << 16) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = True
@@ -121,6 +121,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif c in LEET:
             for _ in range(min(n, 2)):
                 steps.append([*((x, SWAP) for x in LEET[c]), (" ", KEEP) if c.isdigit() else ("", 4 * DROP)])
+        elif c == " " and n > 1:  # a wide gap among spaced letters is likelier a boundary
+            steps.append([("", SPLIT), (" ", DROP)])
         else:
             steps.append([("", DROP), (" ", SPLIT)])
     return steps
@@ -162,7 +164,8 @@ class Restorer:
         text = text.lower()
         found: set[str] = set()
         for m in _SPACED.finditer(text):
-            found.update(_WORDS.findall(decode(re.sub(r"[\x20.\-_*]", "", m[0]), self.model)))
+            if re.search(r"[^\W_]", m[0]):
+                found.update(_WORDS.findall(decode(m[0], self.model)))
         memo = self.memo
         for t in set(_TOKEN.findall(text)):
             if (words := memo.get(t)) is None:

@@ -94,6 +94,15 @@ def test_decoding_of_obfuscated_words(spark, words):
     assert found.words("") == set() and found.words("%%% ... 123") == set()
 
 
+def test_decoding_of_spaced_words(spark, words):
+    plain = " ".join(["you are a loser", "you idiot", "what a stupid clown", "such scum"] * 40)
+    found = toxicity.Restorer(toxicity.character_model(documents(spark, [plain, " ".join(words(500, 1))])))
+    several = {"y o u i d i o t": "you idiot", "you are a l o s e r": "a loser", "y o u  a r e  a  l o s e r": "you are a loser", "$ t u p ! d": "stupid", "s.t.u.p.1.d c l o w n": "stupid clown", "s c u m": "scum", "y o u": "you"}
+    for text, expect in several.items():
+        assert set(expect.split()) <= found.words(text), text
+    assert found.words("! ! ! + + +") == set()
+
+
 def test_toxicity_held_out(spark, words, odd_texts):
     bad = ["idiot", "scum", "moron"]
     texts, marks = list(odd_texts), [0] * len(odd_texts)
