@@ -1,16 +1,17 @@
 """Operator 10: log-likelihoods of whole documents by a gated recurrent language model and by smoothed counts.
 
-Words are counted over all training texts into a lexicon, a table by ranges of the words' hashes. The most frequent words have
-places in the model's class-factored softmax; the others are drawn from classes by shape, within which their smoothed counts
-decide, so that every text has a probability. A bounded, checked number of words is broadcast with counts; the rest of a
-document's words meet the lexicon range by range.
+Words are counted over all training texts into a lexicon, a table of their hashes. The most frequent words have places in the
+model's class-factored softmax; the others are drawn from classes by shape, within which their smoothed counts decide, so that
+every text has a probability. A bounded, checked number of words is broadcast with counts; a document's other words meet the
+lexicon in a join. All training texts train the network once: in each of several rounds every task goes over its own part of the
+round's texts from the weights so far, and the tasks' weights are averaged by tokens in a tree.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,22 +20,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import stash, table
-from .packing import squeeze, unsqueeze
-from .textkit import SHAPES, mix64, text_groups, word_hashes
+from .common import shared_dir, stash, table
+from .textkit import SHAPES, text_groups, word_hashes
 
 #: Word classes of the softmax and places in each; the first place is the end of a text.
-CLASSES, SIZE = 64, 32
+CLASSES, SIZE = 32, 64
 #: Words whose counts are broadcast at most (16 bytes each).
 KNOWN = 1 << 18
-#: Tokens that the recurrent weights are trained on about, a sample of all training texts by hash; tasks that train at once,
-#: and times that their weights are averaged.
-TRAIN_TOKENS, TRAINERS, ROUNDS = 1 << 20, 4, 3
-#: Bytes of training text for each range of the lexicon.
-RANGE_BYTES = 12 << 20
-#: Tokens handled together in a task.
-FLUSH = 1 << 19
-_ID_BYTES = 8
+#: Step of the weights in each round; a round has an equal part of the training texts, by hash.
+RATES = (0.01, 0.006, 0.003, 0.0015)
+#: Tokens that a task trains on, counts or scores at once; steps of a lane and longest piece of a text in training.
+FLUSH, COUNTED, STEPS = 1 << 19, 1 << 21, 2048
+LANES = 512
+#: Models that are averaged in one task, one after the other, and that the driver gets at most.
+FAN = 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,58 +47,23 @@ def _token_lists(texts) -> Iterator[np.ndarray]:
         yield from (words[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()))
 
 
-def _range_cuts(ids: np.ndarray, ranges: int) -> np.ndarray:
-    return np.searchsorted(ids, np.array([(r << 64) // ranges for r in range(ranges)] + [(1 << 64) - 1], np.uint64))
-
-
-def _count(frames: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush(held):
         ids, counts = np.unique(np.concatenate(held), return_counts=True)
-        cuts = _range_cuts(ids, ranges)
-        rows = [(r, squeeze(ids[a:b], _ID_BYTES), squeeze(counts[a:b], 4)) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-        return pd.DataFrame(rows, columns=["range", "ids", "counts"])
+        return pd.DataFrame({"id": ids.view(np.int64), "n": counts.astype(np.int64)})
 
     held, size = [], 0
     for f in frames:
         for words in _token_lists(f["text"]):
             held.append(words)
             size += len(words)
-            if size >= FLUSH:
+            if size >= COUNTED:
                 yield flush(held)
                 held, size = [], 0
     if size:
         yield flush(held)
 
 
-def _merge(f: pd.DataFrame) -> pd.DataFrame:
-    ids, counts = (np.concatenate([unsqueeze(x, w) for x in f[c]]) for c, w in (("ids", _ID_BYTES), ("counts", 4)))
-    ids, place = np.unique(ids, return_inverse=True)
-    counts = np.bincount(place, counts, len(ids)).astype(np.int64)
-    shape = (ids & np.uint64(7)).astype(np.int64)
-    return pd.DataFrame({"range": f["range"].iloc[:1], "ids": [ids.tobytes()], "counts": [counts.tobytes()], "n": [np.bincount(shape, counts, SHAPES).astype(np.int64).tolist()], "v": [np.bincount(shape, minlength=SHAPES).tolist()]})
-
-
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Sixteenths of a doubling, so that all counts fall into at most 1024 levels."""
-    return np.floor(16 * np.log2(counts)).astype(np.int64)
-
-
-def _level_sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(1024, np.int64)
-    for f in frames:
-        for counts in f["counts"]:
-            total += np.bincount(_levels(np.frombuffer(counts, np.int64)), minlength=1024)
-    yield pd.DataFrame({"level": np.flatnonzero(total), "words": total[total > 0]})
-
-
-def _frequent(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for ids, counts in zip(f["ids"], f["counts"]):
-            ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64)
-            keep = _levels(counts) >= least
-            yield pd.DataFrame({"id": ids[keep], "count": counts[keep]})
-
-
 class Vocabulary:
     """Codes of words for the recurrent model, and counts of the words that are broadcast.
 
@@ -141,172 +105,172 @@ class Vocabulary:
 START = CLASSES * SIZE + SHAPES
 
 
+def lexicon_of(texts: DataFrame) -> DataFrame:
+    """(id, n): the count of every word of texts; tasks send each of their words about once."""
+    return stash(texts.mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "lexicon")
+
+
+def vocabulary(lexicon: DataFrame, texts: int) -> Vocabulary:
+    shape = F.col("id").bitwiseAND(F.lit(7)).cast("int")
+    sums = np.zeros((2, SHAPES), np.int64)
+    for r in lexicon.groupBy(shape.alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        sums[:, r["shape"]] = r["n"], r["v"]
+    # the driver gets the sizes of levels of frequency, sixteenths of a doubling, then the words of as many levels, from the top, as
+    # hold at most KNOWN
+    level = F.floor(16 * F.log2("n"))
+    levels = lexicon.groupBy(level.alias("level")).agg(F.count("*").alias("words")).toPandas().sort_values("level", ascending=False)
+    fits = levels["level"][levels["words"].cumsum() <= KNOWN]
+    top = lexicon.where(level >= (int(fits.min()) if len(fits) else 1 << 20)).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    return Vocabulary(top["id"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), sums[0], sums[1], texts)
+
+
 def _sequence(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(inputs, targets) of a text: the start and its words; its words and the end."""
     return np.concatenate([[START], codes]).astype(np.int32), np.concatenate([codes, [0]]).astype(np.int32)
 
 
-def _encode(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+ENCODED = "row_id long, doc_id long, n_tokens long, n_known long, base double, inside double, codes binary, rare array<long>, turn int"
+
+
+def _encode(shared) -> object:
+    """Texts as codes, with what the broadcast counts say of them: tokens known, logs of counts, logs of words within their shapes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab = shared.value
+        first, made = TaskContext.get().partitionId() << 40, 0
+        within = -np.log10(vocab.tail_n + vocab.tail_v + 1.0)
+        for f in frames:
+            doc_ids, turns, rows = f["doc_id"].astype("Int64"), f["turn"].tolist(), []
+            for group in text_groups(f["text"]):
+                words, cut = word_hashes(group, shaped=True)
+                codes, counts = vocab.find(words)
+                found = counts >= 0
+                logs = np.where(found, np.log10(np.maximum(counts, 0) + 1.0), 0.0)
+                shape = codes - CLASSES * SIZE
+                inside = np.where(shape >= 0, logs + within[np.maximum(shape, 0)], 0.0)
+                base_sums, inside_sums, known_sums = (np.concatenate([[0], np.cumsum(x)]) for x in (logs, inside, found))
+                packed = codes.astype("<u2")
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    known, rare = known_sums[b] - known_sums[a], words[a:b][~found[a:b]].view(np.int64)
+                    rows.append((b - a + 1, known + (vocab.texts > 0), base_sums[b] - base_sums[a] + math.log10(vocab.texts + 1), inside_sums[b] - inside_sums[a], packed[a:b].tobytes(), rare))
+            out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "inside", "codes", "rare"])
+            out.insert(0, "row_id", first + made + np.arange(len(rows)))
+            out.insert(1, "doc_id", doc_ids.values)
+            out["turn"] = turns
+            made += len(rows)
+            yield out
+
+    return run
+
+
+def encoded(rows: DataFrame, shared) -> DataFrame:
+    """ENCODED of every row, written in folders by turn: the training round, or len(RATES) for texts that are held out."""
+    draw = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(len(RATES)))
+    turn = F.when(held_out(F.col("doc_id")), len(RATES)).otherwise(draw).cast("int")
+    path = f"{shared_dir(rows.sparkSession)}/lm-codes-{uuid.uuid4().hex}"
+    made = rows.withColumn("turn", turn).mapInPandas(_encode(shared), ENCODED)
+    made.write.partitionBy("turn").parquet(path)
+    return rows.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(rows, codes) of about FLUSH tokens, more where one text has more."""
+    rows, held, size = [], [], 0
     for f in frames:
-        codes = [shared.value.find(words)[0].astype(np.int32).tobytes() for words in _token_lists(f["text"])]
-        yield pd.DataFrame({"trainer": f["trainer"], "codes": codes})
+        for row, codes in zip(f["row_id"].tolist(), f["codes"]):
+            rows.append(row)
+            held.append(np.frombuffer(codes, "<u2"))
+            size += len(held[-1]) + 1
+            if size >= FLUSH:
+                yield rows, held
+                rows, held, size = [], [], 0
+    if rows:
+        yield rows, held
 
 
-def _train(f: pd.DataFrame, shared) -> pd.DataFrame:
-    sequences = [_sequence(np.frombuffer(c, np.int32)) for c in f["codes"].sort_values()]
-    trained = gru.train(shared.value, [x for x, _ in sequences], [y for _, y in sequences])
-    return pd.DataFrame({"tokens": [sum(len(x) for x, _ in sequences)], "weights": [[trained[k].tobytes() for k in sorted(trained)]]})
+WEIGHTS = "tokens long, weights array<binary>"
 
 
-def lexicon_of(texts: DataFrame, ranges: int) -> DataFrame:
-    """Counts of all words of texts, a row for each range of their hashes."""
-    counted = texts.mapInPandas(partial(_count, ranges=ranges), "range int, ids binary, counts binary")
-    return stash(counted.groupBy("range").applyInPandas(_merge, "range int, ids binary, counts binary, n array<long>, v array<long>"), "lexicon")
+def _weights(p: gru.Params, tokens: int) -> pd.DataFrame:
+    return pd.DataFrame({"tokens": [tokens], "weights": [[p[k].tobytes() for k in sorted(p)]]})
 
 
-def vocabulary(lexicon: DataFrame, texts: int) -> Vocabulary:
-    sums = lexicon.agg(*(F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c in "nv" for k in range(SHAPES))).first()
-    # the driver gets the sizes of 1024 levels of frequency, then the words of as many levels, from the top, as hold at most KNOWN
-    levels = lexicon.select("counts").mapInPandas(_level_sizes, "level long, words long").groupBy("level").agg(F.sum("words").alias("words")).toPandas().sort_values("level", ascending=False)
-    fits = levels["level"][levels["words"].cumsum() <= KNOWN]
-    top = lexicon.select("ids", "counts").mapInPandas(partial(_frequent, least=int(fits.min()) if len(fits) else 1 << 20), "id long, count long").toPandas().sort_values(["count", "id"], ascending=[False, True])
-    return Vocabulary(top["id"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64), np.array(sums[:SHAPES], np.int64), np.array(sums[SHAPES:], np.int64), texts)
+def _train(shared, rate: float) -> object:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trainer, tokens = gru.Trainer(shared.value, rate), 0
+        for _, held in _batches(frames):
+            pieces = [(x[i : i + STEPS], y[i : i + STEPS]) for x, y in map(_sequence, held) for i in range(0, len(x), STEPS)]
+            size = sum(len(x) for x, _ in pieces)
+            trainer.train([x for x, _ in pieces], [y for _, y in pieces], min(LANES, max(16, size // STEPS)))
+            tokens += size
+        if tokens:
+            yield _weights(trainer.p, tokens)
+
+    return run
 
 
-def recurrent_model(training: DataFrame, shared, vocab: Vocabulary) -> gru.Params:
-    """Weights trained by several tasks at once on their parts of a sample and averaged, several times over."""
+def _mean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One model for all of a task's models, which come one after the other."""
+    total, tokens = None, 0
+    for f in frames:
+        for n, weights in zip(f["tokens"].tolist(), f["weights"]):
+            each = [n * np.frombuffer(w, np.float32).astype(np.float64) for w in weights]
+            total, tokens = each if total is None else [a + b for a, b in zip(total, each)], tokens + n
+    if tokens:
+        yield pd.DataFrame({"tokens": [tokens], "weights": [[(w / tokens).astype(np.float32).tobytes() for w in total]]})
+
+
+def recurrent_model(codes: DataFrame, vocab: Vocabulary) -> gru.Params:
+    """Weights trained on every training text once, in as many rounds as there are rates."""
+    spark = codes.sparkSession
     model = gru.initial(START + 1, *vocab.biases())
-    share = min(1.0, TRAIN_TOKENS / max(1, vocab.tokens))
-    draw = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1 << 20))
-    picked = training.select("text", draw.alias("draw")).where(F.col("draw") < int(share * (1 << 20)) + 1).select("text", F.pmod(F.col("draw"), F.lit(TRAINERS)).alias("trainer"))
-    sample = stash(picked.mapInPandas(partial(_encode, shared=shared), "trainer long, codes binary"), "lm-sample")
-    spark = training.sparkSession
-    for _ in range(ROUNDS):
-        now = spark.sparkContext.broadcast(model)
-        parts = sample.groupBy("trainer").applyInPandas(partial(_train, shared=now), "tokens long, weights array<binary>").collect()
-        if parts:
-            trained = [{k: np.frombuffer(w, np.float32).reshape(model[k].shape) for k, w in zip(sorted(model), p["weights"])} for p in sorted(parts, key=lambda p: p["tokens"])]
-            model = gru.average(trained, sorted(p["tokens"] for p in parts))
+    for turn, rate in enumerate(RATES):
+        part = codes.where(F.col("turn") == turn).select("row_id", "codes")
+        made = part.mapInPandas(_train(spark.sparkContext.broadcast(model), rate), WEIGHTS)
+        trainers = part.rdd.getNumPartitions()
+        while trainers > FAN:
+            made = stash(made, "lm-weights")
+            trainers = -(-trainers // FAN)
+            made = made.repartition(trainers, F.xxhash64("weights")).mapInPandas(_mean, WEIGHTS)
+        parts = sorted(made.collect(), key=lambda p: (p["tokens"], p["weights"]))
+        tokens = sum(p["tokens"] for p in parts)
+        if tokens:
+            mean = [sum(p["tokens"] / tokens * np.frombuffer(p["weights"][i], np.float32) for p in parts) for i in range(len(model))]
+            model = {k: w.astype(np.float32).reshape(model[k].shape) for k, w in zip(sorted(model), mean)}
     return model
 
 
-def _score(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
-    vocab, model = shared.value
-    first, made = TaskContext.get().partitionId() << 40, 0
-    with np.errstate(divide="ignore"):
-        within = -np.log10(vocab.tail_n + vocab.tail_v + 1.0)
-
-    def flush(held):
-        nonlocal made
-        words = np.concatenate([w for _, w in held])
-        owner = np.repeat(np.arange(len(held)), [len(w) for _, w in held])
-        codes, counts = vocab.find(words)
-        cuts = np.cumsum([0, *(len(w) for _, w in held)]).tolist()
-        sequences = [_sequence(codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-        logs = gru.score(model, [x for x, _ in sequences], [y for _, y in sequences]) / math.log(10)
-        found = counts >= 0
-        held_logs = np.where(found, np.log10(np.maximum(counts, 0) + 1.0), 0.0)
-        tail = codes >= CLASSES * SIZE
-        inside = np.where(tail, held_logs + within[np.where(tail, codes - CLASSES * SIZE, 0)], 0.0)
-        n = len(held)
-        out = pd.DataFrame({
-            "row_id": first + made + np.arange(n), "doc_id": pd.array([d for d, _ in held], "Int64"), "n_tokens": [len(w) + 1 for _, w in held],
-            "n_known": np.bincount(owner, found, n).astype(np.int64) + (vocab.texts > 0),
-            "base": np.bincount(owner, held_logs, n) + math.log10(vocab.texts + 1),
-            "score": logs + np.bincount(owner, inside, n),
-            "rare": [words[a:b][~found[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])],
-        })
-        made += n
-        return out
+def _score(shared) -> object:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, held in _batches(frames):
+            sequences = [_sequence(codes) for codes in held]
+            yield pd.DataFrame({"row": rows, "log": gru.score(shared.value, [x for x, _ in sequences], [y for _, y in sequences]) / math.log(10)})
 
-    held, size = [], 0
-    for f in frames:
-        for doc_id, words in zip(f["doc_id"].astype("Int64"), _token_lists(f["text"])):
-            held.append((doc_id, words))
-            size += len(words) + 1
-            if size >= FLUSH:
-                yield flush(held)
-                held, size = [], 0
-    if held:
-        yield flush(held)
+    return run
 
 
-def _deal_rare(frames: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
-    def flush(rows, words):
-        owner = np.repeat(np.arange(len(rows)), [len(w) for w in words])
-        ids, rows = np.concatenate(words), np.array(rows, np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, owner = ids[order], owner[order]
-        cuts, out = _range_cuts(ids, ranges), []
-        for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if b > a:
-                used, place = np.unique(owner[a:b], return_inverse=True)
-                out.append((r, squeeze(ids[a:b], _ID_BYTES), squeeze(place, 3), rows[used].tobytes()))
-        return pd.DataFrame(out, columns=["range", "ids", "places", "rows"])
-
-    rows, words, size = [], [], 0
-    for f in frames:
-        for row, data in zip(f["row_id"].tolist(), f["rare"]):
-            rows.append(row)
-            words.append(np.frombuffer(data, np.uint64))
-            size += len(words[-1])
-            if size >= FLUSH:
-                yield flush(rows, words)
-                rows, words, size = [], [], 0
-    if size:
-        yield flush(rows, words)
-
-
-def _resolve(rare: pd.DataFrame, lexicon: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Of one range: for each row with rare words how many are known and the sum of log10(count + 1), by bucket of rows."""
-    out = []
-    if len(rare) and len(lexicon):
-        ids = np.concatenate([unsqueeze(x, _ID_BYTES) for x in rare["ids"]])
-        rows = np.concatenate([np.frombuffer(r, np.int64)[unsqueeze(p, 3).astype(np.int64)] for p, r in zip(rare["places"], rare["rows"])])
-        names, counts = np.frombuffer(lexicon["ids"].iloc[0], np.uint64), np.frombuffer(lexicon["counts"].iloc[0], np.int64)
-        at = np.minimum(np.searchsorted(names, ids), len(names) - 1)
-        hit = names[at] == ids
-        rows, place = np.unique(rows[hit], return_inverse=True)
-        known, sums = np.bincount(place, minlength=len(rows)), np.bincount(place, np.log10(counts[at[hit]] + 1.0), len(rows))
-        bucket = (mix64(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        out = [(b, rows[order[x:y]].tobytes(), known[order[x:y]].astype(np.int64).tobytes(), sums[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-    return pd.DataFrame(out, columns=["bucket", "rows", "known", "sums"])
-
-
-def _totals(f: pd.DataFrame) -> pd.DataFrame:
-    rows, known = (np.frombuffer(b"".join(f[c]), np.int64) for c in ("rows", "known"))
-    rows, place = np.unique(rows, return_inverse=True)
-    return pd.DataFrame({"row": rows, "more_known": np.bincount(place, known, len(rows)).astype(np.int64), "more": np.bincount(place, np.frombuffer(b"".join(f["sums"]), np.float64), len(rows))})
-
-
-def score_documents(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
-    Learned from the texts that aren't held out. Null and empty texts are one end token. Rows that share a doc_id are scored
+    Learned from all texts that aren't held out. Null and empty texts are one end token. Rows that share a doc_id are scored
     each. With no training text every base term is log10(1 / 1), and an empty table gives no rows. Scores are base-10 logs;
-    very long texts are scored whole, state and all.
+    very long texts are scored whole, state and all, and train in pieces of STEPS words.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    training = rows.where(~held_out(F.col("doc_id")))
-    texts, size = training.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    ranges = ranges or max(8, size // RANGE_BYTES)
-    lexicon = lexicon_of(training.select("text"), ranges)
-    vocab = vocabulary(lexicon, texts)
-    shared = spark.sparkContext.broadcast(vocab)
-    model = recurrent_model(training, shared, vocab)
-    both = spark.sparkContext.broadcast((vocab, model))
-    first = stash(rows.mapInPandas(partial(_score, shared=both), "row_id long, doc_id long, n_tokens long, n_known long, base double, score double, rare binary"), "lm-scores")
-    rare = first.where(F.octet_length("rare") > 0).select("row_id", "rare").mapInPandas(partial(_deal_rare, ranges=ranges), "range int, ids binary, places binary, rows binary")
-    resolved = rare.groupBy("range").cogroup(lexicon.select("range", "ids", "counts").groupBy("range")).applyInPandas(partial(_resolve, buckets=ranges), "bucket int, rows binary, known binary, sums binary")
-    more = resolved.groupBy("bucket").applyInPandas(_totals, "row long, more_known long, more double")
-    whole = first.drop("rare").join(more, F.col("row_id") == F.col("row"), "left")
-    added = F.coalesce("more", F.lit(0.0))
-    return whole.select(
+    training = rows.where(~held_out(F.col("doc_id"))).select("text")
+    lexicon = lexicon_of(training)
+    vocab = vocabulary(lexicon, training.count())
+    codes = encoded(rows, spark.sparkContext.broadcast(vocab))
+    model = recurrent_model(codes, vocab)
+    logs = codes.select("row_id", "codes").mapInPandas(_score(spark.sparkContext.broadcast(model)), "row long, log double")
+    rare = codes.where(F.size("rare") > 0).select("row_id", F.explode("rare").alias("id")).join(lexicon, "id")
+    rare = rare.groupBy("row_id").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more"))
+    more = F.coalesce("more", F.lit(0.0))
+    facts = codes.drop("codes", "rare").join(rare, "row_id", "left").join(logs, F.col("row_id") == F.col("row"))
+    return facts.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + added - F.col("n_tokens") * F.lit(math.log10(vocab.tokens + vocab.types + 1))).alias("base_score"), (F.col("score") + added).alias("score"),
+        (F.col("base") + more - F.col("n_tokens") * F.lit(math.log10(vocab.tokens + vocab.types + 1))).alias("base_score"), (F.col("log") + F.col("inside") + more).alias("score"),
     )
 
 

@@ -14,38 +14,61 @@ from lexifold.llm import gru, lm_scoring, toxicity
 from .conftest import documents
 
 
+def plain_log_likelihood(p, inputs, targets):
+    """One sequence through the network, a step at a time, with whole softmaxes."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    h, total, (classes, size), m = np.zeros(gru.HIDDEN), 0.0, p["word_bias"].shape, gru.HIDDEN
+    for x, y in zip(inputs, targets):
+        a, u = p["input"][x].astype(float), p["state"].astype(float) @ h
+        z, r = sigmoid(a[:m] + u[:m]), sigmoid(a[m : 2 * m] + u[m : 2 * m])
+        n = np.tanh(a[2 * m :] + r * u[2 * m :])
+        h = (1 - z) * n + z * h
+        k = y // size if y < classes * size else classes + y - classes * size
+        total += np.log(softmax(p["classes"] @ h + p["class_bias"])[k])
+        if y < classes * size:
+            total += np.log(softmax(p["words"][k] @ h + p["word_bias"][k])[y % size])
+    return total
+
+
+def shaken(p, seed, dtype=np.float32):
+    r = np.random.default_rng(seed)
+    return {k: (v.astype(np.float64) + r.normal(0, 0.3, v.shape)).astype(dtype) for k, v in p.items()}
+
+
 def test_gradients_are_those_of_the_loss():
     r = np.random.default_rng(0)
-    p = gru.initial(10, np.log(np.full(5, 0.2)), np.log(np.full((3, 4), 0.25)))
-    p = {k: v.astype(np.float64) + r.normal(0, 0.3, v.shape) for k, v in p.items()}
-    targets = [r.integers(0, 14, n) for n in (5, 17, 40, 3)]
+    p = shaken(gru.initial(10, np.log(np.full(5, 0.2)), np.log(np.full((3, 4), 0.25))), 0, np.float64)
+    targets = [r.integers(0, 14, n) for n in (5, 17, 6, 3)]
     inputs = [np.r_[9, t[:-1] % 10] for t in targets]
-    x, y, live, fresh, _, _ = gru.laid_out(inputs, targets, 3)
-    h = np.zeros((x.shape[1], gru.HIDDEN))
-
-    def loss(p):
-        states, _, _ = gru._forward(p, x, fresh, h, False)
-        return -gru.log_likelihood(p, states.reshape(-1, gru.HIDDEN)[live.ravel()].astype(np.float64), y.ravel()[live.ravel()]).mean()
-
-    g, _, found = gru._gradients(p, x, y, live, fresh, h)
-    assert found == pytest.approx(loss(p), rel=1e-5)
+    lanes = gru.Lanes(inputs, targets, 3)
+    (at, live), *rest = lanes.windows()
+    assert not rest
+    h, keep, n = np.zeros((gru.HIDDEN, 3)), (~lanes.fresh[at]).astype(float), sum(map(len, targets))
+    loss = lambda p: -sum(plain_log_likelihood(p, x, y) for x, y in zip(inputs, targets)) / n
+    g, _, found = gru._gradients(p, lanes.x[at], lanes.y[at], live, keep, h)
+    assert found == pytest.approx(loss(p), rel=1e-9)
     for k in p:
-        at = tuple(r.integers(0, s) for s in p[k].shape)
-        step = {a: v.copy() for a, v in p.items()}
-        step[k][at] += 1e-3
-        up = loss(step)
-        step[k][at] -= 2e-3
-        assert g[k][at] == pytest.approx((up - loss(step)) / 2e-3, abs=2e-4)
+        for _ in range(4):
+            at = tuple(r.integers(0, s) for s in p[k].shape)
+            step = {a: v.copy() for a, v in p.items()}
+            step[k][at] += 1e-4
+            up = loss(step)
+            step[k][at] -= 2e-4
+            assert g[k][at] == pytest.approx((up - loss(step)) / 2e-4, abs=1e-6)
 
 
-def test_lanes_and_windows_leave_scores_alone():
+@pytest.mark.parametrize("steep", [1, 40])
+def test_scores_against_a_plain_loop(steep):
     r = np.random.default_rng(1)
-    p = gru.initial(20, np.zeros(6), np.zeros((4, 4)))
-    p["classes"] += r.normal(0, 0.3, p["classes"].shape).astype(np.float32)
+    p = shaken(gru.initial(20, np.zeros(6), np.zeros((4, 4))), 1)
+    p["class_bias"] *= steep
+    p["classes"] *= steep
     targets = [r.integers(0, 18, n) for n in (1, 90, 33, 32, 7, 200)]
     inputs = [np.r_[19, t[:-1]] for t in targets]
-    alone = [gru.score(p, [a], [b], 1)[0] for a, b in zip(inputs, targets)]
-    assert gru.score(p, inputs, targets, 3) == pytest.approx(alone, rel=1e-5)
+    expect = [plain_log_likelihood(p, a, b) for a, b in zip(inputs, targets)]
+    for n in (1, 3, 50):
+        assert gru.score(p, inputs, targets, n) == pytest.approx(expect, rel=1e-4)
     probabilities = np.exp([gru.score(p, [np.array([19])], [np.array([t])], 1)[0] for t in range(18)])
     assert probabilities.sum() == pytest.approx(1, rel=1e-5)
 
@@ -54,7 +77,15 @@ def test_counts_and_scores_against_plain_ones(spark, odd_texts, words, monkeypat
     monkeypatch.setattr(lm_scoring, "KNOWN", 50)
     texts = odd_texts + [" ".join(words(40, i) + ["The.", "end,"]) for i in range(60)]
     docs = documents(spark, texts).withColumn("score", F.lit("clash")).withColumn("row_id", F.lit("clash"))
-    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, 8).collect()}
+    used = {}
+
+    def fixed(codes, vocab):
+        used["model"] = shaken(gru.initial(lm_scoring.START + 1, *vocab.biases()), 2)
+        used["vocab"] = vocab
+        return used["model"]
+
+    monkeypatch.setattr(lm_scoring, "recurrent_model", fixed)
+    got = {r.doc_id: r for r in lm_scoring.score_documents(docs).collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [None] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
@@ -64,7 +95,41 @@ def test_counts_and_scores_against_plain_ones(spark, odd_texts, words, monkeypat
     for i, t in enumerate(tokens):
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(t), sum(c[x] > 0 for x in t), n)
         assert got[i].base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t))
-        assert got[i].score < 0 and math.isfinite(got[i].score)
+    # the score: the network over codes, and the smoothed counts of words without a place among those of their shape
+    vocab, hashed = used["vocab"], dict(zip([x for t in tokens for x in t[:-1]], np.concatenate(list(lm_scoring._token_lists(texts))).tolist()))
+    place = {int(h): int(r) for h, r in zip(vocab.ids, vocab.rank) if r > 0}
+    assert 0 < len(place) <= 50
+    shapes = {x: int(hashed[x]) & 7 for x in hashed}
+    rest = Counter({s: 0 for s in range(6)})
+    types = Counter()
+    for x, k in c.items():
+        if x is not None and hashed[x] not in place:
+            rest[shapes[x]] += k
+            types[shapes[x]] += 1
+    for i in (0, 3, 7, 20, 41):
+        words = tokens[i][:-1]
+        codes = [place.get(hashed[x], lm_scoring.CLASSES * lm_scoring.SIZE + shapes[x]) for x in words]
+        inside = sum(math.log10((c[x] + 1) / (rest[shapes[x]] + types[shapes[x]] + 1)) for x in words if hashed[x] not in place)
+        assert got[i].score == pytest.approx(plain_log_likelihood(used["model"], [lm_scoring.START, *codes], [*codes, 0]) / math.log(10) + inside, rel=1e-4)
+
+
+def test_all_training_texts_train(spark, words, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    plain = lm_scoring._weights
+    monkeypatch.setattr(lm_scoring, "FAN", 2)
+
+    def counted(p, tokens):
+        seen.add(tokens)
+        return plain(p, tokens)
+
+    monkeypatch.setattr(lm_scoring, "_weights", counted)
+    texts = [" ".join(words(5 + i % 90, i)) for i in range(200)] + [" ".join(words(5000, 999))]
+    rows = lm_scoring.score_documents(documents(spark, texts).repartition(6)).collect()
+    assert seen.value == rows[0].train_tokens == sum(r.n_tokens for r in rows if not r.held_out)
+    # the network knows more than a model that starts from counts
+    monkeypatch.setattr(lm_scoring, "RATES", (0.0,))
+    start = {r.doc_id: r.score for r in lm_scoring.score_documents(documents(spark, texts)).collect()}
+    assert sum(r.score for r in rows) > sum(start.values())
 
 
 def test_training_learns_what_follows_what():
@@ -72,10 +137,10 @@ def test_training_learns_what_follows_what():
     texts = [np.array([(s + i) % 5 + 1 for i in range(40)]) for s in r.integers(0, 5, 80)]
     inputs = [np.r_[19, t[:-1]] for t in texts]
     start = gru.initial(20, np.zeros(6), np.zeros((4, 4)))
-    trained = start
+    trainer = gru.Trainer(start, 0.01)
     for _ in range(6):
-        trained = gru.train(trained, inputs, texts, 8)
-    assert gru.score(trained, inputs[:5], texts[:5]).sum() > 0.5 * gru.score(start, inputs[:5], texts[:5]).sum()
+        trainer.train(inputs, texts, 8)
+    assert gru.score(trainer.p, inputs[:5], texts[:5]).sum() > 0.5 * gru.score(start, inputs[:5], texts[:5]).sum()
 
 
 def test_scoring_small_tables(spark):
