@@ -33,7 +33,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_MULT, pow(_MULT, -1, 1 << 64))):
@@ -72,7 +72,7 @@ def word_hashes(texts: list[bytes], shaped: bool = False) -> tuple[np.ndarray, n
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if not len(start):
             continue
-        power, inverse = _power(len(raw) + 1)
+        power, inverse = powers(len(raw) + 1)
         total = np.empty(len(raw) + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])

@@ -2,23 +2,23 @@
 
 A character language model is counted over all texts. Tokens written in leetspeak, with separators or spaces between letters, or
 with repeated letters become lattices of what may have been meant; Viterbi search takes the reading that the model and the
-channel's costs make likeliest. The restored words and their stems are scored by what labels say of them.
+channel's costs make likeliest. The restored words and their stems are scored by what labels say of them. Plain words, nearly all
+of a text, are found and hashed for whole batches of texts at once; only the others are read one by one.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stash, table
-from .textkit import mix64
+from .textkit import mix64, powers
 
 #: Slots of the hashed counts of character runs (fixed size, so broadcast is bounded), and the run's length.
 SLOTS, ORDER = 1 << 18, 4
@@ -28,18 +28,30 @@ SAMPLE, FEATURES = 20_000, 1 << 16
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 #: Costs of the channel, in natural log units: a substitution, a dropped separator, a boundary, a shortened repetition, a kept mark.
 SWAP, DROP, SPLIT, SHORTEN, KEEP = 1.0, 0.7, 1.5, 0.5, 6.0
-BEAM = 24
 STEMS = (3, 4, 5, 6)
 #: Strength of the prior on a feature's rate of label 1.
 PRIOR = 4.0
 
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: Characters of texts handled together, and of tokens whose reading is kept.
+GROUP, KEPT = 1 << 19, 1 << 22
+
 _WORDS = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^(?:[^\w@$!|+€£]|[@$!|+€£](?=[^\w])|_)+|(?:[^\w@$|+€£]|_|[@$|+€£]{3,})+$")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[\x20.\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
 _CLEAN = re.compile(r"(?:([^\W\d_])(?!\1\1))+\Z")
-_ALPHA = np.zeros(1 << 16, bool)
-_ALPHA[[i for i in range(1 << 16) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = True
+#: Where a long text may be cut: no token and no run of spaced letters goes on over two letters and a space.
+_CUT = re.compile(r"[^\W\d_]{2}[\x20\x09-\x0D]")
+
+# kinds of characters, as bits; what lies past 16 bits may be a letter and counts as hard, which means: read one by one
+_ALPHA, _HARD, _BANG, _SPACE, _SPACER, _ALNUM = 1, 2, 4, 8, 16, 32
+_KIND = np.zeros(1 << 16, np.uint8)
+for _i in range(1 << 16):
+    _c = chr(_i)
+    _KIND[_i] = (_ALPHA * _c.isalpha() | _ALNUM * _c.isalnum() | _HARD * (not _c.isalpha() and (_c.isalnum() or _c in LEET or _c == "_")) | _SPACER * (_c in " .-_*")) if not 0xD800 <= _i < 0xE000 else _HARD
+_KIND[ord("!")] = _BANG
+_KIND[[0x20, *range(0x09, 0x0E)]] |= _SPACE
+_KIND[0xFFFF] = _ALPHA | _HARD
+_CHARACTER = np.random.Generator(np.random.PCG64(20240503)).integers(1, 1 << 63, 1 << 16, np.int64).astype(np.uint64)
 
 
 def _slots(codes: np.ndarray, length: int) -> np.ndarray:
@@ -51,10 +63,19 @@ def _slots(codes: np.ndarray, length: int) -> np.ndarray:
         return (mix64(h) % np.uint64(SLOTS)).astype(np.int64)
 
 
+def _slot(codes: list[int]) -> int:
+    """The slot of one run, as _slots has it."""
+    h, mask = 0, (1 << 64) - 1
+    for c in codes:
+        h = (h * 0x100000001B3 + c) & mask
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+    return (h ^ (h >> 31)) % SLOTS
+
+
 def _codes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.minimum(raw, 0xFFFF)
-    codes = np.where(_ALPHA[low], raw, 0).astype(np.uint64)
+    codes = np.where(_KIND[np.minimum(raw, 0xFFFF)] & (_ALPHA | _HARD) == _ALPHA, raw, 0).astype(np.uint64)
     return codes[(codes != 0) | (np.concatenate([codes[:1] * 0 + 1, codes[:-1]]) != 0)]  # one boundary between words
 
 
@@ -89,20 +110,33 @@ class CharacterModel:
         self.log = np.log((counts[0] + 0.05)).astype(np.float32)
         self.context = np.log(counts[1] + 0.05 * 64).astype(np.float32)
         self.memo: dict[str, float] = {}
+        self.moves: dict[tuple[str, str], tuple[float, str]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "moves": {}}
 
     def logp(self, run: str) -> float:
         """Of the last character of a run of four after the first three; a space is a boundary."""
         if (found := self.memo.get(run)) is None:
-            codes = np.array([0 if c == " " else ord(c) for c in run], np.uint64)
-            found = float(self.log[_slots(codes, ORDER)[0]] - self.context[_slots(codes[:-1], ORDER - 1)[0]])
+            codes = [0 if c == " " else ord(c) for c in run]
+            found = float(self.log[_slot(codes)]) - float(self.context[_slot(codes[:-1])])
             if len(self.memo) > 1 << 17:
                 self.memo.clear()
             self.memo[run] = found
         return found
 
+    def move(self, state: str, out: str) -> tuple[float, str]:
+        """(log probability of what is put out after a state of three characters, state after it); boundaries in a row are one."""
+        total, s = 0.0, state
+        for c in out:
+            if not (c == " " and s[-1] == " "):
+                total += self.logp(s + c)
+                s = s[1:] + c
+        if len(self.moves) > 1 << 17:
+            self.moves.clear()
+        self.moves[state, out] = found = (total, s)
+        return found
+
 
 def character_model(docs: DataFrame) -> CharacterModel:
     """Counted over every whole text; tasks add up tables of fixed size, of which the driver gets the sum (4 MB)."""
@@ -112,15 +146,17 @@ def character_model(docs: DataFrame) -> CharacterModel:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters what it may stand for, with costs."""
-    steps = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
+    """For each run of equal characters what it may stand for, with costs. A sign for a letter may also be a mark between letters, which
+    is dropped, if it stands alone among letters and digits, else a boundary."""
+    steps, runs = [], list(re.finditer(r"(.)\1*", token, re.S))
+    for i, m in enumerate(runs):
         c, n = m[1], len(m[0])
         if c.isalpha():
             steps.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0 if n == 2 else SHORTEN), (c, SHORTEN)])
         elif c in LEET:
-            for _ in range(min(n, 2)):
-                steps.append([*((x, SWAP) for x in LEET[c]), (" ", KEEP) if c.isdigit() else ("", 4 * DROP)])
+            alone = n == 1 and all(runs[j][1].isalnum() for j in (i - 1, i + 1) if 0 <= j < len(runs))
+            mark = (" ", KEEP) if c.isdigit() else ("" if alone else " ", 4 * DROP)
+            steps += [[*((x, SWAP) for x in LEET[c]), mark]] * min(n, 2)
         elif c == " " and n > 1:  # a wide gap among spaced letters is likelier a boundary
             steps.append([("", SPLIT), (" ", DROP)])
         else:
@@ -128,66 +164,204 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
+def _back(trail: list[dict], state: str, least: int = 0) -> list[str]:
+    """What the best way to a state after the last step of a trail put out from step `least` on."""
+    out = []
+    for now in reversed(trail[least:]):
+        _, state, text = now[state]
+        out.append(text)
+    return out[::-1]
+
+
 def decode(token: str, model: CharacterModel) -> str:
-    """The best reading of a token, by beam search over the last three characters."""
-    beam = {"   ": (0.0, "")}
+    """The best reading of a token: Viterbi search over the last three characters, with back pointers. Where one state is left, or
+    all ways have a step in common, what came before is settled, so that long tokens take little memory."""
+    states, trail, settled, moves = {"   ": (0.0, "", "")}, [], [], model.moves
     for options in lattice(token):
-        ahead: dict[str, tuple[float, str]] = {}
-        for state, (score, text) in beam.items():
+        if len(states) == 1:
+            (last,) = states
+            settled += _back(trail, last)
+            trail = []
+            if len(options) == 1 and len(options[0][0]) == 1:
+                settled.append(options[0][0])
+                states = {last[1:] + options[0][0]: (0.0, "", "")}
+                continue
+        ahead: dict[str, tuple[float, str, str]] = {}
+        for state, (score, _, _) in states.items():
             for out, cost in options:
-                s, total = state, score - cost
-                for c in out:
-                    if not (c == " " and s[-1] == " "):
-                        total += model.logp(s + c)
-                        s = s[1:] + c
-                if s not in ahead or total > ahead[s][0]:
-                    ahead[s] = (total, text + out)
-        beam = ahead if len(ahead) <= BEAM else dict(sorted(ahead.items(), key=lambda x: -x[1][0])[:BEAM])
-    return max((score + model.logp(state + " ") * (state[-1] != " "), text) for state, (score, text) in beam.items())[1].strip()
+                more, s = moves.get((state, out)) or model.move(state, out)
+                total, other = score - cost + more, ahead.get(s)
+                if other is None or total > other[0]:
+                    ahead[s] = (total, state, out)
+        states = ahead
+        trail.append(ahead)
+        if len(trail) % 512 == 0:
+            on, at = set(states), len(trail)
+            while at and len(on) > 1:
+                at -= 1
+                on = {trail[at][s][1] for s in on}
+            if at:
+                settled += _back(trail[:at], on.pop())
+                trail = trail[at:]
+    best = max(states, key=lambda s: states[s][0] + model.logp(s + " ") * (s[-1] != " "))
+    return "".join([*settled, *_back(trail, best)]).strip()
 
 
 class Restorer:
-    """Words of a text as they were meant."""
+    """Words of texts as they were meant."""
 
     def __init__(self, model: CharacterModel):
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.size = model, {}, 0
 
     def token(self, token: str) -> tuple[str, ...]:
-        core = _EDGE.sub("", token)
-        if _CLEAN.match(core):
-            return (core,)
-        if not any(c.isalpha() for c in core):
-            return ()
-        return tuple(_WORDS.findall(decode(core, self.model)))
+        if (words := self.memo.get(token)) is None:
+            core = _EDGE.sub("", token)
+            if not any(c.isalpha() for c in core):
+                words = ()
+            else:
+                words = (core,) if _CLEAN.match(core) else tuple(_WORDS.findall(decode(core, self.model)))
+            if len(token) <= 64:
+                self.size += len(token) + 16
+                if self.size > KEPT:
+                    self.memo.clear()
+                    self.size = len(token) + 16
+                self.memo[token] = words
+        return words
+
+    def spaced(self, text: str) -> list[str]:
+        """Words spelled with spaces or marks between the letters of a text in lower case."""
+        return [w for m in _SPACED.finditer(text) if re.search(r"[^\W_]", m[0]) for w in _WORDS.findall(decode(m[0], self.model))]
+
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the text, hashes of the features) of all words of texts in lower case; a word may come several times."""
+        joined = "\n".join(texts)
+        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        kind = _KIND[np.minimum(raw, 0xFFFF)]
+        edge = np.diff((kind & _SPACE != 0).astype(np.int8), prepend=1, append=1)
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        alpha = kind & _ALPHA != 0
+        at = np.flatnonzero(alpha)
+        upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int32)])
+        letters, hard, bang = upto(alpha), upto(kind & _HARD != 0), upto(kind & _BANG != 0)
+        some = letters[end] > letters[start]
+        start, end = start[some], end[some]
+        first, last = at[letters[start]], at[letters[end] - 1] + 1
+        again = np.zeros(len(raw) + 2, bool)
+        again[2 : len(raw)] = (raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2]) if len(raw) > 2 else False
+        again = upto(again[: len(raw)])
+        clean = (letters[end] - letters[start] == last - first) & (hard[end] == hard[start]) & (bang[first] == bang[start])
+        clean &= again[last] == again[np.minimum(first + 2, last)]
+        owners, hashes = [np.searchsorted(begins, start[clean], "right") - 1], [hashed_features(raw, first[clean], last[clean])]
+
+        words, of = [], []
+        for i, a, b in zip((np.searchsorted(begins, start[~clean], "right") - 1).tolist(), start[~clean].tolist(), end[~clean].tolist()):
+            more = self.token(joined[a:b])
+            words += more
+            of += [i] * len(more)
+        for i in self._spaced_texts(kind, begins):
+            more = self.spaced(texts[i])
+            words += more
+            of += [i] * len(more)
+        if words:
+            owners.append(np.array(of))
+            hashes.append(features(words))
+        return np.concatenate(owners), np.concatenate(hashes)
+
+    @staticmethod
+    def _spaced_texts(kind: np.ndarray, begins: np.ndarray) -> list[int]:
+        """Texts that may have three spaced letters or signs: one between two separators, with another alone on either side."""
+        kind = np.concatenate([np.zeros(4, np.uint8), kind, np.zeros(4, np.uint8)])
+        sign = kind & (_ALNUM | _HARD | _BANG) != 0
+        gap = kind & _SPACER != 0
+        i = np.flatnonzero(sign[4:-4] & gap[3:-5] & gap[5:-3]) + 4
+        alnum = kind & _ALNUM != 0
+        before = (sign[i - 2] & ~alnum[i - 3]) | (gap[i - 2] & sign[i - 3] & ~alnum[i - 4])
+        after = (sign[i + 2] & ~alnum[i + 3]) | (gap[i + 2] & sign[i + 3] & ~alnum[i + 4])
+        return np.unique(np.searchsorted(begins, i[before & after] - 4, "right") - 1).tolist()
 
     def words(self, text: str) -> set[str]:
+        """The restored words of one text."""
         text = text.lower()
-        found: set[str] = set()
-        for m in _SPACED.finditer(text):
-            if re.search(r"[^\W_]", m[0]):
-                found.update(_WORDS.findall(decode(m[0], self.model)))
-        memo = self.memo
-        for t in set(_TOKEN.findall(text)):
-            if (words := memo.get(t)) is None:
-                if len(memo) > 120_000:
-                    memo.clear()
-                words = memo[t] = self.token(t)
-            found.update(words)
-        found.discard("")
-        return found
-
-
-def features(word: str) -> list[int]:
-    """Hashes of the word and of its stems."""
-    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in (word, *(f"{word[:k]}*" for k in STEMS if len(word) >= k))]
+        return {*self.spaced(text), *(w for t in re.split(r"[\x20\x09-\x0D]+", text) for w in self.token(t))} - {""}
+
+
+def hashed_features(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the words raw[first:last] and of their stems, which are 0 for words that are shorter: a column each."""
+    power, inverse = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_CHARACTER[raw & 0xFFFF] * power[: len(raw)], out=total[1:])
+    base, scale = total[first], inverse[first]
+    out = np.zeros((len(first), 1 + len(STEMS)), np.uint64)
+    high = np.uint64(1 << 63)  # set in all hashes, so that none is 0
+    out[:, 0] = mix64((total[last] - base) * scale) | high
+    for i, k in enumerate(STEMS, 1):
+        long = last - first >= k
+        out[long, i] = mix64((total[first[long] + k] - base[long]) * scale[long] + np.uint64(k)) | high
+    return out
+
+
+def features(words: list[str]) -> np.ndarray:
+    raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    end = np.cumsum([len(w) for w in words])
+    return hashed_features(raw, end - [len(w) for w in words], end)
+
+
+def _groups(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+    """(texts in lower case, number of each) of about GROUP characters; longer texts in pieces that no word or run spans."""
+    held, numbers, size = [], [], 0
+    for i, text in enumerate(texts):
+        text, at = (text or "").lower(), 0
+        while True:
+            cut = _CUT.search(text, at + GROUP) if len(text) - at > GROUP else None
+            end = cut.end() if cut else len(text)
+            held.append(text[at:end])
+            numbers.append(i)
+            size += end - at
+            if size >= GROUP:
+                yield held, numbers
+                held, numbers, size = [], [], 0
+            at = end
+            if not cut:
+                break
+    if held:
+        yield held, numbers
+
+
+def text_features(texts: Iterable[str | None], restorer: Restorer, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, feature), once each and sorted; with known, sorted hashes, only these, by their place in it."""
+    owners, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    some = np.ones(1 << 20, bool)
+    if known is not None:
+        some[:] = False
+        some[known >> np.uint64(44)] = True
+    some[0] = False  # no feature has such a hash
+    for group, numbers in _groups(texts):
+        owner, hashes = restorer.found(group)
+        near = np.flatnonzero(some[hashes.ravel() >> np.uint64(44)])
+        owner, hashes = np.array(numbers)[owner[near // hashes.shape[1]]], hashes.ravel()[near]
+        if known is not None:
+            at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+            hit = known[at] == hashes if len(known) else np.zeros(len(at), bool)
+            key = np.unique((owner[hit] << 32) | at[hit])
+            owner, hashes = key >> 32, (key & 0xFFFFFFFF).astype(np.uint64)
+        owners.append(owner)
+        found.append(hashes)
+    owner, found = np.concatenate(owners), np.concatenate(found)
+    order = np.lexsort((found, owner))
+    owner, found = owner[order], found[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    return owner[new], found[new]
 
 
 def _sampled(model) -> object:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(model.value)
         for f in frames:
-            found = [sorted({x for w in restorer.words(t or "") for x in features(w)}) for t in f["text"]]
-            yield pd.DataFrame({"toxic": f["toxic"], "features": found})
+            owner, found = text_features(f["text"], restorer)
+            cuts = np.searchsorted(owner, np.arange(len(f) + 1))
+            yield pd.DataFrame({"toxic": f["toxic"], "features": [found[a:b].view(np.int64) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]})
 
     return run
 
@@ -201,9 +375,15 @@ def evidence(p: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
 RANKS = (0, 4, 9, 19)
 
 
-def ranked(values: list[float] | np.ndarray) -> list[float]:
-    top = sorted(values, reverse=True)[: RANKS[-1] + 1]
-    return [max(0.0, top[r]) if r < len(top) else 0.0 for r in RANKS]
+def ranked(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, ranks): of each of n rows its values of these ranks, from 0 up; 0 where there are fewer. owner is sorted."""
+    order = np.lexsort((-values, owner))
+    owner, values = owner[order], values[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.zeros((n, len(RANKS)))
+    for i, r in enumerate(RANKS):
+        out[owner[place == r], i] = np.maximum(values[place == r], 0.0)
+    return out
 
 
 def _left_out(known, rate: float) -> object:
@@ -212,13 +392,14 @@ def _left_out(known, rate: float) -> object:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, p, n = known.value
         for f in frames:
-            rows = []
-            for toxic, own in zip(f["toxic"].tolist(), f["features"]):
-                own = np.asarray(own, np.int64)
-                at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
-                at = at[names[at] == own] if len(names) else at[:0]
-                rows.append((toxic, *ranked(evidence(p[at] - toxic, n[at] - (1 - toxic), rate))))
-            yield pd.DataFrame(rows, columns=["toxic", *(f"r{r}" for r in RANKS)])
+            owner = np.repeat(np.arange(len(f)), [len(x) for x in f["features"]])
+            own, toxic = np.concatenate([np.empty(0, np.int64), *f["features"]]).view(np.uint64), f["toxic"].to_numpy()
+            at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
+            hit = names[at] == own if len(names) else np.zeros(len(own), bool)
+            owner, at = owner[hit], at[hit]
+            out = pd.DataFrame(ranked(owner, evidence(p[at] - toxic[owner], n[at] - (1 - toxic[owner]), rate), len(f)), columns=[f"r{r}" for r in RANKS])
+            out.insert(0, "toxic", toxic)
+            yield out
 
     return run
 
@@ -238,9 +419,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) ->
         live = [0, *(i for i in live[1:] if w[i] > 0)]
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[CharacterModel, dict[int, float], np.ndarray]:
-    """(character model, evidence of features, weights). Labels count only of rows whose crc32(doc_id) mod 5 isn't 0; the fit
-    takes at most SAMPLE of them, all if there are fewer. Null labels and labels without a document are passed over."""
+#: The character model, hashes of features, their evidence, and weights of the ranks.
+Fitted = tuple[CharacterModel, np.ndarray, np.ndarray, np.ndarray]
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> Fitted:
+    """Labels count only of rows whose crc32(doc_id) mod 5 isn't 0; the fit takes at most SAMPLE of them, all if there are fewer, and
+    keeps at most FEATURES features, those of the greatest lift, which two rows with label 1 must have. Null labels and labels
+    without a document are passed over."""
     spark = docs.sparkSession
     model = character_model(docs)
     marks = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("of")))
@@ -255,36 +441,28 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[CharacterModel,
     rate = (toxic + 0.5) / (size + 1)
     counts = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     lift = (F.col("p") + PRIOR * rate) / (F.col("n") + PRIOR * (1 - rate))
-    top = counts.where("p >= 2").where(lift > 2 * rate / (1 - rate)).orderBy(lift.desc(), "feature").limit(FEATURES).toPandas().sort_values("feature")
-    names, p, n = (top[c].to_numpy(np.int64) for c in ("feature", "p", "n"))
+    top = counts.where("p >= 2").where(lift > 2 * rate / (1 - rate)).orderBy(lift.desc(), "feature").limit(FEATURES).toPandas()
+    names = top["feature"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    names, p, n = names[order], top["p"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order]
     known = spark.sparkContext.broadcast((names, p, n))
     ranks = sample.mapInPandas(_left_out(known, rate), "toxic int, " + ", ".join(f"r{r} double" for r in RANKS)).toPandas().to_numpy(float).reshape(-1, len(RANKS) + 1)
     weights = fit(ranks[:, 1:], ranks[:, 0]) if 0 < toxic < size else np.r_[np.log(rate / (1 - rate)), np.ones(1), np.zeros(len(RANKS) - 1)]
-    return model, dict(zip(names.tolist(), evidence(p, n, rate).tolist())), weights
+    return model, names, evidence(p, n, rate), weights
 
 
-def score_column(spark: SparkSession, fitted: tuple[CharacterModel, dict[int, float], np.ndarray]):
+def score_column(spark: SparkSession, fitted: Fitted):
     """A pandas UDF from texts to scores."""
     shared = spark.sparkContext.broadcast(fitted)
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, known, weights = shared.value
-        restorer, memo = Restorer(model), {}
+        model, known, lift, weights = shared.value
+        restorer = Restorer(model)
         for texts in batches:
-            out = []
-            for text in texts:
-                found: set[int] = set()
-                for w in restorer.words(text or ""):
-                    if (hits := memo.get(w)) is None:
-                        if len(memo) > 120_000:
-                            memo.clear()
-                        hits = memo[w] = tuple(x for x in features(w) if x in known)
-                    if hits:
-                        found.update(hits)
-                z = weights[0] + float(np.dot(weights[1:], ranked([known[x] for x in found])))
-                out.append(1 / (1 + np.exp(-z)))
-            yield pd.Series(out, dtype=float)
+            owner, place = text_features(texts, restorer, known)
+            z = weights[0] + ranked(owner, lift[place.astype(np.int64)], len(texts)) @ weights[1:]
+            yield pd.Series(1 / (1 + np.exp(-z)), dtype=float)
 
     return score
 

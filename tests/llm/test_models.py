@@ -159,6 +159,64 @@ def test_decoding_of_obfuscated_words(spark, words):
     assert found.words("") == set() and found.words("%%% ... 123") == set()
 
 
+def all_readings(token):
+    """(cost, text) of every way through a token's lattice."""
+    ways = [(0.0, "")]
+    for options in toxicity.lattice(token):
+        ways = [(cost + c, text + out) for cost, text in ways for out, c in options]
+    return ways
+
+
+def test_viterbi_against_all_readings(spark, words):
+    model = toxicity.character_model(documents(spark, [" ".join(words(3000, 1)), "idiot scum moron " * 40]))
+    assert all(model.log[toxicity._slots(np.array([ord(c) for c in run], np.uint64), 4)[0]] == model.log[toxicity._slot([ord(c) for c in run])] for run in ("idio", "zzzz", "él!~"))
+
+    def log_likelihood(cost, text):
+        total, state = -cost, "   "
+        for c in text + " ":
+            if not (c == " " and state[-1] == " "):
+                total += model.logp(state + c)
+                state = state[1:] + c
+        return total
+
+    r = np.random.default_rng(4)
+    tokens = ["1d10t", "m.o.r.o.n", "$cuuum", "a1b2c3d", "i$d$i", "1010110", "s c u m", "s  c u m"] + ["".join(r.choice(list("abio01$!.- 4e3"), n)).strip() for n in r.integers(2, 9, 120)]
+    for token in tokens:
+        found = toxicity.decode(token, model)
+        best = max(log_likelihood(*way) for way in all_readings(token))
+        assert any(text.strip() == found and log_likelihood(cost, text) == pytest.approx(best, abs=1e-9) for cost, text in all_readings(token)), token
+
+
+def test_decoding_of_long_tokens_takes_steady_time(spark, words):
+    import time
+
+    model = toxicity.character_model(documents(spark, [" ".join(words(3000, 1))]))
+    r = np.random.default_rng(4)
+    for letters in ("abcdefghijk0123456789", "@$!|+€£a1i", "1"):
+        token = "".join(r.choice(list(letters), 60_000)) + "x"
+        began = time.process_time()
+        assert toxicity.decode(token, model)
+        assert time.process_time() - began < 10
+    # survivors without a common state for long are settled in parts
+    assert toxicity.decode("a1" * 3000, model) == toxicity.decode("a1" * 200, model)[:6] + toxicity.decode("a1" * 3000, model)[6:]
+
+
+def test_features_of_batches_are_those_of_words(spark, words, odd_texts, monkeypatch):
+    model = toxicity.character_model(documents(spark, [" ".join(words(3000, 1)), "idiot scum moron " * 40]))
+    texts = odd_texts + ["You 1d10t! (what) an i d i o t; 'quoted', don't _x_ ²x Ⅷ 𝐚𝐛 aaa baaad e-mail 12 $$$ !no ok!!", "s.t.u.p.1.d\nx y\tz a b c", "İstanbul ﬁne ŒUVRE 中文，句子。", "!", "a", " a b ", "q w e r t y" * 300] + [" ".join(words(30, i)) + " m0ron" for i in range(9)]
+    for group in (toxicity.GROUP, 500):
+        monkeypatch.setattr(toxicity, "GROUP", group)
+        restorer = toxicity.Restorer(model)
+        owner, found = toxicity.text_features(texts, restorer)
+        for i, t in enumerate(texts):
+            expect = set(toxicity.features(sorted(restorer.words(t or ""))).ravel().tolist()) - {0} if restorer.words(t or "") else set()
+            assert set(found[owner == i].tolist()) == expect, (group, i)
+        some = np.unique(found)[::3]
+        owner_2, place = toxicity.text_features(texts, restorer, some)
+        hit = np.isin(found, some)
+        assert owner_2.tolist() == owner[hit].tolist() and some[place.astype(int)].tolist() == found[hit].tolist()
+
+
 def test_decoding_of_spaced_words(spark, words):
     plain = " ".join(["you are a loser", "you idiot", "what a stupid clown", "such scum"] * 40)
     found = toxicity.Restorer(toxicity.character_model(documents(spark, [plain, " ".join(words(500, 1))])))
