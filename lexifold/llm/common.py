@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir. Where that is unset a single machine takes a
+    temporary one; a cluster, whose executors couldn't read it, gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lexifold-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import shared_dir, stash, table
 
 SHARDS = 24
 SLOTS = 8192
 #: Bytes that a record takes besides its text.
 OVERHEAD = 8
+#: Rows of a virtual slot that are numbered in one task, about.
+PART = 1 << 20
 
 
 def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
@@ -37,7 +41,7 @@ def first_map(totals: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
 
 def rebalance(totals: DataFrame, placed: DataFrame, shards: int) -> DataFrame:
     """The next version of a map: slots, largest first, move from their shard to the least loaded one wherever that lowers the
-    larger of the two loads; all others stay.
+    larger of the two loads, or where their shard is no more; all others stay.
 
     A fold over one array of the slots, whose number is fixed; records are not touched.
     """
@@ -45,28 +49,45 @@ def rebalance(totals: DataFrame, placed: DataFrame, shards: int) -> DataFrame:
     one = slots.groupBy().agg(F.max("version").alias("version"), F.array_sort(F.collect_list("s")).alias("slots"))
     loads = f"transform(sequence(0, {shards - 1}), k -> aggregate(filter(slots, s -> s.shard = k), 0L, (a, s) -> a + s.bytes))"
     best = "cast(array_position(a.loads, array_min(a.loads)) - 1 as int)"
-    gains = "s.bytes > 0 and array_min(a.loads) + s.bytes < element_at(a.loads, s.shard + 1)"
+    gains = f"s.shard >= {shards} or (s.bytes > 0 and array_min(a.loads) + s.bytes < get(a.loads, s.shard))"
     moved = f"named_struct('loads', transform(a.loads, (v, k) -> case when k = s.shard then v - s.bytes when k = {best} then v + s.bytes else v end), 'moves', concat(a.moves, array(named_struct('vslot', s.vslot, 'shard', {best}))))"
     fold = f"aggregate(slots, named_struct('loads', {loads}, 'moves', cast(array() as array<struct<vslot:int,shard:int>>)), (a, s) -> if({gains}, {moved}, a), a -> a.moves)"
     edits = one.select("version", F.explode(F.expr(fold)).alias("m")).select(F.col("m.vslot").alias("vslot"), F.col("m.shard").alias("to"))
     return placed.join(edits, "vslot", "left").select((F.col("version") + 1).alias("version"), "vslot", F.coalesce("to", "shard").alias("shard"))
 
 
-def balanced_map(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(totals, map): totals per slot and a map of both versions, (version, vslot, shard), each written to the shared folder."""
-    totals = stash(slot_totals(records, slots), "slot-totals")
-    first = first_map(totals, shards, slots)
-    return totals, stash(first.unionByName(rebalance(totals, first, shards)), "slot-map")
+def store_version(slot_map: DataFrame, path: str) -> None:
+    """Add a version (version, vslot, shard) to a stored map, in a folder of its own."""
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
-def newest(slot_map: DataFrame) -> DataFrame:
-    """The latest version of a map: (vslot, shard)."""
-    top = slot_map.select(F.max("version").alias("top"))
-    return slot_map.join(F.broadcast(top), F.col("version") == F.col("top")).select("vslot", "shard")
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """(version, vslot, shard) of the given or the newest version of a stored map; None where there is no map yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    stored = spark.read.schema("vslot int, shard int, version int").parquet(path).select("version", "vslot", "shard")
+    return stored.where(F.col("version") == (stored.agg(F.max("version")).first()[0] if version is None else version))
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Every row of docs as row (a struct of its columns), with size, text_crc32, vslot and shard.
+def balanced_map(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(totals, map): totals per slot of records (vslot, size), and the newest version of the map stored at path, (version, vslot,
+    shard). A new map begins with equal ranges as version 1. The stored map is edited for these records, and where slots move the
+    edited map is stored as the next version. Without a path the map is kept in a place of its own in the shared folder."""
+    spark = records.sparkSession
+    path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    totals = stash(slot_totals(records, slots), "slot-totals")
+    if load_map(spark, path) is None:
+        store_version(first_map(totals, shards, slots), path)
+    placed = load_map(spark, path)
+    edited = stash(rebalance(totals, placed, shards), "edited-map")
+    if edited.join(placed, ["vslot", "shard"], "left_anti").count():
+        store_version(edited, path)
+    return totals, load_map(spark, path)
+
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """Every row of docs as row (a struct of its columns), with size, text_crc32, vslot and shard, by the map stored at path.
 
     The law is `bytes`: shards hold near equal bytes. Null texts count 0 bytes and have crc 0; a null doc_id has a slot like
     any value; rows of one doc_id share their slot; an empty table gives no rows. The map has `slots` rows, which bounds the
@@ -74,18 +95,28 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) ->
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), record_size(F.col("text")).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), virtual_slot(F.col("doc_id"), slots).alias("vslot"))
-    _, slot_map = balanced_map(docs.select(virtual_slot(F.col("doc_id"), slots).alias("vslot"), record_size(F.col("text")).alias("size")), shards, slots)
-    return rows.join(F.broadcast(newest(slot_map)), "vslot")
+    _, slot_map = balanced_map(docs.select(virtual_slot(F.col("doc_id"), slots).alias("vslot"), record_size(F.col("text")).alias("size")), shards, slots, path)
+    return rows.join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
+
+
+def place_in_shards(rows: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """rows (vslot, size, ...) with shard and slot, the place in the shard, without gaps from 0: after those of earlier virtual slots
+    of the shard. A virtual slot of many rows is numbered in several parts, so that one doc_id that holds a third of all rows
+    doesn't meet in one task."""
+    rows = stash(rows.withColumn("at", F.monotonically_increasing_id()), "sharded-rows")
+    totals, slot_map = balanced_map(rows.select("vslot", "size"), shards, slots, path)
+    known = totals.join(slot_map, "vslot").select("vslot", "shard", (F.floor(F.col("rows") / PART) + 1).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(known), "vslot").withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")))
+    ahead = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("shard", "vslot", "part").agg(F.count("*").alias("n"))
+    starts = sizes.select("vslot", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("at"))
+    return dealt.withColumn("place", place).join(starts, ["vslot", "part"]).withColumn("slot", F.col("start") + F.col("place") - 1).drop("at", "parts", "part", "place", "start")
 
 
 def op4_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """slot is the record's place in its shard: places of earlier virtual slots of the shard, then of earlier doc_ids in its own."""
     docs = table(spark, sf_dir, "documents")
-    totals, slot_map = balanced_map(docs.select(virtual_slot(F.col("doc_id")).alias("vslot"), record_size(F.col("text")).alias("size")))
-    ahead = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.join(newest(slot_map), "vslot").select("vslot", "shard", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("start"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), virtual_slot(F.col("doc_id")).alias("vslot"))
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32"))
-    placed = rows.withColumn("place", place).join(F.broadcast(starts), "vslot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
+    placed = place_in_shards(rows)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))

@@ -87,6 +87,52 @@ def test_rebalancing_edits_the_map(spark):
     assert third.join(second.withColumnRenamed("shard", "before"), "vslot").where("shard <> before").count() == 0
 
 
+def plain_rebalance(sizes, placed, shards):
+    """The edited map (slot to shard) by plain loops."""
+    placed = dict(placed)
+    load = [sum(b for s, b in sizes.items() if placed[s] == k) for k in range(shards)]
+    for s in sorted(sizes, key=lambda s: (-sizes[s], s)):
+        to, now = load.index(min(load)), placed[s]
+        if now >= shards or (sizes[s] > 0 and load[to] + sizes[s] < load[now]):
+            if now < shards:
+                load[now] -= sizes[s]
+            load[to] += sizes[s]
+            placed[s] = to
+    return placed
+
+
+def test_stored_map_against_a_plain_one(spark, words, tmp_path):
+    path, slots = str(tmp_path / "map"), 64
+    first = documents(spark, [" ".join(words(1 + i * 7 % 90, i)) for i in range(400)])
+    more = first.unionByName(documents(spark, [" ".join(words(300, i)) for i in range(40)], ids=[i % 3 + 1000 for i in range(40)]))
+    placed = {s: s * 4 // slots for s in range(slots)}
+    for version, (docs, shards) in enumerate([(first, 4), (more, 4), (more, 4), (more, 5), (more, 3)]):
+        sizes = Counter({s: 0 for s in range(slots)})
+        for r in docs.select(sharding.virtual_slot(F.col("doc_id"), slots).alias("s"), sharding.record_size(F.col("text")).alias("b")).collect():
+            sizes[r.s] += r.b
+        placed = plain_rebalance(sizes, placed, shards)
+        rows = sharding.assign_shards(docs, shards, slots, path).collect()
+        assert all(r.shard == placed[r.vslot] for r in rows) and len(rows) == docs.count()
+        assert {r.vslot: r.shard for r in sharding.load_map(spark, path).collect()} == placed
+        if version == 0:
+            kept = dict(placed)
+    newest = sharding.load_map(spark, path).first().version
+    # version 1 is the ranges; the unchanged third run stored nothing
+    assert newest == 5 and {r.vslot: r.shard for r in sharding.load_map(spark, path, 2).collect()} == kept
+    assert sharding.load_map(spark, str(tmp_path / "none")) is None
+
+
+def test_hot_slots_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 50)
+    docs = documents(spark, ["same"] * 600 + [f"t{i}" for i in range(100)], ids=[7] * 300 + [None] * 300 + list(range(100, 200)))
+    rows = docs.select("doc_id", sharding.record_size(F.col("text")).alias("size"), sharding.virtual_slot(F.col("doc_id"), 64).alias("vslot"))
+    by = defaultdict(list)
+    for r in sharding.place_in_shards(rows, 3, 64).collect():
+        by[r.shard].append(r.slot)
+    assert sum(map(len, by.values())) == 700 and all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert sharding.place_in_shards(rows.limit(0), 3, 64).count() == 0
+
+
 def test_sharding_odd_rows(spark, odd_texts):
     docs = documents(spark, odd_texts, ids=[None, 1, 1, *range(3, len(odd_texts))]).withColumn("size", F.lit("clash")).withColumn("shard", F.lit("old"))
     out = sharding.assign_shards(docs, 3, 64)
