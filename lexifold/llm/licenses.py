@@ -1,58 +1,35 @@
 """Operator 5: license scans by conditional compression.
 
 Windows of words around cue words are candidate blocks. Each is compressed plainly and with every template as raw dictionary; the
-templates that save most are held against the block word by word, and the one with the fewest differences names the license.
+templates that save anything are held against the block word by word, those that save most first, and the one that explains most
+words with the fewest differences names the license. Only templates most of whose words the block has at all are tried: others can't
+be confirmed.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import TEMPLATES
 
-# Statements and notices of public licenses.
-TEMPLATES: list[tuple[str, str]] = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
-    ("proprietary", "All rights reserved."),
-]
 #: Words that begin a search, in any case.
 CUES = r"(?i)licen[cs]e|rights\W{1,4}reserved|permission|redistribut|public\W{1,4}domain|creative\W{1,4}commons"
 #: Words of a block on either side of a cue, besides as many as the template has.
 AROUND = 4
-#: Templates that a block is held against at most, those that save most of their own compressed size, and least part of a template's
-#: words that a block must have.
-WINNERS, KEPT = 10, 0.9
+#: Least part of a template's words that a block must have.
+KEPT = 0.9
 #: Lower levels miss matches in blocks this short.
 LEVEL = 19
 FOUND = "doc_id long, license string, start long, end long, matched long, missing long, added long, saved double"
@@ -66,29 +43,52 @@ def plain(word: str) -> str:
 
 
 class Templates:
-    """Compressors with each template as dictionary, and its words."""
+    """Compressors with each template as dictionary, its words, and how often it has each."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.bare = zstandard.ZstdCompressor(level=LEVEL)
         self.each = []
+        self.words: dict[str, int] = {}
         for name, text in templates:
             words = [w for w in map(plain, _TOKEN.findall(text)) if w]
             data = zstandard.ZstdCompressionDict(2 * (" ".join(words).encode() + b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.each.append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=data), len(self.bare.compress(" ".join(words).encode()))))
-
-    def ranked(self, words: list[str], at: int) -> list[tuple[float, str, list[str], int, int]]:
-        """(part of the block saved, name, template, first, end) of the winners for the block around a cue, best first; each
-        template has a block of its own length."""
+            self.each.append((name, words, Counter(words), zstandard.ZstdCompressor(level=LEVEL, dict_data=data), len(self.bare.compress(" ".join(words).encode()))))
+            for w in words:
+                self.words.setdefault(w, len(self.words))
+
+    def plausible(self, words: list[str], cues: list[int]) -> list[list[int]]:
+        """For each cue's place the templates whose block there has enough words that are any of the template's."""
+        codes = np.array([self.words.get(w, -1) for w in words])
+        out: list[list[int]] = [[] for _ in cues]
+        at = np.array(cues, np.int64)
+        for i, (_, template, _, _, _) in enumerate(self.each):
+            own = np.zeros(len(self.words) + 1, bool)
+            own[[self.words[w] for w in template]] = True
+            upto = np.concatenate([[0], np.cumsum(own[codes])])
+            reach = len(template) + AROUND
+            have = upto[np.minimum(at + reach, len(words))] - upto[np.maximum(at - reach, 0)]
+            for k in np.flatnonzero(have >= KEPT * len(template)).tolist():
+                out[k].append(i)
+        return out
+
+    def ranked(self, words: list[str], at: int, tried: list[int]) -> list[tuple[float, str, list[str], int, int]]:
+        """(part of the block saved, name, template, first, end) of the templates that save something of the block around a cue, those
+        that save most of their own compressed size first; each template has a block of its own length."""
         found, sizes = [], {}
-        for name, template, packer, own in self.each:
+        for i in tried:
+            name, template, counts, packer, own = self.each[i]
             low, high = max(0, at - len(template) - AROUND), min(len(words), at + len(template) + AROUND)
+            have = Counter(words[low:high])
+            # no alignment matches more words than both have in any order
+            if sum(min(n, have[w]) for w, n in counts.items()) < KEPT * len(template):
+                continue
             block = " ".join(words[low:high]).encode()
             if (low, high) not in sizes:
                 sizes[low, high] = len(self.bare.compress(block))
             saved = sizes[low, high] - len(packer.compress(block))
             if saved > 0:
                 found.append((saved / own, saved / sizes[low, high], name, template, low, high))
-        return [x[1:] for x in sorted(found, key=lambda x: -x[0])[:WINNERS]]
+        return [x[1:] for x in sorted(found, key=lambda x: -x[0])]
 
 
 @lru_cache(maxsize=2)
@@ -120,27 +120,33 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, int, i
 
 
 def scan(text: str, templates: Templates) -> list[tuple]:
-    """(license, start, end, matched, missing, added, saved) of each statement in a text; where stretches overlap, the one with the
-    fewest differences, then the most words, then the greatest saving stays."""
+    """(license, start, end, matched, missing, added, saved) of each statement in a text; where stretches overlap, the one that matches
+    most words less its differences, then has the fewest differences, then the greatest saving stays."""
     tokens = [(m.start(), m.end(), plain(m[0])) for m in _TOKEN.finditer(text)]
     tokens = [t for t in tokens if t[2]]
+    if not tokens:
+        return []
     starts, words = [t[0] for t in tokens], [t[2] for t in tokens]
-    found, last = {}, -1
-    for cue in _CUE.finditer(text):
-        at = _place(starts, cue.start())
-        if at == last:
-            continue
-        last = at
-        for saved, name, template, low, high in templates.ranked(words, at):
-            if d := differences(template, words[low:high]):
+    cues = list(dict.fromkeys(_place(starts, cue.start()) for cue in _CUE.finditer(text)))
+    found: dict[tuple, tuple] = {}
+    for at, tried in zip(cues, templates.plausible(words, cues)):
+        for saved, name, template, low, high in templates.ranked(words, at, tried):
+            while d := differences(template, words[low:high]):
                 key = (low + d[0], low + d[1], name)
-                row = (d[3] + d[4], -d[2], -saved, *key, *d[2:])
+                row = (d[3] + d[4] - d[2], d[3] + d[4], -saved, *key, *d[2:])
                 found[key] = min(row, found.get(key, row))
-    out: list[tuple] = []
+                if key[0] <= at < key[1]:
+                    break
+                # another copy of the statement nearby; the cue's own is on this side of it
+                low, high = (key[1], high) if key[1] <= at else (low, key[0])
+    taken: list[int] = []
+    out: dict[int, tuple] = {}
     for row in sorted(found.values()):
-        if all(row[4] <= o[0] or row[3] >= o[1] for o in out):
-            out.append((row[3], row[4], row[5], *row[6:], -row[2]))
-    return [(name, tokens[a][0], tokens[b - 1][1], *rest) for a, b, name, *rest in sorted(out)]
+        i = bisect_right(taken, row[3])
+        if (not i or out[taken[i - 1]][1] <= row[3]) and (i == len(taken) or taken[i] >= row[4]):
+            taken.insert(i, row[3])
+            out[row[3]] = (row[3], row[4], row[5], *row[6:], -row[2])
+    return [(name, tokens[a][0], tokens[b - 1][1], *rest) for a, b, name, *rest in sorted(out.values())]
 
 
 def _place(starts: list[int], at: int) -> int:
