@@ -46,8 +46,9 @@ BLOCK, LEADERS = 32, 8
 KEYS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 #: Members of a component in a block when links are counted, beside RANGE shingles; columns of a product of incidence matrices.
 MEMBERS, COLUMNS = 512, 2048
-#: Documents of one key that share a task, as far as their number is known.
-SALT = 512
+#: Documents of one key that share a task in the first round of groups, as far as their number is known, and how many times more do
+#: in each round after it.
+SALT, WIDER = 64, 8
 
 
 def links(inter, na, nb):
@@ -150,7 +151,7 @@ def _summed(f: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(frames: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
     """Sets of texts with the prefix in the order (common, hash), and with three keys, each the smallest of the set under a hash
-    of its own, salted where that shingle is known to be in many classes."""
+    of its own, and in how many classes that shingle is, as far as it is known."""
     stop, stop_n = common.value
     for f in frames:
         rows = []
@@ -163,12 +164,11 @@ def _sets(frames: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
             sig, keys = signature(s)[0], []
             for i, seed in enumerate(KEYS):
                 first = int(np.argmin(mix64(s ^ np.uint64(seed)))) if i else 0
-                salts = int(stop_n[at[first]]) // (SALT * 8 if i else SALT) + 1 if last[first] else 1
-                keys += [int(s[first : first + 1].view(np.int64)[0]), sig % salts]
+                keys += [int(s[first : first + 1].view(np.int64)[0]), int(stop_n[at[first]]) if last[first] else 0]
             ordered = np.concatenate([s[~last], s[last]])
             head = ordered[: prefix_length(len(s))] >> np.uint64(64 - SET_BITS)
             rows.append((doc_id, len(s), sig, *keys, pack(s >> np.uint64(64 - SET_BITS), SET_BITS), pack(head, SET_BITS)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "key", "salt", "key_2", "salt_2", "key_3", "salt_3", "tokens", "prefix"])
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "key_1", "many_1", "key_2", "many_2", "key_3", "many_3", "tokens", "prefix"])
 
 
 def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -354,11 +354,12 @@ def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush(held)
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Stars of (doc_id, n, key, salt, tokens, ...) rows."""
-    dealt = rows.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "doc_id")
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", star long, block int"
-    return dealt.mapInPandas(_stars, schema)
+def _grouped(rows: DataFrame, key: int, width: int) -> DataFrame:
+    """rows with their stars by one of the keys, whose documents are dealt by another hash where there are more than width."""
+    salted = rows.withColumn("key", F.col(f"key_{key}")).withColumn("salt", F.pmod("sig", F.floor(F.col(f"many_{key}") / width) + 1))
+    dealt = salted.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "doc_id")
+    schema = ", ".join(f"{c} {t}" for c, t in salted.dtypes) + ", star long, block int"
+    return dealt.mapInPandas(_stars, schema).drop("key", "salt")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
@@ -384,18 +385,20 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataF
     stop = spark.sparkContext.broadcast((common["tokens"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)))
 
     fetched = docs.join(rest, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, sig long, key long, salt long, key_2 long, salt_2 long, key_3 long, salt_3 long, tokens binary, prefix binary")
-    stars = stash(_grouped(sets), "stars-of-documents")
+    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, sig long, key_1 long, many_1 long, key_2 long, many_2 long, key_3 long, many_3 long, tokens binary, prefix binary")
+    stars = stash(_grouped(sets, 1, SALT), "stars-of-documents")
     star_links = stars.select(F.col("doc_id").alias("a"), F.col("star").alias("b")).where("a <> b")
-    # leaders of one cluster under several first keys meet under the second, and what is left under the third
-    leading, merged = stars.where("doc_id = star"), []
-    for i in (2, 3):
-        kept = ["key_3", "salt_3"] if i == 2 else []
-        leading = _grouped(leading.select("doc_id", "n", F.col(f"key_{i}").alias("key"), F.col(f"salt_{i}").alias("salt"), *kept, "tokens"))
-        leading = stash(leading.withColumn("tokens", F.when(F.col("doc_id") == F.col("star"), F.col("tokens"))) if kept else leading.select("doc_id", "star"), f"leaders-{i}")
-        merged.append(leading.where("doc_id <> star").select(F.col("doc_id").alias("a"), F.col("star").alias("b")))
-        leading = leading.where("doc_id = star")
-    merged = merged[0].unionByName(merged[1])
+    # leaders of one cluster that stand under several first keys or salts meet under the others, in wider and wider circles
+    hot = stars.agg(F.max(F.greatest("many_2", "many_3"))).first()[0] or 0
+    leading, merged, width, key = stars.where("doc_id = star"), None, SALT, 1
+    while key < 3 or width < hot:
+        width, key = width * WIDER, key + 1
+        kept = ["doc_id", "n", "sig", *(f"{c}_{k}" for c in ("key", "many") for k in (2, 3)), "tokens"]
+        made = _grouped(leading.select(*kept), 2 + key % 2, width)
+        leading = stash(made.withColumn("tokens", F.when(F.col("doc_id") == F.col("star"), F.col("tokens"))), f"leaders-{key}")
+        found = leading.where("doc_id <> star").select(F.col("doc_id").alias("a"), F.col("star").alias("b"))
+        merged = found if merged is None else merged.unionByName(found)
+        leading = leading.where("doc_id = star").drop("star", "block")
     first = stash(components(merged), "star-components")
 
     labeled = stars.join(first, F.col("star") == F.col("id"), "left").select(F.coalesce("component", "star").alias("component"), "star", F.col("block").cast("long").alias("block"), "n", "prefix")

@@ -60,6 +60,17 @@ def test_components_against_all_pairs(spark, words, odd_texts, seed, monkeypatch
     assert all(got[i].n_shingles == len(plain_sets(t)) for i, t in zip(ids, texts))
 
 
+def test_large_groups_of_near_copies_meet_in_rounds(spark, words, monkeypatch):
+    """Near copies that are dealt to many salts end in one component, and their tasks hold few of them."""
+    for name, value in (("SALT", 2), ("WIDER", 2), ("COMMON", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    base = words(90, 77)
+    texts = [" ".join(base[: 89 - k] + [f"end{k}"] + base[90 - k :]) for k in range(80)] + [" ".join(words(60, i)) for i in range(20)]
+    ids = list(range(len(texts)))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(documents(spark, texts)).collect()}
+    assert got == plain_components(texts, ids) and set(list(got.values())[:80]) == {0}
+
+
 def test_shared_ids_nulls_and_clashes(spark, words):
     a, b = " ".join(words(40, 1)), " ".join(words(40, 2))
     docs = documents(spark, [a, b, b, a, None, a], ids=[5, 5, 9, None, 7, 3]).withColumn("n", F.lit("clash")).withColumn("rep", F.lit("clash"))
