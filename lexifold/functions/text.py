@@ -89,17 +89,19 @@ def extract_keywords(c: Column, most: int = 10) -> Column:
     return F.slice(F.filter(F.transform(F.split(c, "[;,]"), lambda w: strip(w)), lambda w: w != ""), 1, most)
 
 
-def parse_verdict(c: Column) -> Column:
-    """Struct of score and comment from a judge's text: the first flat object with the score key, else the widest braces; single
-    quotes are tried as double ones. Where nothing parses, score is null and comment tells, cut to 200 characters."""
-    schema = "struct<score:double,comment:string>"
-    flat = F.nullif(F.regexp_extract(c, r'(?s)\{[^{}]*"score"[^{}]*\}', 0), F.lit(""))
+def parse_verdict(c: Column, keys: tuple[str, ...] = ("chunks_score", "answer_score"), note: str = "comment") -> Column:
+    """Struct of scores, named by keys, and comment from a judge's text: the first flat object that has the first key, else the widest
+    braces; single quotes are tried as double ones. Where no score parses, all are null and comment tells, cut to 200 characters."""
+    schema = f"struct<{','.join(f'`{k}`:double' for k in keys)},`{note}`:string>"
+    flat = F.nullif(F.regexp_extract(c, rf"""(?s)\{{[^{{}}]*["']{keys[0]}["'][^{{}}]*\}}""", 0), F.lit(""))
     wide = F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
     body = F.coalesce(flat, wide)
     read = [F.from_json(x, schema) for x in (body, F.translate(body, "'", '"'))]
-    score = F.coalesce(read[0]["score"], read[1]["score"])
-    comment = F.when(score.isNotNull(), F.coalesce(read[0]["comment"], read[1]["comment"])).otherwise(F.concat(F.lit("[PARSE FAIL] "), F.substring(F.coalesce(c, F.lit("")), 1, 200)))
-    return F.struct(score.alias("score"), comment.alias("comment"))
+    first = F.coalesce(*(r[k] for r in read[:1] for k in keys)).isNotNull()
+    any_ = first | F.coalesce(*(read[1][k] for k in keys)).isNotNull()
+    value = lambda k: F.when(first, read[0][k]).otherwise(read[1][k])
+    comment = F.when(any_, value(note)).otherwise(F.concat(F.lit("[PARSE FAIL] "), F.substring(F.coalesce(c, F.lit("")), 1, 200)))
+    return F.struct(*(value(k).alias(k) for k in keys), comment.alias(note))
 
 
 def strip_think(c: Column) -> Column:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def judge_summary(df: DataFrame, sets: list[list[str]], score: str = "answer_score") -> DataFrame:
-    """Mean score, rows and unparsed rows for each grouping set, in one pass; columns outside a set are null, level tells the set."""
+def judge_summary(df: DataFrame, sets: list[list[str]], scores: list[str]) -> DataFrame:
+    """Means of all scores, rows, and rows of which no score was parsed, for each grouping set, in one pass; columns outside a set are
+    null, level tells the set."""
     keys = list(dict.fromkeys(c for s in sets for c in s))
     grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *keys)
-    return grouped.agg(F.grouping_id().cast("long").alias("level"), F.round(F.avg(score), 3).alias("mean"), F.count("*").alias("n"), F.count_if(F.col(score).isNull()).alias("unparsed"))
+    return grouped.agg(F.grouping_id().cast("long").alias("level"), *(F.round(F.avg(s), 3).alias(s) for s in scores), F.count("*").alias("n"), F.count_if(F.coalesce(*scores).isNull()).alias("unparsed"))
 
 
 def judge_cube(df: DataFrame, keys: list[str], score: str = "answer_score") -> DataFrame:
@@ -80,11 +81,14 @@ def experiment_grid(questions: DataFrame, configs: DataFrame) -> DataFrame:
     return questions.crossJoin(F.broadcast(configs))
 
 
-def prompt_budget(frozen: DataFrame, ks: list[int], context: int, chars_per_token: float = 2.6, reserve: int = 400) -> DataFrame:
-    """Per k the longest prompt in tokens over all questions (chunks array<string>), and whether it fits."""
-    size = F.aggregate(F.slice("chunks", F.lit(1), F.col("k")), F.lit(0), lambda a, c: a + F.length(c))
-    each = frozen.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "chunks").select("k", size.alias("chars"))
-    return each.groupBy("k").agg(F.max("chars").cast("long").alias("chars")).withColumn("tokens", F.col("chars") / chars_per_token + reserve).withColumn("fits", F.col("tokens") <= context)
+def prompt_budget(ranked: DataFrame, by: str, ks: list[int], context: int, chars_per_token: float = 2.6, reserve: int = 400) -> DataFrame:
+    """Per k the longest prompt in tokens over all questions, and whether it fits, from ranked chunks (by, rank, text). Only lengths of
+    the first chunks of each question are gathered."""
+    size = F.col("size")
+    first = ranked.select(by, "rank", F.length("text").cast("long").alias("size")).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("rank", "size"))).where(F.col("place") <= max(ks))
+    sums = first.groupBy(by).agg(*(F.sum(F.when(F.col("place") <= k, size)).alias(f"k{k}") for k in ks))
+    each = sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("chars")) for k in ks))).alias("x")).select("x.*")
+    return each.groupBy("k").agg(F.max("chars").alias("chars")).withColumn("tokens", F.col("chars") / chars_per_token + reserve).withColumn("fits", F.col("tokens") <= context)
 
 
 def todo(units: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -96,13 +100,16 @@ def cumulative_merge(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFram
     return old.join(new.select(key), key, "left_anti").unionByName(new), old.join(new.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("replaced"))
 
 
-def joined_comments(df: DataFrame, by: str, key: str, line: Column) -> DataFrame:
-    return df.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.struct(key, line.alias("line"))))["line"], "\n").alias("comments"))
+def joined_comments(df: DataFrame, by: list[str], key: str, line: Column, per_page: int = 100) -> DataFrame:
+    """Per run one text of all lines in the order of a whole-number key, in pages of so many keys each, so that no row holds a whole
+    run: the pages in order are the text."""
+    paged = df.withColumn("page", F.floor(F.col(key) / per_page))
+    return paged.groupBy(*by, "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct(key, line.alias("line"))))["line"], "\n").alias("comments"))
 
 
-def side_by_side(df: DataFrame, key: str, model: str = "model") -> DataFrame:
+def side_by_side(df: DataFrame, keys: list[str], model: str = "model") -> DataFrame:
     """Per question the answers of all models as a map."""
-    return df.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(model, "answer")))).alias("answers"))
+    return df.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(model, "answer")))).alias("answers"))
 
 
 def errors_by_model(df: DataFrame, model: str = "model") -> DataFrame:

@@ -23,17 +23,18 @@ def ev1_verify_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ev2_good_items(spark: SparkSession, d: str) -> DataFrame:
-    items = eval_items(spark, d).withColumn("file", F.when(F.col("id") % 2 == 0, "a").otherwise("b")).withColumn("pos", F.col("id")).withColumn("id", (F.col("id") % 150).cast("string"))
+    items = eval_items(spark, d).withColumn("file", F.when(F.col("id") % 2 == 0, "a").otherwise("b")).withColumn("pos", F.col("id")).withColumn("id", F.floor(F.col("id") / 3).cast("string"))
     v = e.verify_items(e.rename_repeats(items), _sources(spark, d), _TOPICS)
     return v.where(F.size("errors") == 0).groupBy("topic").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """For each item five documents, that of the item at rank 1 + id mod 7 where this is at most five."""
-    items = eval_items(spark, d)
-    spot = items.select("id", "doc_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
-    at = F.when(F.col("rank") == F.col("id") % 7 + 1, F.col("doc_id")).otherwise((F.col("doc_id") + F.col("rank") * 37) % 200)
-    return spot.select("id", "rank", at.alias("of")).join(table(spark, d, "documents").select(F.col("doc_id").alias("of"), "text"), "of").select("id", "rank", F.col("of").cast("string").alias("source"), "text")
+    """For each item five documents, drawn from all, and its own at rank 1 + id mod 7 where this is at most five."""
+    docs = table(spark, d, "documents")
+    ids = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    spot = eval_items(spark, d).select("id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
+    at = F.when(F.col("rank") == F.col("id") % 7 + 1, F.col("id")).otherwise((F.col("id") * 31 + F.col("rank") * 7919) % ids)
+    return spot.select("id", "rank", at.alias("of")).join(docs.select(F.col("doc_id").alias("of"), "text"), "of").select("id", "rank", F.col("of").cast("string").alias("source"), "text")
 
 
 def ev3_score_retrieval(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +113,7 @@ def ev13_stability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = F.substring("text", 1, 120)
+    t = F.col("text")
     hyp = F.when(F.col("item_id") % 4 == 0, t).when(F.col("item_id") % 4 == 1, F.replace(t, F.lit("the "), F.lit(""))).when(F.col("item_id") % 4 == 2, F.replace(t, F.lit("e"), F.lit("a"))).otherwise(F.lit(""))
     return table(spark, d, "benchmark").select("item_id", t.alias("ref"), hyp.alias("hyp"))
 
@@ -137,7 +138,7 @@ def ev17_voice_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ag1_judge_summary(spark: SparkSession, d: str) -> DataFrame:
-    return s.judge_summary(judge_rows(spark, d), [["backend"], ["topic"], ["backend", "topic"], []])
+    return s.judge_summary(judge_rows(spark, d), [["backend"], ["topic"], ["backend", "topic"], []], ["chunks_score", "answer_score", "style_score"])
 
 
 def ag2_judge_cube(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +201,8 @@ def ag9_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ag10_prompt_budget(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").groupBy((F.col("doc_id") % 40).alias("q")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 900).alias("t"))))["t"].alias("chunks"))
-    return s.prompt_budget(chunks, [5, 10, 15, 20], 4096).withColumn("tokens", F.round("tokens", 6))
+    ranked = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 25).alias("q"), (F.col("doc_id") % 25).alias("rank"), "text")
+    return s.prompt_budget(ranked, "q", [5, 10, 15, 20], 4096).withColumn("tokens", F.round("tokens", 6))
 
 
 def ag11_todo(spark: SparkSession, d: str) -> DataFrame:
@@ -220,14 +221,14 @@ def _one_digit(missing: str):
 
 
 def ag13_comments(spark: SparkSession, d: str) -> DataFrame:
-    j = judge_rows(spark, d).where("top_k = 5").withColumn("key", F.col("id"))
-    return s.joined_comments(j, "backend", "key", F.concat(F.col("id").cast("string"), F.lit(" "), _one_digit("-")))
+    j = judge_rows(spark, d).withColumn("line", F.concat(F.col("id").cast("string"), F.lit(" "), _one_digit("-")))
+    return s.joined_comments(j, ["backend", "top_k"], "id", F.col("line"))
 
 
 def ag14_side_by_side(spark: SparkSession, d: str) -> DataFrame:
-    a = judge_rows(spark, d).where("top_k = 10").select("id", F.col("backend").alias("model"), _one_digit("error").alias("answer"))
-    m = s.side_by_side(a, "id")
-    return m.select("id", *(F.try_element_at("answers", F.lit(b)).alias(b) for b in ("b0", "b1", "b2")))
+    a = judge_rows(spark, d).select("id", "top_k", F.col("backend").alias("model"), _one_digit("error").alias("answer"))
+    m = s.side_by_side(a, ["id", "top_k"])
+    return m.select("id", "top_k", *(F.try_element_at("answers", F.lit(b)).alias(b) for b in ("b0", "b1", "b2")))
 
 
 def ag14_errors(spark: SparkSession, d: str) -> DataFrame:
@@ -235,8 +236,8 @@ def ag14_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ag15_distinct_mapped(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 3).alias("question"))
-    return s.map_distinct(turns, "question", lambda q, c, out: q.withColumn(out, F.concat(F.upper(c), F.lit("?"))), "rephrased")
+    turns = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return s.map_distinct(turns, "question", lambda q, c, out: q.withColumn(out, F.concat(F.lower(c), F.lit("?"))), "rephrased")
 
 
 def ag16_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -262,14 +263,14 @@ _VERIFY = f"""i AS ({{items}}), s AS (SELECT doc_id::VARCHAR AS source, {_N.form
 v AS (SELECT i.*, hay, list_filter([CASE WHEN trim(coalesce(question,'')) = '' THEN 'missing question' END, CASE WHEN trim(coalesce(gold_source,'')) = '' THEN 'missing gold_source' END, CASE WHEN trim(coalesce(gold_quote,'')) = '' THEN 'missing gold_quote' END,
   CASE WHEN NOT regexp_matches(topic, '^topic[0-9]+$') THEN 'bad topic ' || topic END, CASE WHEN source IS NULL THEN 'unknown source ' || gold_source END], lambda x: x IS NOT NULL)
   || CASE WHEN source IS NULL THEN [] ELSE list_transform(list_filter({_FR}, lambda f: NOT contains(hay, f)), lambda f: 'quote not found ' || substr(f, 1, 30)) END AS errors FROM i LEFT JOIN s ON gold_source = source)"""
-_RK = f"""it AS ({ITEMS_SQL}), rk AS (SELECT id, rank, of, text FROM (SELECT id, r::INT AS rank, CASE WHEN r = id % 7 + 1 THEN it.doc_id ELSE (it.doc_id + r * 37) % 200 END AS of FROM it, range(1, 6) x(r)) JOIN documents ON doc_id = of),
+_RK = f"""it AS ({ITEMS_SQL}), rk AS (SELECT id, rank, of, text FROM (SELECT id, r::INT AS rank, CASE WHEN r = id % 7 + 1 THEN id ELSE (id * 31 + r * 7919) % (SELECT max(doc_id) + 1 FROM documents) END AS of FROM it, range(1, 6) x(r)) JOIN documents ON doc_id = of),
 sc AS (SELECT it.id, min(rank) FILTER (of::VARCHAR = gold_source) AS found_rank, any_value({_FR}) AS f,
   string_agg({_N.format('text')}, ' ' ORDER BY rank) FILTER (rank <= 1) AS j1, string_agg({_N.format('text')}, ' ' ORDER BY rank) FILTER (rank <= 3) AS j3, string_agg({_N.format('text')}, ' ' ORDER BY rank) FILTER (rank <= 5) AS j5
   FROM it LEFT JOIN rk USING (id) GROUP BY it.id),
 r AS (SELECT id, found_rank, coalesce((found_rank <= 1)::INT, 0) AS recall_1, coalesce((found_rank <= 3)::INT, 0) AS recall_3, coalesce((found_rank <= 5)::INT, 0) AS recall_5,
   (len(f) > 0 AND len(list_filter(f, lambda x: NOT contains(coalesce(j1, ''), x))) = 0)::INT AS quote_1, (len(f) > 0 AND len(list_filter(f, lambda x: NOT contains(coalesce(j3, ''), x))) = 0)::INT AS quote_3, (len(f) > 0 AND len(list_filter(f, lambda x: NOT contains(coalesce(j5, ''), x))) = 0)::INT AS quote_5,
   coalesce(1.0::DOUBLE / found_rank, 0.0) AS mrr FROM sc)"""
-_AGAIN = "CASE WHEN row_number() OVER (PARTITION BY id % 150 ORDER BY id % 2, id) = 1 THEN (id % 150)::VARCHAR ELSE (id % 150) || '-' || CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END END"
+_AGAIN = "CASE WHEN row_number() OVER (PARTITION BY id // 3 ORDER BY id % 2, id) = 1 THEN (id // 3)::VARCHAR ELSE (id // 3) || '-' || CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END END"
 _ARMS = f"SELECT id, 'arm' || a AS arm, ((id * (a + 3)) % 7 < 4)::INT AS hit FROM ({ITEMS_SQL}), range(3) x(a)"
 _ANS = "SELECT (conv_id % 4)::INT AS arm, conv_id AS id, text AS answer, length(text) AS tokens, turn FROM conversations WHERE role = 'assistant'"
 _LAT = "SELECT event_type, user_id, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[{}] AS percentile FROM events GROUP BY event_type, user_id"
@@ -285,7 +286,7 @@ SQL = {
     "ev2_good_items": f"WITH {_VERIFY.format(items=f'SELECT * REPLACE ({_AGAIN} AS id) FROM ({ITEMS_SQL})')} SELECT topic, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM v WHERE len(errors) = 0 GROUP BY topic",
     "ev3_score_retrieval": f"WITH {_RK} SELECT * REPLACE (round(mrr, 9) AS mrr) FROM r",
     "ev4_aggregate_scores": f"WITH {_RK} SELECT (id % 3)::INT AS arm, round(avg(recall_1), 4) AS recall_1, round(avg(recall_3), 4) AS recall_3, round(avg(recall_5), 4) AS recall_5, round(avg(quote_1), 4) AS quote_1, round(avg(quote_3), 4) AS quote_3, round(avg(quote_5), 4) AS quote_5, round(avg(mrr), 4) AS mrr FROM r GROUP BY 1",
-    "ev5_retrieval_grid": f"""WITH it AS ({ITEMS_SQL}), rk AS (SELECT id, rank, of, text FROM (SELECT id, r::INT AS rank, CASE WHEN r = id % 7 + 1 THEN it.doc_id ELSE (it.doc_id + r * 37) % 200 END AS of FROM it, range(1, 6) x(r)) JOIN documents ON doc_id = of),
+    "ev5_retrieval_grid": f"""WITH it AS ({ITEMS_SQL}), rk AS (SELECT id, rank, of, text FROM (SELECT id, r::INT AS rank, CASE WHEN r = id % 7 + 1 THEN id ELSE (id * 31 + r * 7919) % (SELECT max(doc_id) + 1 FROM documents) END AS of FROM it, range(1, 6) x(r)) JOIN documents ON doc_id = of),
 two AS (SELECT id, rank, of, text FROM rk UNION ALL SELECT id, 6 - rank, of, text FROM rk),
 cf(config, top_k, pool, rrf_k, ms) AS (SELECT format('k{{}}-p{{}}-r{{}}', k, p, r), k, p, r, (k * p)::DOUBLE FROM (VALUES (3, 3, 10), (5, 3, 10), (3, 5, 60), (5, 5, 60), (1, 5, 10), (3, 4, 60)) v(k, p, r)),
 fu AS (SELECT config, top_k, id, of, round(sum(1.0::DOUBLE / (rrf_k + rank)), 12) AS s, min(rank) AS first, any_value(text) AS text FROM two, cf WHERE rank <= pool GROUP BY ALL),
@@ -307,13 +308,13 @@ c AS (SELECT list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a) * list_
 SELECT (conv_id % 4)::INT AS arm, count(*) AS n, count(*) FILTER (ends_with(trim(r), '?')) AS asks, count(*) FILTER (lower(trim(r)) <> lower(trim(q))) AS changed, round((avg(conv_id * 3 + 10) / avg(conv_id + 20) - 1) * 100, 2) AS ms_change FROM x GROUP BY 1""",
     "ev12_truncation": f"SELECT arm, count(*) AS n, count(*) FILTER (tokens >= 300) AS capped, count(*) FILTER (NOT regexp_matches(answer, '[.!?»)]\\s*$')) AS cut FROM ({_ANS}) GROUP BY arm",
     "ev13_stability": f"WITH e AS (SELECT id, (count(DISTINCT trim(CASE WHEN id % 3 = 0 THEN ' same' ELSE answer END)) = 1)::INT AS s FROM ({_ANS}) GROUP BY id) SELECT count(*) AS n, round(avg(s) * 100, 2) AS stable_pct FROM e",
-    "ev15_cer": r"""WITH p AS (SELECT item_id, substr(text, 1, 120) AS r FROM benchmark), q AS (SELECT item_id, r, CASE item_id % 4 WHEN 0 THEN r WHEN 1 THEN replace(r, 'the ', '') WHEN 2 THEN replace(r, 'e', 'a') ELSE '' END AS h FROM p),
+    "ev15_cer": r"""WITH p AS (SELECT item_id, text AS r FROM benchmark), q AS (SELECT item_id, r, CASE item_id % 4 WHEN 0 THEN r WHEN 1 THEN replace(r, 'the ', '') WHEN 2 THEN replace(r, 'e', 'a') ELSE '' END AS h FROM p),
 n AS (SELECT item_id, trim(regexp_replace(regexp_replace(replace(lower(r), 'ё', 'е'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS r, trim(regexp_replace(regexp_replace(replace(lower(h), 'ё', 'е'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS h FROM q),
 x AS (SELECT item_id, regexp_replace(r, '[^\x00-\x7F]', '', 'g') = r AND regexp_replace(h, '[^\x00-\x7F]', '', 'g') = h AS ascii, r, h FROM n)
 SELECT item_id, round(CASE WHEN length(r) > 0 THEN levenshtein(translate(r, 'äöüßéèêçáíóúñàâîôûù', '123456789!@#$%^&*()'), translate(h, 'äöüßéèêçáíóúñàâîôûù', '123456789!@#$%^&*()'))::DOUBLE / length(r) ELSE (length(h) > 0)::INT::DOUBLE END, 9) AS cer FROM x""",
     "ev16_model_summary": "SELECT event_type, round(avg(event_id % 10 / 10.0) FILTER (event_id % 9 <> 0), 9) AS wer, round(avg(event_id % 8 / 8.0) FILTER (event_id % 9 <> 0), 9) AS cer, round(avg(event_id % 4 / 4.0) FILTER (event_id % 9 <> 0), 9) AS rtf, count(*) FILTER (event_id % 9 = 0) AS failed FROM events GROUP BY event_type",
     "ev17_voice_grid": "SELECT event_type, (user_id % 3)::INT AS speed, round(avg(event_id % 100), 9) AS ms, max(value) AS peak, round(avg(event_id % 16 / 16.0), 9) AS rms FROM events GROUP BY 1, 2",
-    "ag1_judge_summary": f"SELECT backend, topic, grouping_id(backend, topic)::BIGINT AS level, round(avg(answer_score), 3) AS mean, count(*) AS n, count(*) FILTER (answer_score IS NULL) AS unparsed FROM ({JUDGE_SQL}) GROUP BY GROUPING SETS ((backend), (topic), (backend, topic), ())",
+    "ag1_judge_summary": f"SELECT backend, topic, grouping_id(backend, topic)::BIGINT AS level, round(avg(chunks_score), 3) AS chunks_score, round(avg(answer_score), 3) AS answer_score, round(avg(style_score), 3) AS style_score, count(*) AS n, count(*) FILTER (coalesce(chunks_score, answer_score, style_score) IS NULL) AS unparsed FROM ({JUDGE_SQL}) GROUP BY GROUPING SETS ((backend), (topic), (backend, topic), ())",
     "ag2_judge_cube": f"SELECT backend, top_k, grouping_id(backend, top_k)::BIGINT AS level, round(avg(answer_score), 3) AS mean, count(*) AS n FROM ({JUDGE_SQL}) GROUP BY CUBE (backend, top_k)",
     "ag3_unparsed": f"SELECT backend, count(*) FILTER (top_k = 5 AND answer_score IS NULL) AS k5, count(*) FILTER (top_k = 10 AND answer_score IS NULL) AS k10, count(*) FILTER (top_k = 15 AND answer_score IS NULL) AS k15, count(*) FILTER (top_k = 20 AND answer_score IS NULL) AS k20 FROM ({JUDGE_SQL}) GROUP BY backend",
     "ag4_mean_se": f"WITH m AS (SELECT backend, top_k, count(chunks_score) AS n, avg(chunks_score) AS mean, coalesce(stddev_samp(chunks_score) / sqrt(count(chunks_score)), 0) AS se FROM ({JUDGE_SQL}) GROUP BY ALL) SELECT backend, top_k, n, round(mean, 9) AS mean, round(se, 9) AS se, round(se * 1.96, 9) AS ci FROM m",
@@ -324,13 +325,13 @@ SELECT item_id, round(CASE WHEN length(r) > 0 THEN levenshtein(translate(r, 'ä
     "ag7_latency_plain": _LAT.format("floor(count(*) * 0.9::DOUBLE)::BIGINT + 1"),
     "ag8_stage_latency": "SELECT event_type, stage, round(avg(ms), 9) AS ms FROM (SELECT event_type, unnest(['dense', 'sparse', 'rerank', 'search']) AS stage, unnest([event_id % 7, event_id % 5, event_id % 3, event_id % 7 + event_id % 5])::DOUBLE AS ms FROM events) GROUP BY ALL",
     "ag9_grid": "SELECT item_id, k::INT AS top_k FROM benchmark, (VALUES (5), (10), (15)) x(k)",
-    "ag10_prompt_budget": "WITH c AS (SELECT doc_id % 40 AS q, list(substr(text, 1, 900) ORDER BY doc_id, substr(text, 1, 900)) AS c FROM documents GROUP BY 1), s AS (SELECT k, max(list_sum(list_transform(c[1:k], lambda x: length(x))))::BIGINT AS chars FROM c, (VALUES (5), (10), (15), (20)) x(k) GROUP BY k) SELECT k::INT AS k, chars, round(chars / 2.6::DOUBLE + 400, 6) AS tokens, chars / 2.6::DOUBLE + 400 <= 4096 AS fits FROM s",
+    "ag10_prompt_budget": "WITH c AS (SELECT doc_id // 25 AS q, length(text) AS n, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id % 25) AS r FROM documents), s AS (SELECT q, k, sum(n)::BIGINT AS chars FROM c, (VALUES (5), (10), (15), (20)) x(k) WHERE r <= k GROUP BY q, k), m AS (SELECT k, max(chars) AS chars FROM s GROUP BY k) SELECT k::INT AS k, chars, round(chars / 2.6::DOUBLE + 400, 6) AS tokens, chars / 2.6::DOUBLE + 400 <= 4096 AS fits FROM m",
     "ag11_todo": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "ag12_merge": "WITH n AS (SELECT doc_id, doc_id % 2 AS quality FROM documents WHERE doc_id % 3 = 0) SELECT run, count(*) AS n, sum(quality)::BIGINT AS quality, (SELECT count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM n)) AS replaced FROM (SELECT 'new' AS run, quality FROM n UNION ALL SELECT 'old', quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM n)) GROUP BY run",
-    "ag13_comments": f"SELECT backend, string_agg(id || ' ' || coalesce(format('{{:.1f}}', answer_score), '-'), chr(10) ORDER BY id) AS comments FROM ({JUDGE_SQL}) WHERE top_k = 5 GROUP BY backend",
-    "ag14_side_by_side": f"SELECT id, " + ", ".join(f"max(coalesce(format('{{:.1f}}', answer_score), 'error')) FILTER (backend = '{b}') AS {b}" for b in ("b0", "b1", "b2")) + f" FROM ({JUDGE_SQL}) WHERE top_k = 10 GROUP BY id",
+    "ag13_comments": f"SELECT backend, top_k, id // 100 AS page, string_agg(id || ' ' || coalesce(format('{{:.1f}}', answer_score), '-'), chr(10) ORDER BY id) AS comments FROM ({JUDGE_SQL}) GROUP BY ALL",
+    "ag14_side_by_side": f"SELECT id, top_k, " + ", ".join(f"max(coalesce(format('{{:.1f}}', answer_score), 'error')) FILTER (backend = '{b}') AS {b}" for b in ("b0", "b1", "b2")) + f" FROM ({JUDGE_SQL}) GROUP BY id, top_k",
     "ag14_errors": f"SELECT backend AS model, count(*) AS n, count(*) FILTER (answer_score IS NULL) AS errors FROM ({JUDGE_SQL}) GROUP BY backend",
-    "ag15_distinct_mapped": "SELECT substr(text, 1, 3) AS question, conv_id, turn, upper(substr(text, 1, 3)) || '?' AS rephrased FROM conversations WHERE role = 'user'",
+    "ag15_distinct_mapped": "SELECT text AS question, conv_id, turn, lower(text) || '?' AS rephrased FROM conversations WHERE role = 'user'",
     "ag16_counters": "SELECT event_type, count(*) AS count, sum(user_id)::BIGINT AS total FROM events GROUP BY event_type",
     "io11_exposition": "SELECT '# HELP events_total Events by type.' AS line UNION ALL SELECT '# TYPE events_total counter' UNION ALL SELECT 'events_total{event_type=\"' || event_type || '\"} ' || count(*) FROM events GROUP BY event_type",
     "w2_question_scores": f"""WITH {_TOPK}, h AS (SELECT query_id, rank, score, contains({_N.format('documents.text')}, {_N.format('benchmark.text')}) AS hit FROM bm JOIN documents ON doc_id = chunk_id JOIN benchmark ON item_id = query_id)

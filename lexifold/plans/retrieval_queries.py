@@ -53,7 +53,8 @@ def rt5_quantized_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _two_lists(spark: SparkSession, d: str) -> DataFrame:
     one = rt4_dense_topk(spark, d).withColumn("list_id", F.lit(0))
-    two = one.select("query_id", ((F.col("chunk_id") * 7 + F.col("query_id")) % 500).alias("chunk_id"), "score", "rank").withColumn("list_id", F.lit(1))
+    ids = (_vectors(spark, d).agg(F.max("chunk_id")).first()[0] or 0) + 1
+    two = one.select("query_id", ((F.col("chunk_id") * 7 + F.col("query_id")) % ids).alias("chunk_id"), "score", "rank").withColumn("list_id", F.lit(1))
     return one.unionByName(two.dropDuplicates(["query_id", "chunk_id"]))
 
 
@@ -83,35 +84,41 @@ def rt7_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return found.join(_chunks(spark, d).select("chunk_id", "source"), "chunk_id")
 
 
+def _spoken():
+    """A shorter way to put a whole question: every second word."""
+    return F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 2 == 0), " ")
+
+
 def rt8_union_phrasings(spark: SparkSession, d: str) -> DataFrame:
-    arms = [(F.col("text"), ["dense", "sparse"]), (F.substring("text", 1, 60), ["dense", "sparse"]), (F.when(F.col("query_id") % 2 == 0, "").otherwise(F.substring("text", 61, 60)), ["dense", "sparse"])]
+    rest = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 2 == 1), " ")
+    arms = [(F.col("text"), ["dense", "sparse"]), (_spoken(), ["dense", "sparse"]), (F.when(F.col("query_id") % 2 == 0, "").otherwise(rest), ["dense", "sparse"])]
     return _hybrid(spark, d, _phrased(spark, d, arms))
 
 
 def rt9_keyword_vote(spark: SparkSession, d: str) -> DataFrame:
     keywords = F.array_join(F.slice(F.array_sort(F.array_distinct(F.split("text", " "))), 1, 8), " ")
-    arms = [(F.col("text"), ["dense", "sparse"]), (F.substring("text", 1, 80), ["dense", "sparse"]), (keywords, ["sparse"])]
+    arms = [(F.col("text"), ["dense", "sparse"]), (_spoken(), ["dense", "sparse"]), (keywords, ["sparse"])]
     return _hybrid(spark, d, _phrased(spark, d, arms))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     texts = _chunks(spark, d).select("chunk_id", "text")
-    questions = _questions(spark, d).select("query_id", F.col("text").alias("question"), F.substring("text", 1, 60).alias("canonical"))
+    questions = _questions(spark, d).select("query_id", F.col("text").alias("question"), _spoken().alias("canonical"))
     return r.bm25_topk(_questions(spark, d), r.build_bm25(_chunks(spark, d)), 10).join(texts, "chunk_id").join(questions, "query_id")
 
 
 def rt10_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return r.rerank(_candidates(spark, d), r.lexical_scorer, 5).select("query_id", "chunk_id", "rerank_score", "rank")
+    return r.rerank(_candidates(spark, d), r.lexical_scorer, 5).select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "rank")
 
 
 def rt11_rerank_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return r.rerank(_candidates(spark, d), r.lexical_scorer, 5, "canonical").select("query_id", "chunk_id", "rerank_score", "rank")
+    return r.rerank(_candidates(spark, d), r.lexical_scorer, 5, "canonical").select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "rank")
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     top = r.bm25_topk(_questions(spark, d), r.build_bm25(_chunks(spark, d)), 5)
     point = F.when(F.col("chunk_id") % 3 != 0, (F.col("chunk_id") % 9).cast("string"))
-    return top.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring("text", 1, 40).alias("text")), "chunk_id").withColumn("point", point)
+    return top.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text"), "chunk_id").withColumn("point", point)
 
 
 def rt12_answerable(spark: SparkSession, d: str) -> DataFrame:
@@ -147,11 +154,19 @@ q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, u
 sc AS (SELECT query_id, p.chunk_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(w) / (SELECT avgdl FROM s)))), 6) AS score FROM q JOIN t USING (term) JOIN p USING (term) JOIN d ON d.chunk_id = p.chunk_id GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM sc QUALIFY rank <= 5)"""
 _RANKED = f"""{_TOPK},
-rk AS (SELECT query_id, chunk_id, score, rank, source, substr(text, 1, 40) AS text, CASE WHEN chunk_id % 3 <> 0 THEN (chunk_id % 9)::VARCHAR END AS point FROM bm JOIN documents ON doc_id = chunk_id)"""
+rk AS (SELECT query_id, chunk_id, score, rank, source, text, CASE WHEN chunk_id % 3 <> 0 THEN (chunk_id % 9)::VARCHAR END AS point FROM bm JOIN documents ON doc_id = chunk_id)"""
 _DENSE = """v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings),
 dn AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e), 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0),
 dt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM dn QUALIFY rank <= 10)"""
+_SPOKEN = "array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 2 = 1), ' ')"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
+_RERANK = f"""WITH {_TOPK.replace("rank <= 5", "rank <= 10")},
+w AS (SELECT query_id, chunk_id, rank AS fused, {_WORDS.format("q.text")} AS a, {_WORDS.format("d.text")} AS b FROM bm JOIN (SELECT item_id, {{}} AS text FROM benchmark) q ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
+l AS (SELECT *, ln((len(list_intersect(a, b)) + 0.5::DOUBLE) / (len(a) + 1) / (1 - (len(list_intersect(a, b)) + 0.5::DOUBLE) / (len(a) + 1))) AS logit FROM w)
+SELECT query_id, chunk_id, round(1 / (1 + exp(-logit)), 9) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY round(logit, 9) DESC, fused)::INT AS rank FROM l QUALIFY rank <= 5"""
 SQL = {
+    "rt10_rerank": _RERANK.format("text"),
+    "rt11_rerank_canonical": _RERANK.format(_SPOKEN),
     "rt1_bm25_terms": f"WITH {_BM25} SELECT term, df, round(idf, 9) AS idf FROM t",
     "rt2_bm25_topk": f"WITH {_TOPK} SELECT query_id, chunk_id, score, rank FROM bm",
     "rt4_dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dt",
@@ -161,7 +176,7 @@ SELECT vec_id AS chunk_id, string_agg(CASE WHEN high > low THEN floor((x - low)
 c AS (SELECT vec_id, pos, low + CASE WHEN high > low THEN floor((x - low) / (high - low) * 255 + 0.5) ELSE 0 END / 255 * (high - low) AS y FROM e JOIN b USING (pos)),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(sum(q.x * c.y), 6) AS score FROM e q JOIN c USING (pos) WHERE q.vec_id % 20 = 0 GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 10""",
-    "rt6_rrf": f"""WITH {_DENSE}, l AS (SELECT query_id, 0 AS list_id, chunk_id, rank FROM dt UNION ALL SELECT query_id, 1, (chunk_id * 7 + query_id) % 500, min(rank) FROM dt GROUP BY ALL),
+    "rt6_rrf": f"""WITH {_DENSE}, l AS (SELECT query_id, 0 AS list_id, chunk_id, rank FROM dt UNION ALL SELECT query_id, 1, (chunk_id * 7 + query_id) % (SELECT max(vec_id) + 1 FROM embeddings), min(rank) FROM dt GROUP BY ALL),
 f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_id * 1000 + rank) AS first FROM l GROUP BY ALL)
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id)::INT AS rank FROM f""",
     "rt12_answerable": f"WITH {_RANKED}, k AS (SELECT query_id, count(*) AS n, max(score / 200) AS best FROM rk WHERE query_id % 9 <> 4 GROUP BY query_id) SELECT item_id AS query_id, coalesce(n, 0) AS n, round(best, 5) AS best, coalesce(n, 0) > 0 AND coalesce(best, 0) >= 0.3 AS answered FROM benchmark LEFT JOIN k ON item_id = query_id",

@@ -22,7 +22,7 @@ def sc9_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def sc10_normalize(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
-    line = F.concat(F.lit("в "), (n % 24).cast("string"), F.lit(":05 "), (n % 28 + 1).cast("string"), F.lit(" июля "), (n % 60 + 1990).cast("string"), F.lit(" года не менее "), (n * 7).cast("string"), F.lit(" баллов, IELTS "), (n % 9).cast("string"), F.lit(",5 "), F.substring("text", 1, 30))
+    line = F.concat(F.lit("в "), (n % 24).cast("string"), F.lit(":05 "), (n % 28 + 1).cast("string"), F.lit(" июля "), (n % 60 + 1990).cast("string"), F.lit(" года не менее "), (n * 7).cast("string"), F.lit(" баллов, IELTS "), (n % 9).cast("string"), F.lit(",5 "), "text")
     return table(spark, d, "documents").select("doc_id", s.normalize_speech(line).alias("spoken"))
 
 

@@ -23,19 +23,20 @@ LINES_SQL = """SELECT doc_id, pos::INT AS pos, CASE WHEN pos = 0 THEN '## ' || r
 
 
 def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, question, gold_source, gold_quote, topic, doc_id): one for each fifth document; every 7th has a corrupt quote, every
-    11th an unknown source, every 13th a bad topic; even ones have two fragments."""
-    d, n = table(spark, sf_dir, "documents").where("doc_id % 5 = 0"), F.col("doc_id") / 5
-    quote = F.concat(F.substring("text", 21, 60), F.when(n % 2 == 0, F.concat(F.lit("…"), F.substring("text", 121, 40))).otherwise(F.lit("")))
+    """(id, question, gold_source, gold_quote, topic): one for each document. Quotes are fragments from a quarter of the text on, and
+    for even ids from its middle on too; every 7th has a corrupt quote, every 11th an unknown source, every 13th a bad topic."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    cut = lambda part, length: F.substring("text", F.floor(F.length("text") / part).cast("int") + 1, F.lit(length))
+    quote = F.concat(cut(4, 60), F.when(n % 2 == 0, F.concat(F.lit("…"), cut(2, 40))).otherwise(F.lit("")))
     return d.select(
-        n.cast("long").alias("id"), F.substring("text", 21, 120).alias("question"), F.when(n % 11 == 0, F.lit("unknown")).otherwise(F.col("doc_id").cast("string")).alias("gold_source"),
-        F.when(n % 7 == 0, F.concat(F.lit("zzqx "), quote)).otherwise(quote).alias("gold_quote"), F.when(n % 13 == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (n % 12).cast("int").cast("string"))).alias("topic"), "doc_id",
+        n.alias("id"), F.col("text").alias("question"), F.when(n % 11 == 0, F.lit("unknown")).otherwise(n.cast("string")).alias("gold_source"),
+        F.when(n % 7 == 0, F.concat(F.lit("zzqx "), quote)).otherwise(quote).alias("gold_quote"), F.when(n % 13 == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (n % 12).cast("string"))).alias("topic"),
     )
 
 
-ITEMS_SQL = """SELECT doc_id // 5 AS id, substr(text, 21, 120) AS question, CASE WHEN (doc_id // 5) % 11 = 0 THEN 'unknown' ELSE doc_id::VARCHAR END AS gold_source,
-  CASE WHEN (doc_id // 5) % 7 = 0 THEN 'zzqx ' ELSE '' END || substr(text, 21, 60) || CASE WHEN (doc_id // 5) % 2 = 0 THEN '…' || substr(text, 121, 40) ELSE '' END AS gold_quote,
-  CASE WHEN (doc_id // 5) % 13 = 0 THEN 'none' ELSE 'topic' || ((doc_id // 5) % 12) END AS topic, doc_id FROM documents WHERE doc_id % 5 = 0"""
+ITEMS_SQL = """SELECT doc_id AS id, text AS question, CASE WHEN doc_id % 11 = 0 THEN 'unknown' ELSE doc_id::VARCHAR END AS gold_source,
+  CASE WHEN doc_id % 7 = 0 THEN 'zzqx ' ELSE '' END || substr(text, length(text) // 4 + 1, 60) || CASE WHEN doc_id % 2 = 0 THEN '…' || substr(text, length(text) // 2 + 1, 40) ELSE '' END AS gold_quote,
+  CASE WHEN doc_id % 13 = 0 THEN 'none' ELSE 'topic' || (doc_id % 12) END AS topic FROM documents"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +71,15 @@ FRAMES_SQL = """SELECT user_id AS session, seq::INT AS seq, (100 * seq)::BIGINT
 
 
 def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(backend, top_k, id, topic, chunks_score, answer_score): 3 backends x 4 top_k for each item; null scores are unparsed."""
-    items = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select((F.col("doc_id") / 5).cast("long").alias("id"))
+    """(backend, top_k, id, topic, chunks_score, answer_score, style_score): 3 backends x 4 top_k for each document; null scores are
+    unparsed."""
     cells = F.explode(F.sequence(F.lit(0), F.lit(11)))
-    r = items.select("id", cells.alias("cell")).withColumn("b", (F.col("cell") / 4).cast("int")).withColumn("k", (F.col("cell") % 4 + 1) * 5)
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), cells.alias("cell")).withColumn("b", (F.col("cell") / 4).cast("int")).withColumn("k", (F.col("cell") % 4 + 1) * 5)
     score = lambda a: F.when((F.col("id") + F.col("k")) % 31 != 0, ((F.col("id") * 7 + F.col("b") * 13 + F.col("k") * a) % 11) / 10.0)
-    return r.select(F.concat(F.lit("b"), F.col("b").cast("string")).alias("backend"), F.col("k").cast("int").alias("top_k"), "id", F.concat(F.lit("topic"), (F.col("id") % 12).cast("string")).alias("topic"), score(3).alias("chunks_score"), score(5).alias("answer_score"))
+    topic = F.concat(F.lit("topic"), (F.col("id") % 12).cast("string")).alias("topic")
+    return r.select(F.concat(F.lit("b"), F.col("b").cast("string")).alias("backend"), F.col("k").cast("int").alias("top_k"), "id", topic, score(3).alias("chunks_score"), score(5).alias("answer_score"), score(7).alias("style_score"))
 
 
-JUDGE_SQL = """SELECT 'b' || b AS backend, k::INT AS top_k, id, 'topic' || (id % 12) AS topic, CASE WHEN (id + k) % 31 <> 0 THEN ((id * 7 + b * 13 + k * 3) % 11) / 10.0::DOUBLE END AS chunks_score,
-  CASE WHEN (id + k) % 31 <> 0 THEN ((id * 7 + b * 13 + k * 5) % 11) / 10.0::DOUBLE END AS answer_score
-  FROM (SELECT doc_id // 5 AS id, c // 4 AS b, (c % 4 + 1) * 5 AS k FROM documents, range(12) r(c) WHERE doc_id % 5 = 0)"""
+_SCORE = "CASE WHEN (id + k) % 31 <> 0 THEN ((id * 7 + b * 13 + k * {}) % 11) / 10.0::DOUBLE END AS {}"
+JUDGE_SQL = f"""SELECT 'b' || b AS backend, k::INT AS top_k, id, 'topic' || (id % 12) AS topic, {_SCORE.format(3, "chunks_score")}, {_SCORE.format(5, "answer_score")}, {_SCORE.format(7, "style_score")}
+  FROM (SELECT doc_id AS id, c // 4 AS b, (c % 4 + 1) * 5 AS k FROM documents, range(12) r(c))"""

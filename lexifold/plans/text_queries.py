@@ -45,7 +45,8 @@ def sc12_format_ms(spark: SparkSession, d: str) -> DataFrame:
 
 def sc14_extract_question(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
-    answer = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Thinking\n вопрос: "), F.substring("text", 1, 40))).when(F.col("item_id") % 3 == 1, F.concat(F.substring("text", 1, 30), F.lit("? yes"))).when(F.col("item_id") % 6 == 2, F.col("text")).otherwise(F.lit("  "))
+    n = F.col("item_id")
+    answer = F.when(n % 3 == 0, F.concat(F.lit("Thinking\n вопрос: "), "text")).when(n % 3 == 1, F.concat("text", F.lit("? yes"))).when(n % 6 == 2, F.col("text")).otherwise(F.lit("  "))
     return b.select("item_id", t.extract_question(answer, F.col("text")).alias("question"))
 
 
@@ -53,19 +54,27 @@ def sc15_extract_keywords(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(t.extract_keywords(F.replace("text", F.lit(" "), F.lit(" ; "))), "|").alias("keywords"))
 
 
+def _verdicts(keys: tuple[str, ...]):
+    """Judge texts of four kinds: an object among words, single quotes, no object, an object inside another one."""
+    number = lambda i: F.concat(((F.col("item_id") + i) % 2).cast("string"), F.lit("."), (F.col("item_id") % 10).cast("string"))
+    body = lambda q: F.concat(*(x for i, k in enumerate(keys) for x in (F.lit(f"{q}{k}{q}: "), number(i), F.lit(", "))))
+    n = F.col("item_id") % 4
+    plain = F.when(n == 0, F.concat(F.lit("Verdict: {"), body('"'), F.lit('"comment": "fine"} done'))).when(n == 1, F.concat(F.lit("{"), body("'"), F.lit("'comment': 'poor'}")))
+    return plain.when(n == 2, F.concat(F.lit("no verdict "), F.col("text"))).otherwise(F.concat(F.lit('{"a": {"b": 1}, '), body('"'), F.lit('"comment": "deep"}')))
+
+
 def sc16_parse_verdict(spark: SparkSession, d: str) -> DataFrame:
-    score = F.format_string("%d.%d", F.col("item_id") % 2, F.col("item_id") % 10)
-    raw = (
-        F.when(F.col("item_id") % 4 == 0, F.concat(F.lit('Verdict: {"score": '), score, F.lit(', "comment": "fine"} done')))
-        .when(F.col("item_id") % 4 == 1, F.concat(F.lit("{'score': "), score, F.lit(", 'comment': 'poor'}")))
-        .when(F.col("item_id") % 4 == 2, F.concat(F.lit("no verdict "), F.col("text")))
-        .otherwise(F.concat(F.lit('{"a": {"b": 1}, "score": '), score, F.lit(', "comment": "deep"}')))
-    )
-    return table(spark, d, "benchmark").select("item_id", t.parse_verdict(raw).alias("v")).select("item_id", "v.score", "v.comment")
+    keys = ("chunks_score", "answer_score")
+    return table(spark, d, "benchmark").select("item_id", t.parse_verdict(_verdicts(keys), keys).alias("v")).select("item_id", "v.*")
+
+
+def sc16_three_scores(spark: SparkSession, d: str) -> DataFrame:
+    keys = ("chunks_score", "answer_score", "style_score")
+    return table(spark, d, "benchmark").select("item_id", t.parse_verdict(_verdicts(keys), keys).alias("v")).select("item_id", "v.*")
 
 
 def sc17_strip_think(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("<THINK>"), F.substring("text", 1, 50), F.lit("</think>\n"), F.substring("text", 51, 400), F.lit(" <think>x</think>"))
+    raw = F.concat(F.lit("<THINK>"), "text", F.lit("</think>\n"), "text", F.lit(" <think>x</think>"))
     return table(spark, d, "benchmark").select("item_id", t.strip_think(raw).alias("answer"))
 
 
@@ -110,14 +119,17 @@ SELECT doc_id, CASE doc_id%4 WHEN 0 THEN source WHEN 1 THEN 'Order '||a WHEN 2 T
   '\[(q_strong|q|exc|calm|fast|slow|emp|pause(:\w+)?)\]', '', 'g'), '\s{2,}', ' ', 'g'), '\s+([,.!?…])', '\1', 'g')) AS plain FROM conversations""",
     "sc12_format_ms": "WITH x AS (SELECT doc_id, round_even((n_chars*37+doc_id*50)/100, 0)::BIGINT AS q FROM documents) SELECT doc_id, lpad((q//600)::VARCHAR, greatest(2, length((q//600)::VARCHAR))::INT, '0')||':'||lpad(((q//10)%60)::VARCHAR,2,'0')||'.'||(q%10) AS stamp FROM x",
     "sc14_extract_question": r"""
-SELECT item_id, CASE WHEN item_id%3 = 0 THEN coalesce(nullif(trim(string_split(substr(text,1,40), chr(10))[1]), ''), 'Thinking')
-  WHEN item_id%3 = 1 THEN trim(CASE WHEN contains(substr(text,1,30),'?') THEN split_part(substr(text,1,30),'?',1)||'?' ELSE substr(text,1,30)||'?' END)
+SELECT item_id, CASE WHEN item_id%3 = 0 THEN coalesce(nullif(trim(string_split(text, chr(10))[1]), ''), 'Thinking')
+  WHEN item_id%3 = 1 THEN trim(CASE WHEN contains(text,'?') THEN split_part(text,'?',1)||'?' ELSE text||'?' END)
   WHEN item_id%6 = 2 THEN CASE WHEN contains(text,'?') THEN trim(split_part(text,'?',1)||'?') ELSE trim(string_split(trim(text), chr(10))[1]) END
   ELSE text END AS question FROM benchmark""",
     "sc15_extract_keywords": "SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(text, ' ', ' ; '), '[;,]'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')[1:10], '|') AS keywords FROM benchmark",
-    "sc16_parse_verdict": """SELECT item_id, CASE WHEN item_id%4 <> 2 THEN ((item_id%2)||'.'||(item_id%10))::DOUBLE END AS score,
-  CASE item_id%4 WHEN 0 THEN 'fine' WHEN 1 THEN 'poor' WHEN 2 THEN '[PARSE FAIL] '||substr('no verdict '||text, 1, 200) ELSE 'deep' END AS comment FROM benchmark""",
-    "sc17_strip_think": "SELECT item_id, trim(trim(substr(text, 51, 400), chr(10)||' ')) AS answer FROM benchmark",
+    **{
+        name: "SELECT item_id, " + ", ".join(f"CASE WHEN item_id%4 <> 2 THEN (((item_id+{i})%2)||'.'||(item_id%10))::DOUBLE END AS {k}" for i, k in enumerate(keys))
+        + ", CASE item_id%4 WHEN 0 THEN 'fine' WHEN 1 THEN 'poor' WHEN 2 THEN '[PARSE FAIL] '||substr('no verdict '||text, 1, 200) ELSE 'deep' END AS comment FROM benchmark"
+        for name, keys in (("sc16_parse_verdict", ("chunks_score", "answer_score")), ("sc16_three_scores", ("chunks_score", "answer_score", "style_score")))
+    },
+    "sc17_strip_think": "SELECT item_id, trim(trim(text, chr(10)||' ')) AS answer FROM benchmark",
     "sc18_render_chat": "SELECT conv_id, string_agg('<|im_start|>'||role||chr(10)||text||'<|im_end|>'||chr(10), '' ORDER BY turn, role, text)||'<|im_start|>assistant'||chr(10) AS chat FROM conversations GROUP BY conv_id",
     "sc19_render_template": "SELECT conv_id, turn, text||' / '||substr(text,1,10)||' / '||CASE WHEN turn%2=0 THEN role ELSE '' END||' / .' AS line FROM conversations",
     "sc20_sigmoid": "WITH x AS (SELECT event_id, CASE WHEN event_id%17 <> 0 THEN CASE WHEN event_id%101=0 THEN -1000.0::DOUBLE ELSE (event_id%41-20)/4.0::DOUBLE END END AS x FROM events) SELECT event_id, round(coalesce(CASE WHEN x>=0 THEN 1/(1+exp(-x)) ELSE exp(x)/(1+exp(x)) END, 0.0), 12) AS score FROM x",

@@ -73,6 +73,27 @@ def test_dense_blocks_and_fusion(spark, monkeypatch):
     assert [r.chunk_id for r in retrieve.rrf(lists).orderBy("rank").collect()] == [11, 10, 12, 13]
 
 
+def test_rerank_order_is_that_of_logits(spark):
+    logits = [-0.63, 40.0, 30.0, None, -1000.0, 1000.0, -25.0, -30.0, 40.0, None]
+    c = spark.createDataFrame([(1, i, i + 1, "q", "" if x is None else str(x)) for i, x in enumerate(logits)], "query_id int, chunk_id int, rank int, question string, text string")
+    scorer = lambda q, t: t.map(lambda x: float(x) if x else None).astype(float)
+    best = retrieve.rerank(c, scorer, 20).orderBy("rank").collect()
+    assert [r.chunk_id for r in best] == [5, 1, 8, 2, 0, 6, 7, 4, 3, 9] and [r["rank"] for r in best] == list(range(1, 11))
+    assert all(0 <= r.rerank_score <= 1 for r in best) and best[0].rerank_score == 1.0 and [r.rerank_score for r in best[-3:]] == [0.0] * 3
+
+
+def test_dense_best_against_a_sort():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for n, top in ((3, 5), (40, 5), (40, 1), (5, 5)):
+        scores, ids = np.round(r.normal(0, 1, (7, n)), 1), np.sort(r.permutation(1000)[:n])
+        found, of = retrieve._best(scores, ids, top)
+        for row, values, names in zip(scores, found, of):
+            expect = sorted(zip(-row, ids))[:top]
+            assert sorted(zip(-values, names)) == expect
+
+
 def test_rerank_gate_and_context(spark):
     c = spark.createDataFrame([(1, 5, 1, "red fox", "a"), (1, 6, 2, "red fox", "the red fox"), (1, 7, 3, "red fox", "fox"), (1, 8, 4, "red fox", None)], "query_id int, chunk_id int, rank int, question string, text string")
     best = retrieve.rerank(c, retrieve.lexical_scorer, 3).orderBy("rank").collect()

@@ -33,9 +33,13 @@ def test_dates_markers_stamps(spark):
 
 
 def test_model_output(spark):
-    v = one(spark, "{'score': 0.5, 'comment': 'ok'}", text.parse_verdict)
-    assert (v.score, v.comment) == (0.5, "ok")
-    assert one(spark, "bad " * 100, text.parse_verdict).comment.startswith("[PARSE FAIL] bad") and one(spark, None, text.parse_verdict).score is None
+    v = one(spark, '{"chunks_score": 0.5, "answer_score": 0.9, "comment": "ok"}', text.parse_verdict)
+    assert tuple(v) == (0.5, 0.9, "ok")
+    v = one(spark, "so: {'chunks_score': 1, 'answer_score': 0.25, 'comment': 'it was {fine}'}", text.parse_verdict)
+    assert tuple(v) == (1.0, 0.25, "it was {fine}")
+    three = lambda c: text.parse_verdict(c, ("a", "b", "c"), "note")
+    assert one(spark, '{"b": 2, "c": 3, "a": 1, "note": null}', three).asDict() == {"a": 1.0, "b": 2.0, "c": 3.0, "note": None}
+    assert one(spark, "bad " * 100, text.parse_verdict).comment.startswith("[PARSE FAIL] bad") and one(spark, None, text.parse_verdict).answer_score is None
     assert one(spark, "<think>a\nb</think>\n c ", text.strip_think) == "c"
     assert [one(spark, v, text.sigmoid, "double") for v in (0.0, 1000.0, -1000.0, None)] == [0.5, 1.0, 0.0, 0.0]
 
