@@ -142,44 +142,64 @@ def st12_invariants(spark: SparkSession, d: str) -> DataFrame:
     return a.check_invariants(st9_replay(spark, d), _LIMITS).agg(F.count("*").alias("n"), *(F.count_if(~F.coalesce(F.col(x), F.lit(True))).alias(x) for x in rules))
 
 
+#: The user of the row that ends a stream.
+_END = -1
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all executors share; a temporary one on a single machine without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='lexifold-')}/{name}-{uuid.uuid4().hex}"
+
+
 def _streamed(spark: SparkSession, made: DataFrame) -> DataFrame:
     """Run a stream over the files that are there to its end, into the shared folder, and read what it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexifold-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = _shared(spark, "stream")
     made.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(made.schema).parquet(out)
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream reads folders only
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    """A stream of the events, ended by a row of a much later time, which moves the watermark past all others."""
+    events = table(spark, d, "events")
+    end = _shared(spark, "stream-end")
+    last = [F.lit({"user_id": _END, "event_id": _END, "event_type": "end"}.get(f.name)).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
+    spark.range(1).select(*last, F.lit("2100-01-01").cast("timestamp_ntz").alias("ts")).select(events.columns).write.parquet(end)
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream reads folders only
+    return stream.unionByName(spark.readStream.schema(events.schema).parquet(end)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _frame_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of a stream of events: a user's session, a frame for each event id."""
-    e = _event_stream(spark, d)
+def _as_frames(e: DataFrame) -> DataFrame:
+    """Frames of events: a user's session, a frame for each event id."""
     return e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") * 100).alias("at_ms"), F.lit(100).alias("duration_ms"), F.when(F.col("event_id") % 5 < 3, 0.9).otherwise(0.1).alias("prob"), "ts")
 
 
+def _frame_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _as_frames(_event_stream(spark, d)).withWatermark("ts", "1 minute")
+
+
+def _stream_ticks(frames: DataFrame) -> DataFrame:
+    n = F.col("seq")
+    return frames.select("session", "seq", (F.col("prob") >= 0.5).alias("speaking"), F.lit(100).alias("elapsed"), (n % 4 == 3).alias("ended"), (n % 5 == 1).alias("ready"), F.lit(2500).alias("answer_ms"), F.lit(900).alias("farewell_ms"), (n % 2 == 0).alias("interject"), (n % 3 == 0).alias("interrupt"), "ts")
+
+
 def st1_segments_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, f.stream_segments(_frame_stream(spark, d).drop("ts"), silence_ms=200))
+    return _streamed(spark, f.stream_segments(_frame_stream(spark, d), silence_ms=200)).where(F.col("session") != _END)
 
 
 def st6_thin_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, f.stream_thin(_frame_stream(spark, d).select("session", "at_ms"), 2500))
+    return _streamed(spark, f.stream_thin(_frame_stream(spark, d).select("session", "at_ms", "ts"), 2500)).where(F.col("session") != _END)
 
 
 def st7_late_stream(spark: SparkSession, d: str) -> DataFrame:
     e = _event_stream(spark, d).withWatermark("ts", "60 seconds").dropDuplicatesWithinWatermark(["event_id"])
-    return _streamed(spark, e.select("event_id", "user_id"))
+    return _streamed(spark, e.select("event_id", "user_id")).where(F.col("user_id") != _END)
 
 
 def st13_replay_stream(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("seq")
-    fr = _frame_stream(spark, d).withWatermark("ts", "1 minute")
-    ticks = fr.select("session", "seq", (F.col("prob") >= 0.5).alias("speaking"), F.lit(100).alias("elapsed"), (n % 4 == 3).alias("ended"), (n % 5 == 1).alias("ready"), F.lit(2500).alias("answer_ms"), F.lit(900).alias("farewell_ms"), (n % 2 == 0).alias("interject"), (n % 3 == 0).alias("interrupt"), "ts")
-    return _streamed(spark, a.stream_replay(ticks, _LIMITS, 500))
+    return _streamed(spark, a.stream_replay(_stream_ticks(_frame_stream(spark, d)), _LIMITS, 500)).where(F.col("session") != _END)
 
 
 def st14_minutes(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +208,8 @@ def st14_minutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def st14_minutes_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, f.live_counters(_event_stream(spark, d), ["event_type"]))
+    counted = _streamed(spark, f.live_counters(_event_stream(spark, d), ["event_type"])).where("event_type <> 'end'")
+    return counted.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
 _RULES = [
@@ -227,6 +248,7 @@ def st17_shadowed(spark: SparkSession, d: str) -> DataFrame:
 _FMT = "lpad((({0})//600)::VARCHAR, greatest(2, length((({0})//600)::VARCHAR))::INT, '0') || ':' || lpad(((({0})//10) % 60)::VARCHAR, 2, '0') || '.' || (({0}) % 10)"
 _HIST = f"""h{{n}} AS (SELECT session, string_agg('[' || {_FMT.format('round_even(start_ms / 100, 0)::BIGINT')} || '–' || {_FMT.format('round_even(end_ms / 100, 0)::BIGINT')} || '] ' || role || ': ' || CASE WHEN o THEN '(поверх) ' ELSE '' END || text, chr(10) ORDER BY start_ms, seq) AS history
   FROM (SELECT *, coalesce(start_ms < max(end_ms) OVER (PARTITION BY session ORDER BY start_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS o FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY start_ms DESC, seq DESC) AS late FROM t) WHERE late <= {{n}}) GROUP BY session)"""
+_STREAM_SQL = "SELECT user_id AS session, event_id AS seq, event_id * 100 AS at_ms, 100::INT AS duration_ms, CASE WHEN event_id % 5 < 3 THEN 0.9 ELSE 0.1 END::DOUBLE AS prob, false AS agent FROM events"
 _VOICED = f"""q AS (SELECT *, prob >= 0.5 AS voiced, sum(CASE WHEN prob >= 0.5 THEN 0 ELSE duration_ms END) OVER (PARTITION BY session ORDER BY seq) AS quiet, lead(at_ms) OVER (PARTITION BY session ORDER BY seq) AS next_at FROM ({FRAMES_SQL})),
 q2 AS (SELECT *, last_value(CASE WHEN voiced THEN quiet END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM q),
 q3 AS (SELECT *, voiced AND (b IS NULL OR quiet - b >= 200) AS starts FROM q2), q4 AS (SELECT *, sum(starts::INT) OVER (PARTITION BY session ORDER BY seq)::BIGINT AS segment FROM q3)"""
@@ -269,4 +291,10 @@ SELECT a.session, a.request, coalesce(string_agg(f.seq::VARCHAR, ',' ORDER BY f.
     "st16_conditions": f"WITH {_CTX} SELECT event_id, coalesce(intent = 'bye', false) AS c0, NOT coalesce(rs < 0.5, false) AS c1, coalesce(rc = 2, false) OR true AS c2, coalesce(conf >= 0.5, false) AND NOT te AS c3 FROM x",
     "st17_shadowed": "SELECT 'listening' AS state, 'late' AS name, count(*) AS contexts FROM events WHERE event_id % 4 = 0",
 }
+SQL["st1_segments_stream"] = SQL["st1_segments"].replace(FRAMES_SQL, _STREAM_SQL)
+_THIN = "WITH RECURSIVE e AS ({}), k AS (SELECT session, min(at_ms) AS at_ms FROM e GROUP BY session UNION ALL SELECT k.session, min(e.at_ms) FROM k JOIN e ON e.session = k.session AND e.at_ms >= k.at_ms + {} GROUP BY k.session) SELECT session, at_ms FROM k"
+SQL["st6_thin"] = _THIN.format(f"SELECT session, at_ms FROM ({FRAMES_SQL}) WHERE prob > 0.5", 250)
+SQL["st6_thin_stream"] = _THIN.format(f"SELECT session, at_ms FROM ({_STREAM_SQL})", 2500)
+SQL["st7_late_stream"] = "SELECT event_id, user_id FROM events"
+SQL["st14_minutes_stream"] = SQL["st14_minutes"]
 QUERIES = {n: fn for n, fn in list(globals().items()) if n[:2] in ("cv", "st") and n[2:3].isdigit() and callable(fn)}

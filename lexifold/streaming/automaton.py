@@ -114,16 +114,30 @@ def step(s: Session, t: Tick, limits: Limits = Limits()) -> tuple[str | None, Se
 
 
 def fold(ticks: pd.DataFrame, s: Session, limits: Limits) -> tuple[list[tuple], Session]:
+    f = ticks.sort_values("seq")
+    columns = [f[k].astype(object).where(f[k].notna(), None).tolist() for k in INPUT]
     out = []
-    for row in ticks.sort_values("seq").itertuples(index=False):
-        values = {k: getattr(row, k) for k in INPUT}
-        values = {k: None if v is None or v != v else v for k, v in values.items()}
-        action, after = step(s, Tick(**{k: (bool(v) if k in ("interject", "interrupt") and v is not None else v) for k, v in values.items()}), limits)
-        out.append((row.session, row.seq, action, s.agent, after.agent, after.draft, after.turn, after.idle, after.overlap, after.left))
+    for session, seq, *values in zip(f["session"].tolist(), f["seq"].tolist(), *columns):
+        action, after = step(s, Tick(*values), limits)
+        out.append((session, seq, action, s.agent, after.agent, after.draft, after.turn, after.idle, after.overlap, after.left))
         s = after
     return out, s
 
 
+def run_out(session: int, seq: int, s: Session, limits: Limits) -> list[tuple]:
+    """The log of a session that stays silent: ticks of the idle limit without speech or decisions, as long as they change anything.
+    One that listens hangs up, closes and ends."""
+    out, silence = [], Tick(elapsed=limits.idle_ms, interject=False, interrupt=False)
+    while s.agent != "ended":
+        action, after = step(s, silence, limits)
+        if after == s:
+            break
+        seq += 1
+        out.append((session, seq, action, s.agent, after.agent, after.draft, after.turn, after.idle, after.overlap, after.left))
+        s = after
+    return out
+
+
 def replay_sessions(ticks: DataFrame, limits: Limits = Limits(), greeting_ms: int = 0) -> DataFrame:
     """The log (LOG) of ticks (session, seq, and INPUT) of each session, in order."""
     names = [c.split()[0] for c in LOG.split(", ")]
@@ -131,25 +145,24 @@ def replay_sessions(ticks: DataFrame, limits: Limits = Limits(), greeting_ms: in
 
 
 def stream_replay(ticks: DataFrame, limits: Limits = Limits(), greeting_ms: int = 0) -> DataFrame:
-    """replay_sessions of a stream of ticks with a time column ts and a watermark. A session without ticks for the idle limit is
-    logged as hung up by an event-time timeout and its state goes."""
+    """replay_sessions of a stream of ticks with a time column ts and a watermark. A session without ticks for the idle limit times
+    out: what silence makes of it is logged, for a listening one that it hangs up, closes and ends, and its state goes."""
     names = [c.split()[0] for c in LOG.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = Session(*state.get[:7]) if state.exists else Session(left=greeting_ms)
+        s, seq = (Session(*state.get[:7]), state.get[7]) if state.exists else (Session(left=greeting_ms), -1)
         if state.hasTimedOut:
             state.remove()
-            if s.agent != "ended":
-                yield pd.DataFrame([(key[0], -1, "idleHangup", s.agent, "ended", "none", 0, s.idle, 0, 0)], columns=names)
+            yield pd.DataFrame(run_out(key[0], seq, s, limits), columns=names)
             return
         f = pd.concat(list(batches))
         out, s = fold(f, s, limits)
-        state.update((s.agent, s.draft, int(s.turn), int(s.idle), int(s.overlap), int(s.left), bool(s.spoke)))
+        state.update((s.agent, s.draft, int(s.turn), int(s.idle), int(s.overlap), int(s.left), bool(s.spoke), int(f["seq"].max())))
         latest = max(int(f["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + limits.idle_ms
         state.setTimeoutTimestamp(latest)
         yield pd.DataFrame(out, columns=names)
 
-    return ticks.groupBy("session").applyInPandasWithState(run, LOG, "agent string, draft string, turn long, idle long, overlap long, left long, spoke boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return ticks.groupBy("session").applyInPandasWithState(run, LOG, "agent string, draft string, turn long, idle long, overlap long, left long, spoke boolean, seq long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def check_transitions(log: DataFrame) -> DataFrame:

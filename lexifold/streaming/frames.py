@@ -89,14 +89,25 @@ def thin_events(events: DataFrame, min_gap_ms: int) -> DataFrame:
 
 
 def stream_thin(events: DataFrame, min_gap_ms: int) -> DataFrame:
-    """thin_events of a stream of (session, at_ms): the last kept time is the state."""
+    """thin_events of a stream of (session, at_ms, ts) with a watermark on ts: the last kept time is the state, which goes when the
+    session has been silent for longer than the gap."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, last = thin_frame(pd.concat(list(frames)).sort_values("at_ms", kind="stable"), min_gap_ms, state.get[0] if state.exists else None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        f = pd.concat(list(frames))
+        kept, last = thin_frame(f.sort_values("at_ms", kind="stable"), min_gap_ms, state.get[0] if state.exists else None)
         state.update((int(last),))
+        _wait(state, f, min_gap_ms)
         yield kept[["session", "at_ms"]]
 
-    return events.groupBy("session").applyInPandasWithState(step, "session long, at_ms long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("session").applyInPandasWithState(step, "session long, at_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _wait(state: GroupState, f: pd.DataFrame, ms: int) -> None:
+    """Let the state time out when the watermark is ms past the latest of these rows."""
+    state.setTimeoutTimestamp(max(int(f["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms + 1)
 
 
 def ring(frames: DataFrame, keep_ms: int = RING_MS) -> DataFrame:
@@ -127,13 +138,20 @@ def to_ticks(frames: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 SEGMENT_STATE = "speech_start long, quiet_from long, quiet_ms long, number int"
 
 
-def stream_segments(frames: DataFrame, threshold: float = THRESHOLD, preroll_ms: int = PREROLL_MS, silence_ms: int = SILENCE_MS) -> DataFrame:
-    """Ended segments (session, segment, start_ms, end_ms) of a stream of frames, one small state for each session."""
+def stream_segments(frames: DataFrame, threshold: float = THRESHOLD, preroll_ms: int = PREROLL_MS, silence_ms: int = SILENCE_MS, gone_ms: int = RING_MS) -> DataFrame:
+    """Segments (session, segment, start_ms, end_ms) of a stream of frames with a watermark on ts, one small state for each session.
+    A session without frames for gone_ms is over: its state goes, and a segment that is open then is given without an end."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, quiet_from, quiet, number = state.get if state.exists else (-1, -1, 0, 0)
         out = []
-        for at, length, prob in pd.concat(list(batches)).sort_values("seq")[["at_ms", "duration_ms", "prob"]].itertuples(index=False):
+        if state.hasTimedOut:
+            state.remove()
+            if start >= 0:
+                yield pd.DataFrame({"session": [key[0]], "segment": [number], "start_ms": [start], "end_ms": pd.array([None], "Int64")})
+            return
+        f = pd.concat(list(batches)).sort_values("seq")
+        for at, length, prob in zip(f["at_ms"].tolist(), f["duration_ms"].tolist(), f["prob"].tolist()):
             if prob >= threshold:
                 if start < 0:
                     start, number = max(0, at + length - preroll_ms), number + 1
@@ -144,9 +162,10 @@ def stream_segments(frames: DataFrame, threshold: float = THRESHOLD, preroll_ms:
                     out.append((key[0], number, start, quiet_from))
                     start, quiet_from, quiet = -1, -1, 0
         state.update((int(start), int(quiet_from), int(quiet), int(number)))
+        _wait(state, f, gone_ms)
         yield pd.DataFrame(out, columns=["session", "segment", "start_ms", "end_ms"])
 
-    return frames.groupBy("session").applyInPandasWithState(step, "session long, segment long, start_ms long, end_ms long", SEGMENT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("session").applyInPandasWithState(step, "session long, segment long, start_ms long, end_ms long", SEGMENT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_counters(events: DataFrame, labels: list[str], ts: str = "ts", late: str = "1 minute") -> DataFrame:

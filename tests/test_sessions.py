@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexifold.operators import conversation as c
 from lexifold.operators import scenarios as r
@@ -23,15 +24,50 @@ def test_segments(spark, probs, start, expect):
     assert [(x.start_ms, x.end_ms) for x in f.speech_segments(speech(spark, probs, start)).orderBy("segment").collect()] == expect
 
 
-def test_stream_of_segments_is_the_batch(spark, tmp_path):
-    rows = speech(spark, [int(i % 11 < 4) for i in range(60)])
-    for k in range(3):
-        rows.where(f"seq >= {20 * k} and seq < {20 * k + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    made = f.stream_segments(stream)
-    made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-    got = sorted((x.start_ms, x.end_ms) for x in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == sorted((x.start_ms, x.end_ms) for x in f.speech_segments(rows).where("end_ms is not null").collect()) and len(got) == 5
+def streamed(spark, tmp_path, name, parts, make):
+    """What a stream of parts, one after the other, and a last row of a much later time gives."""
+    end = parts[0].limit(1).withColumn("session", F.lit(-1).cast(parts[0].schema["session"].dataType)).withColumn("ts", F.lit("2100-01-01").cast("timestamp"))
+    for part in [*parts, end]:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)).withWatermark("ts", "1 second")
+    made = make(stream)
+    made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start(str(tmp_path / f"{name}-out")).awaitTermination()
+    return spark.read.schema(made.schema).parquet(str(tmp_path / f"{name}-out")).where("session <> -1")
+
+
+def timed(rows):
+    return rows.withColumn("ts", F.timestamp_millis(F.col("at_ms") + 86_400_000))
+
+
+def test_streams_are_their_batches(spark, tmp_path):
+    """Row by row; sessions that end while they speak included."""
+    rows = timed(speech(spark, [int(i % 11 < 4) for i in range(60)]).unionByName(speech(spark, [1, 0, 1, 1]).withColumn("session", F.lit(2))))
+    parts = [rows.where(f"seq >= {20 * k} and seq < {20 * k + 20}") for k in range(3)]
+    got = streamed(spark, tmp_path, "segments", parts, f.stream_segments)
+    expect = f.speech_segments(rows).select("session", "segment", "start_ms", "end_ms")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expect.collect()), key=str) and got.where("end_ms is null").count() == 2
+    got = streamed(spark, tmp_path, "thin", parts, lambda x: f.stream_thin(x.select("session", "at_ms", "ts"), 250))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, f.thin_events(rows.select("session", "at_ms"), 250).collect()))
+
+
+def test_stream_of_ticks_is_the_replay_and_hangs_up(spark, tmp_path):
+    limits = a.Limits(turn_ms=300, idle_ms=400, overlap_ms=100, tail_ms=300)
+    n = F.col("seq")
+    rows = timed(speech(spark, [int(i % 7 < 3) for i in range(40)]).unionByName(speech(spark, [0, 1, 0, 0]).withColumn("session", F.lit(2))))
+    ticks = rows.select(
+        F.col("session").cast("long").alias("session"), n.cast("long").alias("seq"), (F.col("prob") >= 0.5).alias("speaking"), F.lit(100).alias("elapsed"), (n % 4 == 3).alias("ended"), (n % 5 == 1).alias("ready"), F.lit(2500).alias("answer_ms"),
+        F.lit(900).alias("farewell_ms"), F.when(n % 3 > 0, n % 2 == 0).alias("interject"), (n % 3 == 0).alias("interrupt"), "ts",
+    )
+    got = streamed(spark, tmp_path, "ticks", [ticks.where("seq < 17"), ticks.where("seq >= 17")], lambda x: a.stream_replay(x, limits, 200))
+    batch = sorted(map(tuple, a.replay_sessions(ticks, limits, 200).collect()), key=str)
+    last = {r[0]: max(x[1] for x in batch if x[0] == r[0]) for r in batch}
+    log = got.orderBy("session", "seq").collect()
+    assert sorted((tuple(r) for r in log if r.seq <= last[r.session]), key=str) == batch
+    after = [r for r in log if r.seq > last[r.session]]
+    assert after and a.check_transitions(got).count() == 0
+    quiet = a.Session(agent="listening", left=0)
+    assert [x[2:5] for x in a.run_out(1, 5, quiet, limits)] == [("idleTicks", "listening", "listening"), ("idleHangup", "listening", "closing"), ("closingCompletes", "closing", "ended")]
+    assert a.run_out(1, 5, a.Session(agent="ended"), limits) == []
 
 
 def test_overlap_fires_once_at_the_fourth_frame(spark):
