@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,11 +89,27 @@ def topk_overlap(a: DataFrame, b: DataFrame, ks: tuple[int, ...] = (5, 10, 20),
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Rank correlation of two columns within groups, ties with their mean rank, to four digits; 0 where a side is constant."""
-    mean_rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-    ranks = df.select(*by, mean_rank(a).alias("ra"), mean_rank(b).alias("rb"))
-    corr = F.when((F.max("ra") == F.min("ra")) | (F.max("rb") == F.min("rb")), 0.0).otherwise(F.corr("ra", "rb"))
-    return ranks.groupBy(*by).agg(F.round(F.coalesce(corr, F.lit(0.0)), 4).alias("spearman"))
+    """Rank correlation of two columns within groups, ties with their mean rank, to four digits; 0 where a side is constant.
+
+    Values are counted first, so that a group's ranks come from its different values, and its sums from its different pairs.
+    """
+    pairs = df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("k"))
+
+    def ranks(c: str) -> DataFrame:
+        counted = pairs.groupBy(*by, c).agg(F.sum("k").alias("k"))
+        w = Window.partitionBy(*by).orderBy(c)
+        middle = F.sum("k").over(w) - (F.col("k") - 1) / 2 - (F.sum("k").over(Window.partitionBy(*by)) + 1) / 2
+        return counted.select(*(F.col(x).alias(f"{x}_of") for x in by), F.col(c).alias("value"), middle.alias(f"r{c}"))
+
+    for c in ("a", "b"):
+        r = ranks(c)
+        on = F.col(c).eqNullSafe(F.col("value"))
+        for x in by:
+            on = on & F.col(x).eqNullSafe(F.col(f"{x}_of"))
+        pairs = pairs.join(r, on).drop("value", *(f"{x}_of" for x in by))
+    dot_ = lambda x, y: F.sum(F.col("k") * F.col(x) * F.col(y))
+    corr = F.try_divide(dot_("ra", "rb"), F.sqrt(dot_("ra", "ra")) * F.sqrt(dot_("rb", "rb")))
+    return pairs.groupBy(*by).agg(F.round(F.coalesce(corr, F.lit(0.0)), 4).alias("spearman"))
 
 
 def encoding_fidelity(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -101,6 +119,33 @@ def encoding_fidelity(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.round(F.avg(cos), 6).alias("mean"), F.round(F.min(cos), 6).alias("least"))
 
 
+def order_fidelity(a: DataFrame, b: DataFrame, queries: DataFrame, top: int = 5, block: int = 1024) -> DataFrame:
+    """Over a stated set of queries (query_id), texts of both encodings themselves: the mean rank correlation of their similarities to
+    all texts in the two encodings, and the mean share of the best `top` that are the same. Queries go in blocks to all texts."""
+    spark = a.sparkSession
+    j = a.select("chunk_id", F.col("vector").alias("a")).join(b.select("chunk_id", F.col("vector").alias("b")), "chunk_id")
+    asked = j.join(queries.select(F.col("query_id").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
+    blocks = max(1, -(-asked.count() // block))
+    each = None
+    for k in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)) == k).toPandas()
+        shared = spark.sparkContext.broadcast((part["chunk_id"].to_numpy(), *(np.array(part[c].tolist(), np.float64) for c in "ab")))
+
+        def similar(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, *sides = shared.value
+            for f in frames:
+                if len(f) and len(names):
+                    scores = [np.round(np.array(f[c].tolist(), np.float64) @ m.T, 6).ravel() for c, m in zip("ab", sides)]
+                    yield pd.DataFrame({"query_id": np.tile(names, len(f)), "chunk_id": np.repeat(f["chunk_id"].to_numpy(), len(names)), "a": scores[0], "b": scores[1]})
+
+        found = j.mapInPandas(similar, f"query_id {dict(j.dtypes)['chunk_id']}, chunk_id {dict(j.dtypes)['chunk_id']}, a double, b double")
+        each = found if each is None else each.unionByName(found)
+    place = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "chunk_id"))
+    same = each.withColumn("ra", place("a")).withColumn("rb", place("b")).where((F.col("ra") <= top) & (F.col("rb") <= top)).groupBy("query_id").agg(F.count("*").alias("same"))
+    both = spearman(each, "a", "b", ["query_id"]).join(same, "query_id", "left")
+    return both.agg(F.round(F.avg("spearman"), 4).alias("spearman"), F.round(F.avg(F.coalesce("same", F.lit(0)) / top), 4).alias("same_top"))
+
+
 def accept_configs(runs: DataFrame, floor: float = 0.98) -> DataFrame:
     """Of (config, spearman, ms): the fastest config whose order holds."""
     return runs.where(F.col("spearman") >= floor).agg(F.min_by("config", F.struct("ms", "config")).alias("best"), F.min("ms").alias("ms"), F.count("*").alias("accepted"))

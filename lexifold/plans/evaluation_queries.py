@@ -83,7 +83,8 @@ def ev8_spearman(spark: SparkSession, d: str) -> DataFrame:
 def ev9_fidelity(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     coarse = v.select("chunk_id", F.transform("vector", lambda x: F.floor(x.cast("double") * 8 + 0.5) / 8).alias("vector"))
-    return e.encoding_fidelity(v, coarse)
+    asked = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"))
+    return e.encoding_fidelity(v, coarse).join(F.broadcast(e.order_fidelity(v, coarse, asked)))
 
 
 def ev10_accept_configs(spark: SparkSession, d: str) -> DataFrame:
@@ -301,8 +302,13 @@ SELECT k::INT AS k, round(avg(same / k), 6) AS overlap, round(avg((same = k)::IN
     "ev8_spearman": """WITH x AS (SELECT event_type, event_id * 7 % 50 AS a, floor(value) AS b FROM events),
 r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY a) + (count(*) OVER (PARTITION BY event_type, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY event_type ORDER BY b) + (count(*) OVER (PARTITION BY event_type, b) - 1) / 2.0 AS rb FROM x)
 SELECT event_type, round(round(coalesce(CASE WHEN max(ra) = min(ra) OR max(rb) = min(rb) THEN 0 ELSE corr(ra::DOUBLE, rb::DOUBLE) END, 0), 4), 3) AS spearman FROM r GROUP BY event_type""",
-    "ev9_fidelity": """WITH v AS (SELECT list_transform(embedding, lambda e: e::DOUBLE) AS a, list_transform(embedding, lambda e: floor(e::DOUBLE * 8 + 0.5) / 8) AS b FROM embeddings),
-c AS (SELECT list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 0) AS c FROM v) SELECT round(avg(c), 6) AS mean, round(min(c), 6) AS least FROM c""",
+    "ev9_fidelity": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS a, list_transform(embedding, lambda e: floor(e::DOUBLE * 8 + 0.5) / 8) AS b FROM embeddings),
+c AS (SELECT list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 0) AS c FROM v),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.a, v.a), 6) AS a, round(list_dot_product(q.b, v.b), 6) AS b FROM v q, v WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, rank() OVER (PARTITION BY query_id ORDER BY a) + (count(*) OVER (PARTITION BY query_id, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY query_id ORDER BY b) + (count(*) OVER (PARTITION BY query_id, b) - 1) / 2.0 AS rb,
+  row_number() OVER (PARTITION BY query_id ORDER BY a DESC, vec_id) <= 5 AND row_number() OVER (PARTITION BY query_id ORDER BY b DESC, vec_id) <= 5 AS top FROM s),
+p AS (SELECT query_id, round(coalesce(corr(ra::DOUBLE, rb::DOUBLE), 0), 4) AS p, count(*) FILTER (top) / 5.0::DOUBLE AS t FROM r GROUP BY query_id)
+SELECT round(avg(c), 6) AS mean, round(min(c), 6) AS least, (SELECT round(avg(p), 4) FROM p) AS spearman, (SELECT round(avg(t), 4) FROM p) AS same_top FROM c""",
     "ev10_accept_configs": "WITH r AS (SELECT 'c' || c AS config, c, sum(event_id % 97)::DOUBLE AS ms FROM (SELECT event_id, event_id % 12 AS c FROM events) GROUP BY c) SELECT arg_min(config, ms) AS best, min(ms) AS ms, count(*) AS accepted FROM r WHERE 0.95::DOUBLE + c * 0.005::DOUBLE >= 0.98",
     "ev11_rephrase_checks": """WITH x AS (SELECT conv_id, text AS q, CASE conv_id % 3 WHEN 0 THEN text || '?' WHEN 1 THEN ' ' || text ELSE text END AS r FROM conversations WHERE role = 'user')
 SELECT (conv_id % 4)::INT AS arm, count(*) AS n, count(*) FILTER (ends_with(trim(r), '?')) AS asks, count(*) FILTER (lower(trim(r)) <> lower(trim(q))) AS changed, round((avg(conv_id * 3 + 10) / avg(conv_id + 20) - 1) * 100, 2) AS ms_change FROM x GROUP BY 1""",
