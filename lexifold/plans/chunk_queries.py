@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import norm_ws
 from ..operators import chunk as c
+from ..operators import retrieve as r
+from ..session import shared_place
+from ..sources import readers as io_
 from .tables import LINES_SQL, document_lines, table
 
 
@@ -68,8 +72,21 @@ def ch9_chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ch10_sweep(spark: SparkSession, d: str) -> DataFrame:
-    swept = c.sweep_chunking(ch1_chunks(spark, d))
-    return swept.groupBy("variant").agg(F.count("*").alias("chunks"), F.avg(F.length("text")).alias("mean_chars"), F.countDistinct("doc_id").alias("documents"))
+    """For each target the chunks, and how benchmark texts fare when they are looked up in an index of these: the share for which one of
+    the first five chunks holds the text, and the mean reciprocal rank of the first that does."""
+    swept = c.sweep_chunking(ch1_chunks(spark, d)).select("variant", "doc_id", "ord", "text")
+    swept = io_.kept(swept, shared_place(spark, "swept"))
+    facts = swept.groupBy("variant").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), F.countDistinct("doc_id").alias("documents"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    scores = None
+    for v in (0, 900, 1500, 2500):
+        chunks = swept.where(F.col("variant") == v).select(F.concat_ws("-", "doc_id", "ord").alias("chunk_id"), "text")
+        top = r.bm25_topk(asked.withColumnRenamed("question", "text"), r.build_bm25(chunks), 5).join(chunks, "chunk_id").join(asked, "query_id")
+        rank = F.min(F.when(F.contains(norm_ws(F.col("text")), norm_ws(F.col("question"))), F.col("rank")))
+        found = asked.select("query_id").join(top.groupBy("query_id").agg(rank.alias("rank")), "query_id", "left")
+        one = found.agg(F.lit(v).alias("variant"), F.round(F.avg((F.col("rank").isNotNull()).cast("int")), 4).alias("held_5"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
+        scores = one if scores is None else scores.unionByName(one)
+    return facts.join(scores, "variant")
 
 
 _GROUPS = rf"""

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as e
+from ..operators import retrieve as r
 from ..operators import stats as s
-from .retrieval_queries import _DENSE, _TOPK, rt2_bm25_topk, rt4_dense_topk
+from .retrieval_queries import _BM25, _DENSE, _SPOKEN, _TOK, _TOPK, _WORDS, rt2_bm25_topk, rt4_dense_topk, spoken
 from .tables import ITEMS_SQL, JUDGE_SQL, eval_items, judge_rows, table
 
 _TOPICS = [f"topic{i}" for i in range(12)]
@@ -46,11 +47,22 @@ def ev4_aggregate_scores(spark: SparkSession, d: str) -> DataFrame:
     return e.aggregate_scores(scores, ["arm"], ["recall_1", "recall_3", "recall_5", "quote_1", "quote_3", "quote_5", "mrr"])
 
 
+_CONFIGS = [("base", 5, 10, 60, False), ("rerank", 5, 10, 60, True), ("top3", 3, 10, 60, True), ("pool5", 5, 5, 60, True), ("k10", 5, 10, 10, False), ("pool5-k10", 3, 5, 10, False)]
+
+
 def ev5_retrieval_grid(spark: SparkSession, d: str) -> DataFrame:
-    lists = _ranked(spark, d)
-    lists = lists.withColumn("list_id", F.lit(0)).unionByName(lists.withColumn("rank", 6 - F.col("rank")).withColumn("list_id", F.lit(1)))
-    configs = spark.createDataFrame([(f"k{k}-p{p}-r{r}", k, p, r, float(k * p)) for k, p, r in ((3, 3, 10), (5, 3, 10), (3, 5, 60), (5, 5, 60), (1, 5, 10), (3, 4, 60))], "config string, top_k int, pool int, rrf_k int, ms double")
-    return e.retrieval_grid(lists, eval_items(spark, d).select("id", "gold_source", "gold_quote"), configs)
+    """Benchmark texts, whole and every second word of them, answered by sparse search over all documents; the gold source is the first
+    document found that holds the text."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    phrased = asked.select((F.col("id") * 2).alias("query_id"), F.col("question").alias("text")).unionByName(asked.select((F.col("id") * 2 + 1).alias("query_id"), spoken(F.col("question")).alias("text")))
+    top = r.bm25_topk(phrased, r.build_bm25(docs), 10).select(F.floor(F.col("query_id") / 2).alias("id"), (F.col("query_id") % 2).alias("list_id"), "chunk_id", "rank")
+    lists = top.join(docs, "chunk_id").join(asked, "id").withColumn("logit", F.pandas_udf(r.lexical_scorer, "double")("question", "text"))
+    lists = lists.select("id", "list_id", "rank", F.col("chunk_id").cast("string").alias("source"), "text", "question", F.round("logit", 9).alias("logit"))
+    gold = lists.where(F.contains(e.norm_ws(F.col("text")), e.norm_ws(F.col("question")))).groupBy("id").agg(F.min(F.col("source").cast("long")).cast("string").alias("found"))
+    items = asked.join(gold, "id", "left").select("id", F.coalesce("found", F.lit("unknown")).alias("gold_source"), F.col("question").alias("gold_quote"))
+    configs = spark.createDataFrame([(*c, float(c[2] * (5 if c[4] else 1))) for c in _CONFIGS], "config string, top_k int, pool int, rrf_k int, rerank boolean, ms double")
+    return e.retrieval_grid(lists.drop("question"), items, configs)
 
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:
@@ -287,14 +299,20 @@ SQL = {
     "ev2_good_items": f"WITH {_VERIFY.format(items=f'SELECT * REPLACE ({_AGAIN} AS id) FROM ({ITEMS_SQL})')} SELECT topic, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM v WHERE len(errors) = 0 GROUP BY topic",
     "ev3_score_retrieval": f"WITH {_RK} SELECT * REPLACE (round(mrr, 9) AS mrr) FROM r",
     "ev4_aggregate_scores": f"WITH {_RK} SELECT (id % 3)::INT AS arm, round(avg(recall_1), 4) AS recall_1, round(avg(recall_3), 4) AS recall_3, round(avg(recall_5), 4) AS recall_5, round(avg(quote_1), 4) AS quote_1, round(avg(quote_3), 4) AS quote_3, round(avg(quote_5), 4) AS quote_5, round(avg(mrr), 4) AS mrr FROM r GROUP BY 1",
-    "ev5_retrieval_grid": f"""WITH it AS ({ITEMS_SQL}), rk AS (SELECT id, rank, of, text FROM (SELECT id, r::INT AS rank, CASE WHEN r = id % 7 + 1 THEN id ELSE (id * 31 + r * 7919) % (SELECT max(doc_id) + 1 FROM documents) END AS of FROM it, range(1, 6) x(r)) JOIN documents ON doc_id = of),
-two AS (SELECT id, rank, of, text FROM rk UNION ALL SELECT id, 6 - rank, of, text FROM rk),
-cf(config, top_k, pool, rrf_k, ms) AS (SELECT format('k{{}}-p{{}}-r{{}}', k, p, r), k, p, r, (k * p)::DOUBLE FROM (VALUES (3, 3, 10), (5, 3, 10), (3, 5, 60), (5, 5, 60), (1, 5, 10), (3, 4, 60)) v(k, p, r)),
-fu AS (SELECT config, top_k, id, of, round(sum(1.0::DOUBLE / (rrf_k + rank)), 12) AS s, min(rank) AS first, any_value(text) AS text FROM two, cf WHERE rank <= pool GROUP BY ALL),
-cu AS (SELECT *, row_number() OVER (PARTITION BY config, id ORDER BY s DESC, first, of::VARCHAR) AS rank FROM fu QUALIFY rank <= top_k),
-sc AS (SELECT cf.config, cf.ms, it.id, min(rank) FILTER (of::VARCHAR = gold_source) AS fr, any_value({_FR}) AS f, string_agg({_N.format('cu.text')}, ' ' ORDER BY rank) FILTER (rank <= 3) AS j3 FROM it CROSS JOIN cf LEFT JOIN cu ON cu.id = it.id AND cu.config = cf.config GROUP BY cf.config, cf.ms, it.id)
+    "ev5_retrieval_grid": f"""WITH {_BM25}, ph AS (SELECT item_id AS id, 0 AS list_id, text FROM benchmark UNION ALL SELECT item_id, 1, {_SPOKEN} FROM benchmark),
+q AS (SELECT id, list_id, term, count(*) AS qtf FROM (SELECT id, list_id, unnest({_TOK}) AS term FROM ph) GROUP BY ALL),
+b5 AS (SELECT id, list_id, p.chunk_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(w) / (SELECT avgdl FROM s)))), 6) AS score FROM q JOIN t USING (term) JOIN p USING (term) JOIN d ON d.chunk_id = p.chunk_id GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id, list_id ORDER BY score DESC, chunk_id) AS rank FROM b5 QUALIFY rank <= 10),
+tx AS (SELECT rk.*, d.text, b.text AS question, {_WORDS.format("b.text")} AS a, {_WORDS.format("d.text")} AS c FROM rk JOIN documents d ON doc_id = chunk_id JOIN benchmark b ON item_id = id),
+lg AS (SELECT *, round(ln((len(list_intersect(a, c)) + 0.5::DOUBLE) / (len(a) + 1) / (1 - (len(list_intersect(a, c)) + 0.5::DOUBLE) / (len(a) + 1))), 9) AS logit FROM tx),
+gd AS (SELECT id, min(chunk_id) AS gold FROM lg WHERE contains({_N.format('text')}, {_N.format('question')}) GROUP BY id),
+cf(config, top_k, pool, rrf_k, rerank, ms) AS (VALUES {", ".join(f"('{c}', {k}, {p}, {r_}, {str(x).lower()}, {float(p * (5 if x else 1))}::DOUBLE)" for c, k, p, r_, x in _CONFIGS)}),
+fu AS (SELECT config, top_k, rerank, id, chunk_id, round(sum(1.0::DOUBLE / (rrf_k + rank)), 12) AS s, min(rank) AS first, max(logit) AS logit, any_value(text) AS text FROM lg, cf WHERE rank <= pool GROUP BY ALL),
+cu AS (SELECT *, row_number() OVER (PARTITION BY config, id ORDER BY CASE WHEN rerank THEN logit END DESC NULLS LAST, s DESC, first, chunk_id::VARCHAR) AS rank FROM fu QUALIFY rank <= top_k),
+sc AS (SELECT cf.config, cf.ms, b.item_id AS id, min(rank) FILTER (cu.chunk_id = gold) AS fr, string_agg({_N.format('cu.text')}, ' ' ORDER BY rank) FILTER (rank <= 3) AS j3, any_value({_N.format('b.text')}) AS f
+  FROM benchmark b CROSS JOIN cf LEFT JOIN gd ON gd.id = b.item_id LEFT JOIN cu ON cu.id = b.item_id AND cu.config = cf.config GROUP BY cf.config, cf.ms, b.item_id)
 SELECT config, round(avg(coalesce((fr <= 1)::INT, 0)), 4) AS recall_1, round(avg(coalesce((fr <= 3)::INT, 0)), 4) AS recall_3, round(avg(coalesce((fr <= 5)::INT, 0)), 4) AS recall_5,
-  round(avg((len(f) > 0 AND len(list_filter(f, lambda x: NOT contains(coalesce(j3, ''), x))) = 0)::INT), 4) AS quote_3, round(avg(coalesce(1.0::DOUBLE / fr, 0)), 4) AS mrr, avg(ms) AS ms FROM sc GROUP BY config""",
+  round(avg((f <> '' AND contains(coalesce(j3, ''), f))::INT), 4) AS quote_3, round(avg(coalesce(1.0::DOUBLE / fr, 0)), 4) AS mrr, avg(ms) AS ms FROM sc GROUP BY config""",
     "ev6_compare_arms": f"WITH a AS ({_ARMS}) SELECT a.arm, count(*) FILTER (b.hit = 0 AND a.hit = 1) AS recovered, count(*) FILTER (b.hit = 1 AND a.hit = 0) AS lost FROM a JOIN a b ON a.id = b.id AND b.arm = 'arm0' WHERE a.arm <> 'arm0' GROUP BY a.arm",
     "ev7_topk_overlap": f"""WITH {_DENSE}, x AS (SELECT query_id, rank, chunk_id AS a, CASE WHEN query_id % 40 = 0 AND rank > 7 THEN chunk_id + 100000 ELSE chunk_id END AS b FROM dt),
 o AS (SELECT query_id, k, count(*) FILTER (a = b) AS same FROM x, (VALUES (5), (10)) y(k) WHERE rank <= k GROUP BY ALL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as r
@@ -84,26 +84,26 @@ def rt7_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return found.join(_chunks(spark, d).select("chunk_id", "source"), "chunk_id")
 
 
-def _spoken():
+def spoken(text: Column) -> Column:
     """A shorter way to put a whole question: every second word."""
-    return F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 2 == 0), " ")
+    return F.array_join(F.filter(F.split(text, " "), lambda w, i: i % 2 == 0), " ")
 
 
 def rt8_union_phrasings(spark: SparkSession, d: str) -> DataFrame:
     rest = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 2 == 1), " ")
-    arms = [(F.col("text"), ["dense", "sparse"]), (_spoken(), ["dense", "sparse"]), (F.when(F.col("query_id") % 2 == 0, "").otherwise(rest), ["dense", "sparse"])]
+    arms = [(F.col("text"), ["dense", "sparse"]), (spoken(F.col("text")), ["dense", "sparse"]), (F.when(F.col("query_id") % 2 == 0, "").otherwise(rest), ["dense", "sparse"])]
     return _hybrid(spark, d, _phrased(spark, d, arms))
 
 
 def rt9_keyword_vote(spark: SparkSession, d: str) -> DataFrame:
     keywords = F.array_join(F.slice(F.array_sort(F.array_distinct(F.split("text", " "))), 1, 8), " ")
-    arms = [(F.col("text"), ["dense", "sparse"]), (_spoken(), ["dense", "sparse"]), (keywords, ["sparse"])]
+    arms = [(F.col("text"), ["dense", "sparse"]), (spoken(F.col("text")), ["dense", "sparse"]), (keywords, ["sparse"])]
     return _hybrid(spark, d, _phrased(spark, d, arms))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     texts = _chunks(spark, d).select("chunk_id", "text")
-    questions = _questions(spark, d).select("query_id", F.col("text").alias("question"), _spoken().alias("canonical"))
+    questions = _questions(spark, d).select("query_id", F.col("text").alias("question"), spoken(F.col("text")).alias("canonical"))
     return r.bm25_topk(_questions(spark, d), r.build_bm25(_chunks(spark, d)), 10).join(texts, "chunk_id").join(questions, "query_id")
 
 

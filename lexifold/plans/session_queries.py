@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conversation as c
 from ..operators import scenarios as r
+from ..session import shared_place
 from ..streaming import automaton as a
 from ..streaming import frames as f
 from .tables import FRAMES_SQL, TURNS_SQL, frames, table, turns
@@ -146,17 +144,9 @@ def st12_invariants(spark: SparkSession, d: str) -> DataFrame:
 _END = -1
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that all executors share; a temporary one on a single machine without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='lexifold-')}/{name}-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, made: DataFrame) -> DataFrame:
     """Run a stream over the files that are there to its end, into the shared folder, and read what it wrote."""
-    out = _shared(spark, "stream")
+    out = shared_place(spark, "stream")
     made.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(made.schema).parquet(out)
 
@@ -164,7 +154,7 @@ def _streamed(spark: SparkSession, made: DataFrame) -> DataFrame:
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     """A stream of the events, ended by a row of a much later time, which moves the watermark past all others."""
     events = table(spark, d, "events")
-    end = _shared(spark, "stream-end")
+    end = shared_place(spark, "stream-end")
     last = [F.lit({"user_id": _END, "event_id": _END, "event_type": "end"}.get(f.name)).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
     spark.range(1).select(*last, F.lit("2100-01-01").cast("timestamp_ntz").alias("ts")).select(events.columns).write.parquet(end)
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream reads folders only

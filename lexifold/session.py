@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the driver and all executors share; a temporary one on a single machine without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='lexifold-')}/{name}-{uuid.uuid4().hex}"
+
+
 def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     """UTC, adaptive execution with skew handling, and large partitions split; sizes stay the cluster's own choice."""
     return builder.config(

@@ -17,7 +17,7 @@ from ..functions.text import filename_dates, strip
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 EXTRACTED = "source string, text string, char_count long, para_count long, table_count long, error string"
-INDEX_PARTS = ("chunks", "postings", "terms", "docs", "vectors")
+INDEX_PARTS = ("chunks", "postings", "terms", "stats", "vectors")
 
 
 def _runs(p: ET.Element) -> str:
@@ -63,8 +63,8 @@ def office_text(data: bytes) -> tuple[str, int, int]:
     return "\n".join(lines).strip() + "\n", paragraphs, tables
 
 
-def extract_documents(spark: SparkSession, paths: str) -> DataFrame:
-    """EXTRACTED of each office document, with issued and revision dates from its name. What can't be read is a row with its error."""
+def extract_contents(files: DataFrame) -> DataFrame:
+    """EXTRACTED of files (path, content), with issued and revision dates from their names. What can't be read is a row with its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -78,8 +78,13 @@ def extract_documents(spark: SparkSession, paths: str) -> DataFrame:
                     rows.append((name, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in EXTRACTED.split(", ")])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, EXTRACTED)
-    return files.withColumn("dates", filename_dates(F.col("source"))).select("*", F.col("dates.issued").alias("issued_date"), F.col("dates.revision").alias("revision_date")).drop("dates")
+    read = files.select("path", "content").mapInPandas(run, EXTRACTED)
+    return read.withColumn("dates", filename_dates(F.col("source"))).select("*", F.col("dates.issued").alias("issued_date"), F.col("dates.revision").alias("revision_date")).drop("dates")
+
+
+def extract_documents(spark: SparkSession, paths: str) -> DataFrame:
+    """extract_contents of all office documents at paths."""
+    return extract_contents(spark.read.format("binaryFile").load(paths))
 
 
 def failures(extracted: DataFrame) -> DataFrame:
@@ -105,30 +110,47 @@ def read_json_rows(spark: SparkSession, paths: str, schema: str, lines: bool = T
     return df.select(F.explode(rows).alias("r")).select("r.*") if rows else df
 
 
-def read_notes(spark: SparkSession, paths: str, skip: tuple[str, ...] = ("00-context.md", "INDEX.md")) -> DataFrame:
-    """(name, primary, title, text) of markdown notes: front matter cut off, primary its first source, title the first # line."""
-    n = read_texts(spark, paths).where(~F.col("name").isin(*skip))
+def parse_notes(texts: DataFrame, skip: tuple[str, ...] = ("00-context.md", "INDEX.md")) -> DataFrame:
+    """(name, primary, title, text) of markdown notes (name, text): front matter cut off, primary its first source, title the first #
+    line."""
+    n = texts.where(~F.col("name").isin(*skip))
     sources = F.nullif(F.trim(F.regexp_replace(F.split_part(F.regexp_extract("text", r"(?m)^sources:\s*\[(.+?)\]", 1), F.lit(","), F.lit(1)), '"', "")), F.lit(""))
     body = F.regexp_replace("text", r"(?s)\A---.*?\n---", "")
     title = F.nullif(F.regexp_extract(body, r"(?m)^# +(.*?)\s*$", 1), F.lit(""))
     return n.select("name", sources.alias("primary"), F.coalesce(title, F.regexp_replace("name", r"\.md$", "")).alias("title"), body.alias("text"))
 
 
+def read_notes(spark: SparkSession, paths: str, skip: tuple[str, ...] = ("00-context.md", "INDEX.md")) -> DataFrame:
+    """parse_notes of all files at paths."""
+    return parse_notes(read_texts(spark, paths), skip)
+
+
 def write_index(path: str, **parts: DataFrame) -> None:
     """Tables of an index under a folder; a rerun replaces them."""
     for name, df in parts.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def open_index(spark: SparkSession, path: str, parts: tuple[str, ...] = INDEX_PARTS) -> dict[str, DataFrame]:
-    """The tables of an index; one error names all that are missing."""
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df written once as Parquet and read back, so that what uses it several times doesn't make it again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def missing_parts(spark: SparkSession, path: str, parts: tuple[str, ...] = INDEX_PARTS) -> list[str]:
+    """The tables that an index lacks."""
     jvm = spark._jvm
     missing = []
     for name in parts:
         at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             missing.append(name)
-    if missing:
+    return missing
+
+
+def open_index(spark: SparkSession, path: str, parts: tuple[str, ...] = INDEX_PARTS) -> dict[str, DataFrame]:
+    """The tables of an index; one error names all that are missing."""
+    if missing := missing_parts(spark, path, parts):
         raise FileNotFoundError(f"index {path} has no {', '.join(missing)}")
     return {name: spark.read.parquet(f"{path}/{name}") for name in parts}
 

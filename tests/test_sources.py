@@ -51,10 +51,10 @@ def test_corpus_notes_json(spark, tmp_path):
 
 
 def test_index_tables(spark, tmp_path):
-    readers.write_index(f"{tmp_path}/ix", chunks=spark.range(3), docs=spark.range(2))
+    readers.write_index(f"{tmp_path}/ix", chunks=spark.range(3), stats=spark.range(2))
     with pytest.raises(FileNotFoundError, match="postings, terms, vectors"):
         readers.open_index(spark, f"{tmp_path}/ix")
-    assert readers.open_index(spark, f"{tmp_path}/ix", ("chunks", "docs"))["chunks"].count() == 3
+    assert readers.open_index(spark, f"{tmp_path}/ix", ("chunks", "stats"))["chunks"].count() == 3
 
 
 def test_sound(spark, tmp_path):
