@@ -46,9 +46,8 @@ BLOCK, LEADERS = 32, 8
 KEYS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 #: Members of a component in a block when links are counted, beside RANGE shingles; columns of a product of incidence matrices.
 MEMBERS, COLUMNS = 512, 2048
-#: Documents of one key that share a task in the first round of groups, as far as their number is known, and how many times more do
-#: in each round after it.
-SALT, WIDER = 64, 8
+#: Documents of one key that are compared in one place, about; more are dealt to several by another hash.
+SALT = 64
 
 
 def links(inter, na, nb):
@@ -151,7 +150,7 @@ def _summed(f: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(frames: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
     """Sets of texts with the prefix in the order (common, hash), and with three keys, each the smallest of the set under a hash
-    of its own, and in how many classes that shingle is, as far as it is known."""
+    of its own, and in how many classes the first one is, as far as it is known."""
     stop, stop_n = common.value
     for f in frames:
         rows = []
@@ -164,11 +163,12 @@ def _sets(frames: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
             sig, keys = signature(s)[0], []
             for i, seed in enumerate(KEYS):
                 first = int(np.argmin(mix64(s ^ np.uint64(seed)))) if i else 0
-                keys += [int(s[first : first + 1].view(np.int64)[0]), int(stop_n[at[first]]) if last[first] else 0]
+                keys.append(int(s[first : first + 1].view(np.int64)[0]))
+            many = int(stop_n[at[0]]) if last[0] else 0
             ordered = np.concatenate([s[~last], s[last]])
             head = ordered[: prefix_length(len(s))] >> np.uint64(64 - SET_BITS)
-            rows.append((doc_id, len(s), sig, *keys, pack(s >> np.uint64(64 - SET_BITS), SET_BITS), pack(head, SET_BITS)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "key_1", "many_1", "key_2", "many_2", "key_3", "many_3", "tokens", "prefix"])
+            rows.append((doc_id, len(s), sig, many, *keys, pack(s >> np.uint64(64 - SET_BITS), SET_BITS), pack(head, SET_BITS)))
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "many", "key_1", "key_2", "key_3", "tokens", "prefix"])
 
 
 def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -354,14 +354,34 @@ def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush(held)
 
 
-def _grouped(rows: DataFrame, key: int, width: int) -> DataFrame:
-    """rows with their stars by one of the keys, whose documents are dealt by another hash where there are more than width."""
-    salted = rows.withColumn("key", F.col(f"key_{key}")).withColumn("salt", F.pmod("sig", F.floor(F.col(f"many_{key}") / width) + 1))
+def _grouped(rows: DataFrame, key: str) -> DataFrame:
+    """rows with their stars by a key, whose documents are dealt to as many places as their number (many) calls for."""
+    salted = rows.withColumn("key", F.col(key)).withColumn("salt", F.pmod("sig", F.floor(F.col("many") / SALT) + 1)).drop("many")
     dealt = salted.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "doc_id")
     schema = ", ".join(f"{c} {t}" for c, t in salted.dtypes) + ", star long, block int"
     return dealt.mapInPandas(_stars, schema).drop("key", "salt")
 
 
+def _leaders_meet(stars: DataFrame) -> DataFrame:
+    """Links (a, b) of leaders with leaders under the other keys, in rounds of these in turn: each deals the leaders of a key that are
+    left to places of about SALT, of which those that link with another lead no more. After a round of each key, rounds go on
+    while there are keys with more leaders than a place holds, and while these leaders halve."""
+    leading, merged, before, round_ = stars.where("doc_id = star").drop("star", "block"), None, 0, 1
+    while True:
+        round_ += 1
+        key = f"key_{2 + round_ % 2}"
+        hot = leading.groupBy(F.col(key).alias("of")).agg(F.count("*").alias("many")).where(F.col("many") > SALT)
+        crowd = hot.agg(F.sum("many")).first()[0] or 0
+        if round_ > 3 and (not crowd or crowd > before / 2):
+            return merged
+        dealt = leading.join(hot, F.col(key) == F.col("of"), "left").select("doc_id", "n", "sig", F.coalesce("many", F.lit(0)).alias("many"), "key_2", "key_3", "tokens")
+        made = _grouped(dealt, key)
+        leading = stash(made.withColumn("tokens", F.when(F.col("doc_id") == F.col("star"), F.col("tokens"))), f"leaders-{round_}")
+        found = leading.where("doc_id <> star").select(F.col("doc_id").alias("a"), F.col("star").alias("b"))
+        merged = found if merged is None else merged.unionByName(found)
+        leading, before = leading.where("doc_id = star").drop("star", "block"), crowd
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b), enough for the components, between the representatives of classes (rep, n, sig_a), and the sets (doc_id, n,
     sig, tokens) of all classes that can link with another."""
@@ -385,20 +405,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataF
     stop = spark.sparkContext.broadcast((common["tokens"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)))
 
     fetched = docs.join(rest, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, sig long, key_1 long, many_1 long, key_2 long, many_2 long, key_3 long, many_3 long, tokens binary, prefix binary")
-    stars = stash(_grouped(sets, 1, SALT), "stars-of-documents")
+    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, sig long, many long, key_1 long, key_2 long, key_3 long, tokens binary, prefix binary")
+    stars = stash(_grouped(sets, "key_1"), "stars-of-documents")
     star_links = stars.select(F.col("doc_id").alias("a"), F.col("star").alias("b")).where("a <> b")
-    # leaders of one cluster that stand under several first keys or salts meet under the others, in wider and wider circles
-    hot = stars.agg(F.max(F.greatest("many_2", "many_3"))).first()[0] or 0
-    leading, merged, width, key = stars.where("doc_id = star"), None, SALT, 1
-    while key < 3 or width < hot:
-        width, key = width * WIDER, key + 1
-        kept = ["doc_id", "n", "sig", *(f"{c}_{k}" for c in ("key", "many") for k in (2, 3)), "tokens"]
-        made = _grouped(leading.select(*kept), 2 + key % 2, width)
-        leading = stash(made.withColumn("tokens", F.when(F.col("doc_id") == F.col("star"), F.col("tokens"))), f"leaders-{key}")
-        found = leading.where("doc_id <> star").select(F.col("doc_id").alias("a"), F.col("star").alias("b"))
-        merged = found if merged is None else merged.unionByName(found)
-        leading = leading.where("doc_id = star").drop("star", "block")
+    merged = _leaders_meet(stars)
     first = stash(components(merged), "star-components")
 
     labeled = stars.join(first, F.col("star") == F.col("id"), "left").select(F.coalesce("component", "star").alias("component"), "star", F.col("block").cast("long").alias("block"), "n", "prefix")

@@ -62,7 +62,7 @@ def test_components_against_all_pairs(spark, words, odd_texts, seed, monkeypatch
 
 def test_large_groups_of_near_copies_meet_in_rounds(spark, words, monkeypatch):
     """Near copies that are dealt to many salts end in one component, and their tasks hold few of them."""
-    for name, value in (("SALT", 2), ("WIDER", 2), ("COMMON", 2)):
+    for name, value in (("SALT", 2), ("COMMON", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     base = words(90, 77)
     texts = [" ".join(base[: 89 - k] + [f"end{k}"] + base[90 - k :]) for k in range(80)] + [" ".join(words(60, i)) for i in range(20)]
