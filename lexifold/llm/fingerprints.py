@@ -18,6 +18,8 @@ from .textkit import mix64
 GRAM = 16
 #: Grams in a window. Two texts that share WINDOW + GRAM - 1 code points in a row share a selected gram.
 WINDOW = 40
+#: Bytes of text in a range of documents, about, and ranges at most.
+PART, MOST_PARTS = 8 << 20, 1 << 15
 #: Bits of a gram's hash and of its position while windows are compared, in one 64-bit number.
 _POSITION_BITS = 32
 
@@ -118,19 +120,25 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def _with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows dealt by ranges of doc_id, each range ended by a copy of the next range's first row (tail = 1); the last by the
-    first of all. The driver gets one number and one key for each range."""
+    first of all. Ids of many rows have a range of their own, and these and null ids are dealt further by ranges of the texts'
+    hashes. The driver gets one number and one key for each range."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    cuts = np.unique(np.array(base.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else [], np.float64))
-
-    @F.pandas_udf(T.IntegerType())
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), len(cuts) + 1, np.searchsorted(cuts, ids.fillna(0), "right")).astype(np.int32))
-
-    base = base.withColumn("h", F.xxhash64("text")).withColumn("part", part_of("doc_id"))
+    found = np.array(base.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else [], np.float64)
+    cuts, times = np.unique(found, return_counts=True)
+    hot = cuts[times > 1]
+    cuts = np.union1d(cuts, hot + 1)
+
+    @F.pandas_udf(T.LongType())
+    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        known = ids.fillna(0)
+        deal = ((hashes.to_numpy() >> 32) + (1 << 31)) * parts >> 32
+        return pd.Series(np.where(ids.isna(), len(cuts) + 1, np.searchsorted(cuts, known, "right")) * parts + np.where(ids.isna() | np.isin(known, hot), deal, 0))
+
+    base = base.withColumn("h", F.xxhash64("text")).withColumn("part", part_of("doc_id", "h"))
     heads = base.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("head")).orderBy("part").collect()
     before = [(r["part"], r["head"]["doc_id"], r["head"]["h"], heads[i - 1]["part"]) for i, r in enumerate(heads)]
-    before = spark.createDataFrame(before, "head_part int, head_id long, head_h long, before int")
+    before = spark.createDataFrame(before, "head_part long, head_id long, head_h long, before long")
     head = (F.col("part") == F.col("head_part")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
     marked = base.join(F.broadcast(before), head, "left")
     own = F.struct(F.col("part"), F.lit(0).alias("tail"))
@@ -144,9 +152,11 @@ def print_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     Null texts count as empty, with empty fingerprints, which are alike (1). The next document is by (doc_id, text hash), null
     ids last, and the first follows the last; a single row follows itself. Repeated rows are printed each. Texts are shuffled
-    once, by range of doc_id; a partition holds two texts at a time.
+    once, by range of doc_id, in ranges of about PART bytes; a partition holds two texts at a time.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = min(MOST_PARTS, max(docs.sparkSession.sparkContext.defaultParallelism, size // PART))
     return _with_next(docs, parts).mapInPandas(_print_rows, PRINTS)
 
 

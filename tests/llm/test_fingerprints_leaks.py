@@ -54,6 +54,19 @@ def test_prints_of_all_documents_in_order(spark, odd_texts):
             assert got[i].near_next == likeness(fingerprint(text)[1], fingerprint(after)[1])
 
 
+def test_prints_of_hot_and_null_ids(spark, words):
+    """Rows of one id or none are dealt to several ranges; every row but the last of all meets the one after it."""
+    texts = [" ".join(words(20, i)) for i in range(160)]
+    ids = [7] * 60 + [None] * 50 + list(range(50))
+    docs = documents(spark, texts, ids=ids)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted(zip(ids, texts), key=lambda x: (x[0] is None, x[0] or 0, hashes[x[1]]))]
+    expect = sorted(hashlib.sha256(edit(a, b).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1]))
+    assert fingerprints._with_next(docs, 8).where("tail = 0").groupBy("part").count().agg(F.max("count")).first()[0] < 30
+    for parts in (2, 8):
+        assert sorted(r.edited_sha256 for r in fingerprints.print_documents(docs, parts).collect()) == expect
+
+
 def test_prints_of_few_and_repeated_rows(spark):
     one = fingerprints.print_documents(documents(spark, ["alone here"]), 4).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
