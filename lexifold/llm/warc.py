@@ -33,9 +33,10 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record: the payload in a response, or without it a revisit that names the page it repeats."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, name: str | None = None) -> bytes:
+    """One WARC record: the payload in a response, or without it a revisit that names the page it repeats. A record that revisits refer
+    to is named after its page, others after a name of their own."""
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name or f'page:{page_id}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if page_id is not None:
@@ -76,7 +77,7 @@ def frames_of(content: bytes) -> list[tuple[int, int]]:
 
 def _write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, made, packer = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL)
-    out, sizes, index, open_frame, plain = bytearray(), [], [], bytearray(), 0
+    out, sizes, index, open_frame, plain, seen = bytearray(), [], [], bytearray(), 0, set()
 
     def close_frame():
         nonlocal plain
@@ -99,7 +100,10 @@ def _write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page_id, url, html, first in zip(f["page_id"].astype("Int64"), f["url"], f["html"], f["first_id"].astype("Int64")):
             page_id = None if page_id is pd.NA else int(page_id)
             refers_to = None if first is pd.NA or first == page_id else int(first)
-            data = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to)
+            named = first is not pd.NA and refers_to is None and page_id not in seen
+            if named:  # pages of repeated payloads only
+                seen.add(page_id)
+            data = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, None if named else f"record:{part}:{made}:{len(index)}:{page_id}")
             index.append({"page_id": page_id, "frame": len(sizes), "offset": len(open_frame), "length": len(data)})
             open_frame += data
             if len(open_frame) >= FRAME:
