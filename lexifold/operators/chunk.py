@@ -57,15 +57,15 @@ def point_groups(lines: DataFrame, by: str = "doc_id") -> DataFrame:
     s = s.where(~F.col("kind").isin("blank", "noise"))
     s = s.withColumn("title", F.when(F.col("line").startswith("## "), strip(F.substring("line", 4, 1 << 30))).otherwise(F.col("line")))
     s = s.withColumn("open", F.max(F.col("kind").isin("point", "body").cast("int")).over(w)).withColumn("grp", F.sum((F.col("kind") == "point").cast("int")).over(w))
-    heads = F.array_sort(F.collect_list(F.when(F.col("open") == 0, F.struct("pos", F.substring("title", 1, 120).alias("title")))).over(Window.partitionBy(by)))["title"]
-    s = s.withColumn("heads", heads).where("open = 1")
+    # the first headings are a group of their own, whose titles all groups of the document get
+    s = s.withColumn("grp", F.when(F.col("open") == 1, F.col("grp")).otherwise(-1))
+    text = F.when((F.col("kind") == "heading") | (F.col("open") == 0), F.col("title")).otherwise(F.col("line"))
+    lines_ = F.array_sort(F.collect_list(F.struct("pos", text.alias("line"))))["line"]
+    grouped = s.groupBy(by, "grp").agg(F.min(F.when(F.col("kind") == "point", point_number(F.col("line")))).alias("point"), lines_.alias("lines"))
+    heads = F.transform(F.coalesce(F.max(F.when(F.col("grp") == -1, F.col("lines"))).over(Window.partitionBy(by)), F.array().cast("array<string>")), lambda t: F.substring(t, 1, 120))
+    grouped = grouped.withColumn("heads", heads).where("grp >= 0")
     path = F.when(F.size("heads") > 4, F.concat(F.slice("heads", 1, 3), F.slice("heads", -1, 1))).otherwise(F.col("heads"))
-    text = F.when(F.col("kind") == "heading", F.col("title")).otherwise(F.col("line"))
-    grouped = s.groupBy(by, "grp").agg(
-        F.min(F.when(F.col("kind") == "point", point_number(F.col("line")))).alias("point"), F.first(path).alias("section_path"),
-        strip(F.array_join(F.array_sort(F.collect_list(F.struct("pos", text.alias("line"))))["line"], "\n")).alias("text"),
-    )
-    return grouped.where("text <> ''")
+    return grouped.select(by, "grp", "point", path.alias("section_path"), strip(F.array_join("lines", "\n")).alias("text")).where("text <> ''")
 
 
 def chunk_documents(lines: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, by: str = "doc_id") -> DataFrame:
@@ -74,34 +74,29 @@ def chunk_documents(lines: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
     return parts.withColumn("ord", F.row_number().over(Window.partitionBy(by).orderBy("grp", "part"))).select(by, "ord", "point", "section_path", "text")
 
 
-def merged_rows(rows: list[tuple], target: int) -> list[list]:
-    """Greedy merge of (key, point, section_path, text) in order: a row joins the one before of its key while both fit the target."""
-    out: list[list] = []
-    for key, point, path, text in rows:
-        if out and out[-1][0] == key and len(out[-1][3]) + len(text) + 1 <= target:
-            out[-1][3] += "\n" + text
-            out[-1][1] = out[-1][1] or point
-        else:
-            out.append([key, point, path, text])
-    return out
-
-
 def merge_siblings(chunks: DataFrame, target: int | None = TARGET, by: str = "doc_id", run: str | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """Chunks of a document merged up to target characters (0 or None: not at all), after those under min_chars are dropped. With
-    run, a merge also ends where that column's value changes. The first point and section path of a merge stay."""
+    run, a merge also ends where that column's value changes. The first point and section path of a merge stay. A document's
+    chunks are one array, folded from left to right."""
     kept = chunks.where(F.length("text") >= min_chars)
     if not target:
         return kept
-    schema = T.StructType([chunks.schema[by], T.StructField("ord", T.IntegerType()), T.StructField("point", T.StringType()), T.StructField("section_path", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())] + ([chunks.schema[run]] if run else []))
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("ord")
-        keys = f[run] if run else [0] * len(f)
-        out = merged_rows(list(zip(keys, f["point"], f["section_path"], f["text"])), target)
-        made = {by: [f[by].iloc[0]] * len(out), "ord": range(1, len(out) + 1), "point": [x[1] for x in out], "section_path": [x[2] for x in out], "text": [x[3] for x in out]}
-        return pd.DataFrame(made | ({run: [x[0] for x in out]} if run else {}))
-
-    return kept.groupBy(by).applyInPandas(fold, schema)
+    fields = F.struct("ord", (F.col(run) if run else F.lit(0)).alias("key"), "point", "section_path", "text")
+    rows = kept.groupBy(by).agg(F.array_sort(F.collect_list(fields)).alias("rows"))
+    kind = rows.schema["rows"].dataType.simpleString()
+    begin = F.struct(F.array().cast(kind).alias("done"), F.get(F.array().cast(kind), F.lit(0)).alias("last"))
+
+    def step(a: Column, x: Column) -> Column:
+        last = a["last"]
+        fits = last.isNotNull() & last["key"].eqNullSafe(x["key"]) & (F.length(last["text"]) + F.length(x["text"]) + 1 <= target)
+        point = F.coalesce(F.nullif(last["point"], F.lit("")), x["point"])
+        both = F.struct(last["ord"].alias("ord"), last["key"].alias("key"), point.alias("point"), last["section_path"].alias("section_path"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))
+        done = F.when(last.isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(last)))
+        return F.struct(F.when(fits, a["done"]).otherwise(done).alias("done"), F.when(fits, both).otherwise(x).alias("last"))
+
+    merged = F.aggregate("rows", begin, step, lambda a: F.concat(a["done"], F.array(a["last"])))
+    each = rows.select(by, F.posexplode(merged).alias("pos", "c"))
+    return each.select(by, (F.col("pos") + 1).alias("ord"), "c.point", "c.section_path", "c.text", *([F.col("c.key").alias(run)] if run else []))
 
 
 def ordinals(ids: DataFrame, by: str, parts: int = 256) -> DataFrame:

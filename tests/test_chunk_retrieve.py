@@ -29,9 +29,29 @@ def test_points_sections_and_chunks(spark):
     assert [r.ord for r in chunks.where("doc_id = 1").orderBy("ord").collect()] == list(range(1, chunks.where("doc_id = 1").count() + 1))
 
 
+def merged_rows(rows, target):
+    out = []
+    for key, point, path, text in rows:
+        if out and out[-1][0] == key and len(out[-1][3]) + len(text) + 1 <= target:
+            out[-1] = (key, out[-1][1] or point, out[-1][2], out[-1][3] + "\n" + text)
+        else:
+            out.append((key, point, path, text))
+    return out
+
+
+def test_merging_against_a_loop(spark):
+    rnd = random.Random(5)
+    rows = [(d, i + 1, rnd.choice([None, "", str(i)]), rnd.choice([[], ["s", str(i)]]), "x" * rnd.randint(1, 60), rnd.choice("ab")) for d in range(6) for i in range(d * 7)]
+    df = spark.createDataFrame(rows, "doc_id long, ord int, point string, section_path array<string>, text string, source string")
+    for run, least in ((None, 40), ("source", 0)):
+        got = {}
+        for r in chunk.merge_siblings(df, 99, "doc_id", run, least).orderBy("doc_id", "ord").collect():
+            got.setdefault(r.doc_id, []).append((r[run] if run else 0, r.point, r.section_path, r.text))
+        expect = {d: merged_rows([(x[5] if run else 0, *x[2:5]) for x in rows if x[0] == d and len(x[4]) >= least], 99) for d in range(6)}
+        assert {d: [(k, p or None, s, t) for k, p, s, t in x] for d, x in got.items()} == {d: [(k, p or None, s, t) for k, p, s, t in x] for d, x in expect.items() if x}
+
+
 def test_merging(spark):
-    rows = [("k", None, [], "a" * 50), ("k", "2", [], "b" * 48), ("k", "3", [], "c"), ("m", "4", [], "d")]
-    assert [(x[0], x[1], len(x[3])) for x in chunk.merged_rows(rows, 99)] == [("k", "2", 99), ("k", "3", 1), ("m", "4", 1)]
     df = spark.createDataFrame([(1, i, str(i), ["s"], "x" * n) for i, n in enumerate((39, 40, 500, 500, 900))], "doc_id long, ord int, point string, section_path array<string>, text string")
     assert [len(r.text) for r in chunk.merge_siblings(df).orderBy("ord").collect()] == [541, 500, 900]
     assert chunk.merge_siblings(df, None).count() == 4
