@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, norm_transcript, norm_ws
+from .stats import listed
 
 KS = (1, 3, 5)
 
@@ -57,18 +58,15 @@ def aggregate_scores(scores: DataFrame, by: list[str], metrics: list[str]) -> Da
     return scores.groupBy(*by).agg(*(F.round(F.avg(m), 4).alias(m) for m in metrics))
 
 
-def retrieval_grid(ranked: DataFrame, items: DataFrame, configs: DataFrame, most: int = 1000) -> DataFrame:
+def retrieval_grid(ranked: DataFrame, items: DataFrame, configs: DataFrame) -> DataFrame:
     """Mean scores and latency of each config (config, top_k, pool, rrf_k, rerank, ms): ranked lists (id, rank, source, text, list_id,
-    logit) are made and scored once, and a config only cuts, fuses and orders them, by the logit where it reranks. Configs are a
-    list of at most `most`."""
-    if configs.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} configs")
-    pooled = ranked.join(F.broadcast(configs), F.col("rank") <= F.col("pool"))
+    logit) are made and scored once, and a config only cuts, fuses and orders them, by the logit where it reranks."""
+    pooled = ranked.crossJoin(listed(configs)).where("rank <= pool")
     fused = pooled.groupBy("config", "top_k", "rerank", "id", "source").agg(F.round(F.sum(1.0 / (F.col("rrf_k") + F.col("rank"))), 12).alias("s"), F.min("rank").alias("first"), F.max("logit").alias("logit"), F.min_by("text", "rank").alias("text"))
     order = Window.partitionBy("config", "id").orderBy(F.when(F.col("rerank"), F.col("logit")).desc_nulls_last(), F.desc("s"), "first", "source")
     cut = fused.withColumn("rank", F.row_number().over(order)).where("rank <= top_k")
     keyed = cut.withColumn("id", F.struct("config", "id"))
-    each = items.crossJoin(F.broadcast(configs.select("config", "ms"))).select(F.struct("config", "id").alias("id"), "gold_source", "gold_quote", "ms")
+    each = items.crossJoin(listed(configs.select("config", "ms"))).select(F.struct("config", "id").alias("id"), "gold_source", "gold_quote", "ms")
     scores = score_retrieval(keyed, each).join(each.select("id", "ms"), "id")
     return scores.groupBy("id.config").agg(*(F.round(F.avg(m), 4).alias(m) for m in ("recall_1", "recall_3", "recall_5", "quote_3", "mrr")), F.avg("ms").alias("ms"))
 

@@ -35,7 +35,7 @@ def paired_compare(df: DataFrame, comparisons: DataFrame, score: str, key: str =
     1.96 or more either way. Fewer than two pairs give nulls. Comparisons are few; each is a row, so one pass makes all."""
     columns = [c for c in df.columns if c not in (key, score)]
     value = lambda of: F.coalesce(*(F.when(F.col(of) == c, F.col(c).cast("string")) for c in columns))
-    j = df.crossJoin(F.broadcast(comparisons))
+    j = df.crossJoin(listed(comparisons))
     inside = F.col("within_column").isNull() | (value("within_column") == F.col("within_value"))
     a, b = (F.avg(F.when(value(f"{s}_column") == F.col(f"{s}_value"), F.col(score))) for s in "ab")
     pairs = j.where(inside).groupBy("name", key).agg(a.alias("a"), b.alias("b")).dropna().withColumn("d", F.col("a") - F.col("b"))
@@ -84,9 +84,16 @@ def stage_latency(df: DataFrame, by: str, timings: str = "timings_ms", search: t
     return each.groupBy(by, "stage").agg(F.avg("ms").alias("ms"))
 
 
+def listed(df: DataFrame, most: int = 1000) -> DataFrame:
+    """A list of configs or comparisons, marked for broadcast; an error where it has more than `most` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows in a list that goes to all tasks")
+    return F.broadcast(df)
+
+
 def experiment_grid(questions: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every question under every config; configs are a small list."""
-    return questions.crossJoin(F.broadcast(configs))
+    """Every question under every config; configs are a list."""
+    return questions.crossJoin(listed(configs))
 
 
 def prompt_budget(ranked: DataFrame, by: str, ks: list[int], context: int, chars_per_token: float = 2.6, reserve: int = 400) -> DataFrame:
