@@ -60,7 +60,34 @@ def ud5_table_functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT doc_id, s.part, s.text FROM documents_to_split, LATERAL split_sentences(text) s")
 
 
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _below(n: str, hundreds: list[str], tens: list[str], units: list[str], teens: list[str]) -> str:
+    """A list of the words of a number below a thousand, blanks among them."""
+    teen = f"{n} % 100 BETWEEN 10 AND 19"
+    return f"[{_list(hundreds)}[{n} // 100 + 1], CASE WHEN {teen} THEN {_list(teens)}[{n} % 100 - 9] ELSE {_list(tens)}[{n} % 100 // 10 + 1] END, CASE WHEN {teen} THEN '' ELSE {_list(units)}[{n} % 10 + 1] END]"
+
+
+def _number_sql() -> str:
+    joined = lambda words: f"array_to_string(list_filter({words}, lambda x: x <> ''), ' ')"
+    one, few, many = s.SCALES[2][1]
+    form = f"CASE WHEN t = 0 THEN '' WHEN t % 10 = 1 AND t % 100 <> 11 THEN '{one}' WHEN t % 10 BETWEEN 2 AND 4 AND NOT t % 100 BETWEEN 12 AND 14 THEN '{few}' ELSE '{many}' END"
+    genitive_teens = [w[:-1] + "и" for w in s.TEENS]
+    cardinal = joined(f"{_below('t', s.HUNDREDS, s.TENS, s.UNITS_FEMININE, s.TEENS)} || [{form}] || {_below('r', s.HUNDREDS, s.TENS, s.UNITS, s.TEENS)}")
+    of_thousands = _below("t", s.GENITIVE_HUNDREDS, s.GENITIVE_TENS, ["", "одной", *s.GENITIVE_UNITS[2:]], genitive_teens)
+    genitive = joined(f"{of_thousands} || [CASE WHEN t = 0 THEN '' WHEN t % 10 = 1 AND t % 100 <> 11 THEN 'тысячи' ELSE 'тысяч' END] || {_below('r', s.GENITIVE_HUNDREDS, s.GENITIVE_TENS, s.GENITIVE_UNITS, genitive_teens)}")
+    whole = f"CASE WHEN t = 1 THEN '' ELSE array_to_string({_below('t', s.GENITIVE_HUNDREDS, s.GENITIVE_TENS, s.GENITIVE_UNITS, genitive_teens)}, '') END || 'тысячного'"
+    last = f"CASE WHEN r % 100 = 0 THEN {_list(s.ORDINAL_HUNDREDS)}[r // 100 + 1] WHEN r % 100 BETWEEN 10 AND 19 THEN {_list([w[:-1] + 'ого' for w in s.TEENS])}[r % 100 - 9] WHEN r % 10 = 0 THEN {_list(s.ORDINAL_TENS)}[r % 100 // 10 + 1] ELSE {_list(s.ORDINAL_UNITS)}[r % 10 + 1] END"
+    before = f"CASE WHEN r % 100 = 0 THEN '' ELSE {_list(s.HUNDREDS)}[r // 100 + 1] END, CASE WHEN r % 100 < 20 OR r % 10 = 0 THEN '' ELSE {_list(s.TENS)}[r % 100 // 10 + 1] END"
+    ordinal = joined(f"{_below('t', s.HUNDREDS, s.TENS, s.UNITS_FEMININE, s.TEENS)} || [{form}, {before}, {last}]")
+    return f"""SELECT event_id, CASE WHEN n = 0 THEN 'ноль' ELSE {cardinal} END AS cardinal, CASE WHEN n = 0 THEN 'ноля' ELSE {genitive} END AS genitive, CASE WHEN n = 0 THEN 'нулевого' WHEN r = 0 THEN {whole} ELSE {ordinal} END AS ordinal
+FROM (SELECT event_id, n, n // 1000 AS t, n % 1000 AS r FROM (SELECT event_id, event_id * 977 % 1000000 AS n FROM events))"""
+
+
 SQL = {
+    "sc11_number_words": _number_sql(),
     "sc22_clip_stats": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings), r AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)) AS rms FROM v)
 SELECT vec_id, round(list_max(list_transform(e, lambda x: abs(x))), 6) AS peak, round(len(list_filter(e, lambda x: abs(x) >= 0.999)) * 100.0::DOUBLE / len(e), 6) AS clipped, round(list_avg(e), 6) AS mean, round(rms, 6) AS rms,
   round(sqrt(list_sum(list_transform(range(1, len(e)), lambda i: (e[i + 1] - e[i]) * (e[i + 1] - e[i]))) / (len(e) - 1)) / (rms + 1e-9), 6) AS roughness FROM r""",
