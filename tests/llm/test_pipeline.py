@@ -53,3 +53,33 @@ def test_stages_against_plain_ones(spark, words, write):
             out.write.parquet(at)
             now = spark.read.parquet(at)
     assert corpus_pipeline.run(spark, d).count() == len(rows)
+
+
+def test_odd_rows_go_through(spark, words, odd_texts, write):
+    texts = odd_texts + [" ".join(words(50, 1000 + i)) for i in range(20)] + [" ".join(words(50, 1003))] * 3
+    ids = [None, 1, 1, *range(3, len(texts))]
+    docs = documents(spark, texts, ids=ids, sources=[None if i % 5 == 0 else f"s{i % 3}" for i in range(len(texts))])
+    for c in ("score", "row", "size", "target", "component_id", "shard", "h"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    items = spark.createDataFrame([(1, None), (2, ""), (None, " ".join(words(40, 555)))], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    d = write(documents=docs, labels=labels, benchmark=items)
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        now = stage(spark, now, d)
+        assert now.columns == docs.columns, name
+    left = now.collect()
+    # of the repeated texts one document stays; nothing else goes
+    first = {}
+    for i, t in zip(ids, texts):
+        if i is not None and t and t.strip():
+            first[t] = min(i, first.get(t, i))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == sorted((i is None, i or 0) for i, t in zip(ids, texts) if i is None or not (t and t.strip()) or first[t] == i)
+    out = corpus_pipeline.run(spark, d)
+    assert set(docs.columns) <= set(out.columns) and out.count() > 0 and out.where("shard is null").count() == 0
+
+
+def test_empty_tables_go_through(spark, write):
+    docs = documents(spark, ["x"]).limit(0)
+    d = write(documents=docs, labels=spark.createDataFrame([], "doc_id long, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, d).count() == 0
