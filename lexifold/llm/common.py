@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,24 +35,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of texts that a Python worker holds at once while an intermediate table is written.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within this, Python workers get at most BATCH_ROWS rows at a time."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is cut, lost executors recompute nothing, and the
     planner knows the true size of what follows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for mapInPandas that gives memory back when its task ends: workers stay for other tasks."""
+
+    @wraps(run)
+    def leaned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(frames)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return leaned
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

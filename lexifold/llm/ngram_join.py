@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import lean, stash, table
 from .components import components
 from .decontamination import SETS_SQL
 from .packing import pack, squeeze, unpack, unsqueeze
@@ -47,7 +47,7 @@ KEYS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 #: Members of a component in a block when links are counted, beside RANGE shingles; columns of a product of incidence matrices.
 MEMBERS, COLUMNS = 512, 2048
 #: Documents of one key that are compared in one place, about; more are dealt to several by another hash.
-SALT = 64
+SALT = 512
 
 
 def links(inter, na, nb):
@@ -359,7 +359,7 @@ def _grouped(rows: DataFrame, key: str) -> DataFrame:
     salted = rows.withColumn("key", F.col(key)).withColumn("salt", F.pmod("sig", F.floor(F.col("many") / SALT) + 1)).drop("many")
     dealt = salted.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "doc_id")
     schema = ", ".join(f"{c} {t}" for c, t in salted.dtypes) + ", star long, block int"
-    return dealt.mapInPandas(_stars, schema).drop("key", "salt")
+    return dealt.mapInPandas(lean(_stars), schema).drop("key", "salt")
 
 
 def _leaders_meet(stars: DataFrame) -> DataFrame:
@@ -370,11 +370,12 @@ def _leaders_meet(stars: DataFrame) -> DataFrame:
     while True:
         round_ += 1
         key = f"key_{2 + round_ % 2}"
-        hot = leading.groupBy(F.col(key).alias("of")).agg(F.count("*").alias("many")).where(F.col("many") > SALT)
+        hot = stash(leading.groupBy(F.col(key).alias("of")).agg(F.count("*").alias("many")).where(F.col("many") > SALT), "hot-keys")
         crowd = hot.agg(F.sum("many")).first()[0] or 0
         if round_ > 3 and (not crowd or crowd > before / 2):
             return merged
-        dealt = leading.join(hot, F.col(key) == F.col("of"), "left").select("doc_id", "n", "sig", F.coalesce("many", F.lit(0)).alias("many"), "key_2", "key_3", "tokens")
+        dealt = leading.join(hot, F.col(key) == F.col("of"), "left") if crowd else leading.withColumn("many", F.lit(0))
+        dealt = dealt.select("doc_id", "n", "sig", F.coalesce("many", F.lit(0)).alias("many"), "key_2", "key_3", "tokens")
         made = _grouped(dealt, key)
         leading = stash(made.withColumn("tokens", F.when(F.col("doc_id") == F.col("star"), F.col("tokens"))), f"leaders-{round_}")
         found = leading.where("doc_id <> star").select(F.col("doc_id").alias("a"), F.col("star").alias("b"))
@@ -388,7 +389,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataF
     spark = docs.sparkSession
     ranges = max(8, -(-total // (4 * RANGE)))
     texts = docs.select("text")
-    dealt = texts.mapInPandas(partial(_deal, ranges=ranges), "range int, tokens binary, places binary, classes binary")
+    dealt = texts.mapInPandas(lean(partial(_deal, ranges=ranges)), "range int, tokens binary, places binary, classes binary")
     bounds = stash(dealt.repartition(min(ranges, MOST_PARTS), "range").groupBy("range").applyInPandas(partial(_shared, ranges=ranges), "bucket int, tokens array<long>, n array<int>, classes binary, counts binary"), "shared-shingles")
     shared = bounds.where("bucket >= 0").select("bucket", "classes", "counts").groupBy("bucket").applyInPandas(_summed, "sig long, shared long")
     rest = classes.join(shared, F.col("sig_a") == F.col("sig")).where(DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("n"))
@@ -405,7 +406,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataF
     stop = spark.sparkContext.broadcast((common["tokens"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)))
 
     fetched = docs.join(rest, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = fetched.mapInPandas(partial(_sets, common=stop), "doc_id long, n long, sig long, many long, key_1 long, key_2 long, key_3 long, tokens binary, prefix binary")
+    sets = fetched.mapInPandas(lean(partial(_sets, common=stop)), "doc_id long, n long, sig long, many long, key_1 long, key_2 long, key_3 long, tokens binary, prefix binary")
     stars = stash(_grouped(sets, "key_1"), "stars-of-documents")
     star_links = stars.select(F.col("doc_id").alias("a"), F.col("star").alias("b")).where("a <> b")
     merged = _leaders_meet(stars)
@@ -413,7 +414,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataF
 
     labeled = stars.join(first, F.col("star") == F.col("id"), "left").select(F.coalesce("component", "star").alias("component"), "star", F.col("block").cast("long").alias("block"), "n", "prefix")
     ranges = max(8, -(-(stars.agg(F.sum("n")).first()[0] or 0) // (2 * RANGE)))
-    matrix = labeled.mapInPandas(partial(_matrix, ranges=ranges), "range int, tokens binary, places binary, sizes binary, groups binary")
+    matrix = labeled.mapInPandas(lean(partial(_matrix, ranges=ranges)), "range int, tokens binary, places binary, sizes binary, groups binary")
     met = matrix.repartition(min(ranges, MOST_PARTS), "range").groupBy("range").applyInPandas(_meet, "star_a long, block_a long, star_b long, block_b long")
     met = stash(met.distinct(), "group-pairs")
 
@@ -421,7 +422,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataF
     pairs = met.where("star_a <> star_b").select("star_a", "star_b").distinct()
     for side in "ab":
         pairs = pairs.join(leaders.select(F.col("doc_id").alias(f"star_{side}"), F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"tokens_{side}")), f"star_{side}")
-    between = pairs.select(F.col("star_a").alias("a"), F.col("star_b").alias("b"), "n_a", "n_b", "tokens_a", "tokens_b").mapInPandas(_leaders_link, "a long, b long")
+    between = pairs.select(F.col("star_a").alias("a"), F.col("star_b").alias("b"), "n_a", "n_b", "tokens_a", "tokens_b").mapInPandas(lean(_leaders_link), "a long, b long")
     between = stash(between.unionByName(merged), "leader-links")
 
     known = stash(components(between), "leader-components")
@@ -433,7 +434,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, total: int) -> tuple[DataF
     opened = apart
     for side in "ab":
         opened = opened.join(members.select(F.col("star").alias(f"star_{side}"), F.col("block").alias(f"block_{side}"), F.col("members").alias(f"members_{side}")), [f"star_{side}", f"block_{side}"])
-    found = opened.select("members_a", "members_b").mapInPandas(_open, "a long, b long")
+    found = opened.select("members_a", "members_b").mapInPandas(lean(_open), "a long, b long")
     return stash(star_links.unionByName(between).unionByName(found), "links"), stars.select("doc_id", "n", "sig", "tokens")
 
 
@@ -441,7 +442,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     """(prints, own, found, sets): each row's prints; the classes of each doc_id, which has one unless its rows differ; components of
     representatives; sets of classes that can link."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    prints = stash(rows.mapInPandas(_prints, "doc_id long, n long, sig_a long, sig_b long"), "prints")
+    prints = stash(rows.mapInPandas(lean(_prints), "doc_id long, n long, sig_a long, sig_b long"), "prints")
     linked = prints.where("n > 0 and doc_id is not null")
     classes = stash(linked.groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, table
+from .common import lean, small_batches, stash, table
 from .textkit import mix64, powers
 
 #: Slots of the hashed counts of character runs (fixed size, so broadcast is bounded), and the run's length.
@@ -32,8 +32,9 @@ STEMS = (3, 4, 5, 6)
 #: Strength of the prior on a feature's rate of label 1.
 PRIOR = 4.0
 
-#: Characters of texts handled together, and of tokens whose reading is kept.
-GROUP, KEPT = 1 << 19, 1 << 22
+#: Characters of texts handled together, and of tokens whose reading is kept; steps of the character model that are kept; texts of
+#: the sample whose features are held together.
+GROUP, KEPT, STEPS_KEPT, ROWS = 1 << 18, 1 << 20, 1 << 15, 256
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^(?:[^\w@$!|+€£]|[@$!|+€£](?=[^\w])|_)+|(?:[^\w@$|+€£]|_|[@$|+€£]{3,})+$")
@@ -120,11 +121,16 @@ class CharacterModel:
         if (found := self.memo.get(run)) is None:
             codes = [0 if c == " " else ord(c) for c in run]
             found = float(self.log[_slot(codes)]) - float(self.context[_slot(codes[:-1])])
-            if len(self.memo) > 1 << 17:
+            if len(self.memo) > STEPS_KEPT:
                 self.memo.clear()
             self.memo[run] = found
         return found
 
+    def forget(self) -> None:
+        """Let go of what is kept: workers keep the model from one task to the next."""
+        self.memo.clear()
+        self.moves.clear()
+
     def move(self, state: str, out: str) -> tuple[float, str]:
         """(log probability of what is put out after a state of three characters, state after it); boundaries in a row are one."""
         total, s = 0.0, state
@@ -132,7 +138,7 @@ class CharacterModel:
             if not (c == " " and s[-1] == " "):
                 total += self.logp(s + c)
                 s = s[1:] + c
-        if len(self.moves) > 1 << 17:
+        if len(self.moves) > STEPS_KEPT:
             self.moves.clear()
         self.moves[state, out] = found = (total, s)
         return found
@@ -140,7 +146,9 @@ class CharacterModel:
 
 def character_model(docs: DataFrame) -> CharacterModel:
     """Counted over every whole text; tasks add up tables of fixed size, of which the driver gets the sum (4 MB)."""
-    parts = docs.select(F.col("text").alias("text")).mapInPandas(_count_runs, "part int, counts binary").groupBy("part").applyInPandas(_sum_runs, "part int, counts binary").orderBy("part").collect()
+    counted = docs.select(F.col("text").alias("text")).mapInPandas(lean(_count_runs), "part int, counts binary")
+    with small_batches(docs.sparkSession):
+        parts = counted.groupBy("part").applyInPandas(_sum_runs, "part int, counts binary").orderBy("part").collect()
     pieces = [np.frombuffer(p["counts"], np.int64).reshape(2, -1) for p in parts]
     return CharacterModel(np.concatenate(pieces, 1) if pieces else np.zeros((2, SLOTS), np.int64))
 
@@ -359,9 +367,12 @@ def _sampled(model) -> object:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(model.value)
         for f in frames:
-            owner, found = text_features(f["text"], restorer)
-            cuts = np.searchsorted(owner, np.arange(len(f) + 1))
-            yield pd.DataFrame({"toxic": f["toxic"], "features": [found[a:b].view(np.int64) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]})
+            for i in range(0, len(f), ROWS):
+                part = f.iloc[i : i + ROWS]
+                owner, found = text_features(part["text"], restorer)
+                cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+                yield pd.DataFrame({"toxic": part["toxic"], "features": [found[a:b].view(np.int64) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]})
+        restorer.model.forget()
 
     return run
 
@@ -436,7 +447,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Fitted:
         marks = marks.where(F.pmod(F.xxhash64("of"), F.lit(1 << 20)) < int(share * (1 << 20)))
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("of")).select("text", "toxic")
-    sample = stash(rows.mapInPandas(_sampled(shared), "toxic int, features array<long>"), "toxic-sample")
+    sample = stash(rows.mapInPandas(lean(_sampled(shared)), "toxic int, features array<long>"), "toxic-sample")
     size, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = (toxic + 0.5) / (size + 1)
     counts = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
@@ -463,6 +474,7 @@ def score_column(spark: SparkSession, fitted: Fitted):
             owner, place = text_features(texts, restorer, known)
             z = weights[0] + ranked(owner, lift[place.astype(np.int64)], len(texts)) @ weights[1:]
             yield pd.Series(1 / (1 + np.exp(-z)), dtype=float)
+        model.forget()
 
     return score
 
@@ -484,8 +496,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic."""
-    return score_toxicity(docs, labels).where("predicted = 0").select("row.*")
+    """The rows of docs that aren't predicted toxic, written once."""
+    return stash(score_toxicity(docs, labels).where("predicted = 0").select("row.*"), "clean-documents")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
