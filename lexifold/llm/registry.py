@@ -10,6 +10,7 @@ from .mixing import OP1_SQL, op1_mix_sources
 from .ngram_join import OP9_SQL, op9_jaccard_groups, op9_jaccard_links
 from .pii import op6_personal_data
 from .sharding import op4_shard_slots
+from .token_counts import op11_token_counts
 from .toxicity import op8_toxicity
 from .warc import OP7_SQL, op7_warc_bundles
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_jaccard_groups": op9_jaccard_groups,
     "op9_jaccard_links": op9_jaccard_links,
     "op10_gru_likelihood": op10_gru_likelihood,
+    "op11_token_counts": op11_token_counts,
 }
 
 SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op9_jaccard_groups": OP9_SQL}
