@@ -9,6 +9,7 @@ from .lm_scoring import op10_gru_likelihood
 from .mixing import OP1_SQL, op1_mix_sources
 from .ngram_join import OP9_SQL, op9_jaccard_groups, op9_jaccard_links
 from .pii import op6_personal_data
+from .runs import op13_periodic_runs
 from .sharding import op4_shard_slots
 from .token_counts import op11_token_counts
 from .toxicity import op8_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_jaccard_links": op9_jaccard_links,
     "op10_gru_likelihood": op10_gru_likelihood,
     "op11_token_counts": op11_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op9_jaccard_groups": OP9_SQL}

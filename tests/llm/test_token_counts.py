@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
 import public_tokenizers
 import pytest
@@ -14,8 +15,13 @@ SPACES = ["", " ", "  ", "\n", "\t ", "\x1c", "\x85", "\xa0 ", " \xa0", " ", "
 BITS = ["the", "I'll", "don't", "'S", "x1y2", "12", "½²", "٣٤Ⅷ", "é", "ßü", "日本語", "😀👩‍👩‍👧", "!!", "<|endoftext|>", "<|endoftext", "ͅa", "%%%", "ǅ"]
 
 
+@lru_cache
+def library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def direct(text, name=TOKENIZER):
-    return len(Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids)
+    return len(library(name).encode(text or "", add_special_tokens=False).ids)
 
 
 def random_texts(n):
