@@ -13,6 +13,7 @@ from .runs import op13_periodic_runs
 from .sharding import op4_shard_slots
 from .token_counts import op11_token_counts
 from .toxicity import op8_toxicity
+from .turn_repair import op12_turn_repair
 from .warc import OP7_SQL, op7_warc_bundles
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_jaccard_links": op9_jaccard_links,
     "op10_gru_likelihood": op10_gru_likelihood,
     "op11_token_counts": op11_token_counts,
+    "op12_turn_repair": op12_turn_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
