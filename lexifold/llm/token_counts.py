@@ -23,6 +23,8 @@ LIMIT = 512
 BLOCK = 4 << 20
 #: Code points of a text that are taken apart at once, about.
 STRETCH = 1 << 20
+#: Bytes of the pre-tokens of all blocks that one task counts, about.
+BUCKET = 8 << 20
 
 #: White space that every table of characters agrees on, and what only some count as such.
 _SURE, _ODD = r"\x20\x09-\x0D", r"\x1C-\x1F\x85\xA0\u1680\u180E\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -30,7 +32,7 @@ _SURE, _ODD = r"\x20\x09-\x0D", r"\x1C-\x1F\x85\xA0\u1680\u180E\u2000-\u200A\u20
 _UNIT = re.compile(f"[{_SURE}{_ODD}]*[^{_SURE}{_ODD}]+(?:[{_ODD}][{_SURE}{_ODD}]*[^{_SURE}{_ODD}]*)*|[{_SURE}{_ODD}]+")
 _BORDER = re.compile(f"[^{_SURE}{_ODD}](?=[{_SURE}])")
 
-BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, pieces array<string>, payload binary"
+BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, pieces binary, room long, payload binary"
 COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -100,6 +102,18 @@ def _unsqueeze(data: bytes) -> list[np.ndarray]:
     return found
 
 
+def _pack(pieces: list[str]) -> bytes:
+    return zstandard.compress(json.dumps(pieces, ensure_ascii=False).encode("utf-8", "surrogatepass"), 3)
+
+
+def _unpack(data: bytes) -> list[str]:
+    return json.loads(zstandard.decompress(data).decode("utf-8", "surrogatepass"))
+
+
+def _hashes(pieces: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array([*pieces, ""], object)[:-1], categorize=False)
+
+
 class _Block:
     """Documents of one block: frequencies by numbers of units, which become frequencies by numbers of pre-tokens."""
 
@@ -127,7 +141,12 @@ class _Block:
         pieces.default_factory = pieces.__len__
         parts = [[pieces[p] for p in reader.pre_tokens(u)] for u in self._units]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((p for part in parts for p in part), np.int64, int(sizes.sum()))
+        names = list(pieces)
+        # pre-tokens are numbered in the order of their hashes, so those of a bucket stand together
+        order = np.argsort(_hashes(names), kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        flat = number[np.fromiter((p for part in parts for p in part), np.int64, int(sizes.sum()))]
         starts = np.cumsum(sizes) - sizes
         units, times = np.concatenate(self._of), np.concatenate(self._times)
         docs = np.repeat(np.arange(len(self.ids)), [len(x) for x in self._of])
@@ -140,7 +159,7 @@ class _Block:
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         steps[first] = piece[first]
         payload = _squeeze(np.array(self.special), np.bincount(doc, minlength=len(self.ids)), steps, times)
-        return block, self.ids, self.sizes, list(pieces), payload
+        return block, self.ids, self.sizes, _pack([names[i] for i in order.tolist()]), sum(map(len, names)) + 8 * len(names), payload
 
 
 def _frequencies(tokenizer: str):
@@ -168,31 +187,55 @@ def pre_token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return stash(rows.mapInPandas(_frequencies(tokenizer), BLOCKS), "pre-tokens")
 
 
-def pre_token_lengths(pieces: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(piece, n): the number of tokens of each distinct pre-token, counted once."""
+def deal_pieces(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, pieces): the pre-tokens of blocks by ranges of their hashes, a power of two many. A row holds all of a block's
+    in a bucket, so there are never more rows than pre-tokens, and far fewer as long as blocks have many for each bucket."""
+    bits = buckets.bit_length() - 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block, data in zip(f["block"].tolist(), f["pieces"].tolist()):
+                pieces = _unpack(data)
+                of = (_hashes(pieces) >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+                found, starts = np.unique(of, return_index=True)
+                ends = [*starts[1:].tolist(), len(pieces)]
+                yield pd.DataFrame({"block": block, "bucket": found, "pieces": [_pack(pieces[a:b]) for a, b in zip(starts.tolist(), ends)]})
+
+    return blocks.select("block", "pieces").mapInPandas(run, "block long, bucket long, pieces binary")
+
+
+def piece_lengths(dealt: DataFrame, buckets: int, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(block, bucket, lengths): how many tokens each pre-token has, counted once for each distinct one. All of a bucket's rows come to
+    one task, bucket after bucket; it holds the distinct pre-tokens of one bucket at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = PreTokens(tokenizer).model
+        model, now, known = PreTokens(tokenizer).model, None, {}
         for f in frames:
-            yield pd.DataFrame({"piece": f["piece"], "n": [len(model.tokenize(p)) for p in f["piece"].tolist()]})
+            rows = []
+            for block, bucket, data in zip(f["block"].tolist(), f["bucket"].tolist(), f["pieces"].tolist()):
+                if bucket != now:
+                    now, known = bucket, {}
+                pieces = _unpack(data)
+                for p in pieces:
+                    if p not in known:
+                        known[p] = len(model.tokenize(p))
+                rows.append((block, bucket, _squeeze(np.array([known[p] for p in pieces]))))
+            yield pd.DataFrame(rows, columns=["block", "bucket", "lengths"])
 
-    return pieces.select("piece").distinct().mapInPandas(run, "piece string, n int")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "block long, bucket long, lengths binary")
 
 
 def _sums(lengths: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
     """Frequencies of a block times the lengths of its pre-tokens."""
-    if blocks.empty:
-        return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "n_bytes": np.empty(0, np.int64), "n_tokens": np.empty(0, np.int64)})
     row = blocks.iloc[0]
     special, rows, steps, times = _unsqueeze(row["payload"])
-    known = np.zeros(len(lengths), np.int64)
-    known[lengths["pos"].to_numpy()] = lengths["n"].to_numpy()
-    total = np.cumsum(steps)
+    by_bucket = lengths.sort_values("bucket")["lengths"].tolist()
+    known = np.concatenate([np.empty(0, np.int64), *(_unsqueeze(x)[0] for x in by_bucket)])
+    total = np.concatenate([[0], np.cumsum(steps)])
     ends = np.cumsum(rows)
     begins = ends - rows
     # the first step of a document is a number of its own, so what came before it goes off
-    before = np.concatenate([[0], total])[begins]
-    tokens = np.concatenate([[0], np.cumsum(known[total - np.repeat(before, rows)] * times)]) if len(steps) else np.zeros(1, np.int64)
+    tokens = np.concatenate([[0], np.cumsum(known[total[1:] - np.repeat(total[begins], rows)] * times)]).astype(np.int64)
     return pd.DataFrame({"doc_id": pd.array(list(row["doc_ids"]), "Int64"), "n_bytes": list(row["n_bytes"]), "n_tokens": tokens[ends] - tokens[begins] + special})
 
 
@@ -200,15 +243,17 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of docs, as the tokenizers library counts its whole text without added tokens.
 
     tokenizer: a .json file, or the name of one in the folder of vocabularies. Special strings inside texts count as one token, the
-    library's default. Only lists of distinct pre-tokens are exchanged: by pre-token, to the one place that counts its tokens, and
-    back to their block. A pre-token that all documents have comes once a block, so no key holds a share of the rows.
+    library's default. Lists of distinct pre-tokens of blocks go to the one task that counts each of them, and their lengths back to
+    the block, to be joined with its documents' frequencies. A pre-token that all documents have comes once a block, so no bucket
+    holds a share of the rows.
 
     Null and empty texts have no bytes and no tokens. Texts of any length are read whole, a stretch at a time; ids may be null or
     repeat, each row has its own count; an empty table gives no rows; other columns, whatever their names, aren't read.
     """
     blocks = pre_token_blocks(docs, tokenizer)
-    pieces = blocks.select("block", F.posexplode("pieces").alias("pos", "piece"))
-    lengths = pieces.join(pre_token_lengths(pieces, tokenizer), "piece").select("block", "pos", "n")
+    room = blocks.agg(F.sum("room")).first()[0] or 0
+    buckets = 1 << max(docs.sparkSession.sparkContext.defaultParallelism, room // BUCKET).bit_length()
+    lengths = piece_lengths(deal_pieces(blocks, buckets), buckets, tokenizer)
     packed = blocks.select(F.col("block").alias("of"), "doc_ids", "n_bytes", "payload")
     return lengths.groupBy("block").cogroup(packed.groupBy("of")).applyInPandas(_sums, COUNTS)
 

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lexifold.llm.token_counts import LIMIT, TOKENIZER, PreTokens, count_tokens, op11_token_counts, pre_token_blocks, pre_token_lengths
+from lexifold.llm.token_counts import LIMIT, TOKENIZER, PreTokens, _unpack, _unsqueeze, count_tokens, deal_pieces, op11_token_counts, piece_lengths, pre_token_blocks
 
 from .conftest import documents
 
@@ -47,11 +47,20 @@ def test_blocks_and_stretches_change_nothing(spark, monkeypatch):
         assert sum(len(reader.model.tokenize(p)) * k for u, k in found.items() for p in reader.pre_tokens(u)) + special == direct(text)
 
 
-def test_each_distinct_pre_token_is_counted_once(spark):
-    blocks = pre_token_blocks(documents(spark, ["the cat the dog", "the cat", "a dog"]).repartition(3))
-    pieces = blocks.selectExpr("explode(pieces) piece")
-    lengths = pre_token_lengths(pieces).collect()
-    assert pieces.count() > len(lengths) == len({r.piece for r in lengths}) == 5
+@pytest.mark.parametrize("buckets", [1, 2, 64])
+def test_all_of_a_pre_token_meet_in_one_bucket(spark, words, buckets):
+    texts = [" ".join(words(80, i)) for i in range(40)]
+    blocks = pre_token_blocks(documents(spark, texts).repartition(5))
+    dealt = deal_pieces(blocks, buckets)
+    of, whole = {}, {}
+    for r in dealt.orderBy("block", "bucket").collect():
+        whole.setdefault(r.block, []).extend(_unpack(r.pieces))
+        for p in _unpack(r.pieces):
+            assert of.setdefault(p, r.bucket) == r.bucket
+    assert whole == {r.block: _unpack(r.pieces) for r in blocks.collect()} and len(whole) == 5
+    sizes = {(r.block, r.bucket): _unsqueeze(r.lengths)[0].tolist() for r in piece_lengths(dealt, buckets).collect()}
+    model = PreTokens(TOKENIZER).model
+    assert sizes == {(r.block, r.bucket): [len(model.tokenize(p)) for p in _unpack(r.pieces)] for r in dealt.collect()}
 
 
 def test_repeated_and_null_ids_clashing_names_and_empty_tables(spark):
