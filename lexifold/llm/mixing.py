@@ -16,10 +16,15 @@ EPOCHS = 2
 SHARE = (3, 2)
 #: Documents of a source stand in the order of a seeded hash; its first digits make up this many buckets, each totalled on its own.
 BUCKET_DIGITS = 3
+#: Equal rows at the edge are numbered in so many parts at most.
+PARTS = 1024
 
 
-def _key(seed: str, doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _key(seed: str, docs: DataFrame) -> Column:
+    """A hash of the id, the text and all other columns: rows that share it are the same in every column."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "source")]
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("null")))]
+    return F.md5(F.concat_ws(":", F.lit(seed), *own, *([F.md5(F.to_json(F.struct(*rest)))] if rest else [])))
 
 
 def water_level(totals: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -44,13 +49,13 @@ def water_level(totals: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int
 
 
 def mix_plan(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """Per source: source_size, target, whole (copies that every document gets) and cut (documents whose hash key is at most
-    this get one more).
+    """Per source: source_size, target, whole (copies that every row gets), cut and cut_n: rows whose hash key is less than cut get one
+    more, and so do cut_n of those that have it.
 
     What is left of the target after whole copies is filled in the order of the hash, up to half of the document at the edge.
     The edge is found from totals per bucket, then in its own bucket only; no source is sorted as a whole.
     """
-    base = docs.select(F.col("source").alias("source"), F.col("text").alias("text"), _key(seed, F.col("doc_id")).alias("key")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    base = docs.select(F.col("source").alias("source"), F.col("text").alias("text"), _key(seed, docs).alias("key")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = stash(base.groupBy("source", "bucket").agg(F.sum(n_words(F.col("text"))).alias("size")), "mix-buckets")
     plan = water_level(buckets.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs, share)
     plan = plan.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int"))
@@ -61,25 +66,44 @@ def mix_plan(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS
     edge = stash(ends.groupBy("source", "extra").agg(F.min(F.struct("bucket", (F.col("end") - F.col("size")).alias("start"))).alias("e")).select(F.col("source").alias("s"), "extra", F.col("e.bucket").alias("b"), F.col("e.start").alias("start")), "mix-edge")
     near = base.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("source", "key", "extra", "start", n_words(F.col("text")).alias("size"))
     inside = Window.partitionBy("source").orderBy("key")
-    near = near.groupBy("source", "key", "extra", "start").agg(F.sum("size").alias("size"))
-    near = near.withColumn("end", F.col("start") + F.sum("size").over(inside)).where("2 * end - size <= 2 * extra")
-    last = near.groupBy("source").agg(F.max("key").alias("last"))
+    # rows of one key are equal, so they have one size
+    near = near.groupBy("source", "key", "extra", "start").agg(F.max("size").alias("size"), F.count("*").alias("n"))
+    near = near.withColumn("begin", F.col("start") + F.sum(F.col("size") * F.col("n")).over(inside) - F.col("size") * F.col("n"))
+    fit = F.when(F.col("size") > 0, F.floor((F.col("extra") - F.col("begin")) / F.col("size") + 0.5)).when(F.col("begin") <= F.col("extra"), F.col("n")).otherwise(0)
+    near = near.withColumn("take", F.least(F.col("n"), F.greatest(F.lit(0), fit)).cast("long")).where("take > 0")
+    last = near.groupBy("source").agg(F.max(F.struct("key", "take", "n")).alias("last"))
     # with none taken in the edge bucket, the bucket's own name bounds the ones before it from above
-    cuts = edge.join(last, F.col("s").eqNullSafe(F.col("source")), "left").select("s", F.coalesce("last", "b").alias("cut"))
-    return stash(plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cut"), "mix-cuts")
+    cuts = edge.join(last, F.col("s").eqNullSafe(F.col("source")), "left").select("s", F.coalesce("last.key", "b").alias("cut"), F.coalesce("last.take", F.lit(0)).alias("cut_n"), F.coalesce(F.col("last.take") < F.col("last.n"), F.lit(False)).alias("split"))
+    return stash(plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cut", "cut_n", F.coalesce("split", F.lit(False)).alias("split")), "mix-cuts")
+
+
+def _split_rows(rows: DataFrame) -> DataFrame:
+    """Rows that stand at a cut in the midst of equal ones: cut_n of them get one copy more. They are counted by parts of the input,
+    and each part gives its own again, so a third of all rows that are equal are neither gathered nor numbered in one task."""
+    same = ["of", "key", "size", "source_size", "target", "whole", "cut_n", "part"]
+    parts = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).groupBy(*same).agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    ahead = Window.partitionBy("of", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("take", F.col("cut_n") - F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    each = parts.select("row", "size", "source_size", "target", "whole", "take", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    return each.select("row", "size", "source_size", "target", (F.col("whole") + (F.col("i") <= F.col("take")).cast("int")).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, seed: str = SEED, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, share: tuple[int, int] = SHARE) -> DataFrame:
     """One row per document: row (a struct of all its columns), size (words), source_size, target, copies (0 to epochs).
 
     Null sources are a source of their own; null and empty texts have size 0 and sit in the mix like others; rows that share a
-    doc_id and a source are taken alike; a table without words has targets 0 and takes nothing; an empty table gives no rows.
-    The same seed and rows give the same copies.
+    doc_id are taken by their texts and other columns, equal rows one by one; a table without words has targets 0 and takes nothing;
+    an empty table gives no rows. Columns whose names clash with these stay in row. Long texts are read whole. The same seed and
+    rows give the same copies.
     """
     plan = mix_plan(docs, seed, weights, epochs, share).withColumnRenamed("source", "s")
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), n_words(F.col("text")).alias("size"), _key(seed, F.col("doc_id")).alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), n_words(F.col("text")).alias("size"), _key(seed, docs).alias("key"))
+    mixed = rows.join(plan, F.col("of").eqNullSafe(F.col("s")))
     copies = F.col("whole") + F.coalesce(F.col("key") <= F.col("cut"), F.lit(False)).cast("int")
-    return rows.join(plan, F.col("of").eqNullSafe(F.col("s"))).select("row", "size", "source_size", "target", copies.alias("copies"))
+    if plan.where("split").isEmpty():
+        return mixed.select("row", "size", "source_size", "target", copies.alias("copies"))
+    at_cut = F.coalesce(F.col("split") & (F.col("key") == F.col("cut")), F.lit(False))
+    return mixed.where(~at_cut).select("row", "size", "source_size", "target", copies.alias("copies")).unionByName(_split_rows(mixed.where(at_cut)))
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
@@ -88,14 +112,14 @@ def repeat_rows(mixed: DataFrame) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || doc_id) AS k
+         md5(concat('mix-1:', coalesce(doc_id::VARCHAR, 'null'), ':', md5(coalesce(text, 'null')))) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2 * source_size AS cap FROM s),

@@ -51,6 +51,25 @@ def test_targets_and_taken_words(spark, words):
     assert mixing.repeat_rows(mixing.mix_sources(docs)).columns == docs.columns
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+@pytest.mark.parametrize("equal", [False, True])
+def test_rows_of_one_id_are_taken_one_by_one(spark, words, shared, equal):
+    """A third of all rows have one id or none, and different or equal texts: targets are met within one document all the same."""
+    texts = [" ".join(words(20, 1 if equal and i % 3 == 0 else i)) for i in range(600)]
+    ids = [shared if i % 3 == 0 else i for i in range(600)]
+    sources = ["a" if i % 3 == 0 else f"s{i % 4}" for i in range(600)]
+    docs = documents(spark, texts, ids=ids, sources=sources).repartition(5).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    rows = mixing.mix_sources(docs).select("row.*", "size", "target", "copies").collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.source] += r["size"] * r.copies
+        target[r.source] = r.target
+    assert len(rows) == 600 and {r.copies for r in rows} <= {0, 1, 2}
+    assert all(abs(taken[s] - target[s]) <= 11 for s in target), (taken, target)
+    again = mixing.mix_sources(docs.repartition(3)).select("row.doc_id", "row.text", "copies").collect()
+    assert Counter(map(tuple, again)) == Counter((r.doc_id, r.text, r.copies) for r in rows)
+
+
 def test_mixing_odd_rows(spark, odd_texts):
     docs = documents(spark, odd_texts, ids=[None, 1, 1, *range(3, len(odd_texts))], sources=[None] * 6 + ["a"] * (len(odd_texts) - 6)).withColumn("size", F.lit("clash")).withColumn("target", F.lit(1))
     out = mixing.mix_sources(docs)
