@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as r
-from .tables import table
+from .tables import kept_index, table
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -18,12 +18,11 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rt1_bm25_terms(spark: SparkSession, d: str) -> DataFrame:
-    _, terms, _ = r.build_bm25(_chunks(spark, d))
-    return terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return kept_index(spark, d).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def rt2_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return r.bm25_topk(_questions(spark, d), r.build_bm25(_chunks(spark, d)), 5)
+    return r.bm25_topk(_questions(spark, d), kept_index(spark, d), 5)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +66,7 @@ def _hybrid(spark: SparkSession, d: str, phrasings: DataFrame) -> DataFrame:
     chunks = _chunks(spark, d)
     encoder = r.hashing_encoder()
     vectors = r.embed_column(chunks, F.col("text"), encoder).select("chunk_id", "vector")
-    return r.hybrid_retrieve(phrasings, r.build_bm25(chunks), vectors, encoder, 20, 10)
+    return r.hybrid_retrieve(phrasings, kept_index(spark, d), vectors, encoder, 20, 10)
 
 
 def _phrased(spark: SparkSession, d: str, arms: list) -> DataFrame:
@@ -104,7 +103,7 @@ def rt9_keyword_vote(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     texts = _chunks(spark, d).select("chunk_id", "text")
     questions = _questions(spark, d).select("query_id", F.col("text").alias("question"), spoken(F.col("text")).alias("canonical"))
-    return r.bm25_topk(_questions(spark, d), r.build_bm25(_chunks(spark, d)), 10).join(texts, "chunk_id").join(questions, "query_id")
+    return r.bm25_topk(_questions(spark, d), kept_index(spark, d), 10).join(texts, "chunk_id").join(questions, "query_id")
 
 
 def rt10_rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +115,7 @@ def rt11_rerank_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    top = r.bm25_topk(_questions(spark, d), r.build_bm25(_chunks(spark, d)), 5)
+    top = r.bm25_topk(_questions(spark, d), kept_index(spark, d), 5)
     point = F.when(F.col("chunk_id") % 3 != 0, (F.col("chunk_id") % 9).cast("string"))
     return top.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text"), "chunk_id").withColumn("point", point)
 

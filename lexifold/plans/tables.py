@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sparse_index import SparseIndex, add_chunks, open_sparse
+from ..session import shared_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version_of(spark: SparkSession, path: str) -> str:
+    """A name for a table as it is now: a checksum of its place and of its files' names, sizes and times."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    found = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return hashlib.md5(repr((path, found)).encode()).hexdigest()
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> SparseIndex:
+    """The sparse index over documents. The first query that needs it builds it in the shared folder, the others open it; documents that
+    have changed since have another one."""
+    path = f"{shared_root(spark)}/sparse-{version_of(spark, f'{sf_dir}/documents.parquet')}"
+    add_chunks(path, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "documents")
+    return open_sparse(spark, path)
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, line): lines of documents given structure. Line 0 is marked as heading; every third line has its number as
     point; lines at 7 mod 11 are in capitals."""

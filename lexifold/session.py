@@ -26,12 +26,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_place(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that the driver and all executors share; a temporary one on a single machine without that setting."""
+_roots: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; on a single machine without that setting a
+    temporary one, the same for the whole session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='lexifold-')}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if not base and app not in _roots:
+        _roots[app] = tempfile.mkdtemp(prefix="lexifold-")
+    return base or _roots[app]
+
+
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
