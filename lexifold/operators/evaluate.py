@@ -20,16 +20,23 @@ def fragments(quote: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(quote, F.lit("")), "…"), lambda f: norm_ws(f)), lambda f: f != "")
 
 
-def verify_items(items: DataFrame, docs: DataFrame, topics: list[str], required: tuple[str, ...] = ("question", "gold_source", "gold_quote")) -> DataFrame:
-    """items with errors: missing fields, bad topics, unknown sources, and (of known sources) quote fragments that the source's
-    text (source, text) doesn't have. Texts are normalised once, before the join."""
+#: Fields that an item must have; a quote may be empty.
+REQUIRED = ("id", "question", "answer", "gold_source", "topic", "difficulty")
+DIFFICULTIES = ("easy", "medium", "hard")
+
+
+def verify_items(items: DataFrame, docs: DataFrame, topics: list[str], difficulties: tuple[str, ...] = DIFFICULTIES, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """items with errors: missing fields, bad topics and difficulties, unknown sources, and (of known sources) quote fragments that the
+    source's text (source, text) doesn't have, cut to 60 characters. Texts are normalised once, before the join."""
     norm = docs.select(F.col("source").alias("known"), norm_ws(F.col("text")).alias("hay"))
     j = items.join(norm, F.col("gold_source") == F.col("known"), "left")
-    missing = [F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(f"missing {c}")) for c in required]
-    bad = F.when(~F.col("topic").isin(topics) | F.col("topic").isNull(), F.concat(F.lit("bad topic "), F.coalesce("topic", F.lit(""))))
+    missing = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(f"missing {c}")) for c in required]
+    bad = [F.when(~F.coalesce(F.col(c).isin(*allowed), F.lit(False)), F.concat(F.lit(f"bad {c} "), F.coalesce(c, F.lit("")))) for c, allowed in (("topic", topics), ("difficulty", difficulties))]
     unknown = F.when(F.col("known").isNull(), F.concat(F.lit("unknown source "), F.coalesce("gold_source", F.lit(""))))
-    quotes = F.when(F.col("known").isNotNull(), F.transform(F.filter(fragments(F.col("gold_quote")), lambda f: ~F.contains(F.col("hay"), f)), lambda f: F.concat(F.lit("quote not found "), F.substring(f, 1, 30))))
-    errors = F.concat(F.filter(F.array(*missing, bad, unknown), lambda e: e.isNotNull()), F.coalesce(quotes, F.array().cast("array<string>")))
+    # a fragment of white space alone is in every text
+    parts = F.filter(F.split(F.coalesce("gold_quote", F.lit("")), "…"), lambda f: ~F.contains(F.col("hay"), norm_ws(f)))
+    quotes = F.when(F.col("known").isNotNull(), F.transform(parts, lambda f: F.concat(F.lit("quote not found "), F.substring(f, 1, 60))))
+    errors = F.concat(F.filter(F.array(*missing, *bad, unknown), lambda e: e.isNotNull()), F.coalesce(quotes, F.array().cast("array<string>")))
     return j.withColumn("errors", errors).drop("known", "hay")
 
 

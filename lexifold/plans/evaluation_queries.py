@@ -273,9 +273,10 @@ def w2_question_scores(spark: SparkSession, d: str) -> DataFrame:
 _N = "lower(trim(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g')))"
 _FR = f"list_filter(list_transform(string_split(coalesce(gold_quote, ''), '…'), lambda f: {_N.format('f')}), lambda f: f <> '')"
 _VERIFY = f"""i AS ({{items}}), s AS (SELECT doc_id::VARCHAR AS source, {_N.format('text')} AS hay FROM documents),
-v AS (SELECT i.*, hay, list_filter([CASE WHEN trim(coalesce(question,'')) = '' THEN 'missing question' END, CASE WHEN trim(coalesce(gold_source,'')) = '' THEN 'missing gold_source' END, CASE WHEN trim(coalesce(gold_quote,'')) = '' THEN 'missing gold_quote' END,
-  CASE WHEN NOT regexp_matches(topic, '^topic[0-9]+$') THEN 'bad topic ' || topic END, CASE WHEN source IS NULL THEN 'unknown source ' || gold_source END], lambda x: x IS NOT NULL)
-  || CASE WHEN source IS NULL THEN [] ELSE list_transform(list_filter({_FR}, lambda f: NOT contains(hay, f)), lambda f: 'quote not found ' || substr(f, 1, 30)) END AS errors FROM i LEFT JOIN s ON gold_source = source)"""
+v AS (SELECT i.*, hay, list_filter([CASE WHEN coalesce(id::VARCHAR,'') = '' THEN 'missing id' END, CASE WHEN coalesce(question,'') = '' THEN 'missing question' END, CASE WHEN coalesce(answer,'') = '' THEN 'missing answer' END, CASE WHEN coalesce(gold_source,'') = '' THEN 'missing gold_source' END,
+  CASE WHEN coalesce(topic,'') = '' THEN 'missing topic' END, CASE WHEN coalesce(difficulty,'') = '' THEN 'missing difficulty' END, CASE WHEN NOT regexp_matches(topic, '^topic[0-9]+$') THEN 'bad topic ' || topic END,
+  CASE WHEN difficulty NOT IN ('easy', 'medium', 'hard') THEN 'bad difficulty ' || difficulty END, CASE WHEN source IS NULL THEN 'unknown source ' || gold_source END], lambda x: x IS NOT NULL)
+  || CASE WHEN source IS NULL THEN [] ELSE list_transform(list_filter(string_split(gold_quote, '…'), lambda f: NOT contains(hay, {_N.format('f')})), lambda f: 'quote not found ' || substr(f, 1, 60)) END AS errors FROM i LEFT JOIN s ON gold_source = source)"""
 _RK = f"""it AS ({ITEMS_SQL}), rk AS (SELECT id, rank, of, text FROM (SELECT id, r::INT AS rank, CASE WHEN r = id % 7 + 1 THEN id ELSE (id * 31 + r * 7919) % (SELECT max(doc_id) + 1 FROM documents) END AS of FROM it, range(1, 6) x(r)) JOIN documents ON doc_id = of),
 sc AS (SELECT it.id, min(rank) FILTER (of::VARCHAR = gold_source) AS found_rank, any_value({_FR}) AS f,
   string_agg({_N.format('text')}, ' ' ORDER BY rank) FILTER (rank <= 1) AS j1, string_agg({_N.format('text')}, ' ' ORDER BY rank) FILTER (rank <= 3) AS j3, string_agg({_N.format('text')}, ' ' ORDER BY rank) FILTER (rank <= 5) AS j5

@@ -50,6 +50,20 @@ def rt5_quantized_topk(spark: SparkSession, d: str) -> DataFrame:
     return r.dense_topk(_vector_queries(spark, d), q, 10)
 
 
+def rt5_half_topk(spark: SparkSession, d: str) -> DataFrame:
+    return r.dense_topk(_vector_queries(spark, d), r.half_store(_vectors(spark, d)), 10)
+
+
+def rt5_codes_topk(spark: SparkSession, d: str) -> DataFrame:
+    return r.dense_topk(_vector_queries(spark, d), r.code_store(_vectors(spark, d)), 10)
+
+
+def rt5_store_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of all vectors and of the largest in each store."""
+    size = lambda store, name: store.vectors.agg(F.lit(name).alias("store"), F.sum(F.octet_length("vector")).alias("bytes"), F.max(F.octet_length("vector")).cast("long").alias("most"))
+    return size(r.half_store(_vectors(spark, d)), "half").unionByName(size(r.code_store(_vectors(spark, d)), "codes"))
+
+
 def _two_lists(spark: SparkSession, d: str) -> DataFrame:
     one = rt4_dense_topk(spark, d).withColumn("list_id", F.lit(0))
     ids = (_vectors(spark, d).agg(F.max("chunk_id")).first()[0] or 0) + 1
@@ -100,6 +114,12 @@ def rt9_keyword_vote(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, _phrased(spark, d, arms))
 
 
+def rt9_keyword_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Each of the first keywords of a question is a list of its own, dense and sparse, beside the whole question."""
+    keywords = F.slice(F.array_sort(F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) > 3))), 1, 4)
+    return _hybrid(spark, d, r.keyword_lists(_questions(spark, d).withColumn("keywords", keywords)))
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     texts = _chunks(spark, d).select("chunk_id", "text")
     questions = _questions(spark, d).select("query_id", F.col("text").alias("question"), spoken(F.col("text")).alias("canonical"))
@@ -163,7 +183,12 @@ _RERANK = f"""WITH {_TOPK.replace("rank <= 5", "rank <= 10")},
 w AS (SELECT query_id, chunk_id, rank AS fused, {_WORDS.format("q.text")} AS a, {_WORDS.format("d.text")} AS b FROM bm JOIN (SELECT item_id, {{}} AS text FROM benchmark) q ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
 l AS (SELECT *, ln((len(list_intersect(a, b)) + 0.5::DOUBLE) / (len(a) + 1) / (1 - (len(list_intersect(a, b)) + 0.5::DOUBLE) / (len(a) + 1))) AS logit FROM w)
 SELECT query_id, chunk_id, round(1 / (1 + exp(-logit)), 9) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY round(logit, 9) DESC, fused)::INT AS rank FROM l QUALIFY rank <= 5"""
+_HALF = "CASE WHEN x = 0 THEN 0 ELSE round_even(x * pow(2, 10 - greatest(floor(log2(abs(x))), -14)), 0) / pow(2, 10 - greatest(floor(log2(abs(x))), -14)) END"
 SQL = {
+    "rt5_half_topk": f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings), c AS (SELECT vec_id, pos, {_HALF} AS y FROM e),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(sum(q.x * c.y), 6) AS score FROM e q JOIN c USING (pos) WHERE q.vec_id % 20 = 0 GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 10""",
+    "rt5_store_bytes": "SELECT unnest(['half', 'codes']) AS store, unnest([sum(2 * len(embedding)), sum(len(embedding))])::BIGINT AS bytes, unnest([max(2 * len(embedding)), max(len(embedding))])::BIGINT AS most FROM embeddings",
     "rt10_rerank": _RERANK.format("text"),
     "rt11_rerank_canonical": _RERANK.format(_SPOKEN),
     "rt1_bm25_terms": f"WITH {_BM25} SELECT term, df, round(idf, 9) AS idf FROM t",
@@ -184,4 +209,5 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
     "rt15_citations": f"WITH {_RANKED} SELECT query_id, string_agg(source || coalesce('/' || point, ''), '; ' ORDER BY rank) AS cited FROM rk GROUP BY query_id",
     "sc13_context": f"WITH {_RANKED} SELECT query_id, string_agg('[' || rank || '] (' || source || coalesce(', п. ' || point, '') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM rk GROUP BY query_id",
 }
+SQL["rt5_codes_topk"] = SQL["rt5_quantized_topk"]
 QUERIES = {n: f for n, f in list(globals().items()) if n[:2] in ("rt", "sc") and callable(f)}

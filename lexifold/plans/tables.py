@@ -44,19 +44,22 @@ LINES_SQL = """SELECT doc_id, pos::INT AS pos, CASE WHEN pos = 0 THEN '## ' || r
 
 
 def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, question, gold_source, gold_quote, topic): one for each document. Quotes are fragments from a quarter of the text on, and
-    for even ids from its middle on too; every 7th has a corrupt quote, every 11th an unknown source, every 13th a bad topic."""
+    """(id, question, answer, gold_source, gold_quote, topic, difficulty): one for each document. Quotes are fragments from a quarter of
+    the text on, and for even ids from its middle on too; every 7th has a corrupt quote, every 11th an unknown source, every 13th a
+    bad topic, every 17th no answer, every 19th a bad difficulty, every 23rd no quote."""
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
     cut = lambda part, length: F.substring("text", F.floor(F.length("text") / part).cast("int") + 1, F.lit(length))
     quote = F.concat(cut(4, 60), F.when(n % 2 == 0, F.concat(F.lit("…"), cut(2, 40))).otherwise(F.lit("")))
     return d.select(
         n.alias("id"), F.col("text").alias("question"), F.when(n % 11 == 0, F.lit("unknown")).otherwise(n.cast("string")).alias("gold_source"),
-        F.when(n % 7 == 0, F.concat(F.lit("zzqx "), quote)).otherwise(quote).alias("gold_quote"), F.when(n % 13 == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (n % 12).cast("string"))).alias("topic"),
+        F.when(n % 23 == 0, "").when(n % 7 == 0, F.concat(F.lit("zzqx "), quote)).otherwise(quote).alias("gold_quote"), F.when(n % 13 == 0, F.lit("none")).otherwise(F.concat(F.lit("topic"), (n % 12).cast("string"))).alias("topic"),
+        F.when(n % 17 != 0, F.substring("text", 1, 40)).alias("answer"), F.when(n % 19 == 0, "hardest").when(n % 3 == 0, "easy").when(n % 3 == 1, "medium").otherwise("hard").alias("difficulty"),
     )
 
 
 ITEMS_SQL = """SELECT doc_id AS id, text AS question, CASE WHEN doc_id % 11 = 0 THEN 'unknown' ELSE doc_id::VARCHAR END AS gold_source,
-  CASE WHEN doc_id % 7 = 0 THEN 'zzqx ' ELSE '' END || substr(text, length(text) // 4 + 1, 60) || CASE WHEN doc_id % 2 = 0 THEN '…' || substr(text, length(text) // 2 + 1, 40) ELSE '' END AS gold_quote,
+  CASE WHEN doc_id % 23 = 0 THEN '' ELSE CASE WHEN doc_id % 7 = 0 THEN 'zzqx ' ELSE '' END || substr(text, length(text) // 4 + 1, 60) || CASE WHEN doc_id % 2 = 0 THEN '…' || substr(text, length(text) // 2 + 1, 40) ELSE '' END END AS gold_quote,
+  CASE WHEN doc_id % 17 <> 0 THEN substr(text, 1, 40) END AS answer, CASE WHEN doc_id % 19 = 0 THEN 'hardest' WHEN doc_id % 3 = 0 THEN 'easy' WHEN doc_id % 3 = 1 THEN 'medium' ELSE 'hard' END AS difficulty,
   CASE WHEN doc_id % 13 = 0 THEN 'none' ELSE 'topic' || (doc_id % 12) END AS topic FROM documents"""
 
 
