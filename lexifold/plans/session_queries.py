@@ -10,6 +10,8 @@ from ..operators import scenarios as r
 from ..session import shared_place
 from ..streaming import automaton as a
 from ..streaming import frames as f
+from ..streaming import gate as g
+from ..streaming import windows as w
 from .tables import FRAMES_SQL, TURNS_SQL, frames, table, turns
 
 
@@ -94,7 +96,57 @@ def st4_elapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def st5_windows(spark: SparkSession, d: str) -> DataFrame:
-    return frames(spark, d).select("session", "seq", f.stt_window_start(F.lit(700), F.col("at_ms") * 9 + 700).cast("long").alias("window_ms"))
+    return frames(spark, d).select("session", "seq", w.stt_window_start(F.lit(700), F.col("at_ms") * 9 + 700).cast("long").alias("window_ms"))
+
+
+def _speech(spark: SparkSession, d: str) -> DataFrame:
+    return f.speech_segments(frames(spark, d), silence_ms=500).where("end_ms is not null")
+
+
+def st5_turn_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of the speech segments, with the frames in each."""
+    windows = w.turn_windows(_speech(spark, d).select("session", "segment", "start_ms", "end_ms"), 1000, 300)
+    found = w.frames_of_windows(frames(spark, d), windows, ["segment", "window"], 2000)
+    return found.select("session", F.col("segment").cast("long").alias("segment"), "window", "from_ms", "to_ms", "frames", F.round("mean_prob", 6).alias("mean_prob"))
+
+
+def st5_sliding(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return w.sliding_counts(e, ["event_type"], "60 minutes", "20 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def st1_coarse(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of the voiced frames of a user, by the events' own clock."""
+    e = _as_frames(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return _local(w.coarse_sessions(e, "6 hours"))
+
+
+def _local(df: DataFrame) -> DataFrame:
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+def _run_starts(frames: DataFrame) -> DataFrame:
+    """Every voiced frame wants a run, of 100 to 700 ms; every seventh has no sound to read."""
+    n = F.col("seq")
+    return frames.where("prob > 0.5").select("session", "at_ms", (n % 7 * 100 + 100).cast("long").alias("run_ms"), F.when(n % 7 == 3, 0).otherwise(n % 5 + 1).cast("long").alias("samples"), *(["ts"] if "ts" in frames.columns else []))
+
+
+def st6_capped(spark: SparkSession, d: str) -> DataFrame:
+    return w.cap_runs(_run_starts(frames(spark, d)), 250).select("session", "at_ms")
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of 100 ms at 80 samples a second, every seventh lost."""
+    sound = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: ((F.col("seq") * 8 + k) % 1000).cast("smallint"))
+    return frames(spark, d).where("seq % 7 <> 6").select("session", "seq", "at_ms", sound.alias("samples"))
+
+
+def st8_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Sound of intervals that begin and end inside frames, cross lost ones, or go up to now."""
+    fr = frames(spark, d).where("seq % 10 = 0")
+    asked = fr.select("session", F.col("seq").alias("request"), (F.col("at_ms") + 37).alias("from_ms"), F.when(F.col("seq") % 30 != 0, F.col("at_ms") + 37 + F.col("seq") % 9 * 60).alias("to_ms"))
+    got = w.slice_samples(_samples(spark, d), asked, 80, 4000, 1000)
+    return got.select("session", "request", F.size("samples").alias("n"), F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"))
 
 
 def st6_thin(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +235,28 @@ def st6_thin_stream(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, f.stream_thin(_frame_stream(spark, d).select("session", "at_ms", "ts"), 2500)).where(F.col("session") != _END)
 
 
+def st6_capped_stream(spark: SparkSession, d: str) -> DataFrame:
+    made = w.stream_cap_runs(_run_starts(_frame_stream(spark, d)), 2500)
+    return _streamed(spark, made).where(F.col("session") != _END)
+
+
+def st1_coarse_stream(spark: SparkSession, d: str) -> DataFrame:
+    made = w.coarse_sessions(_as_frames(_event_stream(spark, d)), "6 hours")
+    return _local(_streamed(spark, made).where(F.col("session") != _END))
+
+
+def st5_sliding_stream(spark: SparkSession, d: str) -> DataFrame:
+    made = w.sliding_counts(_event_stream(spark, d), ["event_type"], "60 minutes", "20 minutes")
+    return _streamed(spark, made).where("event_type <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def st2_speech_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Segments and overlaps of frames with an agent that speaks for a minute from each purchase on."""
+    bought = _event_stream(spark, d).where("event_type in ('purchase', 'end')").select(F.col("user_id").alias("session"), (F.col("event_id") * 100).alias("start_ms"), (F.col("event_id") * 100 + 60_000).alias("end_ms"), "ts")
+    made = g.stream_speech_events(_frame_stream(spark, d), g.agent_edges(bought).withWatermark("ts", "1 minute"), 200, silence_ms=200)
+    return _streamed(spark, made).where(F.col("session") != _END)
+
+
 def st7_late_stream(spark: SparkSession, d: str) -> DataFrame:
     e = _event_stream(spark, d).withWatermark("ts", "60 seconds").dropDuplicatesWithinWatermark(["event_id"])
     return _streamed(spark, e.select("event_id", "user_id")).where(F.col("user_id") != _END)
@@ -270,7 +344,7 @@ s AS (SELECT session, run, seq, at_ms, sum(CASE WHEN starts THEN 0 ELSE duration
 SELECT session, arg_min(at_ms, seq) AS at_ms, arg_min(spent, seq) AS duration_ms FROM s WHERE spent >= 300 GROUP BY session, run""",
     "st3_agent_level": f"WITH f AS ({FRAMES_SQL}) SELECT f.session, f.seq, count(s.seq) > 0 AS agent FROM f LEFT JOIN f s ON s.session = f.session AND s.seq % 9 = 3 AND f.at_ms >= s.at_ms + 50 AND f.at_ms < s.at_ms + 350 GROUP BY f.session, f.seq",
     "st4_elapsed": f"WITH f AS (SELECT session, seq, CASE WHEN seq % 6 = 5 THEN at_ms - 150 ELSE at_ms END AS at_ms FROM ({FRAMES_SQL})), s AS (SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY session ORDER BY seq) AS step FROM f) SELECT session, seq, CASE WHEN step > 0 THEN step ELSE 100 END AS elapsed_ms FROM s",
-    "st5_windows": f"SELECT session, seq, (700 + CASE WHEN at_ms * 9 - 8000 > 0 THEN ceil((at_ms * 9 - 8000) / 6000) * 6000 ELSE 0 END)::BIGINT AS window_ms FROM ({FRAMES_SQL})",
+    "st5_windows": f"SELECT session, seq, (700 + CASE WHEN at_ms * 9 - 8000 > 0 THEN (floor((at_ms * 9 - 8000) / 6000) + 1) * 6000 ELSE 0 END)::BIGINT AS window_ms FROM ({FRAMES_SQL})",
     "st7_ring": f"WITH f AS (SELECT *, max(at_ms) OVER (PARTITION BY session) AS m FROM ({FRAMES_SQL})) SELECT session, count(*) AS n, min(at_ms) AS oldest FROM f WHERE at_ms > m - 3000 GROUP BY session",
     "st8_slices": f"""WITH f AS (SELECT *, max(at_ms) OVER (PARTITION BY session) AS m FROM ({FRAMES_SQL})), a AS (SELECT session, seq AS request, at_ms + 130 AS lo, at_ms + 420 AS hi FROM f WHERE seq % 10 = 0)
 SELECT a.session, a.request, coalesce(string_agg(f.seq::VARCHAR, ',' ORDER BY f.seq), '') AS frames FROM a LEFT JOIN f ON f.session = a.session AND f.at_ms > f.m - 4000 AND f.at_ms < hi AND f.at_ms + f.duration_ms > lo GROUP BY a.session, a.request""",
@@ -285,6 +359,24 @@ SQL["st1_segments_stream"] = SQL["st1_segments"].replace(FRAMES_SQL, _STREAM_SQL
 _THIN = "WITH RECURSIVE e AS ({}), k AS (SELECT session, min(at_ms) AS at_ms FROM e GROUP BY session UNION ALL SELECT k.session, min(e.at_ms) FROM k JOIN e ON e.session = k.session AND e.at_ms >= k.at_ms + {} GROUP BY k.session) SELECT session, at_ms FROM k"
 SQL["st6_thin"] = _THIN.format(f"SELECT session, at_ms FROM ({FRAMES_SQL}) WHERE prob > 0.5", 250)
 SQL["st6_thin_stream"] = _THIN.format(f"SELECT session, at_ms FROM ({_STREAM_SQL})", 2500)
+_SEG500 = SQL["st1_segments"].replace(">= 200", ">= 500")
+SQL["st5_turn_windows"] = f"""WITH s AS (SELECT * FROM ({_SEG500}) WHERE end_ms IS NOT NULL), k AS (SELECT session, segment, unnest(range(CASE WHEN end_ms - start_ms > 1000 THEN (end_ms - start_ms - 1000) // 700 + 2 ELSE 1 END)) AS w, start_ms, end_ms FROM s),
+x AS (SELECT session, segment, w AS window, start_ms + w * 700 AS from_ms, least(end_ms, start_ms + w * 700 + 1000) AS to_ms FROM k)
+SELECT x.session, x.segment, x.window, x.from_ms, x.to_ms, count(f.seq) AS frames, round(avg(f.prob), 6) AS mean_prob FROM x LEFT JOIN ({FRAMES_SQL}) f ON f.session = x.session AND f.at_ms >= x.from_ms AND f.at_ms < x.to_ms GROUP BY ALL"""
+SQL["st5_sliding"] = SQL["st5_sliding_stream"] = "SELECT start, event_type, count(*) AS count FROM (SELECT time_bucket(INTERVAL 20 MINUTE, ts) - k * INTERVAL 20 MINUTE AS start, event_type FROM events, range(3) r(k)) GROUP BY ALL"
+SQL["st1_coarse"] = SQL["st1_coarse_stream"] = """WITH v AS (SELECT user_id AS session, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS new FROM events WHERE event_id % 5 < 3 WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts) AS n FROM v) SELECT session, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS frames FROM i GROUP BY session, n"""
+_CAP = """WITH RECURSIVE e AS (SELECT session, at_ms, seq % 7 * 100 + 100 AS run_ms FROM ({0}) WHERE prob > 0.5 AND seq % 7 <> 3),
+k AS (SELECT session, min(at_ms) AS at_ms, arg_min(run_ms, at_ms) AS run_ms FROM e GROUP BY session UNION ALL SELECT k.session, min(e.at_ms), arg_min(e.run_ms, e.at_ms) FROM k JOIN e ON e.session = k.session AND e.at_ms >= k.at_ms + {1} AND e.at_ms >= k.at_ms + k.run_ms GROUP BY k.session) SELECT session, at_ms FROM k"""
+SQL["st6_capped"], SQL["st6_capped_stream"] = _CAP.format(FRAMES_SQL, 250), _CAP.format(_STREAM_SQL, 2500)
+SQL["st8_samples"] = f"""WITH f AS (SELECT session, seq, at_ms FROM ({FRAMES_SQL})), s AS (SELECT session, at_ms * 80 // 1000 + k AS i, (seq * 8 + k) % 1000 AS v FROM f, range(8) r(k) WHERE seq % 7 <> 6),
+h AS (SELECT session, max(i) + 1 AS head, min(i) AS first FROM s GROUP BY session),
+a AS (SELECT session, seq AS request, greatest((at_ms + 37) * 80 // 1000, first, head - 320) AS lo, least(CASE WHEN seq % 30 <> 0 THEN (at_ms + 37 + seq % 9 * 60) * 80 // 1000 ELSE head END, head) AS hi FROM f JOIN h USING (session) WHERE seq % 10 = 0),
+p AS (SELECT session, request, unnest(range(lo, hi)) AS i FROM a)
+SELECT a.session, a.request, count(p.i)::INT AS n, coalesce(string_agg(coalesce(v, 0)::VARCHAR, ',' ORDER BY p.i) FILTER (p.i IS NOT NULL), '') AS samples FROM a LEFT JOIN p USING (session, request) LEFT JOIN s ON s.session = p.session AND s.i = p.i GROUP BY ALL"""
+_AGENT = f"(SELECT * REPLACE (EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = session AND at_ms >= b.event_id * 100 AND at_ms < b.event_id * 100 + 60000) AS agent) FROM ({_STREAM_SQL}))"
+SQL["st2_speech_stream"] = f"""SELECT session, 'segment' AS kind, start_ms AS at_ms, end_ms AS value FROM ({SQL["st1_segments_stream"]}) UNION ALL
+SELECT session, 'overlap', at_ms, duration_ms FROM ({SQL["st2_overlap"].replace(FRAMES_SQL, _AGENT[1:-1]).replace("spent >= 300", "spent >= 200")})"""
 SQL["st7_late_stream"] = "SELECT event_id, user_id FROM events"
 SQL["st14_minutes_stream"] = SQL["st14_minutes"]
 QUERIES = {n: fn for n, fn in list(globals().items()) if n[:2] in ("cv", "st") and n[2:3].isdigit() and callable(fn)}

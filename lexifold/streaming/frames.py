@@ -67,13 +67,6 @@ def elapsed(frames: DataFrame) -> DataFrame:
     return frames.withColumn("elapsed_ms", F.when(step > 0, step).otherwise(F.col("duration_ms")).cast("long"))
 
 
-def stt_window_start(turn_start: Column, now: Column, window_ms: int = 8000, overlap_ms: int = 2000) -> Column:
-    """Where the transcription window of a turn begins: at the turn's start while it fits, then in steps of window - overlap."""
-    step = window_ms - overlap_ms
-    past = now - turn_start - window_ms
-    return turn_start + F.when(past > 0, F.ceil(past / step) * step).otherwise(0)
-
-
 def thin_frame(f: pd.DataFrame, min_gap_ms: int, last: int | None = None) -> tuple[pd.DataFrame, int | None]:
     keep = []
     for at in f["at_ms"].tolist():
@@ -99,13 +92,13 @@ def stream_thin(events: DataFrame, min_gap_ms: int) -> DataFrame:
         f = pd.concat(list(frames))
         kept, last = thin_frame(f.sort_values("at_ms", kind="stable"), min_gap_ms, state.get[0] if state.exists else None)
         state.update((int(last),))
-        _wait(state, f, min_gap_ms)
+        keep_waiting(state, f, min_gap_ms)
         yield kept[["session", "at_ms"]]
 
     return events.groupBy("session").applyInPandasWithState(step, "session long, at_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _wait(state: GroupState, f: pd.DataFrame, ms: int) -> None:
+def keep_waiting(state: GroupState, f: pd.DataFrame, ms: int) -> None:
     """Let the state time out when the watermark is ms past the latest of these rows."""
     state.setTimeoutTimestamp(max(int(f["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms + 1)
 
@@ -162,7 +155,7 @@ def stream_segments(frames: DataFrame, threshold: float = THRESHOLD, preroll_ms:
                     out.append((key[0], number, start, quiet_from))
                     start, quiet_from, quiet = -1, -1, 0
         state.update((int(start), int(quiet_from), int(quiet), int(number)))
-        _wait(state, f, gone_ms)
+        keep_waiting(state, f, gone_ms)
         yield pd.DataFrame(out, columns=["session", "segment", "start_ms", "end_ms"])
 
     return frames.groupBy("session").applyInPandasWithState(step, "session long, segment long, start_ms long, end_ms long", SEGMENT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
