@@ -74,29 +74,45 @@ def chunk_documents(lines: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
     return parts.withColumn("ord", F.row_number().over(Window.partitionBy(by).orderBy("grp", "part"))).select(by, "ord", "point", "section_path", "text")
 
 
+def _merge_groups(target: int):
+    @F.pandas_udf("array<int>")
+    def groups(sizes: pd.Series, keys: pd.Series) -> pd.Series:
+        """The number of the merge that each of a document's chunks goes into: one after the other, as long as they fit."""
+        out = []
+        for row, names in zip(sizes, keys):
+            found, number, room, before = [], -1, 0, None
+            for size, key in zip(row.tolist(), names.tolist()):
+                if number >= 0 and key == before and room + size + 1 <= target:
+                    room += size + 1
+                else:
+                    number, room, before = number + 1, size, key
+                found.append(number)
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return groups
+
+
 def merge_siblings(chunks: DataFrame, target: int | None = TARGET, by: str = "doc_id", run: str | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """Chunks of a document merged up to target characters (0 or None: not at all), after those under min_chars are dropped. With
-    run, a merge also ends where that column's value changes. The first point and section path of a merge stay. A document's
-    chunks are one array, folded from left to right."""
+    run, a merge also ends where that column's value changes. The first point and section path of a merge stay.
+
+    Lengths and values alone decide what goes together, so only these are read in order, once for each document; the grouping by
+    document and merge that follows needs no exchange of its own. Time is in proportion to a document's chunks.
+    """
     kept = chunks.where(F.length("text") >= min_chars)
     if not target:
         return kept
     fields = F.struct("ord", (F.col(run) if run else F.lit(0)).alias("key"), "point", "section_path", "text")
     rows = kept.groupBy(by).agg(F.array_sort(F.collect_list(fields)).alias("rows"))
-    kind = rows.schema["rows"].dataType.simpleString()
-    begin = F.struct(F.array().cast(kind).alias("done"), F.get(F.array().cast(kind), F.lit(0)).alias("last"))
-
-    def step(a: Column, x: Column) -> Column:
-        last = a["last"]
-        fits = last.isNotNull() & last["key"].eqNullSafe(x["key"]) & (F.length(last["text"]) + F.length(x["text"]) + 1 <= target)
-        point = F.coalesce(F.nullif(last["point"], F.lit("")), x["point"])
-        both = F.struct(last["ord"].alias("ord"), last["key"].alias("key"), point.alias("point"), last["section_path"].alias("section_path"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))
-        done = F.when(last.isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(last)))
-        return F.struct(F.when(fits, a["done"]).otherwise(done).alias("done"), F.when(fits, both).otherwise(x).alias("last"))
-
-    merged = F.aggregate("rows", begin, step, lambda a: F.concat(a["done"], F.array(a["last"])))
-    each = rows.select(by, F.posexplode(merged).alias("pos", "c"))
-    return each.select(by, (F.col("pos") + 1).alias("ord"), "c.point", "c.section_path", "c.text", *([F.col("c.key").alias(run)] if run else []))
+    name = lambda x: F.coalesce(F.concat(F.lit("="), x["key"].cast("string")), F.lit(""))
+    numbered = rows.withColumn("groups", _merge_groups(target)(F.transform("rows", lambda x: F.length(x["text"])), F.transform("rows", name)))
+    each = numbered.select(by, F.posexplode(F.arrays_zip("groups", "rows")).alias("place", "z")).select(by, F.col("z.groups").alias("grp"), F.struct("place", "z.rows").alias("m"))
+    merged = each.groupBy(by, "grp").agg(F.array_sort(F.collect_list("m")).alias("ms")).withColumn("c", F.col("ms.rows"))
+    points = F.transform("c", lambda x: x["point"])
+    point = F.coalesce(F.get(F.filter(points, lambda p: p != ""), F.lit(0)), F.element_at(points, -1))
+    first = F.get("c", F.lit(0))
+    return merged.select(by, (F.col("grp") + 1).alias("ord"), point.alias("point"), first["section_path"].alias("section_path"), F.array_join(F.transform("c", lambda x: x["text"]), "\n").alias("text"), *([first["key"].alias(run)] if run else []))
 
 
 def ordinals(ids: DataFrame, by: str, parts: int = 256) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -110,6 +112,35 @@ def todo(units: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return units.join(done.select(key), key, "left_anti")
 
 
+def _finished(spark: SparkSession, path: str) -> list[str]:
+    """Folders of units that were written to the end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [f.getPath() for f in fs.listStatus(at) if f.isDirectory()]
+    return sorted(p.toString() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def run_in_units(units: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], rows: int = 10_000, most: int | None = None) -> DataFrame:
+    """All rows that work makes of units, kept at path: a long run that can break off anywhere and be taken up again.
+
+    What isn't done yet goes in parts of about so many rows, by hash of the key; each part's result is one folder, whose name follows
+    from how many were finished before, so a part that broke off is written over. Keys that finished folders hold are left out when
+    the run is taken up, whatever rows were added to units in between. most: parts to do now, if not all. work must keep the key.
+    """
+    spark = units.sparkSession
+    finished = _finished(spark, path)
+    left = todo(units, spark.read.parquet(*finished), key) if finished else units
+    n = left.count()
+    parts = -(-n // rows)
+    for k in range(min(parts, parts if most is None else most)):
+        part = left.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
+        work(part).write.mode("overwrite").parquet(f"{path}/part-{len(finished) + k:06d}")
+    done = _finished(spark, path)
+    return spark.read.parquet(*done) if done else work(units.limit(0))
+
+
 def cumulative_merge(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(old rows whose key isn't in new, and all new rows; how many were replaced)."""
     return old.join(new.select(key), key, "left_anti").unionByName(new), old.join(new.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("replaced"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as e
 from ..operators import retrieve as r
 from ..operators import stats as s
+from ..session import shared_place
 from .retrieval_queries import _BM25, _DENSE, _SPOKEN, _TOK, _TOPK, _WORDS, rt2_bm25_topk, rt4_dense_topk, spoken
 from .tables import ITEMS_SQL, JUDGE_SQL, eval_items, judge_rows, kept_index, table
 
@@ -222,6 +223,15 @@ def ag11_todo(spark: SparkSession, d: str) -> DataFrame:
     return s.todo(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
+def ag11_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A run over half of the documents that stops after one part, and is taken up with all of them."""
+    units = table(spark, d, "documents").select("doc_id", "text")
+    at, size = shared_place(spark, "units"), max(1, units.count() // 8)
+    work = lambda u: u.select("doc_id", F.length("text").alias("chars"), F.lit(1).alias("calls"))
+    s.run_in_units(units.where("doc_id % 2 = 0"), at, "doc_id", work, size, most=1)
+    return s.run_in_units(units, at, "doc_id", work, size).groupBy("doc_id").agg(F.max("chars").alias("chars"), F.sum("calls").alias("calls"))
+
+
 def ag12_merge(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "labels").select("doc_id", F.lit("old").alias("run"), "quality")
     new = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("run"), (F.col("doc_id") % 2).cast("int").alias("quality"))
@@ -351,6 +361,7 @@ SELECT item_id, round(CASE WHEN length(r) > 0 THEN levenshtein(translate(r, 'ä
     "ag8_stage_latency": "SELECT event_type, stage, round(avg(ms), 9) AS ms FROM (SELECT event_type, unnest(['dense', 'sparse', 'rerank', 'search']) AS stage, unnest([event_id % 7, event_id % 5, event_id % 3, event_id % 7 + event_id % 5])::DOUBLE AS ms FROM events) GROUP BY ALL",
     "ag9_grid": "SELECT item_id, k::INT AS top_k FROM benchmark, (VALUES (5), (10), (15)) x(k)",
     "ag10_prompt_budget": "WITH c AS (SELECT doc_id // 25 AS q, length(text) AS n, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id % 25) AS r FROM documents), s AS (SELECT q, k, sum(n)::BIGINT AS chars FROM c, (VALUES (5), (10), (15), (20)) x(k) WHERE r <= k GROUP BY q, k), m AS (SELECT k, max(chars) AS chars FROM s GROUP BY k) SELECT k::INT AS k, chars, round(chars / 2.6::DOUBLE + 400, 6) AS tokens, chars / 2.6::DOUBLE + 400 <= 4096 AS fits FROM m",
+    "ag11_resume": "SELECT doc_id, length(text)::INT AS chars, 1::BIGINT AS calls FROM documents",
     "ag11_todo": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "ag12_merge": "WITH n AS (SELECT doc_id, doc_id % 2 AS quality FROM documents WHERE doc_id % 3 = 0) SELECT run, count(*) AS n, sum(quality)::BIGINT AS quality, (SELECT count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM n)) AS replaced FROM (SELECT 'new' AS run, quality FROM n UNION ALL SELECT 'old', quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM n)) GROUP BY run",
     "ag13_comments": f"SELECT backend, top_k, id // 100 AS page, string_agg(id || ' ' || coalesce(format('{{:.1f}}', answer_score), '-'), chr(10) ORDER BY id) AS comments FROM ({JUDGE_SQL}) GROUP BY ALL",

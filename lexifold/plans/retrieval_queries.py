@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.loading import Loader
 from ..operators import retrieve as r
 from .tables import kept_index, table
 
@@ -34,7 +35,7 @@ def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rt3_embed(spark: SparkSession, d: str) -> DataFrame:
-    return r.embed_column(_chunks(spark, d), F.col("text"), r.hashing_encoder()).select("chunk_id", "vector")
+    return r.embed_column(_chunks(spark, d), F.col("text"), Loader(r.hashing_encoder, "hashing"), dim=64).select("chunk_id", "vector")
 
 
 def rt4_dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +79,7 @@ def rt6_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, d: str, phrasings: DataFrame) -> DataFrame:
     chunks = _chunks(spark, d)
-    encoder = r.hashing_encoder()
+    encoder = Loader(r.hashing_encoder, "hashing")
     vectors = r.embed_column(chunks, F.col("text"), encoder).select("chunk_id", "vector")
     return r.hybrid_retrieve(phrasings, kept_index(spark, d), vectors, encoder, 20, 10)
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import conversation as c
 from ..operators import scenarios as r
+from ..operators import stats as s
 from ..session import shared_place
 from ..streaming import automaton as a
 from ..streaming import frames as f
 from ..streaming import gate as g
+from ..streaming import sink as k
 from ..streaming import windows as w
+from .evaluation_queries import SQL as EVALUATION_SQL
 from .tables import FRAMES_SQL, TURNS_SQL, frames, table, turns
 
 
@@ -276,6 +279,15 @@ def st14_minutes_stream(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
+def io11_exposition_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a stream, kept by batch, as exposition text."""
+    at = shared_place(spark, "counters")
+    counted = s.session_counters(_event_stream(spark, d).where("event_type <> 'end'"), ["event_type"])
+    k.write_counters(counted, at).awaitTermination()
+    kept = k.read_counters(spark, at, ["event_type"], "event_type string, count long")
+    return s.to_exposition(kept, "events_total", "Events by type.", ["event_type"]).select("line")
+
+
 _RULES = [
     r.Scenario("goodbye", ("listening", "speaking"), {"all": [{"intent": "bye"}, {"confidence_at_least": 0.7}]}, 5),
     r.Scenario("empty", ("listening",), {"transcript_empty": True}, 3),
@@ -379,4 +391,5 @@ SQL["st2_speech_stream"] = f"""SELECT session, 'segment' AS kind, start_ms AS at
 SELECT session, 'overlap', at_ms, duration_ms FROM ({SQL["st2_overlap"].replace(FRAMES_SQL, _AGENT[1:-1]).replace("spent >= 300", "spent >= 200")})"""
 SQL["st7_late_stream"] = "SELECT event_id, user_id FROM events"
 SQL["st14_minutes_stream"] = SQL["st14_minutes"]
-QUERIES = {n: fn for n, fn in list(globals().items()) if n[:2] in ("cv", "st") and n[2:3].isdigit() and callable(fn)}
+SQL["io11_exposition_stream"] = EVALUATION_SQL["io11_exposition"]
+QUERIES = {n: fn for n, fn in list(globals().items()) if n[:2] in ("cv", "st", "io") and n[2:3].isdigit() and callable(fn)}

@@ -49,7 +49,8 @@ def ud3_complete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ud4_speech_probability(spark: SparkSession, d: str) -> DataFrame:
-    fr = table(spark, d, "embeddings").select((F.col("vec_id") % 20).alias("session"), F.col("vec_id").alias("seq"), F.transform("embedding", lambda x: x * 3000).alias("samples"))
+    sound = F.transform(F.split("text", ""), lambda c: (F.ascii(c) * 30 - 2000).cast("double"))
+    fr = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), sound.alias("samples"))
     return m.speech_probability(fr, window=96)
 
 
