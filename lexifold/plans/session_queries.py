@@ -376,7 +376,7 @@ SQL["st5_turn_windows"] = f"""WITH s AS (SELECT * FROM ({_SEG500}) WHERE end_ms
 x AS (SELECT session, segment, w AS window, start_ms + w * 700 AS from_ms, least(end_ms, start_ms + w * 700 + 1000) AS to_ms FROM k)
 SELECT x.session, x.segment, x.window, x.from_ms, x.to_ms, count(f.seq) AS frames, round(avg(f.prob), 6) AS mean_prob FROM x LEFT JOIN ({FRAMES_SQL}) f ON f.session = x.session AND f.at_ms >= x.from_ms AND f.at_ms < x.to_ms GROUP BY ALL"""
 SQL["st5_sliding"] = SQL["st5_sliding_stream"] = "SELECT start, event_type, count(*) AS count FROM (SELECT time_bucket(INTERVAL 20 MINUTE, ts) - k * INTERVAL 20 MINUTE AS start, event_type FROM events, range(3) r(k)) GROUP BY ALL"
-SQL["st1_coarse"] = SQL["st1_coarse_stream"] = """WITH v AS (SELECT user_id AS session, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS new FROM events WHERE event_id % 5 < 3 WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+SQL["st1_coarse"] = SQL["st1_coarse_stream"] = """WITH v AS (SELECT user_id AS session, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true)::INT AS new FROM events WHERE event_id % 5 < 3 WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts) AS n FROM v) SELECT session, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS frames FROM i GROUP BY session, n"""
 _CAP = """WITH RECURSIVE e AS (SELECT session, at_ms, seq % 7 * 100 + 100 AS run_ms FROM ({0}) WHERE prob > 0.5 AND seq % 7 <> 3),
 k AS (SELECT session, min(at_ms) AS at_ms, arg_min(run_ms, at_ms) AS run_ms FROM e GROUP BY session UNION ALL SELECT k.session, min(e.at_ms), arg_min(e.run_ms, e.at_ms) FROM k JOIN e ON e.session = k.session AND e.at_ms >= k.at_ms + {1} AND e.at_ms >= k.at_ms + k.run_ms GROUP BY k.session) SELECT session, at_ms FROM k"""

@@ -11,8 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .frames import OVERLAP_MS, PREROLL_MS, RING_MS, SILENCE_MS, THRESHOLD, keep_waiting, overlap_episodes, speech_segments
 
-#: speech_start, quiet_from, quiet: as in stream_segments; open: intervals of the agent that are on; both: how long both have spoken.
-GATE_STATE = "speech_start long, quiet_from long, quiet long, open long, both long, fired boolean"
+#: speech_start, quiet_from, quiet: as in stream_segments; open: intervals of the agent that are on; both: how long both have spoken;
+#: ahead, steps: times and directions of edges that frames haven't come to yet.
+GATE_STATE = "speech_start long, quiet_from long, quiet long, open long, both long, fired boolean, ahead array<long>, steps array<long>"
 EVENTS = "session long, kind string, at_ms long, value long"
 
 
@@ -32,9 +33,9 @@ def agent_edges(speech: DataFrame) -> DataFrame:
 def stream_speech_events(frames: DataFrame, edges: DataFrame, limit_ms: int = OVERLAP_MS, threshold: float = THRESHOLD, preroll_ms: int = PREROLL_MS, silence_ms: int = SILENCE_MS, gone_ms: int = RING_MS) -> DataFrame:
     """speech_events of a stream of frames and one of the agent's edges, both with ts and a watermark on it.
 
-    Both come as one stream with a side, so a session has one state for its speech and its overlaps, and one exchange. Within a batch
-    rows are taken by time, edges before the frame that begins with them; an edge that comes late counts from then on. Only the level at
-    frames counts: an agent that stops and goes on between two frames goes on. A session without rows for gone_ms is over, and a
+    Both come as one stream with a side, so a session has one state for its speech and its overlaps, and one exchange. Frames of a
+    batch are taken by time; an edge waits in the state for the first frame that begins with it or after it, and one that comes late
+    counts from then on. Only the level at frames counts: an agent that stops and goes on between two frames goes on. A session without rows for gone_ms is over, and a
     segment that is open then is given without an end.
     """
     none = F.lit(None)
@@ -42,19 +43,21 @@ def stream_speech_events(frames: DataFrame, edges: DataFrame, limit_ms: int = OV
     other = edges.select("session", "at_ms", "step", none.cast("long").alias("duration_ms"), none.cast("double").alias("prob"), "ts")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, quiet_from, quiet, open_, both, fired = state.get if state.exists else (-1, -1, 0, 0, 0, False)
+        start, quiet_from, quiet, open_, both, fired, ahead, steps = state.get if state.exists else (-1, -1, 0, 0, 0, False, [], [])
         if state.hasTimedOut:
             state.remove()
             if start >= 0:
                 yield pd.DataFrame({"session": [key[0]], "kind": ["segment"], "at_ms": [start], "value": pd.array([None], "Int64")})
             return
         f = pd.concat(list(batches))
-        f = f.assign(frame=f["step"] == 0).sort_values(["at_ms", "frame", "step"], ascending=[True, True, False], kind="stable")
-        out = []
-        for at, change, length, prob in zip(f["at_ms"].tolist(), f["step"].tolist(), f["duration_ms"].tolist(), f["prob"].tolist()):
-            if change:
-                open_ = max(0, open_ + change)
-                continue
+        turned = f[f["step"] != 0]
+        edges = sorted([*zip(ahead, steps), *zip(turned["at_ms"].tolist(), turned["step"].tolist())], key=lambda e: (e[0], -e[1]))
+        heard = f[f["step"] == 0].sort_values("at_ms", kind="stable")
+        out, passed = [], 0
+        for at, length, prob in zip(heard["at_ms"].tolist(), heard["duration_ms"].tolist(), heard["prob"].tolist()):
+            while passed < len(edges) and edges[passed][0] <= at:
+                open_ = max(0, open_ + edges[passed][1])
+                passed += 1
             voiced = prob >= threshold
             begins = voiced and start < 0
             if voiced:
@@ -72,7 +75,7 @@ def stream_speech_events(frames: DataFrame, edges: DataFrame, limit_ms: int = OV
             if both >= limit_ms and not fired:
                 out.append((key[0], "overlap", at, both))
                 fired = True
-        state.update((int(start), int(quiet_from), int(quiet), int(open_), int(both), bool(fired)))
+        state.update((int(start), int(quiet_from), int(quiet), int(open_), int(both), bool(fired), [int(a) for a, _ in edges[passed:]], [int(x) for _, x in edges[passed:]]))
         keep_waiting(state, f, gone_ms)
         yield pd.DataFrame(out, columns=["session", "kind", "at_ms", "value"])
 

@@ -51,7 +51,7 @@ def sliding_counts(events: DataFrame, labels: list[str], length: str, step: str,
 
 
 def coarse_sessions(frames: DataFrame, gap: str, threshold: float = THRESHOLD, late: str = "1 minute") -> DataFrame:
-    """(session, start, end, frames) of voiced frames (session, ts, prob), of a batch or a stream: frames that begin less than gap apart
+    """(session, start, end, frames) of voiced frames (session, ts, prob), of a batch or a stream: frames that begin no more than gap apart
     belong together. Unlike speech_segments there's no preroll, the gap counts from the beginning of a frame, and end is a gap after
     the last one; the state is one window, so no code of ours runs for it."""
     voiced = frames.where(F.col("prob") >= threshold)
