@@ -95,6 +95,15 @@ def io6_index(spark: SparkSession, d: str) -> DataFrame:
     return r.bm25_topk(questions, (opened["postings"], opened["terms"], opened["stats"]), 5)
 
 
+def io6_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks, exported as JSON lines twice and read back."""
+    at = shared_place(spark, "jsonl")
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("point"))
+    for _ in range(2):
+        io_.export_jsonl(chunks, at)
+    return io_.read_json_rows(spark, at, "chunk_id long, text string, point string").select("chunk_id", F.md5("text").alias("text_md5"), "point")
+
+
 def io7_missing(spark: SparkSession, d: str) -> DataFrame:
     """Parts that an index of chunks alone lacks, with the chunks that it has."""
     at, parts = _index(spark, d)
@@ -138,6 +147,7 @@ _LINES = "list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: tr
 _OFFICE = f"""o AS (SELECT doc_id, 'Order ' || doc_id || ' of ' || dd || '.' || (doc_id % 20 + 2000) || ' and ' || dd || '.' || (doc_id % 20 + 2001) || '.docx' AS source, dd, {_LINES} AS l
   FROM (SELECT *, lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '.' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS dd FROM documents))"""
 SQL = {
+    "io6_jsonl": "SELECT doc_id AS chunk_id, md5(text) AS text_md5, CASE WHEN doc_id % 3 <> 0 THEN source END AS point FROM documents",
     "io6_index": RETRIEVAL_SQL["rt2_bm25_topk"],
     "io1_extract": rf"""WITH {_OFFICE}, t AS (SELECT *, trim(regexp_replace(CASE WHEN l[1] <> '' THEN '## ' ELSE '' END || array_to_string(l, chr(10)), '
 {{2,}}', chr(10) || chr(10), 'g'), chr(10)) || chr(10) AS t FROM o WHERE doc_id % 50 <> 7)

@@ -131,6 +131,11 @@ def write_index(path: str, **parts: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def export_jsonl(df: DataFrame, path: str) -> None:
+    """A table as JSON lines, a file for each partition, nulls written as such; a rerun replaces it."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def kept(df: DataFrame, path: str) -> DataFrame:
     """df written once as Parquet and read back, so that what uses it several times doesn't make it again."""
     df.write.parquet(path)

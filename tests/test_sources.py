@@ -88,3 +88,14 @@ def test_models(spark):
     assert [round(r.prob, 2) for r in models.speech_probability(frames).orderBy("seq").collect()][:2] == [0.0, 0.0]
     models.register_table_functions(spark)
     assert spark.sql("SELECT count(*) AS n FROM split_sentences('One. Two! three')").first().n == 3
+
+
+def test_json_lines_are_exported_whole(spark, tmp_path):
+    rows = [(1, "a \"b\"\nc", ["x"]), (2, None, None), (3, "", [])]
+    df = spark.createDataFrame(rows, "chunk_id long, text string, section_path array<string>")
+    for _ in range(2):
+        readers.export_jsonl(df.repartition(2), f"{tmp_path}/chunks")
+    back = readers.read_json_rows(spark, f"{tmp_path}/chunks", "chunk_id long, text string, section_path array<string>")
+    assert sorted((tuple(r) for r in back.collect()), key=lambda r: r[0]) == rows
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/chunks").collect()]
+    assert len(lines) == 3 and any('"text":null' in x for x in lines)
