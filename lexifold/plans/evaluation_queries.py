@@ -305,6 +305,9 @@ _PAIR = f"""WITH j AS ({JUDGE_SQL}), {_COMP},
 p AS (SELECT name, id, avg(chunks_score) FILTER (CASE WHEN ac = 'k' THEN top_k::VARCHAR ELSE backend END = av) - avg(chunks_score) FILTER (CASE WHEN ac = 'k' THEN top_k::VARCHAR ELSE backend END = bv) AS d FROM j, c WHERE wv IS NULL OR wv = backend GROUP BY name, id),
 m AS (SELECT name, count(d) AS n, CASE WHEN count(d) >= 2 THEN avg(d) END AS mean, CASE WHEN count(d) >= 2 THEN stddev_samp(d) / sqrt(count(d)) END AS se FROM p WHERE d IS NOT NULL GROUP BY name)
 SELECT name, n, round(mean, 6) + 0 AS mean, round(se, 6) + 0 AS se, round(CASE WHEN se > 0 THEN mean / se END, 6) + 0 AS t, round(1.96 * se, 6) + 0 AS ci, coalesce(abs(CASE WHEN se > 0 THEN mean / se END) >= 1.96, false) AS significant FROM m"""
+#: Texts and what was heard of them, normalised. Words are compared as one character each, of 127 at most in a pair.
+_TRANSCRIPTS = r"""WITH p AS (SELECT item_id, text AS r FROM benchmark), q AS (SELECT item_id, r, CASE item_id % 4 WHEN 0 THEN r WHEN 1 THEN replace(r, 'the ', '') WHEN 2 THEN replace(r, 'e', 'a') ELSE '' END AS h FROM p),
+n AS (SELECT item_id, trim(regexp_replace(regexp_replace(replace(lower(r), 'ё', 'е'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS r, trim(regexp_replace(regexp_replace(replace(lower(h), 'ё', 'е'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS h FROM q)"""
 SQL = {
     "ev1_verify_items": f"WITH {_VERIFY.format(items=ITEMS_SQL)} SELECT id, len(errors)::INT AS n_errors, array_to_string(errors, '; ') AS errors FROM v",
     "ev2_good_items": f"WITH {_VERIFY.format(items=f'SELECT * REPLACE ({_AGAIN} AS id) FROM ({ITEMS_SQL})')} SELECT topic, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM v WHERE len(errors) = 0 GROUP BY topic",
@@ -343,8 +346,10 @@ SELECT round(avg(c), 6) AS mean, round(min(c), 6) AS least, (SELECT round(avg(p)
 SELECT (conv_id % 4)::INT AS arm, count(*) AS n, count(*) FILTER (ends_with(trim(r), '?')) AS asks, count(*) FILTER (lower(trim(r)) <> lower(trim(q))) AS changed, round((avg(conv_id * 3 + 10) / avg(conv_id + 20) - 1) * 100, 2) AS ms_change FROM x GROUP BY 1""",
     "ev12_truncation": f"SELECT arm, count(*) AS n, count(*) FILTER (tokens >= 300) AS capped, count(*) FILTER (NOT regexp_matches(answer, '[.!?»)]\\s*$')) AS cut FROM ({_ANS}) GROUP BY arm",
     "ev13_stability": f"WITH e AS (SELECT id, (count(DISTINCT trim(CASE WHEN id % 3 = 0 THEN ' same' ELSE answer END)) = 1)::INT AS s FROM ({_ANS}) GROUP BY id) SELECT count(*) AS n, round(avg(s) * 100, 2) AS stable_pct FROM e",
-    "ev15_cer": r"""WITH p AS (SELECT item_id, text AS r FROM benchmark), q AS (SELECT item_id, r, CASE item_id % 4 WHEN 0 THEN r WHEN 1 THEN replace(r, 'the ', '') WHEN 2 THEN replace(r, 'e', 'a') ELSE '' END AS h FROM p),
-n AS (SELECT item_id, trim(regexp_replace(regexp_replace(replace(lower(r), 'ё', 'е'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS r, trim(regexp_replace(regexp_replace(replace(lower(h), 'ё', 'е'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS h FROM q),
+    "ev14_wer": rf"""{_TRANSCRIPTS}, t AS (SELECT item_id, list_filter(string_split(r, ' '), lambda w: w <> '') AS a, list_filter(string_split(h, ' '), lambda w: w <> '') AS b FROM n), d AS (SELECT *, list_distinct(a || b) AS words FROM t)
+SELECT item_id, CASE WHEN len(a) > 0 THEN levenshtein(array_to_string(list_transform(a, lambda w: chr(list_position(words, w)::INT)), ''), array_to_string(list_transform(b, lambda w: chr(list_position(words, w)::INT)), ''))::DOUBLE / len(a)
+  ELSE (len(b) > 0)::INT::DOUBLE END AS wer FROM d""",
+    "ev15_cer": rf"""{_TRANSCRIPTS},
 x AS (SELECT item_id, regexp_replace(r, '[^\x00-\x7F]', '', 'g') = r AND regexp_replace(h, '[^\x00-\x7F]', '', 'g') = h AS ascii, r, h FROM n)
 SELECT item_id, round(CASE WHEN length(r) > 0 THEN levenshtein(translate(r, 'äöüßéèêçáíóúñàâîôûù', '123456789!@#$%^&*()'), translate(h, 'äöüßéèêçáíóúñàâîôûù', '123456789!@#$%^&*()'))::DOUBLE / length(r) ELSE (length(h) > 0)::INT::DOUBLE END, 9) AS cer FROM x""",
     "ev16_model_summary": "SELECT event_type, round(avg(event_id % 10 / 10.0) FILTER (event_id % 9 <> 0), 9) AS wer, round(avg(event_id % 8 / 8.0) FILTER (event_id % 9 <> 0), 9) AS cer, round(avg(event_id % 4 / 4.0) FILTER (event_id % 9 <> 0), 9) AS rtf, count(*) FILTER (event_id % 9 = 0) AS failed FROM events GROUP BY event_type",

@@ -329,6 +329,35 @@ _VOICED = f"""q AS (SELECT *, prob >= 0.5 AS voiced, sum(CASE WHEN prob >= 0.5 T
 q2 AS (SELECT *, last_value(CASE WHEN voiced THEN quiet END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM q),
 q3 AS (SELECT *, voiced AND (b IS NULL OR quiet - b >= 200) AS starts FROM q2), q4 AS (SELECT *, sum(starts::INT) OVER (PARTITION BY session ORDER BY seq)::BIGINT AS segment FROM q3)"""
 _TICKS = f"""e AS (SELECT *, prob >= 0.5 AS speaking, coalesce(at_ms - lag(at_ms) OVER (PARTITION BY session ORDER BY seq), duration_ms)::BIGINT AS el, NOT coalesce(lag(prob >= 0.5) OVER (PARTITION BY session ORDER BY seq), false) AND prob >= 0.5 AS edge FROM ({FRAMES_SQL}))"""
+
+#: The replay tick by tick: what fires (rules of a state in their order), then the state after it.
+_REPLAY = f"""{_TICKS}, t AS (SELECT session, (seq * 2 + part)::BIGINT AS seq, speaking, elapsed, seq % 4 = 3 AS ended, seq % 5 = 1 AS ready, seq % 2 = 0 AS interject, seq % 3 = 0 AS interrupt
+    FROM (SELECT session, seq, 0 AS part, speaking, CASE WHEN edge THEN 0 ELSE el END AS elapsed FROM e UNION ALL SELECT session, seq, 1, speaking, el FROM e WHERE edge)),
+n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS place FROM t),
+log AS (SELECT session, 0::BIGINT AS place, NULL::BIGINT AS seq, NULL::VARCHAR AS action, NULL::VARCHAR AS prev, 'greeting' AS state, 'none' AS draft, 0::BIGINT AS turn, 0::BIGINT AS idle, 0::BIGINT AS overlap, 500::BIGINT AS speech_left, false AS spoke FROM (SELECT DISTINCT session FROM n)
+  UNION ALL SELECT session, place, seq, action, was,
+    CASE action WHEN 'userInterruptsGreeting' THEN 'listening' WHEN 'greetingFinishes' THEN 'listening' WHEN 'userTurnEnds' THEN 'formulating' WHEN 'reachTalkLimit' THEN 'deciding_interject' WHEN 'idleHangup' THEN 'closing'
+      WHEN 'interjectDeclined' THEN 'listening' WHEN 'interjectAccepted' THEN 'formulating' WHEN 'draftAbandoned' THEN 'listening' WHEN 'draftReady' THEN 'speaking' WHEN 'overlapTriggersDecision' THEN 'deciding_barge_in'
+      WHEN 'speechCompletes' THEN 'listening' WHEN 'bargeInAccepted' THEN 'listening' WHEN 'bargeInDeclined' THEN 'speaking' WHEN 'closingInterrupted' THEN 'listening' WHEN 'closingCompletes' THEN 'ended' ELSE was END,
+    CASE WHEN action IN ('userInterruptsGreeting', 'greetingFinishes', 'idleHangup', 'closingInterrupted') THEN 'none' WHEN action IN ('userTurnEnds', 'interjectAccepted') THEN 'building' WHEN action = 'draftAbandoned' THEN 'dropped'
+      WHEN action = 'draftReady' THEN 'voicing' WHEN action IN ('speechCompletes', 'bargeInAccepted') THEN 'committed' ELSE draft END,
+    CASE WHEN action IN ('userInterruptsGreeting', 'closingInterrupted') THEN elapsed WHEN action IN ('greetingFinishes', 'userTurnEnds', 'idleHangup', 'idleTicks', 'speechCompletes', 'speechPlays', 'closingCompletes') THEN 0 WHEN action = 'userKeepsTalking' THEN turn + elapsed ELSE turn END,
+    CASE WHEN action = 'idleTicks' THEN idle + elapsed WHEN action IS NULL OR action IN ('greetingPlays', 'idleHangup', 'closingCompletes', 'closingPlays', 'ended') THEN idle ELSE 0 END,
+    CASE WHEN action = 'overlapGrows' THEN overlap + elapsed WHEN action IS NULL OR action IN ('greetingPlays', 'overlapTriggersDecision', 'finishTailThroughOverlap', 'ended') THEN overlap ELSE 0 END,
+    CASE WHEN action IN ('greetingPlays', 'finishTailThroughOverlap', 'speechPlays', 'closingPlays') THEN greatest(0, speech_left - elapsed) WHEN action = 'idleHangup' THEN 900 WHEN action = 'draftReady' THEN 2500
+      WHEN action IN ('userInterruptsGreeting', 'greetingFinishes', 'userTurnEnds', 'interjectAccepted', 'draftAbandoned', 'speechCompletes', 'bargeInAccepted', 'closingInterrupted', 'closingCompletes') THEN 0 ELSE speech_left END,
+    speaking
+  FROM (SELECT *, coalesce(CASE was
+      WHEN 'greeting' THEN CASE WHEN goes THEN 'userInterruptsGreeting' WHEN speech_left = 0 THEN 'greetingFinishes' WHEN NOT speaking THEN 'greetingPlays' END
+      WHEN 'listening' THEN CASE WHEN ended THEN 'userTurnEnds' WHEN goes AND turn >= 300 THEN 'reachTalkLimit' WHEN goes THEN 'userKeepsTalking' WHEN NOT speaking AND idle >= 400 THEN 'idleHangup' WHEN NOT speaking THEN 'idleTicks' END
+      WHEN 'deciding_interject' THEN CASE WHEN interject THEN 'interjectAccepted' ELSE 'interjectDeclined' END
+      WHEN 'formulating' THEN CASE WHEN draft = 'building' AND goes THEN 'draftAbandoned' WHEN draft = 'building' AND ready THEN 'draftReady' WHEN draft = 'building' THEN 'formulatingWaits' END
+      WHEN 'speaking' THEN CASE WHEN goes AND overlap >= 100 AND speech_left > 300 THEN 'overlapTriggersDecision' WHEN goes AND overlap >= 100 AND speech_left > 0 THEN 'finishTailThroughOverlap' WHEN goes AND speech_left > 0 AND overlap < 100 THEN 'overlapGrows'
+        WHEN speech_left = 0 THEN 'speechCompletes' WHEN NOT speaking THEN 'speechPlays' END
+      WHEN 'deciding_barge_in' THEN CASE WHEN interrupt THEN 'bargeInAccepted' ELSE 'bargeInDeclined' END
+      WHEN 'closing' THEN CASE WHEN goes THEN 'closingInterrupted' WHEN speech_left = 0 AND NOT speaking THEN 'closingCompletes' WHEN speech_left > 0 THEN 'closingPlays' END
+      ELSE 'ended' END, CASE WHEN speaking AND NOT spoke AND was <> 'ended' THEN 'userStartsSpeaking' END) AS action
+    FROM (SELECT n.*, log.state AS was, log.draft, log.turn, log.idle, log.overlap, log.speech_left, log.spoke, n.speaking AND log.spoke AS goes FROM log JOIN n ON n.session = log.session AND n.place = log.place + 1)))"""
 _CTX = """x AS (SELECT event_id, ['listening','speaking','formulating','closing'][event_id % 4 + 1] AS state, CASE WHEN event_id % 3 = 0 THEN 'bye' END AS intent, CASE WHEN event_id % 7 <> 0 THEN (event_id % 10) / 10.0::DOUBLE END AS conf, CASE WHEN event_id % 5 <> 0 THEN event_id % 6 END AS rc,
   CASE WHEN event_id % 5 <> 0 THEN (event_id % 11) / 10.0::DOUBLE END AS rs, CASE WHEN event_id % 13 <> 0 THEN event_id % 2 = 0 END AS ba, event_id % 8 = 0 AS te, CASE WHEN event_id % 17 = 0 THEN 'timeout' END AS et FROM events)"""
 SQL = {
@@ -392,4 +421,14 @@ SELECT session, 'overlap', at_ms, duration_ms FROM ({SQL["st2_overlap"].replace(
 SQL["st7_late_stream"] = "SELECT event_id, user_id FROM events"
 SQL["st14_minutes_stream"] = SQL["st14_minutes"]
 SQL["io11_exposition_stream"] = EVALUATION_SQL["io11_exposition"]
+_LOG = f"WITH RECURSIVE {_REPLAY} SELECT session, seq, action, prev, state, draft, turn, idle, overlap, speech_left FROM log WHERE place > 0"
+_EDGES = ", ".join(f"('{prev}', '{action}', '{state}')" for prev, action, state in a.EDGES)
+SQL["st9_replay"] = _LOG
+SQL["st11_transitions"] = f"""WITH l AS (SELECT * REPLACE (CASE WHEN session % 10 = 0 AND seq = 20 THEN 'closing' ELSE state END AS state) FROM ({_LOG}))
+SELECT session, seq, 'edge' AS fault FROM l WHERE action IS NOT NULL AND (prev, action, state) NOT IN (VALUES {_EDGES})
+UNION ALL SELECT session, seq, 'break' FROM (SELECT *, lead(prev) OVER (PARTITION BY session ORDER BY seq) AS after FROM l) WHERE after <> state"""
+SQL["st12_invariants"] = f"""WITH l AS (SELECT *, lag(draft) OVER w AS ld, lag(turn) OVER w AS lt, lag(overlap) OVER w AS lo, lag(speech_left) OVER w AS ll FROM ({_LOG}) WINDOW w AS (PARTITION BY session ORDER BY seq))
+SELECT count(*) AS n, count(*) FILTER (draft = 'committed' AND ld = 'dropped') AS dropped_stays_uncommitted, count(*) FILTER (state = 'speaking' AND draft <> 'voicing') AS speaking_has_draft,
+  count(*) FILTER (state = 'deciding_barge_in' AND prev <> 'deciding_barge_in' AND NOT (lo >= 100 AND ll > 300)) AS barge_in_warranted, count(*) FILTER (action = 'reachTalkLimit' AND lt < 300) AS interject_after_limit,
+  count(*) FILTER (prev = 'ended' AND state <> 'ended') AS ended_is_final FROM l"""
 QUERIES = {n: fn for n, fn in list(globals().items()) if n[:2] in ("cv", "st", "io") and n[2:3].isdigit() and callable(fn)}

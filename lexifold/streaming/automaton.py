@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,7 +19,7 @@ class Limits:
     tail_ms: int = 1500
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Session:
     agent: str = "greeting"
     draft: str = "none"
@@ -30,7 +30,7 @@ class Session:
     spoke: bool = False
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Tick:
     speaking: bool = False
     elapsed: int = 0
@@ -107,17 +107,20 @@ def step(s: Session, t: Tick, limits: Limits = Limits()) -> tuple[str | None, Se
     """(action, session after it) of one tick; None where no action applies."""
     for action, after, guard, change in RULES[s.agent]:
         if guard(s, t, limits):
-            return action, replace(s, agent=after, spoke=t.speaking, **change(s, t))
+            new = change(s, t).get
+            return action, Session(after, new("draft", s.draft), new("turn", s.turn), new("idle", s.idle), new("overlap", s.overlap), new("left", s.left), t.speaking)
     if t.speaking and not s.spoke and s.agent != "ended":
-        return "userStartsSpeaking", replace(s, spoke=True, **_QUIET)
-    return None, replace(s, spoke=t.speaking)
+        return "userStartsSpeaking", Session(s.agent, s.draft, s.turn, 0, 0, s.left, True)
+    return None, Session(s.agent, s.draft, s.turn, s.idle, s.overlap, s.left, t.speaking)
+
+
+def _rows(f: pd.DataFrame, names: tuple[str, ...]) -> Iterator[tuple]:
+    return zip(*(f[k].astype(object).where(f[k].notna(), None).tolist() for k in names))
 
 
 def fold(ticks: pd.DataFrame, s: Session, limits: Limits) -> tuple[list[tuple], Session]:
-    f = ticks.sort_values("seq")
-    columns = [f[k].astype(object).where(f[k].notna(), None).tolist() for k in INPUT]
     out = []
-    for session, seq, *values in zip(f["session"].tolist(), f["seq"].tolist(), *columns):
+    for session, seq, *values in _rows(ticks.sort_values("seq"), ("session", "seq", *INPUT)):
         action, after = step(s, Tick(*values), limits)
         out.append((session, seq, action, s.agent, after.agent, after.draft, after.turn, after.idle, after.overlap, after.left))
         s = after
@@ -139,9 +142,27 @@ def run_out(session: int, seq: int, s: Session, limits: Limits) -> list[tuple]:
 
 
 def replay_sessions(ticks: DataFrame, limits: Limits = Limits(), greeting_ms: int = 0) -> DataFrame:
-    """The log (LOG) of ticks (session, seq, and INPUT) of each session, in order."""
+    """The log (LOG) of ticks (session, seq, and INPUT) of each session, in order; ticks without a session are one session.
+
+    Sessions share partitions, sorted by (session, seq): a task reads batch after batch and holds the state of the session it is in,
+    so many short sessions take no group each, and a long one is never in memory as a whole.
+    """
     names = [c.split()[0] for c in LOG.split(", ")]
-    return ticks.groupBy("session").applyInPandas(lambda f: pd.DataFrame(fold(f, Session(left=greeting_ms), limits)[0], columns=names), LOG)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, s, begun = None, None, False
+        for f in frames:
+            out = []
+            for session, seq, *values in _rows(f, ("session", "seq", *INPUT)):
+                if not begun or session != current:
+                    current, s, begun = session, Session(left=greeting_ms), True
+                action, after = step(s, Tick(*values), limits)
+                out.append((session, seq, action, s.agent, after.agent, after.draft, after.turn, after.idle, after.overlap, after.left))
+                s = after
+            yield pd.DataFrame(out, columns=names)
+
+    dealt = ticks.select("session", "seq", *INPUT).repartition("session").sortWithinPartitions(F.col("session"), F.col("seq").asc_nulls_last())
+    return dealt.mapInPandas(run, LOG)
 
 
 def stream_replay(ticks: DataFrame, limits: Limits = Limits(), greeting_ms: int = 0) -> DataFrame:
