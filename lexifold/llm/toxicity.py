@@ -38,10 +38,13 @@ GROUP, KEPT, STEPS_KEPT, ROWS = 1 << 18, 1 << 20, 1 << 15, 256
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^(?:[^\w@$!|+€£]|[@$!|+€£](?=[^\w])|_)+|(?:[^\w@$|+€£]|_|[@$|+€£]{3,})+$")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[\x20.\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
+_UNIT, _GAP = r"(?:[^\W_]|[@$!|+€£])", r"[\x20.\-_*]{1,2}"
+#: Two or more lone letters or signs, and the longer tokens next to them: words may be spaced in part only ("l o ser", "idi o t").
+_SPACED = re.compile(rf"(?<![^\W_])(?:(?<![@$!|+€£])({_UNIT}{{2,}}+{_GAP}))?({_UNIT}(?:{_GAP}{_UNIT})+)(?![^\W_])({_GAP}{_UNIT}{{2,}}+)?")
+_FIRST, _LAST, _GAPS = re.compile(rf"{_UNIT}{_GAP}"), re.compile(rf"{_GAP}{_UNIT}\Z"), re.compile(_GAP)
 _CLEAN = re.compile(r"(?:([^\W\d_])(?!\1\1))+\Z")
-#: Where a long text may be cut: no token and no run of spaced letters goes on over two letters and a space.
-_CUT = re.compile(r"[^\W\d_]{2}[\x20\x09-\x0D]")
+#: Where a long text may be cut: no token and no run of spaced letters goes on over two letters, a space and two letters.
+_CUT = re.compile(r"[^\W\d_]{2}[\x20\x09-\x0D](?=[^\W\d_]{2})")
 
 # kinds of characters, as bits; what lies past 16 bits may be a letter and counts as hard, which means: read one by one
 _ALPHA, _HARD, _BANG, _SPACE, _SPACER, _ALNUM = 1, 2, 4, 8, 16, 32
@@ -215,6 +218,19 @@ def decode(token: str, model: CharacterModel) -> str:
     return "".join([*settled, *_back(trail, best)]).strip()
 
 
+def spans(before: str | None, run: str, after: str | None) -> list[str]:
+    """What may be spelled out where lone letters stand between longer tokens: the run, and the run with the token on either side,
+    each also without the letter at its far end where a space is next to it: it may be a word of its own ("a l o s e r")."""
+    n, first, last = len(_GAPS.findall(run)) + 1, _FIRST.match(run)[0], _LAST.search(run)[0]
+    later, earlier = [run[len(first) :]] * (" " in first), [run[: -len(last)]] * (" " in last)
+    out = [run] * (n > 2) + (later + earlier) * (n > 3)
+    if after:
+        out += [x + after for x in [run] + later * (n > 2)]
+    if before:
+        out += [before + x for x in [run] + earlier * (n > 2)]
+    return [x for x in out if re.search(r"[^\W_]", x)]
+
+
 class Restorer:
     """Words of texts as they were meant."""
 
@@ -237,8 +253,13 @@ class Restorer:
         return words
 
     def spaced(self, text: str) -> list[str]:
-        """Words spelled with spaces or marks between the letters of a text in lower case."""
-        return [w for m in _SPACED.finditer(text) if re.search(r"[^\W_]", m[0]) for w in _WORDS.findall(decode(m[0], self.model))]
+        """Words spelled with spaces or marks between letters of a text in lower case: of each span the likeliest reading, and that
+        in which all gaps are dropped."""
+        out = []
+        for m in _SPACED.finditer(text):
+            for span in spans(*m.groups()):
+                out += [*_WORDS.findall(decode(span, self.model)), *self.token(_GAPS.sub("", span))]
+        return out
 
     def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of the text, hashes of the features) of all words of texts in lower case; a word may come several times."""
@@ -278,15 +299,14 @@ class Restorer:
 
     @staticmethod
     def _spaced_texts(kind: np.ndarray, begins: np.ndarray) -> list[int]:
-        """Texts that may have three spaced letters or signs: one between two separators, with another alone on either side."""
+        """Texts that may have two spaced letters or signs next to each other."""
         kind = np.concatenate([np.zeros(4, np.uint8), kind, np.zeros(4, np.uint8)])
         sign = kind & (_ALNUM | _HARD | _BANG) != 0
         gap = kind & _SPACER != 0
-        i = np.flatnonzero(sign[4:-4] & gap[3:-5] & gap[5:-3]) + 4
         alnum = kind & _ALNUM != 0
-        before = (sign[i - 2] & ~alnum[i - 3]) | (gap[i - 2] & sign[i - 3] & ~alnum[i - 4])
+        i = np.flatnonzero(sign[4:-4] & ~alnum[3:-5] & gap[5:-3]) + 4
         after = (sign[i + 2] & ~alnum[i + 3]) | (gap[i + 2] & sign[i + 3] & ~alnum[i + 4])
-        return np.unique(np.searchsorted(begins, i[before & after] - 4, "right") - 1).tolist()
+        return np.unique(np.searchsorted(begins, i[after] - 4, "right") - 1).tolist()
 
     def words(self, text: str) -> set[str]:
         """The restored words of one text."""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -188,7 +189,6 @@ def test_viterbi_against_all_readings(spark, words):
 
 
 def test_decoding_of_long_tokens_takes_steady_time(spark, words):
-    import time
 
     model = toxicity.character_model(documents(spark, [" ".join(words(3000, 1))]))
     r = np.random.default_rng(4)
@@ -226,6 +226,41 @@ def test_decoding_of_spaced_words(spark, words):
     assert found.words("! ! ! + + +") == set()
 
 
+def test_restoration_by_disguise(spark, words):
+    insults = ["idiot", "scum", "moron", "loser", "clown", "stupid", "trash", "pathetic", "disgusting", "worthless"]
+    plain = [" ".join(words(40, i) + [w] + words(40, 99 + i)) for i, w in enumerate(insults * 3)]
+    restorer = toxicity.Restorer(toxicity.character_model(documents(spark, plain)))
+    signs = str.maketrans("oieast", "013457")
+    disguises = {
+        "dots": ".".join,
+        "spaces": " ".join,
+        "wide": "  ".join,
+        "repeats": lambda w: w[0] + w[1] * 4 + w[2:],
+        "signs": lambda w: w.translate(signs),
+        "spaced signs": lambda w: " ".join(w.translate(signs)),
+        "half, first": lambda w: " ".join(w[:2]) + " " + w[2:],
+        "half, last": lambda w: w[:-2] + " " + " ".join(w[-2:]),
+    }
+    for name, disguise in disguises.items():
+        for sentence in ("the report says {} about this", "you are a {} and so on", "well, what a {}!"):
+            restored = [w in restorer.words(sentence.format(disguise(w))) for w in insults]
+            assert sum(restored) >= 0.9 * len(insults), (name, sentence, restored)
+
+
+def test_spans_of_spaced_letters():
+    found = lambda text: [toxicity.spans(*m.groups()) for m in toxicity._SPACED.finditer(text)]
+    assert found("a dog and y a") == [["and y a"]]
+    assert found("l o ser") == [["l o ser"]]
+    assert found("idi o t.") == [["idi o t"]]
+    assert found("a b") == [[]] and found("word other") == [] and found("! ! !") == [[]]
+    assert found("a s c u m") == [["a s c u m", "s c u m", "a s c u"]]
+    assert found("l o ser i d iot") == [["l o ser"], ["i d iot"]]
+    began = time.process_time()
+    for text in ("$" * 60_000, "a " * 60_000, "$ " * 60_000, "ab " * 60_000, "a bc " * 30_000):
+        found(text)
+    assert time.process_time() - began < 10
+
+
 def test_toxicity_held_out(spark, words, odd_texts):
     bad = ["idiot", "scum", "moron"]
     texts, marks = list(odd_texts), [0] * len(odd_texts)
