@@ -536,10 +536,14 @@ def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(table(spark, sf_dir, "documents"))
 
 
-OP9_SQL = f"""
+_LINKED_SQL = f"""
 WITH RECURSIVE d AS ({SETS_SQL.format(id="doc_id", table="documents")}), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 r(id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.seen)
-SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
+"""
+OP9_SQL = _LINKED_SQL + """SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
+"""
+OP9_LINKS_SQL = _LINKED_SQL + """SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id, coalesce(any_value(k.n), 0) AS n_links
+FROM r LEFT JOIN n ON n.doc_id = r.id LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON k.x = r.id GROUP BY r.id
 """

@@ -7,7 +7,7 @@ from .fingerprints import op2_winnow_prints
 from .licenses import op5_license_scan
 from .lm_scoring import op10_gru_likelihood
 from .mixing import OP1_SQL, op1_mix_sources
-from .ngram_join import OP9_SQL, op9_jaccard_groups, op9_jaccard_links
+from .ngram_join import OP9_LINKS_SQL, OP9_SQL, op9_jaccard_groups, op9_jaccard_links
 from .pii import op6_personal_data
 from .runs import op13_periodic_runs
 from .sharding import op4_shard_slots
@@ -33,4 +33,4 @@ QUERIES = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op9_jaccard_groups": OP9_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_benchmark_leaks": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op9_jaccard_groups": OP9_SQL, "op9_jaccard_links": OP9_LINKS_SQL}
