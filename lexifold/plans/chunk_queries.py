@@ -107,7 +107,20 @@ u AS (SELECT *, starts_with(line, '#') AS is_head, coalesce(last_value(CASE WHEN
 v AS (SELECT note, unit, head, trim(string_agg(line, chr(10) ORDER BY pos), ' ' || chr(10)) AS text FROM u WHERE NOT is_head AND NOT starts_with(lower(head), 'см. также') GROUP BY note, unit, head),
 w AS (SELECT * FROM v WHERE length(text) >= 25)
 """
+
+
+def _parts(texts: str, key: str) -> str:
+    """Tables z, q and parts (key, part, text): parts of the texts of a table (key, text) by cut points, blank ones left out."""
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    stop = f"CASE WHEN {{0}} + {c.MAX_CHARS} >= n THEN n ELSE {{0}} + {c.MAX_CHARS} - strpos(reverse(substr(text, {{0}} + {c.MAX_CHARS - c.OVERLAP} + 1, {c.OVERLAP})), ' .') END"
+    following = f"greatest(a + 1, b - {c.OVERLAP})"
+    return f"""z AS (SELECT {key}, text, length(text) AS n FROM (SELECT {key}, coalesce(trim(text, {blank}), '') AS text FROM {texts})),
+q({key}, text, n, a, b) AS (SELECT {key}, text, n, 0, {stop.format(0)} FROM z UNION ALL SELECT {key}, text, n, {following}, {stop.format(following)} FROM q WHERE b < n),
+parts AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY a) - 1)::INT AS part, text FROM (SELECT {key}, a, n, trim(substr(text, a + 1, b - a), {blank}) AS text FROM q) WHERE n = 0 OR text <> '')"""
+
+
 SQL = {
+    "sc6_split_long": f"WITH RECURSIVE {_parts('documents', 'doc_id')} SELECT doc_id, part, text FROM parts",
     "ch1_point_groups": f"WITH {_GROUPS} SELECT g.doc_id, grp, point, coalesce(array_to_string(CASE WHEN len(heads) > 4 THEN heads[1:3] || heads[-1:] ELSE heads END, ' > '), '') AS path, length(text) AS chars, md5(text) AS text_md5 FROM g LEFT JOIN h USING (doc_id)",
     "ch5_chunk_ids": f"WITH {_GROUPS}, r AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id) AS d FROM (SELECT DISTINCT doc_id FROM documents)), x AS (SELECT g.doc_id, grp, d, row_number() OVER (PARTITION BY g.doc_id ORDER BY grp) AS c FROM g JOIN r USING (doc_id)) SELECT (CASE WHEN d < 10 THEN '0' || d ELSE d::VARCHAR END) || '-' || lpad(c::VARCHAR, 4, '0') AS id, doc_id, grp FROM x",
     "ch6_citation_units": f"WITH {_UNITS} SELECT note, unit, head, md5(text) AS text_md5 FROM w",

@@ -88,6 +88,10 @@ FROM (SELECT event_id, n, n // 1000 AS t, n % 1000 AS r FROM (SELECT event_id, e
 
 
 SQL = {
+    "ud4_speech_probability": """WITH f AS (SELECT conv_id AS session, turn AS seq, string_split(text, '') AS cs FROM conversations), s AS (SELECT session, seq, unnest(cs) AS c, unnest(range(len(cs))) AS pos FROM f),
+p AS (SELECT session, seq, (unicode(c) * 30 - 2000)::DOUBLE AS x, row_number() OVER (PARTITION BY session ORDER BY seq, pos) - 1 AS place FROM s),
+w AS (SELECT session, max_by(seq, place) AS seq, least(1, sqrt(sum(x * x) / 96) / 3000) AS score FROM p GROUP BY session, place // 96 HAVING count(*) = 96), g AS (SELECT session, seq, max(score) AS score FROM w GROUP BY ALL)
+SELECT session, seq, coalesce(last_value(score IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING), 0)::DOUBLE AS prob FROM f LEFT JOIN g USING (session, seq)""",
     "sc11_number_words": _number_sql(),
     "sc22_clip_stats": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings), r AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)) AS rms FROM v)
 SELECT vec_id, round(list_max(list_transform(e, lambda x: abs(x))), 6) AS peak, round(len(list_filter(e, lambda x: abs(x) >= 0.999)) * 100.0::DOUBLE / len(e), 6) AS clipped, round(list_avg(e), 6) AS mean, round(rms, 6) AS rms,
