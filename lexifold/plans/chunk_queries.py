@@ -18,21 +18,30 @@ def ch1_point_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", "grp", "point", F.array_join("section_path", " > ").alias("path"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-def ch1_chunks(spark: SparkSession, d: str) -> DataFrame:
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.chunk_documents(document_lines(spark, d))
 
 
+def _with_path(chunks: DataFrame) -> DataFrame:
+    """chunks with the section path as one text."""
+    return chunks.withColumn("path", F.array_join("section_path", " > ")).drop("section_path")
+
+
+def ch1_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _with_path(_chunks(spark, d))
+
+
 def sc6_split_long(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(c.split_long(F.col("text"))).alias("part", "text"))
 
 
 def ch3_merge_siblings(spark: SparkSession, d: str) -> DataFrame:
-    return c.merge_siblings(ch1_chunks(spark, d))
+    return _with_path(c.merge_siblings(_chunks(spark, d)))
 
 
 def ch4_merge_by_source(spark: SparkSession, d: str) -> DataFrame:
-    chunks = ch1_chunks(spark, d).withColumn("source", F.concat(F.lit("s"), (F.col("ord") / 4).cast("int").cast("string")))
-    return c.merge_siblings(chunks, 900, "doc_id", "source", 0)
+    chunks = _chunks(spark, d).withColumn("source", F.concat(F.lit("s"), (F.col("ord") / 4).cast("int").cast("string")))
+    return _with_path(c.merge_siblings(chunks, 900, "doc_id", "source", 0))
 
 
 def ch5_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +83,7 @@ def ch9_chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 def ch10_sweep(spark: SparkSession, d: str) -> DataFrame:
     """For each target the chunks, and how benchmark texts fare when they are looked up in an index of these: the share for which one of
     the first five chunks holds the text, and the mean reciprocal rank of the first that does."""
-    swept = c.sweep_chunking(ch1_chunks(spark, d)).select("variant", "doc_id", "ord", "text")
+    swept = c.sweep_chunking(_chunks(spark, d)).select("variant", "doc_id", "ord", "text")
     swept = io_.kept(swept, shared_place(spark, "swept"))
     facts = swept.groupBy("variant").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), F.countDistinct("doc_id").alias("documents"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
@@ -119,7 +128,23 @@ q({key}, text, n, a, b) AS (SELECT {key}, text, n, 0, {stop.format(0)} FROM z UN
 parts AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY a) - 1)::INT AS part, text FROM (SELECT {key}, a, n, trim(substr(text, a + 1, b - a), {blank}) AS text FROM q) WHERE n = 0 OR text <> '')"""
 
 
+def _merged(rows: str, key: str = "''", target: int = c.TARGET) -> str:
+    """Tables m, f and merged (doc_id, ord, point, path, key, text): rows (doc_id, ord, point, path, text) merged one after the other."""
+    fits = f"m.key = f.key AND room + size + 1 <= {target}"
+    return f"""m AS (SELECT *, {key} AS key, length(text) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM {rows}),
+f(doc_id, i, room, grp, key) AS (SELECT doc_id, i, size, 1, key FROM m WHERE i = 1
+  UNION ALL SELECT m.doc_id, m.i, CASE WHEN {fits} THEN room + size + 1 ELSE size END, CASE WHEN {fits} THEN grp ELSE grp + 1 END, m.key FROM f JOIN m ON m.doc_id = f.doc_id AND m.i = f.i + 1),
+merged AS (SELECT doc_id, grp AS ord, coalesce((list(point ORDER BY i) FILTER (point <> ''))[1], list(point ORDER BY i)[-1]) AS point, any_value(path) AS path, f.key, string_agg(text, chr(10) ORDER BY i) AS text
+  FROM m JOIN f USING (doc_id, i) GROUP BY doc_id, grp, f.key)"""
+
+
+_PATHS = "coalesce(array_to_string(CASE WHEN len(heads) > 4 THEN heads[1:3] || heads[-1:] ELSE heads END, ' > '), '')"
+_CHUNKS = f"""{_GROUPS}, {_parts('g', 'doc_id, grp')},
+chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp, part))::INT AS ord, point, {_PATHS} AS path, parts.text FROM parts JOIN g USING (doc_id, grp) LEFT JOIN h USING (doc_id))"""
 SQL = {
+    "ch1_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks",
+    "ch3_merge_siblings": f"WITH RECURSIVE {_CHUNKS}, {_merged(f'(SELECT * FROM chunks WHERE length(text) >= {c.MIN_CHARS})')} SELECT doc_id, ord, point, path, text FROM merged",
+    "ch4_merge_by_source": f"""WITH RECURSIVE {_CHUNKS}, {_merged('chunks', "'s' || (ord // 4)")} SELECT doc_id, ord, point, path, text, key AS source FROM merged""",
     "sc6_split_long": f"WITH RECURSIVE {_parts('documents', 'doc_id')} SELECT doc_id, part, text FROM parts",
     "ch1_point_groups": f"WITH {_GROUPS} SELECT g.doc_id, grp, point, coalesce(array_to_string(CASE WHEN len(heads) > 4 THEN heads[1:3] || heads[-1:] ELSE heads END, ' > '), '') AS path, length(text) AS chars, md5(text) AS text_md5 FROM g LEFT JOIN h USING (doc_id)",
     "ch5_chunk_ids": f"WITH {_GROUPS}, r AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id) AS d FROM (SELECT DISTINCT doc_id FROM documents)), x AS (SELECT g.doc_id, grp, d, row_number() OVER (PARTITION BY g.doc_id ORDER BY grp) AS c FROM g JOIN r USING (doc_id)) SELECT (CASE WHEN d < 10 THEN '0' || d ELSE d::VARCHAR END) || '-' || lpad(c::VARCHAR, 4, '0') AS id, doc_id, grp FROM x",
