@@ -73,7 +73,7 @@ def ch7_map_citations(spark: SparkSession, d: str) -> DataFrame:
 
 def ch8_note_chunks(spark: SparkSession, d: str) -> DataFrame:
     units = c.citation_units(_notes(spark, d)).withColumn("primary", F.lit(None).cast("string")).withColumn("title", F.concat(F.lit("note "), F.col("note").cast("string")))
-    return c.note_chunks(c.map_citations(units, _PATTERNS))
+    return _with_path(c.note_chunks(c.map_citations(units, _PATTERNS)))
 
 
 def ch9_chunk_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -118,10 +118,10 @@ w AS (SELECT * FROM v WHERE length(text) >= 25)
 """
 
 
-def _parts(texts: str, key: str) -> str:
+def _parts(texts: str, key: str, most: int = c.MAX_CHARS) -> str:
     """Tables z, q and parts (key, part, text): parts of the texts of a table (key, text) by cut points, blank ones left out."""
     blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    stop = f"CASE WHEN {{0}} + {c.MAX_CHARS} >= n THEN n ELSE {{0}} + {c.MAX_CHARS} - strpos(reverse(substr(text, {{0}} + {c.MAX_CHARS - c.OVERLAP} + 1, {c.OVERLAP})), ' .') END"
+    stop = f"CASE WHEN {{0}} + {most} >= n THEN n ELSE {{0}} + {most} - strpos(reverse(substr(text, {{0}} + {most - c.OVERLAP} + 1, {c.OVERLAP})), ' .') END"
     following = f"greatest(a + 1, b - {c.OVERLAP})"
     return f"""z AS (SELECT {key}, text, length(text) AS n FROM (SELECT {key}, coalesce(trim(text, {blank}), '') AS text FROM {texts})),
 q({key}, text, n, a, b) AS (SELECT {key}, text, n, 0, {stop.format(0)} FROM z UNION ALL SELECT {key}, text, n, {following}, {stop.format(following)} FROM q WHERE b < n),
@@ -141,6 +141,10 @@ merged AS (SELECT doc_id, grp AS ord, coalesce((list(point ORDER BY i) FILTER (p
 _PATHS = "coalesce(array_to_string(CASE WHEN len(heads) > 4 THEN heads[1:3] || heads[-1:] ELSE heads END, ' > '), '')"
 _CHUNKS = f"""{_GROUPS}, {_parts('g', 'doc_id, grp')},
 chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp, part))::INT AS ord, point, {_PATHS} AS path, parts.text FROM parts JOIN g USING (doc_id, grp) LEFT JOIN h USING (doc_id))"""
+_CITED = rf"""{_UNITS},
+c AS (SELECT note, unit, text, CASE WHEN contains(text, 'Источник:') THEN regexp_extract(text, 'Источник:\s*([^*\n]+)', 1) END AS cite FROM w),
+p AS (SELECT note, unit, text, (SELECT arg_min(s, place * 10 + i) FROM (SELECT unnest([101, 102, 103]) AS q, unnest(['order-101','order-102','order-103']) AS s, unnest([0, 1, 2]) AS i), LATERAL (SELECT strpos(cite, 'N ' || q) AS place) WHERE place > 0) AS s,
+  nullif(regexp_extract(text, 'п\.\s*([0-9.]+([–-][0-9][0-9.]*)?)', 1), '') AS point FROM c)"""
 SQL = {
     "ch1_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks",
     "ch3_merge_siblings": f"WITH RECURSIVE {_CHUNKS}, {_merged(f'(SELECT * FROM chunks WHERE length(text) >= {c.MIN_CHARS})')} SELECT doc_id, ord, point, path, text FROM merged",
@@ -149,10 +153,11 @@ SQL = {
     "ch1_point_groups": f"WITH {_GROUPS} SELECT g.doc_id, grp, point, coalesce(array_to_string(CASE WHEN len(heads) > 4 THEN heads[1:3] || heads[-1:] ELSE heads END, ' > '), '') AS path, length(text) AS chars, md5(text) AS text_md5 FROM g LEFT JOIN h USING (doc_id)",
     "ch5_chunk_ids": f"WITH {_GROUPS}, r AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id) AS d FROM (SELECT DISTINCT doc_id FROM documents)), x AS (SELECT g.doc_id, grp, d, row_number() OVER (PARTITION BY g.doc_id ORDER BY grp) AS c FROM g JOIN r USING (doc_id)) SELECT (CASE WHEN d < 10 THEN '0' || d ELSE d::VARCHAR END) || '-' || lpad(c::VARCHAR, 4, '0') AS id, doc_id, grp FROM x",
     "ch6_citation_units": f"WITH {_UNITS} SELECT note, unit, head, md5(text) AS text_md5 FROM w",
-    "ch7_map_citations": rf"""WITH {_UNITS},
-c AS (SELECT note, unit, text, CASE WHEN contains(text, 'Источник:') THEN regexp_extract(text, 'Источник:\s*([^*\n]+)', 1) END AS cite FROM w),
-p AS (SELECT note, unit, text, (SELECT arg_min(s, place * 10 + i) FROM (SELECT unnest([101, 102, 103]) AS q, unnest(['order-101','order-102','order-103']) AS s, unnest([0, 1, 2]) AS i), LATERAL (SELECT strpos(cite, 'N ' || q) AS place) WHERE place > 0) AS s FROM c)
-SELECT note, unit, coalesce(s, CASE WHEN note % 2 = 0 THEN 'note' || note END, 'unknown') AS source, nullif(regexp_extract(text, 'п\.\s*([0-9.]+([–-][0-9][0-9.]*)?)', 1), '') AS point FROM p""",
+    "ch7_map_citations": f"WITH {_CITED} SELECT note, unit, coalesce(s, CASE WHEN note % 2 = 0 THEN 'note' || note END, 'unknown') AS source, point FROM p",
+    "ch8_note_chunks": f"""WITH RECURSIVE {_CITED},
+rows AS (SELECT note AS doc_id, unit AS ord, point, 'note ' || note || ' > ' || head AS path, CASE WHEN head <> '' THEN head || chr(10) || p.text ELSE p.text END AS text, coalesce(s, 'unknown') AS source FROM p JOIN w USING (note, unit)),
+{_merged('rows', 'source')}, {_parts('merged', 'doc_id, ord', 1100)}
+SELECT doc_id AS note, (row_number() OVER (PARTITION BY doc_id ORDER BY ord, part))::INT AS ord, key AS source, point, path, parts.text FROM parts JOIN merged USING (doc_id, ord)""",
     "ch9_chunk_stats": f"WITH {_GROUPS} SELECT doc_id, count(*) AS chunks, avg(length(text)) AS mean_chars FROM g GROUP BY doc_id",
 }
 QUERIES = {n: f for n, f in list(globals().items()) if n[:2] in ("ch", "sc") and callable(f)}
