@@ -182,3 +182,13 @@ def sweep_chunking(chunks: DataFrame, targets: tuple[int | None, ...] = (None, 9
     for m in made[1:]:
         out = out.unionByName(m)
     return out
+
+
+def swept_places(chunks: DataFrame, targets: tuple[int | None, ...] = (None, 900, 1500, 2500), by: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(name, texts, places): for each document the texts of its chunks that have min_chars in their order, and for each target the ord
+    that each of them has in sweep_chunking, or the merge that it goes into. Merges aren't made, so a text stands here once."""
+    kept = chunks.where(F.length("text") >= min_chars)
+    rows = kept.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("rows"))
+    sizes, keys = F.transform("rows", lambda x: F.length(x["text"])), F.transform("rows", lambda x: F.lit(""))
+    places = [F.transform(_merge_groups(t)(sizes, keys), lambda g: g + 1) if t else F.col("rows.ord") for t in targets]
+    return rows.select(F.col(by).alias("name"), F.col("rows.text").alias("texts"), F.array(*places).alias("places"))
